@@ -1,4 +1,4 @@
-"""Dates as found in pages, as column expressions.
+"""Dates as found in pages.
 
 A date keeps its wall-clock reading and its offset apart: the instant is needed for
 ordering, the wall clock for the catalogue, the text for the feed documents.
@@ -6,9 +6,7 @@ ordering, the wall clock for the catalogue, the text for the feed documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from feedlake.functions.sql import case, extract, let, lit, matches, replace, substitute
 from feedlake.functions.text import collapse, strip
 
 _ISO = (
@@ -22,121 +20,126 @@ _NAMED_EU = (
     rf"^(\d{{1,2}}) (?i:({_MONTHS})[a-z]*\.?),? (\d{{4}})"
     r"(?: (\d{2}:\d{2}(?::\d{2})?)(?: (GMT|UTC|Z|[+-]\d{2}:?\d{2}))?)?$"
 )
+_IN_TEXT = (
+    rf"\b(?i:({_MONTHS})(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?)"
+    r" (\d{1,2}),? (\d{4})\b"
+)
 
 
-def _ymd(year: Column, month_name: Column, day: Column) -> Column:
+def _ymd(year: str, month_name: str, day: str) -> str:
     """Year, English month name and day as ``yyyy-MM-dd``."""
-    index = F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(month_name)) / 3)
-    return F.concat_ws(
-        "-", year, F.lpad(index.cast("string"), 2, "0"), F.lpad(day, 2, "0")
-    )
+    names = lit(_MONTHS.replace("|", "").lower())
+    month = f"CAST(ceil(instr({names}, lower({month_name})) / 3) AS STRING)"
+    return f"concat_ws('-', {year}, lpad({month}, 2, '0'), lpad({day}, 2, '0'))"
 
 
-def _offset(raw: Column) -> Column:
+def _offset(raw: str) -> str:
     """``+hh:mm`` from any offset spelling; NULL if there is none."""
-    return (
-        F.when(raw == "", F.lit(None))
-        .when(F.upper(raw).isin("Z", "GMT", "UTC"), F.lit("+00:00"))
-        .otherwise(F.regexp_replace(raw, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
+    return let(
+        raw,
+        lambda z: case(
+            (f"{z} = ''", "NULL"),
+            (f"upper({z}) IN ('Z', 'GMT', 'UTC')", "'+00:00'"),
+            otherwise=substitute(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"),
+        ),
     )
 
 
-def _clock(raw: Column) -> Column:
-    return F.when(raw == "", F.lit("00:00:00")).otherwise(raw)
+def _clock(raw: str) -> str:
+    return let(raw, lambda t: f"if({t} = '', '00:00:00', {t})")
 
 
-def parse_date(raw: Column) -> Column:
+def parse_date(raw: str) -> str:
     """``struct<local timestamp_ntz, zone string>``; NULL local if unreadable.
 
     Reads ISO dates with optional time, fraction and offset, ``Month d, yyyy``,
     ``d Month yyyy`` and mail-style dates.
     """
-    text = F.regexp_replace(collapse(strip(raw)), _WEEKDAY, "")
-
-    def group(rx: str, i: int) -> Column:
-        return F.regexp_extract(text, rx, i)
-
-    iso, us, eu = text.rlike(_ISO), text.rlike(_NAMED_US), text.rlike(_NAMED_EU)
-    local = (
-        F.when(iso, F.concat_ws(" ", group(_ISO, 1), _clock(group(_ISO, 2))))
-        .when(
-            us,
-            F.concat_ws(
-                " ",
-                _ymd(group(_NAMED_US, 3), group(_NAMED_US, 1), group(_NAMED_US, 2)),
-                F.lit("00:00:00"),
-            ),
-        )
-        .when(
-            eu,
-            F.concat_ws(
-                " ",
-                _ymd(group(_NAMED_EU, 3), group(_NAMED_EU, 2), group(_NAMED_EU, 1)),
-                _clock(group(_NAMED_EU, 4)),
-            ),
-        )
+    return let(substitute(collapse(strip(raw)), _WEEKDAY), _parsed)
+
+
+def _parsed(text: str) -> str:
+    local = case(
+        (
+            matches(text, _ISO),
+            f"concat_ws(' ', {extract(text, _ISO)}, {_clock(extract(text, _ISO, 2))})",
+        ),
+        (
+            matches(text, _NAMED_US),
+            _ymd(extract(text, _NAMED_US, 3), extract(text, _NAMED_US, 1), extract(text, _NAMED_US, 2)),
+        ),
+        (
+            matches(text, _NAMED_EU),
+            "concat_ws(' ', "
+            + _ymd(extract(text, _NAMED_EU, 3), extract(text, _NAMED_EU, 2), extract(text, _NAMED_EU, 1))
+            + f", {_clock(extract(text, _NAMED_EU, 4))})",
+        ),
     )
-    zone = F.when(iso, _offset(group(_ISO, 3))).when(eu, _offset(group(_NAMED_EU, 5)))
-    return F.struct(
-        local.try_cast("timestamp_ntz").alias("local"),
-        zone.alias("zone"),
+    zone = case(
+        (matches(text, _ISO), _offset(extract(text, _ISO, 3))),
+        (matches(text, _NAMED_EU), _offset(extract(text, _NAMED_EU, 5))),
     )
+    return f"named_struct('local', try_cast({local} AS TIMESTAMP_NTZ), 'zone', {zone})"
 
 
-def instant(local: Column, zone: Column) -> Column:
+def instant(local: str, zone: str) -> str:
     """The moment in time; a date without offset counts as UTC."""
-    return F.concat(local.cast("string"), F.coalesce(zone, F.lit("+00:00"))).try_cast("timestamp")
+    return f"try_cast(concat(CAST({local} AS STRING), coalesce({zone}, '+00:00')) AS TIMESTAMP)"
 
 
-def iso_text(local: Column, zone: Column) -> Column:
+def iso_text(local: str, zone: str) -> str:
     """ISO 8601 text: seconds always, fraction and offset only where present."""
-    fraction = F.date_format(local, "SSSSSS")
-    return F.concat(
-        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
-        F.coalesce(zone, F.lit("")),
+    fraction = let(f"date_format({local}, 'SSSSSS')", lambda f: f"if({f} = '000000', '', concat('.', {f}))")
+    return (
+        f"concat(date_format({local}, {lit(chr(39).join(('yyyy-MM-dd', 'T', 'HH:mm:ss')))}),"
+        f" {fraction}, coalesce({zone}, ''))"
     )
 
 
-def rss_date(local: Column, zone: Column) -> Column:
+def rss_date(local: str, zone: str) -> str:
     """Mail-style date for RSS; a date without offset counts as UTC."""
-    return F.concat(
-        F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss "),
-        F.replace(F.coalesce(zone, F.lit("+00:00")), F.lit(":"), F.lit("")),
+    return (
+        f"concat(date_format({local}, 'EEE, dd MMM yyyy HH:mm:ss '),"
+        f" {replace(f'coalesce({zone}, {lit("+00:00")})', ':', '')})"
     )
 
 
-def body_date(text: Column, as_of: Column) -> Column:
+def date_columns(raw: str, instant_name: str, local_name: str, iso_name: str) -> list[str]:
+    """The three columns that keep a date text, as select items."""
+    found = parse_date(raw)
+    return [
+        let(found, lambda d: instant(f"{d}.local", f"{d}.zone")) + f" AS {instant_name}",
+        f"{found}.local AS {local_name}",
+        let(found, lambda d: iso_text(f"{d}.local", f"{d}.zone")) + f" AS {iso_name}",
+    ]
+
+
+def body_date(text: str, as_of: str) -> str:
     """Publication day named near the top of an article, as ``timestamp_ntz``.
 
     ISO day, then ``Month d, yyyy``, then "Published yesterday/today" seen from ``as_of``.
     """
-    iso = F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    named_rx = (
-        rf"\b(?i:({_MONTHS})(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?)"
-        r" (\d{1,2}),? (\d{4})\b"
-    )
-    named = _ymd(
-        F.regexp_extract(text, named_rx, 3),
-        F.regexp_extract(text, named_rx, 1),
-        F.regexp_extract(text, named_rx, 2),
-    )
-    day = F.to_date(as_of)
-    relative = F.when(text.rlike(r"(?i)\bpublished yesterday\b"), F.date_sub(day, 1)).when(
-        text.rlike(r"(?i)\bpublished today\b"), day
-    )
-    return F.coalesce(
-        F.when(iso != "", iso.try_cast("date")),
-        F.when(text.rlike(named_rx), named.try_cast("date")),
-        relative,
-    ).cast("timestamp_ntz")
 
+    def found(t: str) -> str:
+        iso = extract(t, r"\b(\d{4}-\d{2}-\d{2})\b")
+        named = _ymd(extract(t, _IN_TEXT, 3), extract(t, _IN_TEXT, 1), extract(t, _IN_TEXT, 2))
+        relative = case(
+            (matches(t, r"(?i)\bpublished yesterday\b"), f"date_sub(CAST({as_of} AS DATE), 1)"),
+            (matches(t, r"(?i)\bpublished today\b"), f"CAST({as_of} AS DATE)"),
+        )
+        return f"coalesce(try_cast({iso} AS DATE), try_cast({named} AS DATE), {relative})"
+
+    return f"CAST({let(text, found)} AS TIMESTAMP_NTZ)"
 
-def iso_duration_seconds(raw: Column) -> Column:
+
+def iso_duration_seconds(raw: str) -> str:
     """Seconds of ``PT#H#M#S``; NULL if the text does not start with ``PT``."""
 
-    def part(unit: str) -> Column:
-        rx = {"H": r"^PT(\d+)H", "M": r"^PT(?:\d+H)?(\d+)M", "S": r"^PT(?:\d+H)?(?:\d+M)?(\d+)S"}
-        return F.coalesce(F.regexp_extract(raw, rx[unit], 1).try_cast("int"), F.lit(0))
+    def seconds(d: str) -> str:
+        hours, minutes, rest = (
+            f"coalesce(try_cast({extract(d, rx)} AS INT), 0)"
+            for rx in (r"^PT(\d+)H", r"^PT(?:\d+H)?(\d+)M", r"^PT(?:\d+H)?(?:\d+M)?(\d+)S")
+        )
+        return f"if(startswith({d}, 'PT'), {hours} * 3600 + {minutes} * 60 + {rest}, NULL)"
 
-    return F.when(raw.startswith("PT"), part("H") * 3600 + part("M") * 60 + part("S"))
+    return let(raw, seconds)

@@ -7,11 +7,23 @@ that short string, so their number does not multiply the cost of a large page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from feedlake import fixed
-from feedlake.functions.text import collapse, nonempty, strip, unescape
+from feedlake.functions.sql import (
+    case,
+    each,
+    extract,
+    extract_all,
+    first_nonempty,
+    fold,
+    keep,
+    lit,
+    lits,
+    matches,
+    nonempty,
+    replace,
+    substitute,
+)
+from feedlake.functions.text import collapse, strip, unescape
 
 _HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 _JSON_LD = (
@@ -19,155 +31,141 @@ _JSON_LD = (
     r"[^>]*>(.*?)</script\s*>|<script\b.*?</script\s*>"
 )
 _HEAD_TAGS = r"(?is)<(?:meta|link)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-_BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|section)(?:\s[^>]*|/)?>"
+_BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|section)(?:\s[^>]*|/)?>"
 _ATTR_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_MAX = 1 << 30
 
 
-def visible(html: Column) -> Column:
+def visible(html: str) -> str:
     """The page without comments, scripts and styles."""
-    return F.regexp_replace(html, _HIDDEN, "")
+    return substitute(html, _HIDDEN)
 
 
-def head_tags(doc: Column) -> Column:
+def head_tags(doc: str) -> str:
     """All meta and link tags of a visible page, one string, in order."""
-    tags = F.regexp_extract_all(doc, F.lit(_HEAD_TAGS), 0)
-    return F.array_join(
-        F.transform(
-            tags,
-            lambda tag: F.concat(
-                F.replace(F.substring(tag, F.lit(1), F.length(tag) - 1), F.lit(">"), F.lit("&gt;")),
-                F.lit(">"),
-            ),
-        ),
-        "\n",
+    tags = each(
+        extract_all(doc, _HEAD_TAGS),
+        lambda tag: f"concat({replace(f'left({tag}, length({tag}) - 1)', '>', '&gt;')}, '>')",
     )
+    return f"array_join({tags}, '\\n')"
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(tag: str, name: str) -> str:
     """Raw value of an attribute of one tag; '' if it is missing."""
-    raw = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*{_ATTR_VALUE}", 1)
-    return F.regexp_replace(raw, "^[\"']|[\"']$", "")
+    return substitute(extract(tag, rf"(?is)[\s\"']{name}\s*=\s*{_ATTR_VALUE}"), "^[\"']|[\"']$")
 
 
-def tag_value(tags: Column, element: str, attr: str, key: str, value: str = "content") -> Column:
-    """``value`` attribute of the first ``element`` whose ``attr`` is ``key``; NULL if empty."""
+def tag_value(tags: str, element: str, attr: str, key: str, value: str = "content") -> str:
+    """Raw ``value`` of the first ``element`` whose ``attr`` is ``key``; '' if missing."""
     quoted = key.replace(".", r"\.")
-    found = F.regexp_extract(
+    found = extract(
         tags,
         rf"(?s)<(?i:{element})\b[^>]*?[\s\"'](?i:{attr})\s*=\s*"
         rf"(?:\"{quoted}\"|'{quoted}'|{quoted}(?=[\s/>]))[^>]*>",
         0,
     )
-    return nonempty(unescape(attribute(found, value)))
+    return attribute(found, value)
 
 
-def meta_property(tags: Column, key: str) -> Column:
+def meta_property(tags: str, key: str) -> str:
     return tag_value(tags, "meta", "property", key)
 
 
-def meta_name(tags: Column, key: str) -> Column:
+def meta_name(tags: str, key: str) -> str:
     return tag_value(tags, "meta", "name", key)
 
 
-def inner_text(fragment: Column) -> Column:
+def _without_tags(fragment: str) -> str:
+    return substitute(fragment, r"(?s)<[^>]*>", " ")
+
+
+def inner_text(fragment: str) -> str:
     """Text of a fragment: inline tags become one blank, white space is collapsed."""
-    return collapse(unescape(F.regexp_replace(fragment, r"(?s)<[^>]*>", " ")))
+    return collapse(unescape(_without_tags(fragment)))
 
 
-def title_tag(doc: Column) -> Column:
-    """Text of ``<title>`` before trimming; NULL if missing or empty."""
-    return nonempty(unescape(F.regexp_extract(doc, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+def clean(c: str) -> str:
+    """Decoded and trimmed text, NULL if nothing is left."""
+    return nonempty(strip(unescape(c)))
 
 
-def first_heading(doc: Column) -> Column:
-    return inner_text(F.regexp_extract(doc, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+def title_tag(doc: str) -> str:
+    """Raw text of ``<title>``; '' if missing."""
+    return extract(doc, r"(?is)<title\b[^>]*>(.*?)</title\s*>")
 
 
-def article_scope(doc: Column) -> Column:
-    """Inner html of the first ``<article>``, else ``<main>``, else ``<body>``, else all."""
+def first_heading(doc: str) -> str:
+    """Raw text of the first ``<h1>`` without inner tags; '' if missing."""
+    return collapse(_without_tags(extract(doc, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")))
 
-    def inner(element: str) -> Column:
-        return F.when(
-            doc.rlike(rf"(?i)<{element}\b"),
-            F.regexp_extract(doc, rf"(?is)<{element}\b[^>]*>(.*?)(?:</{element}\s*>|\z)", 1),
-        )
 
-    return F.coalesce(inner("article"), inner("main"), inner("body"), doc)
+def article_scope(doc: str) -> str:
+    """Inner html of the first ``<article>``, else ``<main>``, else ``<body>``, else all."""
+    return case(
+        *[
+            (
+                matches(doc, rf"(?i)<{name}\b"),
+                extract(doc, rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)"),
+            )
+            for name in ("article", "main", "body")
+        ],
+        otherwise=doc,
+    )
 
 
-def text_blocks(fragment: Column) -> Column:
+def text_blocks(fragment: str) -> str:
     """Non-empty text blocks of a fragment, in order."""
-    return F.filter(F.transform(F.split(fragment, _BLOCK), inner_text), lambda b: b != "")
+    return keep(each(f"split({fragment}, {lit('(?i)' + _BLOCK)})", inner_text), lambda b: f"{b} <> ''")
 
 
-def paragraph_texts(doc: Column, limit: int) -> Column:
+def paragraph_texts(doc: str, limit: int) -> str:
     """Texts of the first ``limit`` ``<p>`` elements, each up to the next block tag."""
-    pieces = F.slice(F.split(doc, r"(?i)<p(?:\s[^>]*)?>"), 2, limit)
-    return F.transform(
-        pieces, lambda piece: inner_text(F.regexp_replace(piece, rf"(?s){_BLOCK}.*$", ""))
-    )
+    pieces = f"slice(split({doc}, {lit(r'(?i)<p(?:\s[^>]*)?>')}), 2, {limit})"
+    return each(pieces, lambda piece: inner_text(substitute(piece, f"(?is){_BLOCK}.*$")))
 
 
-def best_block(blocks: Column) -> Column:
+def best_block(blocks: str) -> str:
     """Longest of the first four blocks with more than 100 characters, cut to 500.
 
     The first one wins a tie. NULL if no block is long enough.
     """
-    candidates = F.filter(
-        F.slice(blocks, 1, fixed.SUMMARY_BLOCKS), lambda b: F.length(b) > fixed.SUMMARY_MIN_CHARS
+    candidates = keep(
+        f"slice({blocks}, 1, {fixed.SUMMARY_BLOCKS})",
+        lambda b: f"length({b}) > {fixed.SUMMARY_MIN_CHARS}",
     )
-    longest = F.aggregate(
-        candidates,
-        F.lit(""),
-        lambda best, b: F.when(F.length(b) > F.length(best), b).otherwise(best),
+    longest = fold(
+        candidates, "''", lambda best, b: f"if(length({b}) > length({best}), {b}, {best})"
     )
-    return nonempty(F.substring(longest, 1, fixed.SUMMARY_CHARS))
+    return nonempty(f"left({longest}, {fixed.SUMMARY_CHARS})")
 
 
-def language(doc: Column, tags: Column) -> Column:
+def language(doc: str, tags: str) -> str:
     """``<html lang>``, else ``og:locale``."""
-    lang = attribute(F.regexp_extract(doc, r"(?is)<html\b[^>]*>", 0), "lang")
-    return F.coalesce(nonempty(unescape(lang)), meta_property(tags, "og:locale"))
+    lang = attribute(extract(doc, r"(?is)<html\b[^>]*>", 0), "lang")
+    return unescape(first_nonempty(lang, meta_property(tags, "og:locale")))
 
 
-def json_ld_scripts(html: Column) -> Column:
+def json_ld_scripts(html: str) -> str:
     """Bodies of all JSON-LD scripts outside comments."""
-    found = F.filter(F.regexp_extract_all(html, F.lit(_JSON_LD), 1), lambda s: s != "")
-    return F.when(html.contains("ld+json"), found).otherwise(F.array().cast("array<string>"))
+    found = keep(extract_all(html, _JSON_LD, 1), lambda s: f"{s} <> ''")
+    return f"if(contains({html}, 'ld+json'), {found}, CAST(array() AS array<string>))"
 
 
-def json_ld_date(scripts: Column) -> Column:
+def json_ld_date(scripts: str) -> str:
     """First non-empty ``datePublished``/``dateCreated`` over all scripts."""
     schema = "array<struct<datePublished:string,dateCreated:string>>"
-    entries = F.flatten(
-        F.transform(
-            scripts,
-            lambda s: F.coalesce(F.from_json(s, schema), F.array().cast(schema)),
-        )
-    )
-    dates = F.filter(
-        F.transform(
-            entries,
-            lambda e: F.coalesce(nonempty(e["datePublished"]), nonempty(e["dateCreated"])),
-        ),
-        lambda d: d.isNotNull(),
+    entries = each(
+        scripts, lambda s: f"coalesce(from_json({s}, '{schema}'), CAST(array() AS {schema}))"
     )
-    return F.get(dates, F.lit(0))
-
+    dates = each(f"flatten({entries})", lambda e: f"array({e}.datePublished, {e}.dateCreated)")
+    return f"get({keep(f'flatten({dates})', lambda d: f'{d} <> {lit("")}')}, 0)"
 
-def time_tag(doc: Column) -> Column:
-    """``datetime`` of the first ``<time>`` that has one; NULL if empty."""
-    found = F.regexp_extract(doc, r"(?is)<time\b[^>]*?[\s\"']datetime\s*=[^>]*>", 0)
-    return nonempty(unescape(attribute(found, "datetime")))
 
+def time_tag(doc: str) -> str:
+    """Raw ``datetime`` of the first ``<time>`` that has one; '' if missing."""
+    return attribute(extract(doc, r"(?is)<time\b[^>]*?[\s\"']datetime\s*=[^>]*>", 0), "datetime")
 
-def stripped(c: Column) -> Column:
-    """Trimmed text, NULL if nothing is left."""
-    return nonempty(strip(c))
 
-
-def anchors(doc: Column) -> Column:
+def anchors(doc: str) -> str:
     """``array<struct<href, scoped>>`` of all links with a target, in page order.
 
     ``scoped`` marks links inside an article-like element (by tag or class) or with an
@@ -183,41 +181,34 @@ def anchors(doc: Column) -> Column:
     hint = rf"(?i)class\s*=\s*[\"']?[^\"'>]*(?:{classes})"
     some = r"(?is)</?(?:a|article|main)(?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?>"
     every = r"(?is)</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    tags = F.when(doc.rlike(hint), F.regexp_extract_all(doc, F.lit(every), 0)).otherwise(
-        F.regexp_extract_all(doc, F.lit(some), 0)
-    )
-    state = "struct<name:string,depth:int,links:array<struct<href:string,scoped:boolean>>>"
-    start = F.struct(
-        F.lit("").alias("name"),
-        F.lit(0).alias("depth"),
-        F.array().cast("array<struct<href:string,scoped:boolean>>").alias("links"),
-    ).cast(state)
-
-    def step(acc: Column, tag: Column) -> Column:
-        name = F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-        opening = ~tag.startswith("</") & ~tag.endswith("/>")
-        opens_scope = opening & (name.isin(*fixed.SCOPE_TAGS) | tag.rlike(class_rx))
-        change = (
-            F.when(name != acc["name"], 0).when(tag.startswith("</"), -1).when(opening, 1).otherwise(0)
+    tags = f"if({matches(doc, hint)}, {extract_all(doc, every)}, {extract_all(doc, some)})"
+
+    def parsed(tag: str) -> str:
+        return (
+            f"named_struct('name', lower({extract(tag, r'^</?([A-Za-z][A-Za-z0-9-]*)')}),"
+            f" 'step', CASE WHEN startswith({tag}, '</') THEN -1 WHEN endswith({tag}, '/>') THEN 0 ELSE 1 END,"
+            f" 'marked', {matches(tag, class_rx)},"
+            f" 'href', if({matches(tag, r'^<[aA]\s')}, {unescape(attribute(tag, 'href'))}, NULL))"
         )
-        depth = (
-            F.when(acc["depth"] > 0, acc["depth"] + change)
-            .when(opens_scope, F.lit(1))
-            .otherwise(F.lit(0))
+
+    links = "array<struct<href:string,scoped:boolean>>"
+    start = f"named_struct('name', '', 'depth', 0, 'links', CAST(array() AS {links}))"
+
+    def step(acc: str, tag: str) -> str:
+        opens = (
+            f"({acc}.depth = 0 AND {tag}.step = 1 AND"
+            f" ({tag}.name IN ({lits(fixed.SCOPE_TAGS)}) OR {tag}.marked))"
         )
-        href = F.when((name == "a") & ~tag.startswith("</"), unescape(attribute(tag, "href")))
-        by_path = F.lit(False)
-        for path in fixed.SCOPE_PATHS:
-            by_path = by_path | href.contains(path)
-        link = F.struct(
-            href.alias("href"), ((acc["depth"] > 0) | by_path).alias("scoped")
+        scoped = f"({acc}.depth > 0 OR {matches(f'{tag}.href', '|'.join(fixed.SCOPE_PATHS))})"
+        depth = case(
+            (f"{acc}.depth > 0 AND {tag}.name = {acc}.name", f"{acc}.depth + {tag}.step"),
+            (opens, "1"),
+            otherwise=f"{acc}.depth",
         )
-        return F.struct(
-            F.when((acc["depth"] == 0) & opens_scope, name).otherwise(acc["name"]).alias("name"),
-            depth.cast("int").alias("depth"),
-            F.when(href != "", F.concat(acc["links"], F.array(link)))
-            .otherwise(acc["links"])
-            .alias("links"),
-        ).cast(state)
-
-    return F.aggregate(tags, start, step, lambda acc: acc["links"])
+        return (
+            f"named_struct('name', if({opens}, {tag}.name, {acc}.name), 'depth', {depth},"
+            f" 'links', if({tag}.href <> '', concat({acc}.links,"
+            f" array(named_struct('href', {tag}.href, 'scoped', {scoped}))), {acc}.links))"
+        )
+
+    return fold(each(tags, parsed), start, step, finish="links")

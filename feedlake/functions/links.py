@@ -1,77 +1,69 @@
-"""Links inside text and pages, as array columns."""
+"""Links inside text and pages, as arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from feedlake import fixed
 from feedlake.functions.html import anchors
-from feedlake.functions.text import let, strip, unescape
-from feedlake.functions.url import domain, is_valid_url, resolve_url, same_site
+from feedlake.functions.sql import each, extract, extract_all, keep, let, lits, matches
+from feedlake.functions.text import cut_right, strip, unescape
+from feedlake.functions.url import authority, domain, is_valid_url, resolve_url, within_site
 
 
-def _bare(text: Column, rx: str, trail: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rx), 0)
-    return F.transform(found, lambda u: F.rtrim(strip(u), F.lit(trail)))
+def _bare(text: str, rx: str, trail: str) -> str:
+    return each(extract_all(text, rx), lambda u: cut_right(strip(u), trail))
 
 
-def markdown_links(text: Column) -> Column:
+def markdown_links(text: str) -> str:
     """Distinct valid urls of a Markdown text: inline links first, then bare urls."""
-    inline = F.transform(
-        F.regexp_extract_all(text, F.lit(fixed.MARKDOWN_LINK), 2), lambda u: strip(u)
-    )
+    inline = each(extract_all(text, fixed.MARKDOWN_LINK, 2), strip)
     bare = _bare(text, fixed.MARKDOWN_BARE, fixed.MARKDOWN_TRAIL)
-    return F.array_distinct(F.filter(F.concat(inline, bare), lambda u: is_valid_url(u)))
+    return f"array_distinct({keep(f'concat({inline}, {bare})', is_valid_url)})"
 
 
-def text_links(text: Column) -> Column:
+def text_links(text: str) -> str:
     """Distinct valid urls of free text that do not point back at the board service."""
-    found = _bare(F.coalesce(text, F.lit("")), fixed.BOARD_BARE, fixed.BOARD_TRAIL)
-    return F.array_distinct(
-        F.filter(found, lambda u: is_valid_url(u) & ~domain(u).isin(*fixed.BOARD_HOSTS))
+    found = _bare(f"coalesce({text}, '')", fixed.BOARD_BARE, fixed.BOARD_TRAIL)
+    foreign = keep(
+        found, lambda u: f"({is_valid_url(u)} AND {domain(u)} NOT IN ({lits(fixed.BOARD_HOSTS)}))"
     )
+    return f"array_distinct({foreign})"
 
 
-def sitemap_locations(xml: Column) -> Column:
+def sitemap_locations(xml: str) -> str:
     """Trimmed, non-empty ``loc`` of each ``url`` entry; index entries are not followed."""
-    entries = F.regexp_extract_all(xml, F.lit(r"(?is)<url\b[^>]*>(.*?)</url\s*>"), 1)
-    locations = F.transform(
-        entries,
-        lambda e: strip(unescape(F.regexp_extract(e, r"(?is)<loc\b[^>]*>(.*?)</loc\s*>", 1))),
+    entries = extract_all(xml, r"(?is)<url\b[^>]*>(.*?)</url\s*>", 1)
+    locations = each(
+        entries, lambda e: strip(unescape(extract(e, r"(?is)<loc\b[^>]*>(.*?)</loc\s*>")))
     )
-    return F.filter(locations, lambda u: u != "")
+    return keep(locations, lambda u: f"{u} <> ''")
 
 
-def page_links(url: Column, doc: Column) -> Column:
+def page_links(url: str, doc: str) -> str:
     """Distinct absolute same-site links of a page, in page order.
 
     Links in article-like places only; if none of those is on the same site, all links.
     """
 
-    def choose(found: Column) -> Column:
-        scoped = F.filter(found, lambda one: one["scoped"])
-        return F.array_distinct(
-            F.transform(F.when(F.size(scoped) > 0, scoped).otherwise(found), lambda one: one["link"])
-        )
+    def choose(found: str) -> str:
+        scoped = keep(found, lambda one: f"{one}.scoped")
+        chosen = let(scoped, lambda s: f"if(size({s}) > 0, {s}, {found})")
+        return f"array_distinct({each(chosen, lambda one: f'{one}.link')})"
 
-    resolved = F.filter(
-        F.transform(
+    def resolved(site: str) -> str:
+        links = each(
             anchors(doc),
-            lambda a: F.struct(
-                resolve_url(url, a["href"]).alias("link"), a["scoped"].alias("scoped")
-            ),
-        ),
-        lambda one: same_site(one["link"], url),
-    )
-    return let(resolved, choose)
+            lambda a: f"named_struct('link', {resolve_url(url, f'{a}.href')}, 'scoped', {a}.scoped)",
+        )
+        return keep(links, lambda one: within_site(authority(f"{one}.link"), site))
+
+    return let(let(authority(url), resolved), choose)
 
 
-def article_links(links: Column, site: Column) -> Column:
+def article_links(links: str, site: str) -> str:
     """Drop the site itself, invalid urls, assets, taxonomy, sign-in and search links."""
     unwanted = "(?i)" + "|".join(fixed.EXCLUDED_LINKS)
-    home = F.rtrim(site, F.lit("/"))
-    return F.filter(
+    return keep(
         links,
-        lambda u: is_valid_url(u) & (F.rtrim(u, F.lit("/")) != home) & ~u.rlike(unwanted),
+        lambda u: f"({is_valid_url(u)} AND {cut_right(u, '/')} <> {cut_right(site, '/')}"
+        f" AND NOT {matches(u, unwanted)})",
     )

@@ -1,99 +1,78 @@
-"""Text clean-up as column expressions."""
+"""Text clean-up."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from feedlake import fixed
+from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, replace, substitute
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a one-element transform)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def nonempty(c: Column) -> Column:
-    """NULL for the empty string."""
-    return F.when(c != "", c)
-
-
-def strip(c: Column) -> Column:
+def strip(c: str) -> str:
     """Trim all Unicode white space at both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return substitute(c, r"(?U)^\s+|\s+$")
 
 
-def collapse(c: Column) -> Column:
+def collapse(c: str) -> str:
     """One blank for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return f"trim({substitute(c, r'(?U)\s+', ' ')})"
 
 
-def _numeric_entities(c: Column) -> Column:
+def _numeric_entities(c: str) -> str:
     """Decode ``&#8217;`` and ``&#x2019;`` forms."""
 
-    def usable(code: Column) -> Column:
-        return (code > 0) & ~code.between(0xD800, 0xDFFF)
+    def usable(code: str) -> str:
+        number = f"CAST({code} AS INT)"
+        return f"({number} > 0 AND {number} NOT BETWEEN 55296 AND 57343)"
 
-    def char(hex_code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
+    def decoded(text: str, digits: str, hexa: str) -> str:
+        char = f"decode(unhex(lpad({hexa}, 8, '0')), 'UTF-32')"
+        return f"replace({text}, concat('&#', {digits}, ';'), {char})"
 
-    decimal = F.filter(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,6});"), 1)),
-        lambda d: usable(d.cast("int")),
-    )
-    done = F.aggregate(
-        decimal,
-        c,
-        lambda acc, d: F.replace(acc, F.concat(F.lit("&#"), d, F.lit(";")), char(F.conv(d, 10, 16))),
-    )
-    hexa = F.filter(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([xX][0-9A-Fa-f]{1,5});"), 1)),
-        lambda d: usable(F.conv(F.substring(d, 2, 5), 16, 10).cast("int")),
-    )
-    return F.aggregate(
-        hexa,
-        done,
-        lambda acc, d: F.replace(
-            acc, F.concat(F.lit("&#"), d, F.lit(";")), char(F.substring(d, 2, 5))
-        ),
+    decimal = keep(f"array_distinct({extract_all(c, '&#([0-9]{1,6});', 1)})", usable)
+    step1 = fold(decimal, c, lambda acc, d: decoded(acc, d, f"conv({d}, 10, 16)"))
+    hexa = keep(
+        f"array_distinct({extract_all(c, '&#([xX][0-9A-Fa-f]{1,5});', 1)})",
+        lambda d: usable(f"conv(substring({d}, 2), 16, 10)"),
     )
+    return fold(hexa, step1, lambda acc, d: decoded(acc, d, f"substring({d}, 2)"))
 
 
-def unescape(c: Column) -> Column:
+def unescape(c: str) -> str:
     """Decode html entities; text without ``&`` is passed through untouched."""
-    named = F.when(c.contains("&#"), _numeric_entities(c)).otherwise(c)
-    for name, char in fixed.ENTITIES:
-        named = F.replace(named, F.lit(name), F.lit(char))
-    return F.when(c.contains("&"), named).otherwise(c)
 
+    def decode(t: str) -> str:
+        named = case((f"contains({t}, '&#')", _numeric_entities(t)), otherwise=t)
+        for name, char in fixed.ENTITIES:
+            named = replace(named, name, char)
+        return case((f"contains({t}, '&')", named), otherwise=t)
 
-def escape_html(c: Column) -> Column:
-    """Escape the four characters that matter in html text and attributes."""
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(char), F.lit(name))
-    return c
+    return let(c, decode)
 
 
-def escape_xml(c: Column) -> Column:
-    """Escape text for an xml element or a double-quoted attribute."""
-    return escape_html(c)
+def escape_html(c: str) -> str:
+    """Escape the four characters that matter in html and xml text and attributes."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = replace(c, char, name)
+    return c
 
 
-def xml_clean(c: Column) -> Column:
+def xml_clean(c: str) -> str:
     """Drop control characters that xml 1.0 does not allow."""
-    return F.regexp_replace(c, fixed.XML_INVALID, "")
+    return substitute(c, fixed.XML_INVALID)
 
 
-def glob_regex(pattern: Column) -> Column:
-    """Shell-style pattern to an anchored regular expression.
+def glob_regex(pattern: str) -> str:
+    """Shell-style pattern to a regular expression.
 
     ``*`` any run, ``?`` one character, ``[ab]`` and ``[!ab]`` classes; a bracket
     that is never closed stands for itself.
     """
-    rx = F.regexp_replace(pattern, r"([\\.^$|+(){}&])", r"\\$1")
-    rx = F.regexp_replace(rx, r"\[(?!!?\]?[^\]]*\])", r"\\[")
-    rx = F.replace(rx, F.lit("[!"), F.lit("[^"))
-    rx = F.replace(F.replace(rx, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    rx = substitute(pattern, r"([\\.^$|+(){}&])", r"\\$1")
+    rx = substitute(rx, r"\[(?!!?\]?[^\]]*\])", r"\\[")
+    for old, new in (("[!", "[^"), ("*", ".*"), ("?", ".")):
+        rx = replace(rx, old, new)
     return rx
+
+
+def cut_right(c: str, characters: str) -> str:
+    """Remove any of ``characters`` from the right end."""
+    return f"rtrim({lit(characters)}, {c})"

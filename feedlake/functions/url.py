@@ -1,4 +1,4 @@
-"""Url handling as column expressions.
+"""Url handling.
 
 Urls are taken apart with one regular expression (RFC 3986, appendix B) and never
 with ``parse_url``, which rejects blanks and bars that real links contain.
@@ -6,190 +6,205 @@ with ``parse_url``, which rejects blanks and bars that real links contain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from feedlake import fixed
-from feedlake.functions.text import let
+from feedlake.functions.sql import (
+    case,
+    each,
+    fold,
+    keep,
+    let,
+    lit,
+    lits,
+    matches,
+    replace,
+    substitute,
+)
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 _SEP = "\u0001"
 
 
-def url_parts(url: Column) -> Column:
+def url_parts(url: str) -> str:
     """``[scheme, authority, path, query, fragment]``, '' for what is missing."""
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    marked = F.regexp_replace(clean, _SPLIT, _SEP.join(f"${i}" for i in range(1, 6)))
-    return F.split(marked, _SEP, -1)
+    clean = substitute(url, r"^[\x00-\x20]+|[\t\r\n]")
+    marked = substitute(clean, _SPLIT, _SEP.join(f"${i}" for i in range(1, 6)))
+    return f"split({marked}, {lit(_SEP)}, -1)"
 
 
-def _authority_ok(authority: Column) -> Column:
+def _authority_ok(authority: str) -> str:
     """Square brackets come in pairs or not at all."""
-    return authority.contains("[") == authority.contains("]")
+    return f"(contains({authority}, '[') = contains({authority}, ']'))"
 
 
-def is_valid_url(url: Column) -> Column:
+def is_valid_url(url: str) -> str:
     """True for http(s) urls with a host."""
-    p = url_parts(url)
-    ok = F.lower(p[0]).isin("http", "https") & (p[1] != "") & _authority_ok(p[1])
-    return F.coalesce(ok, F.lit(False))
+    ok = let(
+        url_parts(url),
+        lambda p: f"(lower({p}[0]) IN ('http', 'https') AND {p}[1] <> '' AND {_authority_ok(f'{p}[1]')})",
+    )
+    return f"coalesce({ok}, false)"
+
 
+def authority(url: str) -> str:
+    """Authority as written, case and port included."""
+    return f"{url_parts(url)}[1]"
 
-def domain(url: Column) -> Column:
+
+def domain(url: str) -> str:
     """Lower-cased authority, port included; '' where there is none."""
-    authority = url_parts(url)[1]
-    return F.when(_authority_ok(authority), F.lower(authority)).otherwise(F.lit(""))
+    return let(authority(url), lambda a: case((_authority_ok(a), f"lower({a})"), otherwise="''"))
 
 
-def pattern_host(url: Column) -> Column:
+def pattern_host(url: str) -> str:
     """The host patterns are compared with: authority up to its first colon."""
-    return F.substring_index(domain(url), ":", 1)
+    return f"substring_index({domain(url)}, ':', 1)"
 
 
-def _decode(c: Column) -> Column:
+def _decode(c: str) -> str:
     """Form decoding that keeps malformed escapes instead of giving up."""
-    return F.try_url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"try_url_decode({substitute(c, '%(?![0-9A-Fa-f]{2})', '%25')})"
 
 
-def _encode(c: Column) -> Column:
-    return F.replace(
-        F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")
-    )
+def decode_path(c: str) -> str:
+    """Percent-decoding that leaves a plus sign alone."""
+    return _decode(replace(c, "+", "%2B"))
 
 
-def _canonical_query(query: Column) -> Column:
+def _encode(c: str) -> str:
+    return replace(replace(f"url_encode({c})", "*", "%2A"), "%7E", "~")
+
+
+def _canonical_query(query: str) -> str:
     """Drop tracking keys; gather repeats of a key at its first position."""
-    pairs = F.filter(
-        F.transform(
-            F.filter(F.split(query, "&"), lambda part: part != ""),
-            lambda part: F.struct(
-                _decode(F.substring_index(part, "=", 1)).alias("k"),
-                _decode(F.regexp_replace(part, r"(?s)^[^=]*=?", "")).alias("v"),
-            ),
+    parts = keep(f"split({query}, '&')", lambda part: f"{part} <> ''")
+    pairs = keep(
+        each(
+            parts,
+            lambda part: f"named_struct('k', {_decode(f'substring_index({part}, {lit("=")}, 1)')},"
+            f" 'v', {_decode(substitute(part, '(?s)^[^=]*=?'))})",
         ),
-        lambda pair: ~F.lower(pair["k"]).isin(*fixed.TRACKING_KEYS),
+        lambda pair: f"lower({pair}.k) NOT IN ({lits(fixed.TRACKING_KEYS)})",
     )
 
-    def gather(all_pairs: Column) -> Column:
-        keys = F.array_distinct(F.transform(all_pairs, lambda one: one["k"]))
-        regrouped = F.flatten(
-            F.transform(keys, lambda key: F.filter(all_pairs, lambda cand: cand["k"] == key))
-        )
-        return F.when(F.size(keys) == F.size(all_pairs), all_pairs).otherwise(regrouped)
+    def gather(all_pairs: str) -> str:
+        keys = f"array_distinct({each(all_pairs, lambda one: f'{one}.k')})"
+        regrouped = each(keys, lambda key: keep(all_pairs, lambda one: f"{one}.k = {key}"))
+        return case((f"size({keys}) = size({all_pairs})", all_pairs), otherwise=f"flatten({regrouped})")
 
-    return F.array_join(
-        F.transform(
-            let(pairs, gather),
-            lambda kv: F.concat(_encode(kv["k"]), F.lit("="), _encode(kv["v"])),
-        ),
-        "&",
+    texts = each(
+        let(pairs, gather),
+        lambda kv: f"concat({_encode(f'{kv}.k')}, '=', {_encode(f'{kv}.v')})",
     )
+    return f"array_join({texts}, '&')"
 
 
-def canonical_url(url: Column) -> Column:
-    """One spelling per page: see the module tests for the full list of rules."""
-    p = url_parts(url)
-    scheme, authority = F.lower(p[0]), F.lower(p[1])
-    authority = (
-        F.when(scheme == "http", F.regexp_replace(authority, r":80$", ""))
-        .when(scheme == "https", F.regexp_replace(authority, r":443$", ""))
-        .otherwise(authority)
-    )
-    path = F.regexp_replace(p[2], r";[^/]*$", "")
-    path = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-    query = F.when(p[3] == "", F.lit("")).otherwise(_canonical_query(p[3]))
-    host_part = (
-        F.when(
-            authority != "",
-            F.concat(
-                F.lit("//"),
-                authority,
-                F.when((path == "") | path.startswith("/"), path).otherwise(
-                    F.concat(F.lit("/"), path)
-                ),
-            ),
-        )
-        .when(path.startswith("//"), F.concat(F.lit("//"), path))
-        .when(
-            scheme.isin(*fixed.NETLOC_SCHEMES) & ((path == "") | path.startswith("/")),
-            F.concat(F.lit("//"), path),
-        )
-        .otherwise(path)
+def _joined(scheme: str, authority: str, path: str, query: str) -> str:
+    """Write a url from its parts; "//" only where an authority or the scheme calls for it."""
+    rooted = f"({path} = '' OR startswith({path}, '/'))"
+    slashes = (
+        f"{authority} <> '' OR startswith({path}, '//')"
+        f" OR ({rooted} AND {scheme} IN ({lits(fixed.NETLOC_SCHEMES)}))"
     )
-    built = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        host_part,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+    return (
+        f"concat(if({scheme} = '', '', concat({scheme}, ':')), if({slashes}, '//', ''), {authority},"
+        f" if({authority} <> '' AND NOT {rooted}, '/', ''), {path},"
+        f" if({query} = '', '', concat('?', {query})))"
     )
-    return F.when(_authority_ok(p[1]), built).otherwise(url)
 
 
-def url_id(canonical: Column) -> Column:
+def canonical_url(url: str) -> str:
+    """One spelling per page: see the module tests for the full list of rules."""
+
+    def rebuilt(p: str) -> str:
+        path = substitute(f"{p}[2]", r";[^/]*$")
+        cleaned = (
+            f"array(lower({p}[0]), "
+            + case(
+                (f"lower({p}[0]) = 'http'", substitute(f"lower({p}[1])", r":80$")),
+                (f"lower({p}[0]) = 'https'", substitute(f"lower({p}[1])", r":443$")),
+                otherwise=f"lower({p}[1])",
+            )
+            + f", {let(path, lambda q: f'if({q} = {lit("/")}, {q}, rtrim({lit("/")}, {q}))')}"
+            + f", if({p}[3] = '', '', {_canonical_query(f'{p}[3]')}))"
+        )
+        built = let(cleaned, lambda c: _joined(f"{c}[0]", f"{c}[1]", f"{c}[2]", f"{c}[3]"))
+        return f"if({_authority_ok(f'{p}[1]')}, {built}, {url})"
+
+    return let(url_parts(url), rebuilt)
+
+
+def url_id(canonical: str) -> str:
     """Stable 64-bit id, as 16 hex digits, of a canonical url."""
-    return F.substring(F.sha2(canonical, 256), 1, 16)
+    return f"substring(sha2({canonical}, 256), 1, 16)"
+
+
+def page_id_of(url: str) -> str:
+    """Id of a url as found: canonical form, then hash."""
+    return url_id(canonical_url(url))
 
 
-def _merge_path(base_path: Column, path: Column) -> Column:
+def _merge_path(base_path: str, path: str) -> str:
     """Resolve ``path`` against ``base_path``: dot segments go, and so do empty
     segments inside a relative path."""
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.when(path.startswith("/"), path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
-    )
+    folder = let(substitute(base_path, r"[^/]*$"), lambda f: f"if({f} = '', '/', {f})")
+    joined = f"if(startswith({path}, '/'), {path}, concat({folder}, {path}))"
 
-    def walk(segments: Column) -> Column:
-        last = F.element_at(segments, -1)
-        inner = F.when(path.startswith("/"), segments).otherwise(
-            F.filter(
-                segments, lambda seg, i: (seg != "") | (i == F.size(segments) - 1)
-            )
+    def walk(segments: str) -> str:
+        inner = (
+            f"if(startswith({path}, '/'), {segments},"
+            f" filter({segments}, (seg, i) -> seg <> '' OR i = size({segments}) - 1))"
         )
-        kept = F.aggregate(
+        kept = fold(
             inner,
-            F.array().cast("array<string>"),
-            lambda acc, seg: F.when(
-                seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-            )
-            .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg))),
+            "CAST(array() AS array<string>)",
+            lambda acc, seg: case(
+                (f"{seg} = '..'", f"slice({acc}, 1, greatest(size({acc}) - 1, 0))"),
+                (f"{seg} = '.'", acc),
+                otherwise=f"concat({acc}, array({seg}))",
+            ),
+        )
+        return let(
+            kept,
+            lambda k: f"concat('/', array_join({k}, '/'),"
+            f" if(element_at({segments}, -1) IN ('.', '..') AND size({k}) > 0, '/', ''))",
         )
-        tail = F.when(
-            last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")
-        ).otherwise(F.lit(""))
-        return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
-
-    plain = ~joined.rlike(r"//|/\.{1,2}(/|$)")
-    return F.when(plain, joined).otherwise(
-        let(F.split(F.substring(joined, 2, 1 << 30), "/", -1), walk)
+
+    return let(
+        joined,
+        lambda whole: case(
+            (matches(whole, r"//|/\.{1,2}(/|$)"), let(f"split(substring({whole}, 2), '/', -1)", walk)),
+            otherwise=whole,
+        ),
     )
 
 
-def resolve_url(base: Column, href: Column) -> Column:
+def resolve_url(base: str, href: str) -> str:
     """Absolute form of ``href`` as found on the page ``base``."""
-    b, h = url_parts(base), url_parts(href)
-    scheme = F.when(h[0] == "", F.lower(b[0])).otherwise(F.lower(h[0]))
-
-    def unsplit(authority: Column, path: Column, query: Column) -> Column:
-        return F.concat(
-            scheme,
-            F.lit("://"),
-            authority,
-            path,
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-            F.when(h[4] != "", F.concat(F.lit("#"), h[4])).otherwise(F.lit("")),
-        )
+    return let(url_parts(base), lambda b: let(url_parts(href), lambda h: _resolved(base, href, b, h)))
 
-    foreign = (h[0] != "") & (F.lower(h[0]) != F.lower(b[0]))
-    return (
-        F.when(href == "", base)
-        .when(foreign, href)
-        .when(h[1] != "", unsplit(h[1], h[2], h[3]))
-        .when(h[2] == "", unsplit(b[1], b[2], F.when(h[3] == "", b[3]).otherwise(h[3])))
-        .otherwise(unsplit(b[1], _merge_path(b[2], h[2]), h[3]))
+
+def _resolved(base: str, href: str, b: str, h: str) -> str:
+    own_authority, own_path = f"{h}[1] <> ''", f"{h}[2] <> ''"
+    query = f"if({own_authority} OR {own_path} OR {h}[3] <> '', {h}[3], {b}[3])"
+    path = case(
+        (own_authority, f"{h}[2]"),
+        (own_path, _merge_path(f"{b}[2]", f"{h}[2]")),
+        otherwise=f"{b}[2]",
+    )
+    return case(
+        (f"{href} = ''", base),
+        (f"{h}[0] <> '' AND lower({h}[0]) <> lower({b}[0])", href),
+        otherwise=(
+            f"concat(lower({b}[0]), '://', if({own_authority}, {h}[1], {b}[1]), {path}, "
+            + let(query, lambda q: f"if({q} = '', '', concat('?', {q}))")
+            + f", if({h}[4] = '', '', concat('#', {h}[4])))"
+        ),
     )
 
 
-def same_site(link: Column, base: Column) -> Column:
-    """The link's authority is the base's or a sub-domain of it (case matters)."""
-    authority, site = url_parts(link)[1], url_parts(base)[1]
-    return (authority == site) | F.endswith(authority, F.concat(F.lit("."), site))
+def within_site(link_authority: str, site_authority: str) -> str:
+    """The link's authority is the site's or a sub-domain of it (case matters)."""
+    return (
+        f"({link_authority} = {site_authority}"
+        f" OR endswith({link_authority}, concat('.', {site_authority})))"
+    )

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake import fixed
 from feedlake.functions.dates import parse_date
-from feedlake.functions.text import escape_html, nonempty
+from feedlake.functions.sql import first_nonempty, let, lit, matches, nonempty
+from feedlake.functions.text import escape_html
 
 
-def _wall_clock(date_text: Column) -> Column:
+def _wall_clock(date_text: str) -> str:
     """ISO text as written, its offset dropped and not applied; NULL if unreadable."""
-    iso = date_text.rlike(r"^\d{4}-\d{2}-\d{2}")
-    return F.when(iso, parse_date(date_text)["local"])
+    iso = r"^\d{4}-\d{2}-\d{2}"
+    return let(date_text, lambda d: f"if({matches(d, iso)}, {parse_date(d)}.local, NULL)")
 
 
 def feed_catalogue(feeds: DataFrame, items: DataFrame) -> DataFrame:
@@ -22,23 +23,23 @@ def feed_catalogue(feeds: DataFrame, items: DataFrame) -> DataFrame:
     ``items`` needs ``feed``, ``date_iso`` and ``modified_iso`` only. Counting and
     maximum combine on the map side; feeds without items are kept.
     """
-    dated = items.select(
-        "feed",
-        _wall_clock(
-            F.coalesce(nonempty(F.col("date_iso")), nonempty(F.col("modified_iso")))
-        ).alias("_at"),
+    dated = items.selectExpr(
+        "feed", f"{_wall_clock(first_nonempty('date_iso', 'modified_iso'))} AS _at"
     )
     totals = dated.groupBy("feed").agg(
         F.count(F.lit(1)).alias("item_count"), F.max("_at").alias("_last")
     )
-    path = F.coalesce(nonempty(F.col("output_dir")), F.col("feed"))
-    return feeds.join(totals, "feed", "left").select(
-        "feed",
-        path.alias("path"),
-        F.coalesce("title", path).alias("title"),
-        F.coalesce(nonempty(F.col("description")), F.lit(fixed.NO_DESCRIPTION)).alias("description"),
-        F.coalesce("item_count", F.lit(0)).alias("item_count"),
-        F.coalesce(F.date_format("_last", "yyyy-MM-dd"), F.lit(fixed.NO_DATE)).alias("last_updated"),
+    return (
+        feeds.join(totals, "feed", "left")
+        .selectExpr("*", f"{first_nonempty('output_dir', 'feed')} AS path")
+        .selectExpr(
+            "feed",
+            "path",
+            "coalesce(title, path) AS title",
+            f"coalesce({nonempty('description')}, {lit(fixed.NO_DESCRIPTION)}) AS description",
+            "coalesce(item_count, 0) AS item_count",
+            f"coalesce(date_format(_last, 'yyyy-MM-dd'), {lit(fixed.NO_DATE)}) AS last_updated",
+        )
     )
 
 
@@ -47,41 +48,21 @@ def catalogue_listing(catalogue: DataFrame) -> DataFrame:
 
     The order is a range-partitioned sort, so the listing may have any length.
     """
-    title, path = escape_html(F.col("title")), F.col("path")
-    json_url = F.concat(path, F.lit("/feed.json"))
-    rss_url = F.concat(path, F.lit("/feed.xml"))
+    title, text = escape_html("title"), escape_html("description")
+    entry = (
+        f"""concat('<li class="feed-item"><h2><a href="', json_url, '">', {title}, '</a></h2><p>', {text},"""
+        """ '</p><p>', item_count, ' items · Last updated: ', last_updated, '</p><a href="', json_url,"""
+        """ '">JSON Feed</a> <a href="', rss_url, '">RSS</a></li>')"""
+    )
+    discovery = (
+        f"""concat('<link rel="alternate" type="application/rss+xml" title="', {title},"""
+        """ '" href="', rss_url, '">')"""
+    )
     return (
-        catalogue.select(
-            "path",
-            json_url.alias("json_url"),
-            rss_url.alias("rss_url"),
-            F.concat(
-                F.lit('<li class="feed-item"><h2><a href="'),
-                json_url,
-                F.lit('">'),
-                title,
-                F.lit("</a></h2><p>"),
-                F.when(F.col("description") == fixed.NO_DESCRIPTION, F.col("description")).otherwise(
-                    escape_html(F.col("description"))
-                ),
-                F.lit("</p><p>"),
-                F.col("item_count").cast("string"),
-                F.lit(" items · Last updated: "),
-                F.col("last_updated"),
-                F.lit('</p><a href="'),
-                json_url,
-                F.lit('">JSON Feed</a> <a href="'),
-                rss_url,
-                F.lit('">RSS</a></li>'),
-            ).alias("entry"),
-            F.concat(
-                F.lit('<link rel="alternate" type="application/rss+xml" title="'),
-                title,
-                F.lit('" href="'),
-                rss_url,
-                F.lit('">'),
-            ).alias("autodiscovery"),
+        catalogue.selectExpr(
+            "*", "concat(path, '/feed.json') AS json_url", "concat(path, '/feed.xml') AS rss_url"
         )
+        .selectExpr("path", "json_url", "rss_url", f"{entry} AS entry", f"{discovery} AS autodiscovery")
         .orderBy("path")
     )
 
@@ -98,13 +79,11 @@ def catalogue_lines(
     row, so it can be written with a range-partitioned text sink.
     """
     spark = listing.sparkSession
-    head = escape_html(F.lit(title or fixed.SITE_TITLE))
-    about = escape_html(F.lit(description or fixed.SITE_DESCRIPTION))
+    head = escape_html(lit(title or fixed.SITE_TITLE))
+    about = escape_html(lit(description or fixed.SITE_DESCRIPTION))
 
-    def single(section: int, line: Column) -> DataFrame:
-        return spark.range(1).select(
-            F.lit(section).alias("section"), F.lit("").alias("path"), line.alias("line")
-        )
+    def single(section: int, line: str) -> DataFrame:
+        return spark.range(1).selectExpr(f"{section} AS section", "'' AS path", f"{line} AS line")
 
     def rows(section: int, column: str) -> DataFrame:
         return listing.select(F.lit(section).alias("section"), "path", F.col(column).alias("line"))
@@ -113,23 +92,14 @@ def catalogue_lines(
     return (
         single(
             0,
-            F.concat(
-                F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>'),
-                head,
-                F.lit("</title>"),
-            ),
+            f"""concat('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>', {head}, '</title>')""",
         )
         .unionByName(rows(1, "autodiscovery"))
         .unionByName(
             single(
                 2,
-                F.concat(
-                    F.lit("</head><body><h1>"),
-                    head,
-                    F.lit('</h1><p class="subtitle">'),
-                    about,
-                    F.lit('</p><ul class="feed-list">'),
-                ),
+                f"""concat('</head><body><h1>', {head}, '</h1><p class="subtitle">', {about},"""
+                """ '</p><ul class="feed-list">')""",
             )
         )
         .unionByName(rows(3, "entry"))
@@ -139,7 +109,7 @@ def catalogue_lines(
             )
         )
         .unionByName(
-            single(4, F.lit(f"</ul><footer>Generated on {as_of}</footer></body></html>"))
+            single(4, lit(f"</ul><footer>Generated on {as_of}</footer></body></html>"))
         )
         .orderBy("section", "path")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedlake import fixed
 from feedlake.functions import dates
-from feedlake.functions.text import escape_xml, nonempty, xml_clean
+from feedlake.functions.sql import each, extract, first_nonempty, keep, lit, nonempty
+from feedlake.functions.text import escape_html, xml_clean
 from feedlake.operators.ranking import rank_within
 from feedlake.schema import ITEM_COLUMNS
 
@@ -43,8 +44,8 @@ def merge_rebuild(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def dry_run(stored: DataFrame, new: DataFrame) -> DataFrame:
     """What a merge would add: ``feed``, ``id``, ``label``."""
-    return new_items_only(stored, new).select(
-        "feed", "id", F.coalesce(nonempty(F.col("title")), F.col("url")).alias("label")
+    return new_items_only(stored, new).selectExpr(
+        "feed", "id", f"{first_nonempty('title', 'url')} AS label"
     )
 
 
@@ -63,43 +64,41 @@ def rebuild_items(new: DataFrame, path: str) -> None:
 # --- JSON Feed ---------------------------------------------------------------------
 
 
-def _nonempty_array(c: Column) -> Column:
-    return F.when(F.size(c) > 0, c)
+_TEXT_FIELDS = ("title", "summary", "content_html")
 
 
-def item_json(extra: list[Column] | None = None) -> Column:
+def item_json() -> str:
     """One JSON Feed item; empty fields are left out, key order is fixed."""
-    return F.to_json(
-        F.struct(
-            "id",
-            "url",
-            nonempty(F.col("title")).alias("title"),
-            nonempty(F.col("summary")).alias("summary"),
-            nonempty(F.col("content_html")).alias("content_html"),
-            F.col("date_iso").alias("date_published"),
-            F.col("modified_iso").alias("date_modified"),
-            _nonempty_array(F.col("authors")).alias("authors"),
-            nonempty(F.col("language")).alias("language"),
-            _nonempty_array(F.col("tags")).alias("tags"),
-            _nonempty_array(F.col("attachments")).alias("attachments"),
-        )
-    )
+    texts = [f"{nonempty(name)} AS {name}" for name in _TEXT_FIELDS]
+    lists = {name: f"if(size({name}) > 0, {name}, NULL) AS {name}" for name in ("authors", "tags", "attachments")}
+    fields = [
+        "id",
+        "url",
+        *texts,
+        "date_iso AS date_published",
+        "modified_iso AS date_modified",
+        lists["authors"],
+        f"{nonempty('language')} AS language",
+        lists["tags"],
+        lists["attachments"],
+    ]
+    return f"to_json(struct({', '.join(fields)}))"
 
 
 def json_items(items: DataFrame) -> DataFrame:
-    return items.select("feed", "id", "ord", item_json().alias("item"))
+    return items.selectExpr("feed", "id", "ord", f"{item_json()} AS item")
 
 
-def _paged(items: DataFrame, order: list[Column], text: Column, page_items: int) -> DataFrame:
+def _paged(items: DataFrame, order: list[Column], text: str, page_items: int) -> DataFrame:
     """Texts of each feed gathered per document page, in order.
 
     ``order`` must be total within a feed. Groups hold at most ``page_items`` rows.
     """
-    rows = items.select("feed", *ITEM_COLUMNS, "ord")
     ranked = rank_within(
-        rows.select("feed", "id", "ord", "date_published"), "feed", order, ["id"]
+        items.select("feed", "id", "ord", "date_published"), "feed", order, ["id"]
     )
-    numbered = rows.select("feed", "id", text.alias("_text")).join(ranked, ["feed", "id"])
+    texts = items.select("feed", *ITEM_COLUMNS).selectExpr("feed", "id", f"{text} AS _text")
+    numbered = texts.join(ranked, ["feed", "id"])
     page = F.floor((F.col("rank") - 1) / page_items) + 1
     return (
         numbered.withColumn("page", page.cast("int"))
@@ -125,29 +124,23 @@ def _document_pages(feeds: DataFrame, paged: DataFrame) -> DataFrame:
 def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     """JSON Feed 1.1 documents: ``feed``, ``page``, ``document``; stored order."""
     paged = _paged(items, [F.col("ord"), F.col("id")], item_json(), page_items)
-    header = F.to_json(
-        F.struct(
-            F.lit(fixed.JSON_FEED_VERSION).alias("version"),
-            F.coalesce("title", F.lit(fixed.UNTITLED_FEED)).alias("title"),
-            nonempty(F.col("home_page_url")).alias("home_page_url"),
-            nonempty(F.col("feed_url")).alias("feed_url"),
-            F.when(
-                F.col("page") < F.col("pages"),
-                F.concat(F.lit("feed-"), (F.col("page") + 1).cast("string"), F.lit(".json")),
-            ).alias("next_url"),
-            nonempty(F.col("description")).alias("description"),
-            nonempty(F.col("language")).alias("language"),
-        )
+    more = "pages > 1"
+    header = ", ".join(
+        [
+            f"{lit(fixed.JSON_FEED_VERSION)} AS version",
+            f"coalesce(title, {lit(fixed.UNTITLED_FEED)}) AS title",
+            f"{nonempty('home_page_url')} AS home_page_url",
+            f"{nonempty('feed_url')} AS feed_url",
+            "if(page < pages, concat('feed-', page + 1, '.json'), NULL) AS next_url",
+            f"if({more}, page, NULL) AS _page",
+            f"{nonempty('description')} AS description",
+            f"{nonempty('language')} AS language",
+        ]
     )
-    return _document_pages(feeds, paged).select(
+    return _document_pages(feeds, paged).selectExpr(
         "feed",
         "page",
-        F.concat(
-            F.rtrim(header, F.lit("}")),
-            F.lit(',"items":['),
-            F.array_join("texts", ","),
-            F.lit("]}"),
-        ).alias("document"),
+        f"""concat(rtrim('}}', to_json(struct({header}))), ',"items":[', array_join(texts, ','), ']}}') AS document""",
     )
 
 
@@ -172,17 +165,13 @@ def rss_ranked(items: DataFrame) -> DataFrame:
     )
 
 
-def rss_item_columns() -> dict[str, Column]:
+def rss_texts() -> dict[str, str]:
     """The texts of one rss item before escaping."""
+    offset = nonempty(extract("date_iso", r"([+-]\d{2}:\d{2})$"))
     return {
-        "title": F.coalesce(nonempty(xml_clean(F.col("title"))), F.col("url")),
-        "description": xml_clean(
-            F.coalesce(nonempty(F.col("summary")), nonempty(F.col("content_html")))
-        ),
-        "pub_date": F.when(
-            F.col("date_published").isNotNull(),
-            dates.rss_date(F.col("date_local"), F.regexp_extract("date_iso", r"([+-]\d{2}:\d{2})$", 1)),
-        ),
+        "title": first_nonempty(xml_clean("title"), "url"),
+        "description": xml_clean(first_nonempty("summary", "content_html")),
+        "pub_date": f"if(date_published IS NULL, NULL, {dates.rss_date('date_local', offset)})",
     }
 
 
@@ -200,87 +189,59 @@ def enclosures(items: DataFrame) -> DataFrame:
 
 def clean_for_xml(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop characters xml does not allow from the named text columns."""
-    return df.withColumns({c: xml_clean(F.col(c)) for c in columns})
+    return df.selectExpr(*[f"{xml_clean(c)} AS {c}" if c in columns else c for c in df.columns])
 
 
-def _element(name: str, text: Column, attributes: str = "") -> Column:
-    opened = F.lit(f"<{name}{attributes}>")
-    return F.when(text.isNotNull(), F.concat(opened, escape_xml(text), F.lit(f"</{name}>")))
+def _element(name: str, text: str, attributes: str = "") -> str:
+    """An element, or '' where the text is NULL."""
+    opened, closed = lit(f"<{name}{attributes}>"), lit(f"</{name}>")
+    return f"coalesce(concat({opened}, {escape_html(text)}, {closed}), '')"
 
 
-def _elements(values: Column, body) -> Column:
-    return F.array_join(F.transform(values, body), "")
-
-
-def rss_item() -> Column:
+def rss_item() -> str:
     """One ``<item>`` element."""
-    texts = rss_item_columns()
-    named = F.filter(F.col("authors"), lambda a: nonempty(a["name"]).isNotNull())
-    return F.concat(
-        F.lit("<item>"),
-        _element("title", texts["title"]),
-        _element("link", F.col("url")),
-        F.coalesce(_element("description", texts["description"]), F.lit("")),
-        _elements(named, lambda a: _element("author", xml_clean(a["name"]))),
-        _elements(F.col("tags"), lambda t: _element("category", xml_clean(t))),
-        _elements(
-            F.col("attachments"),
-            lambda a: F.concat(
-                F.lit('<enclosure url="'),
-                escape_xml(a["url"]),
-                F.lit('" length="'),
-                F.coalesce(a["size_in_bytes"], F.lit(0)).cast("string"),
-                F.lit('" type="'),
-                escape_xml(a["mime_type"]),
-                F.lit('"/>'),
-            ),
-        ),
-        _element("guid", F.col("id"), ' isPermaLink="false"'),
-        F.coalesce(_element("pubDate", texts["pub_date"]), F.lit("")),
-        F.lit("</item>"),
+    texts = rss_texts()
+    authors = keep("authors", lambda a: f"{a}.name <> ''")
+    enclosure = each(
+        "attachments",
+        lambda a: f"""concat('<enclosure url="', {escape_html(f'{a}.url')}, '" length="',"""
+        f""" coalesce({a}.size_in_bytes, 0), '" type="', {escape_html(f'{a}.mime_type')}, '"/>')""",
     )
+    parts = [
+        "'<item>'",
+        _element("title", texts["title"]),
+        _element("link", "url"),
+        _element("description", texts["description"]),
+        f"array_join({each(authors, lambda a: _element('author', xml_clean(f'{a}.name')))}, '')",
+        f"array_join({each('tags', lambda t: _element('category', xml_clean(t)))}, '')",
+        f"array_join({enclosure}, '')",
+        _element("guid", "id", ' isPermaLink="false"'),
+        _element("pubDate", texts["pub_date"]),
+        "'</item>'",
+    ]
+    return f"concat({', '.join(parts)})"
 
 
 def rss_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     """RSS 2.0 documents: ``feed``, ``page``, ``document``; newest first."""
     paged = _paged(items, newest_first(), rss_item(), page_items)
-    title = xml_clean(F.coalesce(F.col("title"), F.lit(fixed.UNTITLED_FEED)))
-    blank = F.lit("")
-    self_link = F.when(
-        nonempty(F.col("feed_url")).isNotNull(),
-        F.concat(
-            F.lit('<atom:link href="'),
-            escape_xml(F.col("feed_url")),
-            F.lit('" rel="self"/>'),
-        ),
-    )
-    next_link = F.when(
-        F.col("page") < F.col("pages"),
-        F.concat(
-            F.lit('<atom:link href="feed-'),
-            (F.col("page") + 1).cast("string"),
-            F.lit('.xml" rel="next"/>'),
+    title = xml_clean(f"coalesce(title, {lit(fixed.UNTITLED_FEED)})")
+    self_link = f"""concat('<atom:link href="', {escape_html(nonempty('feed_url'))}, '" rel="self"/>')"""
+    next_link = """if(page < pages, concat('<atom:link href="feed-', page + 1, '.xml" rel="next"/>'), '')"""
+    parts = [
+        lit(
+            '<?xml version="1.0" encoding="UTF-8"?>'
+            '<rss xmlns:atom="http://www.w3.org/2005/Atom" version="2.0"><channel>'
         ),
-    )
-    return _document_pages(feeds, paged).select(
-        "feed",
-        "page",
-        F.concat(
-            F.lit(
-                '<?xml version="1.0" encoding="UTF-8"?>'
-                '<rss xmlns:atom="http://www.w3.org/2005/Atom" version="2.0"><channel>'
-            ),
-            _element("title", title),
-            _element(
-                "link", F.coalesce(nonempty(F.col("home_page_url")), F.lit(fixed.PLACEHOLDER_LINK))
-            ),
-            _element(
-                "description", F.coalesce(nonempty(xml_clean(F.col("description"))), title)
-            ),
-            F.coalesce(self_link, blank),
-            F.coalesce(next_link, blank),
-            F.coalesce(_element("language", nonempty(F.col("language"))), blank),
-            F.array_join("texts", ""),
-            F.lit("</channel></rss>"),
-        ).alias("document"),
+        _element("title", title),
+        _element("link", first_nonempty("home_page_url", lit(fixed.PLACEHOLDER_LINK))),
+        _element("description", first_nonempty(xml_clean("description"), title)),
+        f"coalesce({self_link}, '')",
+        next_link,
+        _element("language", nonempty("language")),
+        "array_join(texts, '')",
+        "'</channel></rss>'",
+    ]
+    return _document_pages(feeds, paged).selectExpr(
+        "feed", "page", f"concat({', '.join(parts)}) AS document"
     )

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.sql import case, let, lit, matches
 from feedlake.functions.text import glob_regex, strip
 from feedlake.functions.url import canonical_url, domain, is_valid_url, pattern_host, url_id
 
@@ -29,20 +30,19 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 def with_ids(frontier: DataFrame) -> DataFrame:
     """Add ``canonical_url``, ``id`` and ``valid``."""
-    return frontier.withColumn("canonical_url", canonical_url(F.col("url"))).select(
-        "*", url_id(F.col("canonical_url")).alias("id"), is_valid_url(F.col("url")).alias("valid")
-    )
+    return frontier.selectExpr(
+        "*", f"{canonical_url('url')} AS canonical_url", f"{is_valid_url('url')} AS valid"
+    ).selectExpr("*", f"{url_id('canonical_url')} AS id")
 
 
 def valid_only(frontier: DataFrame) -> DataFrame:
-    return frontier.filter(is_valid_url(F.col("url")))
+    return frontier.filter(is_valid_url("url"))
 
 
 def links_per_domain(frontier: DataFrame) -> DataFrame:
     """Number of links per feed and domain."""
-    return frontier.groupBy("feed", domain(F.col("url")).alias("domain")).agg(
-        F.count(F.lit(1)).alias("links")
-    )
+    domains = frontier.selectExpr("feed", f"{domain('url')} AS domain")
+    return domains.groupBy("feed", "domain").agg(F.count(F.lit(1)).alias("links"))
 
 
 # --- patterns --------------------------------------------------------------------
@@ -55,8 +55,8 @@ def effective_patterns(feeds: DataFrame, patterns: DataFrame) -> DataFrame:
         F.explode(F.array(F.col("feed"), F.lit(None).cast("string"))).alias("scope"),
     )
     p = patterns.select(F.col("feed").alias("scope_of"), "kind", "pattern")
-    return scopes.join(p, F.col("scope").eqNullSafe(F.col("scope_of"))).select(
-        "feed", "kind", F.lower(strip(F.col("pattern"))).alias("pattern")
+    return scopes.join(p, F.col("scope").eqNullSafe(F.col("scope_of"))).selectExpr(
+        "feed", "kind", f"lower({strip('pattern')}) AS pattern"
     )
 
 
@@ -65,48 +65,33 @@ def _compiled(effective: DataFrame) -> DataFrame:
 
     A pattern starting with ``*.`` is a domain suffix and nothing else.
     """
-    pattern = F.col("pattern")
-    key = F.when(pattern.startswith("*."), F.concat(F.lit("d:"), F.substring(pattern, 3, 1 << 30))).when(
-        ~pattern.rlike(r"[*?\[]"), F.concat(F.lit("="), pattern)
+    key = case(
+        ("startswith(pattern, '*.')", "concat('d:', substring(pattern, 3))"),
+        (f"NOT {matches('pattern', r'[*?\[]')}", "concat('=', pattern)"),
     )
-    return effective.select(
-        "feed",
-        "kind",
-        key.alias("key"),
-        F.when(key.isNull(), glob_regex(pattern)).alias("glob"),
+    return effective.selectExpr("*", f"{key} AS key").selectExpr(
+        "feed", "kind", "key", f"if(key IS NULL, {glob_regex('pattern')}, NULL) AS glob"
     )
 
 
-def _keys(url: Column) -> Column:
+def _keys(host: str, url: str) -> str:
     """All exact keys a url answers to: its host's suffixes, its host, itself."""
-    host = pattern_host(url)
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        labels,
-        lambda label, i: F.concat(
-            F.lit("d:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
-        ),
-    )
-    return F.array_distinct(
-        F.concat(
-            suffixes,
-            F.array(F.concat(F.lit("="), host), F.concat(F.lit("="), F.lower(url))),
-        )
+    suffixes = let(
+        f"split({host}, {lit(chr(92) + '.')}, -1)",
+        lambda labels: f"transform({labels}, (label, i) ->"
+        f" concat('d:', array_join(slice({labels}, i + 1, size({labels})), '.')))",
     )
+    return f"array_distinct(concat({suffixes}, array(concat('=', {host}), concat('=', lower({url})))))"
 
 
-def _glob_hit(url: Column, regex: Column) -> Column:
-    return F.coalesce(
-        F.rlike(pattern_host(url), regex) | F.rlike(F.lower(url), regex), F.lit(False)
-    )
+def _glob_hit(regex: str) -> str:
+    """NULL regex (no globs) never hits."""
+    return f"coalesce(_host RLIKE {regex} OR lower(url) RLIKE {regex}, false)"
 
 
-def _one_regex(globs: Column) -> Column:
+def _one_regex(globs: str) -> str:
     """All globs of a feed as one anchored alternation; NULL if there are none."""
-    return F.when(
-        F.size(globs) > 0,
-        F.concat(F.lit("(?s)^(?:"), F.array_join(F.array_sort(globs), "|"), F.lit(r")\z")),
-    )
+    return f"if(size({globs}) > 0, concat('(?s)^(?:', array_join(array_sort({globs}), '|'), {lit(')' + chr(92) + 'z')}), NULL)"
 
 
 def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -131,66 +116,60 @@ def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) ->
     return _flag_joined(frontier, compiled, small=total <= BROADCAST_ROWS)
 
 
-def _rules(compiled: DataFrame, with_keys: bool) -> DataFrame:
-    """One row per feed with its compiled allow and block lists."""
-
-    def side(kind: str) -> list[Column]:
-        mine = F.col("kind") == kind
-        columns = [
-            F.count(F.when(mine, 1)).alias(f"{kind}_n"),
-            _one_regex(F.collect_set(F.when(mine, F.col("glob")))).alias(f"{kind}_rx"),
+def _rules(compiled: DataFrame) -> DataFrame:
+    """One row per feed: ``{kind}_n`` patterns, ``{kind}_keys`` and one ``{kind}_rx``."""
+    gathered = compiled.groupBy("feed").agg(
+        *[
+            F.expr(f"{how} FILTER (WHERE kind = '{kind}') AS {kind}_{name}")
+            for kind in ("allow", "block")
+            for how, name in (("count(*)", "n"), ("collect_set(key)", "keys"), ("collect_set(glob)", "globs"))
         ]
-        if with_keys:
-            columns.append(F.collect_set(F.when(mine, F.col("key"))).alias(f"{kind}_keys"))
-        return columns
-
-    return compiled.groupBy("feed").agg(*side("allow"), *side("block"))
+    )
+    return gathered.selectExpr(
+        "*", *[f"{_one_regex(f'{kind}_globs')} AS {kind}_rx" for kind in ("allow", "block")]
+    )
 
 
-def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataFrame:
-    rules = _rules(compiled, with_keys=True)
-    joined = frontier.join(F.broadcast(rules) if small else rules, "feed", "left").withColumn(
-        "_keys", _keys(F.col("url"))
+def _with_flags(joined: DataFrame, columns: list[str], allow_hit: str, block_hit: str) -> DataFrame:
+    return joined.selectExpr(
+        *columns,
+        f"(coalesce(allow_n, 0) = 0 OR coalesce({allow_hit}, false) OR {_glob_hit('allow_rx')}) AS allowed",
+        f"(coalesce({block_hit}, false) OR {_glob_hit('block_rx')}) AS blocked",
     )
 
-    def hit(kind: str) -> Column:
-        return F.coalesce(F.arrays_overlap("_keys", f"{kind}_keys"), F.lit(False)) | _glob_hit(
-            F.col("url"), F.col(f"{kind}_rx")
-        )
 
-    return joined.select(
-        *frontier.columns,
-        ((F.coalesce("allow_n", F.lit(0)) == 0) | hit("allow")).alias("allowed"),
-        hit("block").alias("blocked"),
+def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataFrame:
+    rules = _rules(compiled)
+    hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host").selectExpr(
+        "*", f"{_keys('_host', 'url')} AS _keys"
+    )
+    joined = hosts.join(F.broadcast(rules) if small else rules, "feed", "left")
+    return _with_flags(
+        joined,
+        frontier.columns,
+        "arrays_overlap(_keys, allow_keys)",
+        "arrays_overlap(_keys, block_keys)",
     )
 
 
 def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataFrame:
+    hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host")
     keyed = compiled.filter("key IS NOT NULL").select("feed", "kind", "key").distinct()
     hits = (
-        frontier.select("feed", "ord", F.explode(_keys(F.col("url"))).alias("key"))
+        hosts.selectExpr("feed", "ord", f"explode({_keys('_host', 'url')}) AS key")
         .join(keyed, ["feed", "key"])
         .groupBy("feed", "ord")
         .agg(
-            F.max(F.col("kind") == "allow").alias("allow_hit"),
-            F.max(F.col("kind") == "block").alias("block_hit"),
+            F.expr("bool_or(kind = 'allow') AS allow_hit"),
+            F.expr("bool_or(kind = 'block') AS block_hit"),
         )
     )
-    rules = _rules(compiled, with_keys=False)
-    joined = frontier.join(hits, ["feed", "ord"], "left").join(
+    # keys were joined above; only counts and globs are needed per feed
+    rules = _rules(compiled.withColumn("key", F.lit(None).cast("string")))
+    joined = hosts.join(hits, ["feed", "ord"], "left").join(
         F.broadcast(rules) if small else rules, "feed", "left"
     )
-
-    def hit(kind: str) -> Column:
-        return F.coalesce(F.col(f"{kind}_hit"), F.lit(False)) | _glob_hit(
-            F.col("url"), F.col(f"{kind}_rx")
-        )
-
-    return joined.select(
-        *frontier.columns,
-        ((F.coalesce("allow_n", F.lit(0)) == 0) | hit("allow")).alias("allowed"),
-        hit("block").alias("blocked"),
-    )
+    return _with_flags(joined, frontier.columns, "allow_hit", "block_hit")
 
 
 def allow_listed(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:

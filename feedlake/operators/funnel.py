@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.operators.pages import corpus_keys
+from feedlake.operators.pages import answers
 
 STAGES = (
     "invalid",
@@ -27,27 +27,21 @@ def ingest_funnel(flagged: DataFrame, stored: DataFrame, pages: DataFrame) -> Da
     no page body is touched.
     """
     early = (
-        F.when(~F.col("valid"), "invalid")
-        .when(~F.col("allowed"), "not_allowed")
-        .when(F.col("blocked"), "blocked")
+        "CASE WHEN NOT valid THEN 'invalid' WHEN NOT allowed THEN 'not_allowed'"
+        " WHEN blocked THEN 'blocked' END AS early"
     )
     groups = (
-        flagged.select("feed", early.alias("early"), F.when(early.isNull(), F.col("id")).alias("id"))
+        flagged.selectExpr("feed", "id", early)
+        .selectExpr("feed", "early", "if(early IS NULL, id, NULL) AS id")
         .groupBy("feed", "early", "id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     lost = groups.filter("early IS NOT NULL").select("feed", F.col("early").alias("stage"), "n")
     held = stored.select("feed", "id", F.lit(True).alias("held")).distinct()
-    answers = (
-        corpus_keys(pages)
-        .groupBy("id")
-        .agg(F.min(F.struct("page_id", "final_id")).alias("_page"))
-        .select("id", "_page.final_id")
-    )
     unique = (
         groups.filter("early IS NULL")
         .join(held, ["feed", "id"], "left")
-        .join(answers, "id", "left")
+        .join(answers(pages).select("id", "final_id"), "id", "left")
         .select("feed", "id", "n", "held", "final_id")
     )
     open_ids = F.col("held").isNull() & F.col("final_id").isNotNull()

@@ -12,7 +12,7 @@ from feedlake.functions import links as L
 
 def note_links(notes: DataFrame, keep: list[str], text: str = "content") -> DataFrame:
     """One row per distinct link of each note: ``keep``, ``pos``, ``url``."""
-    return notes.select(*keep, F.posexplode(L.markdown_links(F.col(text))).alias("pos", "url"))
+    return notes.selectExpr(*keep, f"posexplode({L.markdown_links(text)}) AS (pos, url)")
 
 
 def open_cards(cards: DataFrame, lists: DataFrame | None = None) -> DataFrame:
@@ -31,10 +31,12 @@ def open_cards(cards: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     return filtered.select(*kept.columns).unionByName(free)
 
 
+_CARD_LINKS = f"concat({L.text_links('name')}, {L.text_links('descr')})"
+
+
 def card_links(cards: DataFrame, keep: list[str]) -> DataFrame:
     """Links of each card, name before description: ``keep``, ``pos``, ``url``."""
-    found = F.concat(L.text_links(F.col("name")), L.text_links(F.col("descr")))
-    return cards.select(*keep, F.posexplode(found).alias("pos", "url"))
+    return cards.selectExpr(*keep, f"posexplode({_CARD_LINKS}) AS (pos, url)")
 
 
 def board_links(cards: DataFrame) -> DataFrame:
@@ -49,11 +51,7 @@ def board_links(cards: DataFrame) -> DataFrame:
 
 def board_list_counts(cards: DataFrame, lists: DataFrame) -> DataFrame:
     """Links per board list: ``board``, ``list_name``, ``cards``, ``links``."""
-    per_card = cards.select(
-        "board",
-        "idlist",
-        F.size(F.concat(L.text_links(F.col("name")), L.text_links(F.col("descr")))).alias("n"),
-    )
+    per_card = cards.selectExpr("board", "idlist", f"size({_CARD_LINKS}) AS n")
     counts = per_card.groupBy("board", "idlist").agg(
         F.count(F.lit(1)).alias("cards"), F.sum("n").alias("links")
     )
@@ -62,8 +60,8 @@ def board_list_counts(cards: DataFrame, lists: DataFrame) -> DataFrame:
 
 def sitemap_links(sitemaps: DataFrame) -> DataFrame:
     """All locations of all landed sitemaps: ``site``, ``candidate``, ``pos``, ``url``."""
-    return sitemaps.select(
-        "site", "candidate", F.posexplode(L.sitemap_locations(F.col("xml"))).alias("pos", "url")
+    return sitemaps.selectExpr(
+        "site", "candidate", f"posexplode({L.sitemap_locations('xml')}) AS (pos, url)"
     )
 
 
@@ -73,7 +71,7 @@ def first_sitemap(sitemaps: DataFrame) -> DataFrame:
     At most three candidates exist per site, so a group is never large.
     """
     return (
-        sitemaps.select("site", "candidate", L.sitemap_locations(F.col("xml")).alias("urls"))
+        sitemaps.selectExpr("site", "candidate", f"{L.sitemap_locations('xml')} AS urls")
         .filter(F.size("urls") > 0)
         .groupBy("site")
         .agg(
@@ -85,12 +83,10 @@ def first_sitemap(sitemaps: DataFrame) -> DataFrame:
 
 def outlinks(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Article links of each stored page: ``keep``, ``pos``, ``url``."""
-    links = (
-        pages.select(*keep, F.col("url").alias("site"), H.visible(F.col("html")).alias("doc"))
-        .withColumn("found", L.page_links(F.col("site"), F.col("doc")))
-        .withColumn("found", L.article_links(F.col("found"), F.col("site")))
+    found = L.article_links(L.page_links("url", "doc"), "url")
+    return pages.selectExpr(*keep, "url", f"{H.visible('html')} AS doc").selectExpr(
+        *keep, f"posexplode({found}) AS (pos, url)"
     )
-    return links.select(*keep, F.posexplode("found").alias("pos", "url"))
 
 
 def site_links(
@@ -104,25 +100,18 @@ def site_links(
     property of the scrape, and all lists are per website, so this is one join and
     otherwise row-local.
     """
-    first = first_sitemap(sitemaps).select(
-        "site", F.array_distinct(F.slice("urls", 1, limit)).alias("mapped")
-    )
-    pages = sites.select(
-        *keep,
-        F.col("url").alias("site"),
-        L.page_links(F.col("url"), H.visible(F.col("html"))).alias("own"),
+    first = first_sitemap(sitemaps).selectExpr(
+        "site", f"array_distinct(slice(urls, 1, {limit})) AS mapped"
     )
-    mapped = F.coalesce(F.col("mapped"), F.array().cast("array<string>"))
-    merged = F.when(F.size(mapped) >= limit, mapped).otherwise(
-        F.array_distinct(F.concat(mapped, F.col("own")))
+    pages = sites.selectExpr(*keep, "url AS site", f"{H.visible('html')} AS doc").selectExpr(
+        *keep, "site", f"{L.page_links('site', 'doc')} AS own"
     )
+    merged = f"if(size(mapped) >= {limit}, mapped, array_distinct(concat(coalesce(mapped, array()), own)))"
     return (
         pages.join(first, "site", "left")
-        .select(*keep, "site", merged.alias("merged"))
-        .select(
+        .selectExpr(*keep, "site", f"{merged} AS merged")
+        .selectExpr(
             *keep,
-            F.posexplode(
-                F.slice(L.article_links(F.col("merged"), F.col("site")), 1, limit)
-            ).alias("pos", "url"),
+            f"posexplode(slice({L.article_links('merged', 'site')}, 1, {limit})) AS (pos, url)",
         )
     )

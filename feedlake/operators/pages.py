@@ -9,84 +9,91 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake import fixed
 from feedlake.functions import dates, html as H
-from feedlake.functions.text import let, nonempty
-from feedlake.functions.url import canonical_url, url_id, url_parts
-from feedlake.schema import ATTACHMENTS, AUTHORS, ITEM_COLUMNS, ITEM_FIELDS, empty, null
+from feedlake.functions.sql import (
+    case,
+    each,
+    extract,
+    first_nonempty,
+    keep,
+    let,
+    lit,
+    lits,
+    matches,
+    nonempty,
+    substitute,
+)
+from feedlake.functions.text import strip, unescape
+from feedlake.functions.url import decode_path, page_id_of, url_parts
+from feedlake.schema import ITEM_COLUMNS, ITEM_FIELDS
+
+
+def media_suffix_type(url: str) -> str:
+    """Type by the first known suffix at the end of the url or before a ``?``."""
 
+    def first_match(lower: str) -> str:
+        return case(
+            *[
+                (f"endswith({lower}, {lit(s)}) OR contains({lower}, {lit(s + '?')})", lit(mime))
+                for s, mime in fixed.MEDIA_TYPES
+            ]
+        )
 
-def page_kind(url: Column) -> Column:
-    """``video`` before ``media`` before ``article``."""
-    video = F.lit(False)
-    for rx in fixed.VIDEO_URLS:
-        video = video | url.rlike(f"(?iU){rx}")
-    media = media_suffix_type(url).isNotNull()
-    return F.when(video, "video").when(media, "media").otherwise("article")
+    return let(f"lower({url})", first_match)
 
 
-def media_suffix_type(url: Column) -> Column:
-    """Type by the first known suffix at the end of the url or before a ``?``."""
-    lower = F.lower(url)
-    return F.coalesce(
-        *[
-            F.when(lower.endswith(suffix) | lower.contains(f"{suffix}?"), F.lit(mime))
-            for suffix, mime in fixed.MEDIA_TYPES
-        ]
+def page_kind(url: str) -> str:
+    """``video`` before ``media`` before ``article``."""
+    video = "(?iU)" + "|".join(fixed.VIDEO_URLS)
+    return case(
+        (matches(url, video), "'video'"),
+        (f"{media_suffix_type(url)} IS NOT NULL", "'media'"),
+        otherwise="'article'",
     )
 
 
-def media_type(url: Column, content_type: Column) -> Column:
+def media_type(url: str, content_type: str) -> str:
     """A known header type, else the suffix type."""
-    main = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
-    return F.coalesce(F.when(main.isin(*fixed.HEADER_TYPES), main), media_suffix_type(url))
+    main = f"lower(trim(substring_index({content_type}, ';', 1)))"
+    known = keep(f"array({main})", lambda m: f"{m} IN ({lits(fixed.HEADER_TYPES)})")
+    return f"coalesce(get({known}, 0), {media_suffix_type(url)})"
 
 
-def media_title(url: Column) -> Column:
+def media_title(url: str) -> str:
     """Last path segment, percent-decoded; NULL if empty."""
-    path = F.try_url_decode(
-        F.replace(
-            F.regexp_replace(url_parts(url)[2], r"%(?![0-9A-Fa-f]{2})", "%25"),
-            F.lit("+"),
-            F.lit("%2B"),
-        )
-    )
-    name = F.substring_index(F.substring_index(path, "/", -1), "?", 1)
-    return F.when(path.contains("/"), nonempty(name))
+    path = decode_path(f"{url_parts(url)}[2]")
+    return nonempty(extract(path, r"(?s)^.*/([^/?]*)[^/]*$"))
 
 
-def video_id(url: Column) -> Column:
-    return F.coalesce(
-        *[nonempty(F.regexp_extract(url, f"(?U){rx}", 1)) for rx in fixed.VIDEO_ID_PATTERNS]
-    )
+def video_id(url: str) -> str:
+    return first_nonempty(*[extract(url, f"(?U){rx}") for rx in fixed.VIDEO_ID_PATTERNS])
 
 
 def with_page_ids(pages: DataFrame) -> DataFrame:
     """Add ``id`` (of the final url) and ``kind``."""
-    return pages.select(
-        "*",
-        url_id(canonical_url(F.col("final_url"))).alias("id"),
-        page_kind(F.col("final_url")).alias("kind"),
+    return pages.selectExpr(
+        "*", f"{page_id_of('final_url')} AS id", f"{page_kind('final_url')} AS kind"
     )
 
 
 def _prepared(pages: DataFrame) -> DataFrame:
-    """Add ``doc``, ``tags_text`` and ``ld`` next to ``html``."""
-    body = F.col("kind") != "media"
-    return (
-        pages.withColumn("doc", F.when(body, H.visible(F.col("html"))))
-        .withColumn("ld", F.when(F.col("kind") == "article", H.json_ld_scripts(F.col("html"))))
-        .withColumn("head", H.head_tags(F.col("doc")))
-    )
+    """Add the columns the extractors share: ``doc``, ``head``, ``ld``, ``mime``."""
+    return pages.selectExpr(
+        "*",
+        f"if(kind <> 'media', {H.visible('html')}, NULL) AS doc",
+        f"if(kind = 'article', {H.json_ld_scripts('html')}, NULL) AS ld",
+        f"if(kind = 'media', {media_type('final_url', 'content_type')}, NULL) AS mime",
+    ).selectExpr("*", f"{H.head_tags('doc')} AS head")
 
 
-def title(doc: Column, head: Column) -> Column:
+def title(doc: str, head: str) -> str:
     """``og:title``, ``twitter:title``, ``<title>``, first ``<h1>``."""
-    return H.stripped(
-        F.coalesce(
+    return H.clean(
+        first_nonempty(
             H.meta_property(head, "og:title"),
             H.meta_name(head, "twitter:title"),
             H.title_tag(doc),
@@ -95,51 +102,41 @@ def title(doc: Column, head: Column) -> Column:
     )
 
 
-def description(head: Column, twitter: bool = True) -> Column:
+def description(head: str, twitter: bool = True) -> str:
     """``og:description``, ``description``, ``twitter:description``, 500 characters."""
     chain = [H.meta_property(head, "og:description"), H.meta_name(head, "description")]
     if twitter:
         chain.append(H.meta_name(head, "twitter:description"))
-    return nonempty(F.substring(H.strip(F.coalesce(*chain)), 1, fixed.SUMMARY_CHARS))
+    return nonempty(f"left({strip(unescape(first_nonempty(*chain)))}, {fixed.SUMMARY_CHARS})")
 
 
-def author(head: Column) -> Column:
+def author(head: str) -> str:
     """``author``, ``article:author``, without a leading "By"."""
-    raw = H.stripped(
-        F.coalesce(H.meta_name(head, "author"), H.meta_property(head, "article:author"))
-    )
-    return nonempty(F.regexp_replace(raw, fixed.BYLINE_PREFIX, ""))
+    raw = first_nonempty(H.meta_name(head, "author"), H.meta_property(head, "article:author"))
+    return nonempty(substitute(strip(unescape(raw)), fixed.BYLINE_PREFIX))
 
 
-def date_text(doc: Column, head: Column, ld: Column) -> Column:
+def date_text(doc: str, head: str, ld: str) -> str:
     """The first non-empty date text; only this one is ever parsed."""
-    return F.coalesce(
-        H.meta_property(head, "article:published_time"),
-        H.json_ld_date(ld),
-        H.meta_name(head, "date"),
-        H.meta_name(head, "DC.date"),
-        H.time_tag(doc),
+    return unescape(
+        first_nonempty(
+            H.meta_property(head, "article:published_time"),
+            H.json_ld_date(ld),
+            H.meta_name(head, "date"),
+            H.meta_name(head, "DC.date"),
+            H.time_tag(doc),
+        )
     )
 
 
-def _authors(name: Column) -> Column:
-    one = F.array(F.struct(name.alias("name"), null("string").alias("url"))).cast(AUTHORS)
-    return F.when(name.isNotNull(), one).otherwise(empty(AUTHORS))
+def timestamp_literal(moment: dt.datetime) -> str:
+    return f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S}'"
 
 
-def _attachment(url: Column, mime: Column, size: Column, seconds: Column) -> Column:
-    return F.array(
-        F.struct(
-            url.alias("url"),
-            mime.alias("mime_type"),
-            size.cast("bigint").alias("size_in_bytes"),
-            seconds.cast("int").alias("duration_in_seconds"),
-        )
-    ).cast(ATTACHMENTS)
-
-
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def top_date(blocks: str, as_of: dt.datetime) -> str:
+    """Date named in the first blocks of a text."""
+    top = f"left(array_join(slice({blocks}, 1, {fixed.BODY_DATE_BLOCKS}), ' '), {fixed.BODY_DATE_CHARS})"
+    return dates.body_date(top, timestamp_literal(as_of))
 
 
 def article_fields(prepared: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -148,151 +145,142 @@ def article_fields(prepared: DataFrame, as_of: dt.datetime) -> DataFrame:
     With a title the summary comes from the text first and the body may name the date;
     without one the description comes first, and there is neither body date nor content.
     """
-    now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    doc, head = F.col("doc"), F.col("head")
-    has_title = F.col("a_title").isNotNull()
     return (
-        prepared.withColumn("a_title", title(doc, head))
-        .withColumn("scope", H.article_scope(doc))
-        .withColumn("blocks", H.text_blocks(F.col("scope")))
-        .withColumn("date_raw", date_text(doc, head, F.col("ld")))
-        .withColumn("a_found", dates.parse_date(F.col("date_raw")))
-        .withColumn(
-            "a_body",
-            F.when(
-                has_title & F.col("a_found")["local"].isNull(),
-                dates.body_date(
-                    F.substring(
-                        F.array_join(F.slice("blocks", 1, fixed.BODY_DATE_BLOCKS), " "),
-                        1,
-                        fixed.BODY_DATE_CHARS,
-                    ),
-                    now,
-                ),
-            ),
+        prepared.selectExpr(
+            "*",
+            f"{title('doc', 'head')} AS a_title",
+            f"{H.article_scope('doc')} AS scope",
+            f"{date_text('doc', 'head', 'ld')} AS date_raw",
+            f"{description('head')} AS a_meta",
+            f"{author('head')} AS a_author",
+            f"{H.language('doc', 'head')} AS a_language",
+        )
+        .selectExpr(
+            "*",
+            f"{H.text_blocks('scope')} AS blocks",
+            f"{dates.parse_date('date_raw')} AS a_found",
         )
-        .withColumn("a_meta", description(head))
-        .withColumn(
-            "a_summary",
-            F.when(has_title, F.coalesce(H.best_block(F.col("blocks")), F.col("a_meta"))).otherwise(
-                F.coalesce(
-                    F.col("a_meta"),
-                    H.best_block(H.paragraph_texts(doc, fixed.SUMMARY_BLOCKS)),
-                )
-            ),
+        .selectExpr(
+            "*",
+            f"if(a_title IS NOT NULL AND a_found.local IS NULL, {top_date('blocks', as_of)}, NULL) AS a_body",
+            f"if(a_title IS NOT NULL, coalesce({H.best_block('blocks')}, a_meta), coalesce(a_meta,"
+            f" {H.best_block(H.paragraph_texts('doc', fixed.SUMMARY_BLOCKS))})) AS a_summary",
+            f"if(a_title IS NOT NULL, {nonempty('scope')}, NULL) AS a_content",
         )
-        .withColumn("a_content", F.when(has_title, nonempty(F.col("scope"))))
-        .withColumn("a_local", F.coalesce(F.col("a_found")["local"], "a_body", now))
-        .withColumn("a_zone", F.when(F.col("a_found")["local"].isNotNull(), F.col("a_found")["zone"]))
-        .withColumn(
-            "date_is_fallback", F.col("a_found")["local"].isNull() & F.col("a_body").isNull()
+        .selectExpr(
+            "*",
+            f"coalesce(a_found.local, a_body, {timestamp_literal(as_of)}) AS a_local",
+            "if(a_found.local IS NOT NULL, a_found.zone, NULL) AS a_zone",
+            "(a_found.local IS NULL AND a_body IS NULL) AS date_is_fallback",
         )
-        .withColumn("a_author", author(head))
-        .withColumn("a_language", H.language(doc, head))
     )
 
 
-def _article_item() -> dict[str, Column]:
-    local, zone = F.col("a_local"), F.col("a_zone")
+def _authors(name: str) -> str:
+    named = keep(f"array({name})", lambda n: f"{n} IS NOT NULL")
+    return each(named, lambda n: f"named_struct('name', {n}, 'url', CAST(NULL AS STRING))")
+
+
+def _attachments(url: str, mime: str, size: str = "NULL", seconds: str = "NULL") -> str:
+    """One attachment, or none where there is no url."""
+    present = keep(f"array({url})", lambda u: f"{u} IS NOT NULL")
+    return each(
+        present,
+        lambda u: f"named_struct('url', {u}, 'mime_type', {mime},"
+        f" 'size_in_bytes', CAST({size} AS BIGINT), 'duration_in_seconds', CAST({seconds} AS INT))",
+    )
+
+
+def _article_item() -> dict[str, str]:
     return {
-        "title": F.col("a_title"),
-        "summary": F.col("a_summary"),
-        "content_html": F.col("a_content"),
-        "date_published": dates.instant(local, zone),
-        "date_local": local,
-        "date_iso": dates.iso_text(local, zone),
-        "authors": _authors(F.col("a_author")),
-        "language": F.col("a_language"),
+        "title": "a_title",
+        "summary": "a_summary",
+        "content_html": "a_content",
+        "date_published": dates.instant("a_local", "a_zone"),
+        "date_local": "a_local",
+        "date_iso": dates.iso_text("a_local", "a_zone"),
+        "authors": _authors("a_author"),
+        "language": "a_language",
     }
 
 
-def video_title(doc: Column, head: Column) -> Column:
-    plain = H.strip(H.title_tag(doc))
-    suffix = fixed.VIDEO_TITLE_SUFFIX
-    return nonempty(
-        F.coalesce(
-            H.strip(H.meta_property(head, "og:title")),
-            F.when(
-                plain.endswith(suffix),
-                F.substring(plain, F.lit(1), F.length(plain) - len(suffix)),
-            ).otherwise(plain),
-        )
-    )
+def video_title(doc: str, head: str) -> str:
+    plain = substitute(strip(H.title_tag(doc)), f"{fixed.VIDEO_TITLE_SUFFIX}$")
+    return H.clean(first_nonempty(H.meta_property(head, "og:title"), plain))
 
 
-def _video_item() -> dict[str, Column]:
-    doc, head, url = F.col("doc"), F.col("head"), F.col("final_url")
-    thumbnail = F.coalesce(
-        H.meta_property(head, "og:image"),
-        F.concat(F.lit(fixed.THUMBNAIL_PREFIX), video_id(url), F.lit(fixed.THUMBNAIL_SUFFIX)),
-    )
-    seconds = dates.iso_duration_seconds(H.tag_value(head, "meta", "itemprop", "duration"))
+def thumbnail(head: str, url: str) -> str:
+    """``og:image``, else the picture address made from the video id."""
+    built = f"concat({lit(fixed.THUMBNAIL_PREFIX)}, {video_id(url)}, {lit(fixed.THUMBNAIL_SUFFIX)})"
+    return first_nonempty(unescape(H.meta_property(head, "og:image")), built)
+
+
+def _video_item() -> dict[str, str]:
+    seconds = dates.iso_duration_seconds(H.tag_value("head", "meta", "itemprop", "duration"))
     return {
-        "title": video_title(doc, head),
-        "summary": description(head, twitter=False),
-        "authors": _authors(H.stripped(H.tag_value(head, "link", "itemprop", "name"))),
-        "tags": _strings(fixed.VIDEO_TAGS),
-        "attachments": let(
-            thumbnail,
-            lambda t: F.when(
-                t.isNotNull(),
-                _attachment(t, F.lit(fixed.THUMBNAIL_TYPE), null("bigint"), seconds),
-            ).otherwise(empty(ATTACHMENTS)),
+        "title": video_title("doc", "head"),
+        "summary": description("head", twitter=False),
+        "authors": _authors(H.clean(H.tag_value("head", "link", "itemprop", "name"))),
+        "tags": f"array({lits(fixed.VIDEO_TAGS)})",
+        "attachments": _attachments(
+            thumbnail("head", "final_url"), lit(fixed.THUMBNAIL_TYPE), seconds=seconds
         ),
     }
 
 
-def _media_item() -> dict[str, Column]:
-    url = F.col("final_url")
-    mime = media_type(url, F.col("content_type"))
-    tag = (
-        F.when(mime.startswith("audio/"), "audio")
-        .when(mime.startswith("video/"), "video")
-        .when(mime == "application/pdf", "pdf")
+def _media_item() -> dict[str, str]:
+    tag = case(
+        ("startswith(mime, 'audio/')", "array('audio')"),
+        ("startswith(mime, 'video/')", "array('video')"),
+        ("mime = 'application/pdf'", "array('pdf')"),
+        otherwise="array()",
     )
     return {
-        "title": media_title(url),
-        "tags": F.when(tag.isNotNull(), F.array(tag)).otherwise(empty("array<string>")),
-        "attachments": _attachment(
-            url,
-            F.coalesce(mime, F.lit(fixed.UNKNOWN_TYPE)),
-            F.col("content_length"),
-            null("int"),
+        "title": media_title("final_url"),
+        "tags": f"CAST({tag} AS array<string>)",
+        "attachments": _attachments(
+            "final_url", f"coalesce(mime, {lit(fixed.UNKNOWN_TYPE)})", size="content_length"
         ),
     }
 
 
-def _default(name: str) -> Column:
-    kind = ITEM_FIELDS[name]
-    return empty(kind) if kind.startswith("array") else null(kind)
+def _default(name: str) -> str:
+    return "array()" if ITEM_FIELDS[name].startswith("array") else "NULL"
+
+
+def _typed(name: str, value: str) -> str:
+    return f"CAST({value} AS {ITEM_FIELDS[name]})"
 
 
-def _as_items(rows: DataFrame, carry: list[str], fields: dict[str, Column], extra: list[str]) -> DataFrame:
-    columns = {"id": F.col("id"), "url": F.col("final_url"), **fields}
-    return rows.select(
-        *carry,
-        *[columns.get(name, _default(name)).cast(ITEM_FIELDS[name]).alias(name) for name in ITEM_COLUMNS],
+def _as_items(rows: DataFrame, keep_columns: list[str], fields: dict[str, str], extra: list[str]) -> DataFrame:
+    columns = {"id": "id", "url": "final_url", **fields}
+    return rows.selectExpr(
+        *keep_columns,
+        *[f"{_typed(name, columns.get(name, _default(name)))} AS {name}" for name in ITEM_COLUMNS],
         *extra,
     )
 
 
-def article_items(pages: DataFrame, as_of: dt.datetime, carry: list[str]) -> DataFrame:
+def article_items(pages: DataFrame, as_of: dt.datetime, keep_columns: list[str]) -> DataFrame:
     """Items of the article pages only, plus ``date_raw`` and ``date_is_fallback``."""
     rows = article_fields(_prepared(pages.filter("kind = 'article'")), as_of)
-    return _as_items(rows, carry, _article_item(), ["date_raw", "date_is_fallback"])
+    return _as_items(rows, keep_columns, _article_item(), ["date_raw", "date_is_fallback"])
 
 
-def video_items(pages: DataFrame, carry: list[str]) -> DataFrame:
+def video_items(pages: DataFrame, keep_columns: list[str]) -> DataFrame:
     """Items of the video pages only."""
-    return _as_items(_prepared(pages.filter("kind = 'video'")), carry, _video_item(), [])
+    return _as_items(_prepared(pages.filter("kind = 'video'")), keep_columns, _video_item(), [])
 
 
-def media_items(pages: DataFrame, carry: list[str]) -> DataFrame:
-    """Items of the media links only; their bodies are never read."""
-    return _as_items(pages.filter("kind = 'media'"), carry, _media_item(), [])
+def media_items(pages: DataFrame, keep_columns: list[str]) -> DataFrame:
+    """Items of the media links only; their bodies are never parsed."""
+    links = pages.filter("kind = 'media'").selectExpr(
+        "*", f"{media_type('final_url', 'content_type')} AS mime"
+    )
+    return _as_items(links, keep_columns, _media_item(), [])
 
 
-def page_items(pages: DataFrame, as_of: dt.datetime, carry: list[str]) -> DataFrame:
+def page_items(pages: DataFrame, as_of: dt.datetime, keep_columns: list[str]) -> DataFrame:
     """Items of all pages in one pass over the corpus.
 
     The three kinds share one scan: a union of three filtered scans would read every
@@ -300,18 +288,18 @@ def page_items(pages: DataFrame, as_of: dt.datetime, carry: list[str]) -> DataFr
     """
     rows = article_fields(_prepared(pages), as_of)
     article, video, media = _article_item(), _video_item(), _media_item()
-    kind = F.col("kind")
-
-    def choose(name: str) -> Column:
-        kind_type, default = ITEM_FIELDS[name], _default(name)
-        return (
-            F.when(kind == "video", video.get(name, default).cast(kind_type))
-            .when(kind == "media", media.get(name, default).cast(kind_type))
-            .otherwise(article.get(name, default).cast(kind_type))
+
+    def choose(name: str) -> str:
+        default = _default(name)
+        values = [_typed(name, source.get(name, default)) for source in (video, media, article)]
+        if values[0] == values[1] == values[2]:
+            return values[0]
+        return case(
+            ("kind = 'video'", values[0]), ("kind = 'media'", values[1]), otherwise=values[2]
         )
 
     fields = {name: choose(name) for name in ITEM_COLUMNS if name not in ("id", "url")}
-    return _as_items(rows, carry, fields, ["kind"])
+    return _as_items(rows, keep_columns, fields, ["kind"])
 
 
 # --- frontier and corpus -------------------------------------------------------------
@@ -319,23 +307,27 @@ def page_items(pages: DataFrame, as_of: dt.datetime, carry: list[str]) -> DataFr
 
 def corpus_keys(pages: DataFrame) -> DataFrame:
     """``page_id``, requested ``id``, ``final_id`` of the good pages; never reads bodies."""
-    return pages.filter("good").select(
-        "page_id",
-        url_id(canonical_url(F.col("url"))).alias("id"),
-        url_id(canonical_url(F.col("final_url"))).alias("final_id"),
+    return pages.filter("good").selectExpr(
+        "page_id", f"{page_id_of('url')} AS id", f"{page_id_of('final_url')} AS final_id"
+    )
+
+
+def answers(pages: DataFrame) -> DataFrame:
+    """One page per requested id, the lowest ``page_id``: ``id``, ``page_id``, ``final_id``."""
+    return (
+        corpus_keys(pages)
+        .groupBy("id")
+        .agg(F.min(F.struct("page_id", "final_id")).alias("_page"))
+        .select("id", "_page.page_id", "_page.final_id")
     )
 
 
 def match_pages(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """Frontier rows with the page that answers them (``page_id``, ``final_id``).
 
-    One page per requested id, the lowest ``page_id``. Only urls are read and shuffled.
+    Only urls are read and shuffled.
     """
-    keys = corpus_keys(pages)
-    chosen = keys.groupBy("id").agg(
-        F.min(F.struct("page_id", "final_id")).alias("_page")
-    ).select("id", "_page.page_id", "_page.final_id")
-    return frontier.join(chosen, "id").select(*frontier.columns, "page_id", "final_id")
+    return frontier.join(answers(pages), "id").select(*frontier.columns, "page_id", "final_id")
 
 
 def unanswered(frontier: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import fixed
-from feedlake.functions.text import nonempty, strip
+from feedlake.functions.sql import each, extract, keep, lits, substitute
+from feedlake.functions.text import strip
 
 
-def clean_tags(raw: Column) -> Column:
+def clean_tags(raw: str) -> str:
     """Raw suggestions, one per line, to at most five clean tags in order."""
 
-    def tag(line: Column) -> Column:
-        bare = F.regexp_replace(F.lower(strip(line)), r"^[\p{Nd}.\-*•]+(?U:\s*)", "")
-        words = F.regexp_replace(bare, r"(?U)[^\w\s-]", "")
-        return F.regexp_extract(words, r"(?U)^\s*(\S+)", 1)
+    def tag(line: str) -> str:
+        bare = substitute(f"lower({strip(line)})", r"^[\p{Nd}.\-*•]+(?U:\s*)")
+        return extract(substitute(bare, r"(?U)[^\w\s-]"), r"(?U)^\s*(\S+)")
 
-    size = F.length
-    tags = F.filter(
-        F.transform(F.split(strip(raw), "\n"), tag),
-        lambda t: size(t).between(fixed.TAG_MIN_CHARS, fixed.TAG_MAX_CHARS),
+    tags = keep(
+        each(f"split({strip(raw)}, '\\n')", tag),
+        lambda t: f"length({t}) BETWEEN {fixed.TAG_MIN_CHARS} AND {fixed.TAG_MAX_CHARS}",
     )
-    return F.slice(F.array_distinct(tags), 1, fixed.MAX_TAGS)
+    return f"slice(array_distinct({tags}), 1, {fixed.MAX_TAGS})"
 
 
-def merge_tags(own: Column, new: Column) -> Column:
+def merge_tags(own: str, new: str) -> str:
     """Both tag lists without repeats, in alphabetical order."""
-    blank = F.array().cast("array<string>")
-    return F.array_sort(F.array_union(F.coalesce(own, blank), F.coalesce(new, blank)))
+    return f"array_sort(array_union(coalesce({own}, array()), coalesce({new}, array())))"
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,7 +34,7 @@ def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     token = r"[\p{L}][\p{L}\p{N}-]{2,29}"
     return (
         texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(token), 0)).alias("term"))
-        .filter(~F.col("term").isin(*fixed.STOP_WORDS))
+        .filter(f"term NOT IN ({lits(fixed.STOP_WORDS)})")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -68,11 +66,8 @@ def topic_terms(texts: DataFrame, key: str, text: str = "text", top: int = fixed
 def add_topics(items: DataFrame, topics: DataFrame) -> DataFrame:
     """Merge topic terms into the items' own tags (at most ``MAX_TAGS`` new per item)."""
     new = topics.groupBy("id").agg(F.collect_set("term").alias("_new"))
-    return items.join(new, "id", "left").select(
-        *[
-            merge_tags(F.col("tags"), F.col("_new")).alias("tags") if c == "tags" else F.col(c)
-            for c in items.columns
-        ]
+    return items.join(new, "id", "left").selectExpr(
+        *[f"{merge_tags('tags', '_new')} AS tags" if c == "tags" else c for c in items.columns]
     )
 
 
@@ -80,7 +75,7 @@ def tag_rollup(items: DataFrame) -> DataFrame:
     """Items per feed and tag."""
     return (
         items.select("feed", F.explode("tags").alias("tag"))
-        .filter(nonempty(F.col("tag")).isNotNull())
+        .filter("tag <> ''")
         .groupBy("feed", "tag")
         .agg(F.count(F.lit(1)).alias("items"))
     )

@@ -13,9 +13,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.functions import dates
-from feedlake.functions.url import canonical_url, url_id
-from feedlake.schema import ATTACHMENTS, AUTHORS, FEEDS, PATTERNS, empty
+from feedlake.functions.dates import date_columns
+from feedlake.functions.url import page_id_of
+from feedlake.schema import ATTACHMENTS, AUTHORS, FEEDS, PATTERNS
+from feedlake.sources.config import local_table
 from feedlake.sources.landed import page_corpus
 
 AS_OF = dt.datetime(2025, 12, 29)
@@ -175,54 +176,36 @@ def pages_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FEED_ROWS, FEEDS)
+    return local_table(spark, FEED_ROWS, FEEDS)
 
 
 def patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERN_ROWS, PATTERNS)
+    return local_table(spark, PATTERN_ROWS, PATTERNS)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``feed``, ``id``, ``page_id`` of the stored items."""
-    return derive(spark, sf_dir, STORED).select(
-        "feed", "page_id", url_id(canonical_url(F.col("url"))).alias("id")
-    )
+    return derive(spark, sf_dir, STORED).selectExpr("feed", "page_id", f"{page_id_of('url')} AS id")
 
 
 def typed_items(raw: DataFrame) -> DataFrame:
     """``ITEMS_RAW`` rows as items, one per page; ``ord`` is the page id."""
 
-    def date_columns(name: str, *targets: str):
-        found = dates.parse_date(F.col(name))
-        local, zone = found["local"], found["zone"]
-        built = (dates.instant(local, zone), local, dates.iso_text(local, zone))
-        return [c.alias(t) for c, t in zip(built, targets)]
-
-    author = F.array(F.struct(F.col("author").alias("name"), F.lit(None).cast("string").alias("url")))
-    attachment = F.array(
-        F.struct(
-            F.col("media_url").alias("url"),
-            F.lit("audio/mpeg").alias("mime_type"),
-            F.col("media_size").cast("bigint").alias("size_in_bytes"),
-            F.lit(None).cast("int").alias("duration_in_seconds"),
-        )
-    )
-    return raw.select(
+    return raw.selectExpr(
         "feed",
-        url_id(canonical_url(F.col("url"))).alias("id"),
+        f"{page_id_of('url')} AS id",
         "url",
         "title",
         "summary",
         "content_html",
         *date_columns("published_raw", "date_published", "date_local", "date_iso"),
         *date_columns("modified_raw", "date_modified", "modified_local", "modified_iso"),
-        F.when(F.col("author").isNotNull(), author.cast(AUTHORS)).otherwise(empty(AUTHORS)).alias("authors"),
-        F.col("feed").alias("language"),
-        F.array(F.col("feed"), F.concat(F.lit("topic"), F.col("topic").cast("string"))).alias("tags"),
-        F.when(F.col("media_url").isNotNull(), attachment.cast(ATTACHMENTS))
-        .otherwise(empty(ATTACHMENTS))
-        .alias("attachments"),
-        F.col("page_id").alias("ord"),
+        f"CAST(if(author IS NULL, array(), array(struct(author, NULL))) AS {AUTHORS}) AS authors",
+        "feed AS language",
+        "array(feed, concat('topic', topic)) AS tags",
+        "CAST(if(media_url IS NULL, array(), array(struct(media_url, 'audio/mpeg', media_size, NULL)))"
+        f" AS {ATTACHMENTS}) AS attachments",
+        "page_id AS ord",
     )
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, html as H
-from feedlake.functions.text import xml_clean
-from feedlake.functions.url import canonical_url, is_valid_url, url_id
+from feedlake.functions.url import is_valid_url, page_id_of
 from feedlake.operators import catalogue as CAT
 from feedlake.operators import feeds as FD
 from feedlake.operators import frontier as FR
@@ -170,126 +169,115 @@ def _good_pages(spark: SparkSession, sf: str) -> DataFrame:
     return PG.with_page_ids(FX.pages_x(spark, sf).filter("good"))
 
 
-def _flat(items: DataFrame, *first: str) -> DataFrame:
-    """Items with their nested columns spelt out."""
-    return items.select(
-        *first,
-        "id",
-        "url",
-        "title",
-        "summary",
-        F.length("content_html").alias("content_length"),
-        F.md5(F.col("content_html")).alias("content_md5"),
-        "date_iso",
-        F.array_join(F.transform("authors", lambda a: a["name"]), "|").alias("author"),
-        "language",
-        F.array_join("tags", "|").alias("tags"),
-        F.get("attachments", F.lit(0))["url"].alias("attachment_url"),
-        F.get("attachments", F.lit(0))["mime_type"].alias("mime_type"),
-        F.get("attachments", F.lit(0))["size_in_bytes"].alias("size_in_bytes"),
-        F.get("attachments", F.lit(0))["duration_in_seconds"].alias("duration_in_seconds"),
-    )
+def _flat(items: DataFrame, *names: str) -> DataFrame:
+    """Chosen columns of items, nested ones spelt out."""
+    spelt = {
+        "content_length": "length(content_html)",
+        "content_md5": "md5(content_html)",
+        "author": "array_join(transform(authors, a -> a.name), '|')",
+        "tags": "array_join(tags, '|')",
+        "attachment_url": "get(attachments, 0).url",
+        "mime_type": "get(attachments, 0).mime_type",
+        "size_in_bytes": "get(attachments, 0).size_in_bytes",
+        "duration_in_seconds": "get(attachments, 0).duration_in_seconds",
+    }
+    return items.selectExpr(*[f"{spelt.get(n, n)} AS {n}" for n in names])
+
+
+_ARTICLE = ("id", "url", "title", "summary", "content_length", "content_md5", "date_iso", "author", "language")
+_MEDIA = ("tags", "attachment_url", "mime_type", "size_in_bytes", "duration_in_seconds")
 
 
 def article_items(spark: SparkSession, sf: str) -> DataFrame:
     items = PG.article_items(_good_pages(spark, sf), AS_OF, ["page_id"])
-    flat = _flat(items.drop("attachments").withColumn("attachments", F.array().cast(FX.ATTACHMENTS)), "page_id", "date_raw", "date_is_fallback")
-    return flat.drop("attachment_url", "mime_type", "size_in_bytes", "duration_in_seconds", "tags")
+    return _flat(items, "page_id", *_ARTICLE, "date_raw", "date_is_fallback")
 
 
 def _doc(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.derive(spark, sf, FX.PAGES_X).select(
-        "page_id", "html", H.visible(F.col("html")).alias("doc")
-    ).withColumn("head", H.head_tags(F.col("doc")))
+    pages = FX.derive(spark, sf, FX.PAGES_X)
+    return pages.selectExpr("page_id", "html", f"{H.visible('html')} AS doc").selectExpr(
+        "*", f"{H.head_tags('doc')} AS head"
+    )
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(spark, sf).selectExpr("*", f"{H.text_blocks(H.article_scope('doc'))} AS blocks")
 
 
 def article_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc(spark, sf).select("page_id", PG.title(F.col("doc"), F.col("head")).alias("title"))
+    return _doc(spark, sf).selectExpr("page_id", f"{PG.title('doc', 'head')} AS title")
 
 
 def article_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _doc(spark, sf).withColumn("blocks", H.text_blocks(H.article_scope(F.col("doc"))))
-    return docs.select(
+    return _blocks(spark, sf).selectExpr(
         "page_id",
-        PG.description(F.col("head")).alias("description"),
-        H.best_block(F.col("blocks")).alias("best_block"),
-        H.best_block(H.paragraph_texts(F.col("doc"), 4)).alias("best_paragraph"),
+        f"{PG.description('head')} AS description",
+        f"{H.best_block('blocks')} AS best_block",
+        f"{H.best_block(H.paragraph_texts('doc', 4))} AS best_paragraph",
     )
 
 
 def article_authors(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc(spark, sf).select(
-        "page_id",
-        PG.author(F.col("head")).alias("author"),
-        H.language(F.col("doc"), F.col("head")).alias("language"),
+    return _doc(spark, sf).selectExpr(
+        "page_id", f"{PG.author('head')} AS author", f"{H.language('doc', 'head')} AS language"
     )
 
 
 def pages_per_language(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        _doc(spark, sf)
-        .groupBy(H.language(F.col("doc"), F.col("head")).alias("language"))
-        .agg(F.count(F.lit(1)).alias("pages"))
-    )
+    languages = _doc(spark, sf).selectExpr(f"{H.language('doc', 'head')} AS language")
+    return languages.groupBy("language").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def article_dates(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _doc(spark, sf).withColumn(
-        "date_raw",
-        PG.date_text(F.col("doc"), F.col("head"), H.json_ld_scripts(F.col("html"))),
-    )
-    found = raw.withColumn("found", dates.parse_date(F.col("date_raw")))
-    return found.select(
-        "page_id",
-        "date_raw",
-        dates.iso_text(F.col("found.local"), F.col("found.zone")).alias("date_iso"),
+    raw = _doc(spark, sf).selectExpr("page_id", "doc", "head", f"{H.json_ld_scripts('html')} AS ld")
+    return (
+        raw.selectExpr("page_id", f"{PG.date_text('doc', 'head', 'ld')} AS date_raw")
+        .selectExpr("*", f"{dates.parse_date('date_raw')} AS found")
+        .selectExpr("page_id", "date_raw", f"{dates.iso_text('found.local', 'found.zone')} AS date_iso")
     )
 
 
 def body_dates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _doc(spark, sf).withColumn("blocks", H.text_blocks(H.article_scope(F.col("doc"))))
-    top = F.substring(F.array_join(F.slice("blocks", 1, 5), " "), 1, 1000)
-    found = dates.body_date(top, F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz"))
-    return docs.select("page_id", F.date_format(found, "yyyy-MM-dd").alias("body_date"))
+    return _blocks(spark, sf).selectExpr(
+        "page_id", f"date_format({PG.top_date('blocks', AS_OF)}, 'yyyy-MM-dd') AS body_date"
+    )
 
 
 def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = H.text_blocks(H.article_scope(F.col("doc")))
-    return _doc(spark, sf).select("page_id", F.posexplode(blocks).alias("pos", "block"))
+    return _blocks(spark, sf).selectExpr("page_id", "posexplode(blocks) AS (pos, block)")
 
 
 def article_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    scope = H.article_scope(F.col("doc"))
-    return _doc(spark, sf).select("page_id", F.length(scope).alias("chars"), F.md5(scope).alias("content_md5"))
+    scopes = _doc(spark, sf).selectExpr("page_id", f"{H.article_scope('doc')} AS scope")
+    return scopes.selectExpr("page_id", "length(scope) AS chars", "md5(scope) AS content_md5")
 
 
 def video_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _flat(PG.video_items(_good_pages(spark, sf), ["page_id"]), "page_id")
-    return items.drop("content_length", "content_md5", "date_iso", "language", "size_in_bytes")
+    items = PG.video_items(_good_pages(spark, sf), ["page_id"])
+    return _flat(
+        items, "page_id", "id", "url", "title", "summary", "author", "tags", "attachment_url", "mime_type",
+        "duration_in_seconds",
+    )
 
 
 def videos_per_channel(spark: SparkSession, sf: str) -> DataFrame:
-    items = PG.video_items(_good_pages(spark, sf), ["page_id"])
-    return items.groupBy(F.get("authors", F.lit(0))["name"].alias("channel")).agg(
-        F.count(F.lit(1)).alias("videos")
-    )
+    channels = _flat(PG.video_items(_good_pages(spark, sf), ["page_id"]), "author")
+    return channels.groupBy(F.col("author").alias("channel")).agg(F.count(F.lit(1)).alias("videos"))
 
 
 def media_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _flat(PG.media_items(_good_pages(spark, sf), ["page_id"]), "page_id")
-    return items.select("page_id", "id", "url", "title", "tags", "attachment_url", "mime_type", "size_in_bytes")
+    items = PG.media_items(_good_pages(spark, sf), ["page_id"])
+    return _flat(items, "page_id", "id", "url", "title", *_MEDIA)
 
 
 def media_per_type(spark: SparkSession, sf: str) -> DataFrame:
-    items = PG.media_items(_good_pages(spark, sf), ["page_id"])
-    return items.groupBy(F.get("attachments", F.lit(0))["mime_type"].alias("mime_type")).agg(
-        F.count(F.lit(1)).alias("items")
-    )
+    types = _flat(PG.media_items(_good_pages(spark, sf), ["page_id"]), "mime_type")
+    return types.groupBy("mime_type").agg(F.count(F.lit(1)).alias("items"))
 
 
 def page_items(spark: SparkSession, sf: str) -> DataFrame:
     items = PG.page_items(_good_pages(spark, sf), AS_OF, ["page_id"])
-    return _flat(items, "page_id", "kind")
+    return _flat(items, "page_id", "kind", *_ARTICLE, *_MEDIA)
 
 
 # --- tags --------------------------------------------------------------------------
@@ -297,7 +285,7 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def tag_clean(spark: SparkSession, sf: str) -> DataFrame:
     raw = FX.derive(spark, sf, FX.RAW_TAGS)
-    return raw.select("doc_id", F.array_join(TAG.clean_tags(F.col("raw")), "|").alias("tags"))
+    return raw.selectExpr("doc_id", f"array_join({TAG.clean_tags('raw')}, '|') AS tags")
 
 
 def topic_tags_tfidf(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,12 +295,10 @@ def topic_tags_tfidf(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_tags_merged(spark: SparkSession, sf: str) -> DataFrame:
     items = FX.items_x(spark, sf)
-    bodies = FX.table(spark, sf, "pages").select(
-        url_id(canonical_url(F.col("url"))).alias("id"),
-        "page_id",
-        H.inner_text(H.article_scope(H.visible(F.col("html")))).alias("text"),
+    bodies = FX.table(spark, sf, "pages").selectExpr(
+        "page_id AS ord", f"{H.inner_text(H.article_scope(H.visible('html')))} AS text"
     )
-    own = items.select("id", F.col("ord").alias("page_id")).join(bodies, ["id", "page_id"])
+    own = items.select("id", "ord").join(bodies, "ord")
     tagged = TAG.add_topics(items, TAG.topic_terms(own.select("id", "text"), "id"))
     return tagged.select("feed", "id", F.array_join("tags", "|").alias("tags"))
 
@@ -350,28 +336,26 @@ def dry_run_delta(spark: SparkSession, sf: str) -> DataFrame:
     return FD.dry_run(*_split_items(spark, sf))
 
 
-def _json(path: str) -> F.Column:
-    return F.get_json_object("item", path)
-
-
 def json_feed_items(spark: SparkSession, sf: str) -> DataFrame:
-    rendered = FD.json_items(FX.items_x(spark, sf))
-    return rendered.select(
+    paths = {
+        "id": "id",
+        "url": "url",
+        "title": "title",
+        "summary": "summary",
+        "content_html": "content_html",
+        "date_published": "date_published",
+        "date_modified": "date_modified",
+        "author": "authors[0].name",
+        "language": "language",
+        "second_tag": "tags[1]",
+        "media_url": "attachments[0].url",
+        "media_size": "attachments[0].size_in_bytes",
+    }
+    return FD.json_items(FX.items_x(spark, sf)).selectExpr(
         "feed",
         "ord",
-        _json("$.id").alias("id"),
-        _json("$.url").alias("url"),
-        _json("$.title").alias("title"),
-        _json("$.summary").alias("summary"),
-        _json("$.content_html").alias("content_html"),
-        _json("$.date_published").alias("date_published"),
-        _json("$.date_modified").alias("date_modified"),
-        _json("$.authors[0].name").alias("author"),
-        _json("$.language").alias("language"),
-        _json("$.tags[1]").alias("second_tag"),
-        _json("$.attachments[0].url").alias("media_url"),
-        _json("$.attachments[0].size_in_bytes").alias("media_size"),
-        F.array_join(F.json_object_keys("item"), ",").alias("keys"),
+        *[f"get_json_object(item, '$.{path}') AS {name}" for name, path in paths.items()],
+        "array_join(json_object_keys(item), ',') AS keys",
     )
 
 
@@ -412,10 +396,8 @@ def rss_ranked_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rss_item_texts(spark: SparkSession, sf: str) -> DataFrame:
-    texts = FD.rss_item_columns()
-    return FX.items_x(spark, sf).select(
-        "feed", "id", *[c.alias(name) for name, c in texts.items()]
-    )
+    texts = [f"{text} AS {name}" for name, text in FD.rss_texts().items()]
+    return FX.items_x(spark, sf).selectExpr("feed", "id", *texts)
 
 
 def rss_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -483,11 +465,8 @@ def corpus_items(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct links of the corpus as feed items."""
     pages = FX.table(spark, sf, "pages")
     links = FR.first_seen(
-        pages.filter(is_valid_url(F.col("url"))).select(
-            F.expr(FX.FEED_OF_URL).alias("feed"),
-            url_id(canonical_url(F.col("url"))).alias("id"),
-            F.col("page_id").alias("ord"),
-            "page_id",
+        pages.filter(is_valid_url("url")).selectExpr(
+            f"{FX.FEED_OF_URL} AS feed", f"{page_id_of('url')} AS id", "page_id AS ord", "page_id"
         )
     )
     corpus = FX.page_corpus(pages)
@@ -500,12 +479,9 @@ def corpus_items(spark: SparkSession, sf: str) -> DataFrame:
 def incremental_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The pages table as a stream of files; the table that results."""
     path = scratch_path(spark, "items")
-    schema = FX.table(spark, sf, "pages").select("page_id", "url", "html").schema
-    arrivals = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "*.parquet")
-        .option("maxFilesPerTrigger", 1000)
-        .parquet(f"{sf}/pages.parquet")
+    # the pattern in the path lets the table be one file or a folder of files
+    arrivals = INC.stream_pages(
+        spark, f"{sf}/pages.parque[t]", "page_id bigint, url string, html string"
     )
     INC.run_available(
         arrivals,

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 AUTHORS = "array<struct<name:string,url:string>>"
 ATTACHMENTS = (
     "array<struct<url:string,mime_type:string,size_in_bytes:bigint,duration_in_seconds:int>>"
@@ -53,7 +50,7 @@ _JSON_ITEM = {
 }
 JSON_ITEM = "struct<" + ",".join(f"{name}:{kind}" for name, kind in _JSON_ITEM.items()) + ">"
 JSON_FEED = (
-    "version string, title string, home_page_url string, feed_url string, next_url string, "
+    "version string, title string, home_page_url string, feed_url string, next_url string, _page int, "
     f"description string, authors {AUTHORS}, language string, items array<{JSON_ITEM}>"
 )
 
@@ -62,11 +59,3 @@ BOARD = (
     "lists array<struct<id:string,name:string>>"
 )
 
-
-def empty(type_name: str) -> Column:
-    """An empty array of the given array type."""
-    return F.array().cast(type_name)
-
-
-def null(type_name: str) -> Column:
-    return F.lit(None).cast(type_name)

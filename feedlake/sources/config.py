@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from pathlib import PurePath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,17 @@ SOURCE_RANKS = {
 }
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def local_table(spark: SparkSession, rows: Iterable[tuple], columns: str) -> DataFrame:
+    """A small table out of driver-side rows, with a known size and no Python workers."""
+    fields = [tuple(part.split()) for part in columns.split(",")]
+    data = list(zip(*rows)) or [[] for _ in fields]
+    arrays = [pa.array(list(values), _ARROW[kind]) for values, (_, kind) in zip(data, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]))
+
+
 def named_configs(files: Mapping[str, Mapping]) -> list[dict]:
     """A folder of single-feed configurations: the file stem names the feed.
 
@@ -48,7 +60,7 @@ def feed_table(spark: SparkSession, configs: Iterable[Mapping]) -> DataFrame:
                 config.get("output_dir"),
             )
         )
-    return spark.createDataFrame(rows, FEEDS)
+    return local_table(spark, rows, FEEDS)
 
 
 def pattern_table(
@@ -63,19 +75,17 @@ def pattern_table(
         name = config.get("name", fixed.UNNAMED_FEED)
         rows += [(name, "allow", p) for p in config.get("whitelist") or ()]
         rows += [(name, "block", p) for p in config.get("blacklist") or ()]
-    return spark.createDataFrame(rows, PATTERNS)
+    return local_table(spark, rows, PATTERNS)
 
 
 def static_sources(spark: SparkSession, configs: Iterable[Mapping], kind: str = "config") -> DataFrame:
     """The links written into the configuration, in order."""
     rows = [
-        (config.get("name", fixed.UNNAMED_FEED), config.get("sources") or [])
+        (config.get("name", fixed.UNNAMED_FEED), pos, url)
         for config in configs
+        for pos, url in enumerate(config.get("sources") or ())
     ]
-    listed = spark.createDataFrame(rows, "feed string, sources array<string>")
-    return as_source(
-        listed.select("feed", F.posexplode("sources").alias("pos", "url")), kind, F.lit("")
-    )
+    return as_source(local_table(spark, rows, "feed string, pos bigint, url string"), kind, F.lit(""))
 
 
 def link_list(spark: SparkSession, path: str, feed: str, kind: str = "config") -> DataFrame:
@@ -105,4 +115,4 @@ def as_source(links: DataFrame, kind: str, ref) -> DataFrame:
 
 
 def empty_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SOURCES)
+    return local_table(spark, [], SOURCES)

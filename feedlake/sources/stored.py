@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake import fixed
-from feedlake.functions.dates import instant, iso_text, parse_date
-from feedlake.schema import ATTACHMENTS, AUTHORS, JSON_FEED, empty
+from feedlake.functions.dates import date_columns
+from feedlake.schema import ATTACHMENTS, AUTHORS, JSON_FEED
+
+
+# Stored order continues from page to page; a page never holds this many items.
+PAGE_STRIDE = 1_000_000_000
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +44,7 @@ def read_feed_files(spark: SparkSession, path: str, name: str = "feed.json") ->
 def parsed_documents(documents: DataFrame) -> DataFrame:
     """Documents as structs; an unreadable one counts as no stored feed."""
     parsed = documents.select("feed", F.from_json("document", JSON_FEED).alias("_d"))
-    return parsed.filter(
-        F.col("_d").isNotNull() & (F.col("_d.items").isNotNull() | F.col("_d.title").isNotNull())
-    )
+    return parsed.filter("_d.items IS NOT NULL OR _d.title IS NOT NULL")
 
 
 def stored_headers(documents: DataFrame) -> DataFrame:
@@ -61,16 +63,6 @@ def stored_headers(documents: DataFrame) -> DataFrame:
     )
 
 
-def _dates(raw: Column, prefix: str) -> dict[str, Column]:
-    found = parse_date(raw)
-    names = {
-        "published": ("date_published", "date_local", "date_iso"),
-        "modified": ("date_modified", "modified_local", "modified_iso"),
-    }[prefix]
-    local, zone = found["local"], found["zone"]
-    return dict(zip(names, (instant(local, zone), local, iso_text(local, zone))))
-
-
 def stored_items(documents: DataFrame) -> DataFrame:
     """Items of the stored feeds in stored order (``ord``), dates typed.
 
@@ -78,23 +70,25 @@ def stored_items(documents: DataFrame) -> DataFrame:
     """
     rows = (
         parsed_documents(documents)
-        .select("feed", F.col("_d.next_url").alias("next"), F.posexplode("_d.items").alias("pos", "_i"))
-        .select("feed", "next", "pos", "_i.*")
+        .select(
+            "feed",
+            F.coalesce("_d._page", F.lit(1)).alias("page"),
+            F.posexplode("_d.items").alias("pos", "_i"),
+        )
+        .select("feed", "page", "pos", "_i.*")
     )
-    published = _dates(F.col("date_published"), "published")
-    modified = _dates(F.col("date_modified"), "modified")
-    return rows.select(
+    return rows.selectExpr(
         "feed",
         "id",
         "url",
         "title",
         "summary",
         "content_html",
-        *[c.alias(n) for n, c in published.items()],
-        *[c.alias(n) for n, c in modified.items()],
-        F.coalesce("authors", empty(AUTHORS)).alias("authors"),
+        *date_columns("date_published", "date_published", "date_local", "date_iso"),
+        *date_columns("date_modified", "date_modified", "modified_local", "modified_iso"),
+        f"coalesce(authors, CAST(array() AS {AUTHORS})) AS authors",
         "language",
-        F.coalesce("tags", empty("array<string>")).alias("tags"),
-        F.coalesce("attachments", empty(ATTACHMENTS)).alias("attachments"),
-        F.col("pos").cast("bigint").alias("ord"),
+        "coalesce(tags, CAST(array() AS array<string>)) AS tags",
+        f"coalesce(attachments, CAST(array() AS {ATTACHMENTS})) AS attachments",
+        f"(page - 1) * {PAGE_STRIDE}L + pos AS ord",
     )

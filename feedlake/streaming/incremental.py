@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.functions.url import canonical_url, is_valid_url, url_id
+from feedlake.functions.url import is_valid_url, page_id_of
 from feedlake.operators import pages as PG
 from feedlake.schema import ITEM_COLUMNS, ITEM_FIELDS
 from feedlake.sources.landed import page_corpus
@@ -33,9 +33,9 @@ def ingest_batch(
     it idempotent: its own earlier output is not counted as seen.
     """
     spark = arrived.sparkSession
-    pages = with_feed(page_corpus(arrived)).filter(is_valid_url(F.col("url")))
+    pages = with_feed(page_corpus(arrived)).filter(is_valid_url("url"))
     seen = read_items(spark, path).filter(F.col("run_id") != batch_id).select("feed", "id")
-    keyed = pages.select("page_id", "feed", url_id(canonical_url(F.col("final_url"))).alias("id"))
+    keyed = pages.selectExpr("page_id", "feed", f"{page_id_of('final_url')} AS id")
     fresh = (
         keyed.join(seen, ["feed", "id"], "left_anti")
         .groupBy("feed", "id")
