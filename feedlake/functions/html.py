@@ -32,6 +32,11 @@ _JSON_LD = (
 )
 _HEAD_TAGS = r"(?is)<(?:meta|link)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|section)(?:\s[^>]*|/)?>"
+# an unclosed paragraph ends at the next block or where the element around it ends
+_PARAGRAPH_END = (
+    r"(?is)</?(?:p|div|h[1-6]|li|ul|ol|section|article|main|body|header|footer|nav|aside"
+    r"|table|td|blockquote|form)(?:\s[^>]*|/)?>.*$"
+)
 _ATTR_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
@@ -118,9 +123,9 @@ def text_blocks(fragment: str) -> str:
 
 
 def paragraph_texts(doc: str, limit: int) -> str:
-    """Texts of the first ``limit`` ``<p>`` elements, each up to the next block tag."""
+    """Texts of the first ``limit`` ``<p>`` elements, each up to its end."""
     pieces = f"slice(split({doc}, {lit(r'(?i)<p(?:\s[^>]*)?>')}), 2, {limit})"
-    return each(pieces, lambda piece: inner_text(substitute(piece, f"(?is){_BLOCK}.*$")))
+    return each(pieces, lambda piece: inner_text(substitute(piece, _PARAGRAPH_END)))
 
 
 def best_block(blocks: str) -> str:
