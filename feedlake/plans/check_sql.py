@@ -7,6 +7,7 @@ free patterns, ``EXISTS`` instead of compiled pattern lists. Only the fixture SQ
 from __future__ import annotations
 
 from feedlake import fixed
+from feedlake.operators.feeds import PAGE_ITEMS
 from feedlake.plans import fixtures as FX
 
 _RFC = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -478,10 +479,10 @@ FROM feeds f LEFT JOIN counted c ON c.feed = f.feed""",
     "rss_documents": _with(
         *_ITEMS,
         _FEEDS,
-        body=f"""SELECT f.feed, 1 AS page, {_escape("coalesce(f.title, 'Untitled Feed')")} AS title, coalesce(f.home_page_url, 'https://example.com') AS link,
+        body=f"""SELECT f.feed, CAST(coalesce((i.rank - 1) // {PAGE_ITEMS}, 0) + 1 AS INTEGER) AS page, {_escape("coalesce(f.title, 'Untitled Feed')")} AS title, coalesce(f.home_page_url, 'https://example.com') AS link,
   {_escape("coalesce(f.description, f.title, 'Untitled Feed')")} AS description, CAST(count(i.id) AS INTEGER) AS items, CAST(count(i.media_url) AS INTEGER) AS enclosures,
-  CAST(2 * count(i.id) AS INTEGER) AS categories, CAST(count(i.date_iso) AS INTEGER) AS dates, coalesce(max(i.id) FILTER (WHERE i.rank = 1), '') AS first_id
-FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY f.feed, f.title, f.home_page_url, f.description""",
+  CAST(2 * count(i.id) AS INTEGER) AS categories, CAST(count(i.date_iso) AS INTEGER) AS dates, coalesce(arg_min(i.id, i.rank), '') AS first_id
+FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY ALL""",
     ),
     "rss_enclosures": _with(
         *_ITEMS,

@@ -17,7 +17,7 @@ from feedlake.functions.dates import date_columns
 from feedlake.functions.url import page_id_of
 from feedlake.schema import ATTACHMENTS, AUTHORS, FEEDS, PATTERNS
 from feedlake.sources.config import local_table
-from feedlake.sources.landed import page_corpus
+from feedlake.sources.landed import page_corpus, spread
 
 AS_OF = dt.datetime(2025, 12, 29)
 
@@ -159,20 +159,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run fixture SQL over the tables below ``sf_dir``."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, heavy: bool = False) -> DataFrame:
+    """Run fixture SQL over the tables below ``sf_dir``; ``heavy`` for work on whole texts."""
     for name in ("pages", "documents", "conversations"):
         view = f"feedlake_{name}"
         if f" {name}" in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(view)
+            source = table(spark, sf_dir, name)
+            (spread(source) if heavy else source).createOrReplaceTempView(view)
             for keyword in ("FROM", "JOIN"):
                 sql = sql.replace(f"{keyword} {name}", f"{keyword} {view}")
     return spark.sql(sql)
 
 
-def pages_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages_x(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Pages with meta tags, dates, links, media and videos, as a page corpus."""
-    return page_corpus(derive(spark, sf_dir, PAGES_X))
+    return page_corpus(derive(spark, sf_dir, PAGES_X, heavy))
 
 
 def feeds(spark: SparkSession) -> DataFrame:

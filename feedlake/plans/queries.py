@@ -17,6 +17,7 @@ from feedlake.plans import fixtures as FX
 from feedlake.plans import ingest
 from feedlake.session import scratch_path
 from feedlake.sources.config import as_source
+from feedlake.sources.landed import page_corpus, spread
 from feedlake.sources.stored import stored_headers, stored_items
 from feedlake.streaming import incremental as INC
 
@@ -67,7 +68,7 @@ def _all_sources(spark: SparkSession, sf: str) -> DataFrame:
     static = FX.table(spark, sf, "pages").select(
         F.expr(FX.FEED_OF_URL).alias("feed"), F.col("page_id").alias("pos"), "url"
     )
-    notes = LNK.note_links(FX.derive(spark, sf, FX.NOTES), ["doc_id", "lang"]).select(
+    notes = LNK.note_links(FX.derive(spark, sf, FX.NOTES, heavy=True), ["doc_id", "lang"]).select(
         F.col("lang").alias("feed"), F.col("doc_id").alias("ref"), "pos", "url"
     )
     boards = LNK.board_links(LNK.open_cards(_cards(spark, sf))).select(
@@ -96,11 +97,11 @@ def source_union_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def markdown_links(spark: SparkSession, sf: str) -> DataFrame:
-    return LNK.note_links(FX.derive(spark, sf, FX.NOTES), ["doc_id"])
+    return LNK.note_links(FX.derive(spark, sf, FX.NOTES, heavy=True), ["doc_id"])
 
 
 def _cards(spark: SparkSession, sf: str) -> DataFrame:
-    return FX.derive(spark, sf, FX.CARDS)
+    return FX.derive(spark, sf, FX.CARDS, heavy=True)
 
 
 def _list_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,11 +135,11 @@ def sitemap_first_candidate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_outlinks(spark: SparkSession, sf: str) -> DataFrame:
-    return LNK.outlinks(FX.derive(spark, sf, FX.PAGES_X), ["page_id"])
+    return LNK.outlinks(FX.derive(spark, sf, FX.PAGES_X, heavy=True), ["page_id"])
 
 
 def site_links_top100(spark: SparkSession, sf: str) -> DataFrame:
-    sites = FX.derive(spark, sf, FX.PAGES_X)
+    sites = FX.derive(spark, sf, FX.PAGES_X, heavy=True)
     sitemaps = FX.derive(spark, sf, FX.sitemaps("spark"))
     return LNK.site_links(sites, sitemaps, ["page_id"])
 
@@ -166,7 +167,7 @@ def page_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _good_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return PG.with_page_ids(FX.pages_x(spark, sf).filter("good"))
+    return PG.with_page_ids(FX.pages_x(spark, sf, heavy=True).filter("good"))
 
 
 def _flat(items: DataFrame, *names: str) -> DataFrame:
@@ -194,7 +195,7 @@ def article_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc(spark: SparkSession, sf: str) -> DataFrame:
-    pages = FX.derive(spark, sf, FX.PAGES_X)
+    pages = FX.derive(spark, sf, FX.PAGES_X, heavy=True)
     return pages.selectExpr("page_id", "html", f"{H.visible('html')} AS doc").selectExpr(
         "*", f"{H.head_tags('doc')} AS head"
     )
@@ -284,18 +285,18 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tag_clean(spark: SparkSession, sf: str) -> DataFrame:
-    raw = FX.derive(spark, sf, FX.RAW_TAGS)
+    raw = FX.derive(spark, sf, FX.RAW_TAGS, heavy=True)
     return raw.selectExpr("doc_id", f"array_join({TAG.clean_tags('raw')}, '|') AS tags")
 
 
 def topic_tags_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    texts = FX.table(spark, sf, "documents").select("doc_id", "text")
+    texts = spread(FX.table(spark, sf, "documents").select("doc_id", "text"))
     return TAG.topic_terms(texts, "doc_id")
 
 
 def item_tags_merged(spark: SparkSession, sf: str) -> DataFrame:
     items = FX.items_x(spark, sf)
-    bodies = FX.table(spark, sf, "pages").selectExpr(
+    bodies = spread(FX.table(spark, sf, "pages")).selectExpr(
         "page_id AS ord", f"{H.inner_text(H.article_scope(H.visible('html')))} AS text"
     )
     own = items.select("id", "ord").join(bodies, "ord")
@@ -455,7 +456,7 @@ def multi_feed_run(spark: SparkSession, sf: str) -> DataFrame:
         FX.feeds(spark),
         FX.patterns(spark),
         FX.stored(spark, sf),
-        FX.pages_x(spark, sf),
+        FX.pages_x(spark, sf, heavy=True),
         AS_OF,
     )
     return items.select("feed", "id", "url", "title", "summary", "date_iso", "language", "ord")
@@ -469,7 +470,7 @@ def corpus_items(spark: SparkSession, sf: str) -> DataFrame:
             f"{FX.FEED_OF_URL} AS feed", f"{page_id_of('url')} AS id", "page_id AS ord", "page_id"
         )
     )
-    corpus = FX.page_corpus(pages)
+    corpus = page_corpus(spread(pages))
     items = PG.page_items(PG.with_page_ids(PG.wanted_pages(links, corpus)), AS_OF, ["page_id"])
     return items.join(links.select("feed", "page_id"), "page_id").select(
         "feed", "id", "url", "title", "summary", "language", "date_iso"
