@@ -50,7 +50,9 @@ def topic_terms(texts: DataFrame, key: str, text: str = "text", top: int = fixed
     """
     tf = term_counts(texts, key, text)
     n_texts = texts.agg(F.count(F.lit(1))).scalar()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counting over ``tf`` (always positive) keeps this branch identical to the other use
+    # of the term table, so its shuffle is done once and reused
+    df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = df.select("term", (F.log((1 + n_texts) / (1 + F.col("df"))) + 1).alias("idf"))
     scored = tf.join(idf, "term").select(
         key, "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
