@@ -22,51 +22,48 @@ STAGES = (
 def ingest_funnel(flagged: DataFrame, stored: DataFrame, pages: DataFrame) -> DataFrame:
     """Counts per feed and stage; the stages add up to ``collected``.
 
-    ``flagged`` is a frontier with ``id``, ``valid``, ``allowed`` and ``blocked``. The
-    frontier is read and shuffled once, already combined to one row per (feed, id), and
-    no page body is touched.
+    ``flagged`` is a frontier with ``id``, ``valid``, ``allowed`` and ``blocked``. It is
+    read once and shuffled once, combined on the map side to one row per (feed, id); the
+    rows that fail a check share one row per feed. No page body is touched.
     """
-    early = (
-        "CASE WHEN NOT valid THEN 'invalid' WHEN NOT allowed THEN 'not_allowed'"
-        " WHEN blocked THEN 'blocked' END AS early"
-    )
+    passed = "(valid AND allowed AND NOT blocked)"
     groups = (
-        flagged.selectExpr("feed", "id", early)
-        .selectExpr("feed", "early", "if(early IS NULL, id, NULL) AS id")
-        .groupBy("feed", "early", "id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        flagged.selectExpr("feed", f"if({passed}, id, NULL) AS id", "valid", "allowed", "blocked")
+        .groupBy("feed", "id")
+        .agg(
+            F.expr("count_if(NOT valid) AS invalid"),
+            F.expr("count_if(valid AND NOT allowed) AS not_allowed"),
+            F.expr("count_if(valid AND allowed AND blocked) AS blocked"),
+            F.expr(f"count_if({passed}) AS n"),
+        )
     )
-    lost = groups.filter("early IS NOT NULL").select("feed", F.col("early").alias("stage"), "n")
-    held = stored.select("feed", "id", F.lit(True).alias("held")).distinct()
-    unique = (
-        groups.filter("early IS NULL")
-        .join(held, ["feed", "id"], "left")
-        .join(answers(pages).select("id", "final_id"), "id", "left")
-        .select("feed", "id", "n", "held", "final_id")
+    held = stored.select("feed", "id").distinct().withColumn("held", F.lit(True))
+    stage = (
+        "CASE WHEN id IS NULL THEN 'failed' WHEN held THEN 'stored'"
+        " WHEN final_id IS NULL THEN 'no_page' ELSE 'added' END AS stage"
     )
-    open_ids = F.col("held").isNull() & F.col("final_id").isNotNull()
     per_page = (
-        unique.select(
-            "feed",
-            F.when(F.col("held"), "stored")
-            .when(F.col("final_id").isNull(), "no_page")
-            .otherwise("added")
-            .alias("stage"),
-            F.when(open_ids, F.col("final_id")).alias("page"),
-            "n",
-        )
+        groups.join(held, ["feed", "id"], "left")
+        .join(answers(pages).select("id", "final_id"), "id", "left")
+        .selectExpr("*", stage)
+        .selectExpr("*", "if(stage = 'added', final_id, NULL) AS page")
         .groupBy("feed", "stage", "page")
-        .agg(F.count(F.lit(1)).alias("ids"), F.sum("n").alias("n"))
-    )
-    repeats = per_page.select("feed", F.lit("duplicate").alias("stage"), (F.col("n") - F.col("ids")).alias("n"))
-    same = per_page.filter("stage = 'added'").select(
-        "feed", F.lit("same_page").alias("stage"), (F.col("ids") - 1).alias("n")
-    )
-    final = per_page.select(
-        "feed", "stage", F.when(F.col("stage") == "added", F.lit(1)).otherwise(F.col("ids")).alias("n")
+        .agg(
+            F.count(F.lit(1)).alias("ids"),
+            *[F.sum(c).alias(c) for c in ("invalid", "not_allowed", "blocked", "n")],
+        )
     )
-    rows = lost.unionByName(repeats).unionByName(same).unionByName(final)
-    return rows.groupBy("feed").agg(
-        F.sum("n").alias("collected"),
-        *[F.sum(F.when(F.col("stage") == s, F.col("n")).otherwise(0)).alias(s) for s in STAGES],
+    counts = {
+        "collected": "invalid + not_allowed + blocked + n",
+        "invalid": "invalid",
+        "not_allowed": "not_allowed",
+        "blocked": "blocked",
+        "duplicate": "if(stage = 'failed', 0, n - ids)",
+        "stored": "if(stage = 'stored', ids, 0)",
+        "no_page": "if(stage = 'no_page', ids, 0)",
+        "same_page": "if(stage = 'added', ids - 1, 0)",
+        "added": "if(stage = 'added', 1, 0)",
+    }
+    return per_page.groupBy("feed").agg(
+        *[F.expr(f"CAST(sum({value}) AS BIGINT) AS {name}") for name, value in counts.items()]
     )

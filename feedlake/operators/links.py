@@ -21,14 +21,16 @@ def open_cards(cards: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     ``lists`` has ``board`` and ``idlist``; a board without rows there is not filtered.
     A card without a list fails any filter.
     """
-    kept = cards.filter(~F.coalesce("closed", F.lit(False)))
+    kept = cards.filter("NOT coalesce(closed, false)")
     if lists is None:
         return kept
-    filtered = kept.join(lists.select("board").distinct(), "board", "left_semi").join(
-        lists, ["board", "idlist"], "left_semi"
+    # a board's filter is a handful of list ids, so it travels as one array per board
+    wanted = lists.groupBy("board").agg(F.collect_set("idlist").alias("_wanted"))
+    return (
+        kept.join(wanted, "board", "left")
+        .filter("_wanted IS NULL OR coalesce(array_contains(_wanted, idlist), false)")
+        .select(*cards.columns)
     )
-    free = kept.join(lists.select("board"), "board", "left_anti")
-    return filtered.select(*kept.columns).unionByName(free)
 
 
 _CARD_LINKS = f"concat({L.text_links('name')}, {L.text_links('descr')})"

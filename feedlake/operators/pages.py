@@ -340,7 +340,9 @@ def unanswered(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 def wanted_pages(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """The bodies that are really needed, each once.
 
-    The ids are the small side; with a corpus bucketed by ``page_id`` the bodies do not
-    move at all.
+    The ids are hashed and probed, so bodies are never sorted; with a corpus bucketed by
+    ``page_id`` they do not move either. Spark broadcasts the ids instead where their
+    size is known to be below its threshold.
     """
-    return pages.join(matched.select("page_id").distinct(), "page_id", "left_semi")
+    wanted = matched.select("page_id").distinct()
+    return pages.join(wanted.hint("shuffle_hash"), "page_id", "left_semi")

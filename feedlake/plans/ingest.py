@@ -37,9 +37,8 @@ def items_of(links: DataFrame, pages: DataFrame, as_of: dt.datetime) -> DataFram
     """Items of matched links; each page is parsed once and then joined to its feeds."""
     bodies = PG.with_page_ids(PG.wanted_pages(links, pages))
     parsed = PG.page_items(bodies, as_of, ["page_id"])
-    return parsed.join(links.select("feed", "ord", "page_id"), "page_id").select(
-        "feed", *ITEM_COLUMNS, "ord"
-    )
+    placed = links.select("feed", "ord", "page_id")
+    return parsed.join(placed.hint("shuffle_hash"), "page_id").select("feed", *ITEM_COLUMNS, "ord")
 
 
 def collect_items(
