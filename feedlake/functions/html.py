@@ -32,6 +32,7 @@ _JSON_LD = (
 )
 _HEAD_TAGS = r"(?is)<(?:meta|link)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|section)(?:\s[^>]*|/)?>"
+_MARK = "\u0002"
 # an unclosed paragraph ends at the next block or where the element around it ends
 _PARAGRAPH_END = (
     r"(?is)</?(?:p|div|h[1-6]|li|ul|ol|section|article|main|body|header|footer|nav|aside"
@@ -109,7 +110,7 @@ def article_scope(doc: str) -> str:
         *[
             (
                 matches(doc, rf"(?i)<{name}\b"),
-                extract(doc, rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)"),
+                extract(doc, rf"<(?i:{name})\b[^>]*+>((?:[^<]++|<(?!/(?i:{name})\s*>))*+)"),
             )
             for name in ("article", "main", "body")
         ],
@@ -118,8 +119,14 @@ def article_scope(doc: str) -> str:
 
 
 def text_blocks(fragment: str) -> str:
-    """Non-empty text blocks of a fragment, in order."""
-    return keep(each(f"split({fragment}, {lit('(?i)' + _BLOCK)})", inner_text), lambda b: f"{b} <> ''")
+    """Non-empty text blocks of a fragment, in order.
+
+    Block tags become a mark first, so the text is cleaned once as a whole and not
+    block by block.
+    """
+    marked = substitute(fragment, "(?i)" + _BLOCK, _MARK)
+    pieces = f"split({inner_text(marked)}, {lit(_MARK)})"
+    return keep(each(pieces, lambda b: f"trim({b})"), lambda b: f"{b} <> ''")
 
 
 def paragraph_texts(doc: str, limit: int) -> str:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from feedlake import fixed
-from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, replace, substitute
+from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, lits, replace, substitute
+
+
+# All Unicode white space, as a trim set.
+_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: str) -> str:
     """Trim all Unicode white space at both ends (``trim`` only knows the blank)."""
-    return substitute(c, r"(?U)^\s+|\s+$")
+    return f"btrim({c}, {lit(_SPACE)})"
 
 
 def collapse(c: str) -> str:
@@ -37,13 +44,22 @@ def _numeric_entities(c: str) -> str:
 
 
 def unescape(c: str) -> str:
-    """Decode html entities; text without ``&`` is passed through untouched."""
+    """Decode html entities; text without ``&`` is passed through untouched.
+
+    Only the names that occur in the text are replaced, ``&amp;`` after all others.
+    """
+    others = {name: char for name, char in fixed.ENTITIES if name != "&amp;"}
+    chars = f"map({', '.join(f'{lit(name)}, {lit(char)}' for name, char in others.items())})"
+
+    def numeric(t: str) -> str:
+        return case((f"contains({t}, '&#')", _numeric_entities(t)), otherwise=t)
 
     def decode(t: str) -> str:
-        named = case((f"contains({t}, '&#')", _numeric_entities(t)), otherwise=t)
-        for name, char in fixed.ENTITIES:
-            named = replace(named, name, char)
-        return case((f"contains({t}, '&')", named), otherwise=t)
+        found = keep(
+            f"array_distinct({extract_all(t, '&[A-Za-z]+;')})", lambda n: f"{n} IN ({lits(others)})"
+        )
+        named = fold(found, t, lambda acc, n: f"replace({acc}, {n}, {chars}[{n}])")
+        return case((f"contains({t}, '&')", replace(let(named, numeric), "&amp;", "&")), otherwise=t)
 
     return let(c, decode)
 
