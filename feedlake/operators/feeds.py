@@ -177,7 +177,8 @@ def rss_texts() -> dict[str, str]:
 
 def enclosures(items: DataFrame) -> DataFrame:
     """One row per attachment: ``feed``, ``id``, ``pos``, ``url``, ``type``, ``length``."""
-    return items.select("feed", "id", F.posexplode("attachments").alias("pos", "_a")).select(
+    rows = items.select("feed", "id", F.posexplode_outer("attachments").alias("pos", "_a"))
+    return rows.filter("pos IS NOT NULL").select(
         "feed",
         "id",
         "pos",

@@ -156,7 +156,7 @@ def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataF
     hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host")
     keyed = compiled.filter("key IS NOT NULL").select("feed", "kind", "key").distinct()
     hits = (
-        hosts.selectExpr("feed", "ord", f"explode({_keys('_host', 'url')}) AS key")
+        hosts.selectExpr("feed", "ord", f"explode_outer({_keys('_host', 'url')}) AS key")
         .join(keyed, ["feed", "key"])
         .groupBy("feed", "ord")
         .agg(

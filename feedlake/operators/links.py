@@ -10,9 +10,19 @@ from feedlake.functions import html as H
 from feedlake.functions import links as L
 
 
+def exploded(df: DataFrame, keep: list[str], array: str, names: str = "pos, url") -> DataFrame:
+    """One row per element of a computed array.
+
+    The outer form plus a filter on the position: for the inner form the optimizer infers
+    a filter on the array itself and would compute it two more times.
+    """
+    rows = df.selectExpr(*keep, f"posexplode_outer({array}) AS ({names})")
+    return rows.filter("pos IS NOT NULL")
+
+
 def note_links(notes: DataFrame, keep: list[str], text: str = "content") -> DataFrame:
     """One row per distinct link of each note: ``keep``, ``pos``, ``url``."""
-    return notes.selectExpr(*keep, f"posexplode({L.markdown_links(text)}) AS (pos, url)")
+    return exploded(notes, keep, L.markdown_links(text))
 
 
 def open_cards(cards: DataFrame, lists: DataFrame | None = None) -> DataFrame:
@@ -38,7 +48,7 @@ _CARD_LINKS = f"concat({L.text_links('name')}, {L.text_links('descr')})"
 
 def card_links(cards: DataFrame, keep: list[str]) -> DataFrame:
     """Links of each card, name before description: ``keep``, ``pos``, ``url``."""
-    return cards.selectExpr(*keep, f"posexplode({_CARD_LINKS}) AS (pos, url)")
+    return exploded(cards, keep, _CARD_LINKS)
 
 
 def board_links(cards: DataFrame) -> DataFrame:
@@ -62,9 +72,7 @@ def board_list_counts(cards: DataFrame, lists: DataFrame) -> DataFrame:
 
 def sitemap_links(sitemaps: DataFrame) -> DataFrame:
     """All locations of all landed sitemaps: ``site``, ``candidate``, ``pos``, ``url``."""
-    return sitemaps.selectExpr(
-        "site", "candidate", f"posexplode({L.sitemap_locations('xml')}) AS (pos, url)"
-    )
+    return exploded(sitemaps, ["site", "candidate"], L.sitemap_locations("xml"))
 
 
 def first_sitemap(sitemaps: DataFrame) -> DataFrame:
@@ -86,9 +94,8 @@ def first_sitemap(sitemaps: DataFrame) -> DataFrame:
 def outlinks(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Article links of each stored page: ``keep``, ``pos``, ``url``."""
     found = L.article_links(L.page_links("url", "doc"), "url")
-    return pages.selectExpr(*keep, "url", f"{H.visible('html')} AS doc").selectExpr(
-        *keep, f"posexplode({found}) AS (pos, url)"
-    )
+    docs = pages.selectExpr(*keep, "url", f"{H.visible('html')} AS doc")
+    return exploded(docs, keep, found)
 
 
 def site_links(
@@ -109,11 +116,5 @@ def site_links(
         *keep, "site", f"{L.page_links('site', 'doc')} AS own"
     )
     merged = f"if(size(mapped) >= {limit}, mapped, array_distinct(concat(coalesce(mapped, array()), own)))"
-    return (
-        pages.join(first, "site", "left")
-        .selectExpr(*keep, "site", f"{merged} AS merged")
-        .selectExpr(
-            *keep,
-            f"posexplode(slice({L.article_links('merged', 'site')}, 1, {limit})) AS (pos, url)",
-        )
-    )
+    both = pages.join(first, "site", "left").selectExpr(*keep, "site", f"{merged} AS merged")
+    return exploded(both, keep, f"slice({L.article_links('merged', 'site')}, 1, {limit})")

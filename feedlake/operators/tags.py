@@ -33,8 +33,8 @@ def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Term frequencies: ``key``, ``term``, ``tf``. Whole texts are read."""
     token = r"[\p{L}][\p{L}\p{N}-]{2,29}"
     return (
-        texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(token), 0)).alias("term"))
-        .filter(f"term NOT IN ({lits(fixed.STOP_WORDS)})")
+        texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(token), 0)).alias("term"))
+        .filter(f"term IS NOT NULL AND term NOT IN ({lits(fixed.STOP_WORDS)})")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -76,7 +76,7 @@ def add_topics(items: DataFrame, topics: DataFrame) -> DataFrame:
 def tag_rollup(items: DataFrame) -> DataFrame:
     """Items per feed and tag."""
     return (
-        items.select("feed", F.explode("tags").alias("tag"))
+        items.select("feed", F.explode_outer("tags").alias("tag"))
         .filter("tag <> ''")
         .groupBy("feed", "tag")
         .agg(F.count(F.lit(1)).alias("items"))

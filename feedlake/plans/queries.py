@@ -245,7 +245,7 @@ def body_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return _blocks(spark, sf).selectExpr("page_id", "posexplode(blocks) AS (pos, block)")
+    return LNK.exploded(_blocks(spark, sf), ["page_id"], "blocks", "pos, block")
 
 
 def article_bodies(spark: SparkSession, sf: str) -> DataFrame:

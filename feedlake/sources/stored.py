@@ -73,8 +73,9 @@ def stored_items(documents: DataFrame) -> DataFrame:
         .select(
             "feed",
             F.coalesce("_d._page", F.lit(1)).alias("page"),
-            F.posexplode("_d.items").alias("pos", "_i"),
+            F.posexplode_outer("_d.items").alias("pos", "_i"),
         )
+        .filter("pos IS NOT NULL")
         .select("feed", "page", "pos", "_i.*")
     )
     return rows.selectExpr(
