@@ -81,7 +81,7 @@ def meta_name(tags: str, key: str) -> str:
 
 
 def _without_tags(fragment: str) -> str:
-    return substitute(fragment, r"(?s)<[^>]*>", " ")
+    return substitute(fragment, r"<[^<>]*+>", " ")
 
 
 def inner_text(fragment: str) -> str:
