@@ -16,6 +16,7 @@ from feedlake.functions.sql import (
     first_nonempty,
     fold,
     keep,
+    let,
     lit,
     lits,
     matches,
@@ -195,32 +196,37 @@ def anchors(doc: str) -> str:
     every = r"(?is)</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     tags = f"if({matches(doc, hint)}, {extract_all(doc, every)}, {extract_all(doc, some)})"
 
-    def parsed(tag: str) -> str:
-        return (
-            f"named_struct('name', lower({extract(tag, r'^</?([A-Za-z][A-Za-z0-9-]*)')}),"
-            f" 'step', CASE WHEN startswith({tag}, '</') THEN -1 WHEN endswith({tag}, '/>') THEN 0 ELSE 1 END,"
-            f" 'marked', {matches(tag, class_rx)},"
-            f" 'href', if({matches(tag, r'^<[aA]\s')}, {unescape(attribute(tag, 'href'))}, NULL))"
-        )
-
-    links = "array<struct<href:string,scoped:boolean>>"
-    start = f"named_struct('name', '', 'depth', 0, 'links', CAST(array() AS {links}))"
+    parsed = (
+        f"transform({tags}, (tag, i) -> named_struct('pos', i,"
+        f" 'name', lower({extract('tag', r'^</?([A-Za-z][A-Za-z0-9-]*)')}),"
+        " 'step', CASE WHEN startswith(tag, '</') THEN -1 WHEN endswith(tag, '/>') THEN 0 ELSE 1 END,"
+        f" 'marked', {matches('tag', class_rx)},"
+        f" 'href', if({matches('tag', r'^<[aA]\s')}, {unescape(attribute('tag', 'href'))}, NULL)))"
+    )
 
-    def step(acc: str, tag: str) -> str:
+    def spans(all_tags: str) -> str:
+        """First and last tag position of each article-like element; few per page."""
         opens = (
-            f"({acc}.depth = 0 AND {tag}.step = 1 AND"
-            f" ({tag}.name IN ({lits(fixed.SCOPE_TAGS)}) OR {tag}.marked))"
+            "(acc.depth = 0 AND t.step = 1 AND"
+            f" (t.name IN ({lits(fixed.SCOPE_TAGS)}) OR t.marked))"
         )
-        scoped = f"({acc}.depth > 0 OR {matches(f'{tag}.href', '|'.join(fixed.SCOPE_PATHS))})"
-        depth = case(
-            (f"{acc}.depth > 0 AND {tag}.name = {acc}.name", f"{acc}.depth + {tag}.step"),
-            (opens, "1"),
-            otherwise=f"{acc}.depth",
+        same = "(acc.depth > 0 AND t.name = acc.name)"
+        depth = case((same, "acc.depth + t.step"), (opens, "1"), otherwise="acc.depth")
+        closed = f"if({same} AND acc.depth + t.step = 0, concat(acc.done, array(named_struct('lo', acc.lo, 'hi', t.pos))), acc.done)"
+        return (
+            f"aggregate({all_tags},"
+            " named_struct('name', '', 'depth', 0, 'lo', -1, 'done', CAST(array() AS array<struct<lo:int,hi:int>>)),"
+            f" (acc, t) -> named_struct('name', if({opens}, t.name, acc.name), 'depth', {depth},"
+            f" 'lo', if({opens}, t.pos, acc.lo), 'done', {closed}),"
+            " acc -> if(acc.depth > 0, concat(acc.done, array(named_struct('lo', acc.lo, 'hi', 2147483647))), acc.done))"
         )
+
+    def links(all_tags: str, scopes: str) -> str:
+        inside = f"exists({scopes}, s -> a.pos > s.lo AND a.pos < s.hi)"
+        by_path = matches("a.href", "|".join(fixed.SCOPE_PATHS))
         return (
-            f"named_struct('name', if({opens}, {tag}.name, {acc}.name), 'depth', {depth},"
-            f" 'links', if({tag}.href <> '', concat({acc}.links,"
-            f" array(named_struct('href', {tag}.href, 'scoped', {scoped}))), {acc}.links))"
+            f"transform(filter({all_tags}, t -> t.href <> ''),"
+            f" a -> named_struct('href', a.href, 'scoped', {inside} OR {by_path}))"
         )
 
-    return fold(each(tags, parsed), start, step, finish="links")
+    return let(parsed, lambda found: let(spans(found), lambda scopes: links(found, scopes)))
