@@ -157,3 +157,10 @@ def test_site_links_top_up(spark):
     assert run(2, 3) == ["s1", "s2", "p1"]
     assert run(5, 3) == ["s1", "s2", "s3"]
     assert run(0, 3) == ["p1", "s2"]
+
+
+def test_large_pages_stay_linear(spark, value):
+    """Tens of thousands of links and of stray brackets, no stack overflow, no quadratic scan."""
+    body = "".join(f'<p>t &amp; u <a href="/x/{i}">l</a></p>' for i in range(20_000))
+    assert len(_links(spark, "https://h.com/", f'<div class="post">{body}</div>')) == 20_000
+    assert value(f"length({H.inner_text('x')})", x="a" + "< " * 200_000) == 400_000
