@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, packing, reshard
+from feedlake.llm import bpe, minhash, packing, reshard, suffixes
 from feedlake.llm.batches import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = reshard.reshard(table(spark, sf_dir, "documents"), 16)
     return placed.select(
@@ -27,5 +35,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, size=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_reshard, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffixes, op5_reshard, op9_packing)}
 SQL: dict[str, str] = {}
