@@ -33,7 +33,7 @@ from feedlake.llm.words import encoder, pieces, ragged_take, split_texts
 from feedlake.session import materialise
 
 #: Bytes of text whose distinct words are gathered before they are sent.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 48 << 20
 #: Parts into which the words of a chunk are dealt by hash.
 BUCKETS = 64
 #: Distinct words that a task remembers; beyond it starts afresh.
@@ -46,7 +46,7 @@ _IDS = "chunk string, at binary, ids binary, counts binary"
 def _packed(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 9)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -74,7 +74,7 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
                     raw = [listed[i].encode() for i in at]
                     yield {
                         "chunk": [f"{task}-{number}"], "bucket": [b], "doc_ids": [None], "bounds": [None], "codes": [None],
-                        "at": [_packed(np.diff(at, prepend=0))], "words": [zstandard.compress(b"".join(raw), 3)],
+                        "at": [_packed(np.diff(at, prepend=0))], "words": [zstandard.compress(b"".join(raw), 9)],
                         "sizes": [_packed(np.fromiter(map(len, raw), np.int64, len(raw)))],
                     }
 
