@@ -53,3 +53,27 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, parsed)
+
+
+def append_columns(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
+    """All columns of ``df`` and those that ``function`` computes for a slice of rows.
+
+    A column of ``df`` that has the name of a new one is replaced.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(schema)
+    taken = {n.lower() for n in new.names}
+    df = df.select([f"`{c}`" for c in df.columns if c.lower() not in taken])
+    whole = StructType([*df.schema, *new])
+    arrow = to_arrow_schema(whole)
+    added = list(arrow)[len(df.columns) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, column):
+            found = function(batch)
+            own = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(found[f.name], f.type) for f in added)], schema=arrow)
+
+    return df.mapInArrow(run, whole)

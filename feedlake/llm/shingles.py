@@ -36,8 +36,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts ``data[bounds[i]:bounds[i+1]]``, and where each text's words begin."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of the texts ``data[bounds[i]:bounds[i+1]]``, and each text's first word."""
     inside = ~_SPACE[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -56,7 +56,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         s, e = starts[low:high] - a, ends[low:high] - a
         hashes[low:high] = mixed((sums[e] - sums[s]) * _powers(_INVERSE, b - a)[s] + (e - s).astype(np.uint64))
         low = high
-    return hashes, np.searchsorted(starts, bounds)
+    return hashes, starts, ends, np.searchsorted(starts, bounds)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -66,7 +66,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     text of fewer words has one shingle, all of them; a text without words, or null, has none.
     """
     data, bounds = joined_bytes(column)
-    hashes, first = word_hashes(data, bounds)
+    hashes, _, _, first = word_hashes(data, bounds)
     n = len(hashes)
     full = np.zeros(max(0, n - words + 1), np.uint64)
     for k in range(words):
