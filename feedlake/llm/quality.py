@@ -176,10 +176,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
     return Network().fit(texts, known) if texts else None
 
 
-def scored(docs: DataFrame, network: Network | None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher is better) from the whole ``text``."""
+def scored(docs: DataFrame, network: Network | None, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, the score (0 to 1, higher is better) of the whole ``text``."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"score": np.ones(batch.num_rows) if network is None else network.scores(batch.column(batch.schema.get_field_index("text")))}
+        return {column: np.ones(batch.num_rows) if network is None else network.scores(batch.column(batch.schema.get_field_index("text")))}
 
-    return append_columns(docs, run, "score double")
+    return append_columns(docs, run, f"`{column}` double")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, minhash, packing, reshard, suffixes
+from feedlake.llm import bpe, chat, fingerprints, html_text, minhash, neighbours, packing, quality, reshard, suffixes
 from feedlake.llm.batches import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,7 +21,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), kept="sha256")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fitted(pages)).select("page_id", "url", "text", "n_chars")
 
 
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +36,29 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, size=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffixes, op5_reshard, op9_packing)}
-SQL: dict[str, str] = {}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffixes, op4_html, op5_reshard, op6_chat, op7_quality, op8_neighbours, op9_packing, op10_fingerprints)}
+#: Chat formatting alone can be said in SQL; the others are tested against brute force, other libraries or held-out labels.
+SQL: dict[str, str] = {"op6_chat": chat.SQL}

@@ -242,14 +242,19 @@ def _removed(ranges: list[dict] | None, length: int) -> tuple[np.ndarray, int]:
     return flags, int(flags[:1].sum() + (flags[1:] & ~flags[:-1]).sum())
 
 
-def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
+#: What becomes of the bytes that are left: themselves, a text without the parts of cut characters, or their SHA-256.
+KEPT = {"bytes": "kept binary", "text": "kept string", "sha256": "kept_sha256 string"}
+
+
+def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
     """``docs`` without every byte that a ``SIZE``-byte string covers which also starts earlier.
 
     Earlier is in a row of smaller ``doc_id`` or further to the front of the same text. Strings never cross texts
-    and are judged on the input. The other columns come first, then ``n_bytes, n_removed, n_spans`` and ``kept`` (binary), or with
-    ``digest`` its SHA-256 as ``kept_sha256``.
+    and are judged on the input. The other columns come first (those named like a new one are replaced), then ``n_bytes, n_removed,
+    n_spans`` and what ``kept`` names in ``KEPT``.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    new = {"text", "n_bytes", "n_removed", "n_spans", KEPT[kept].split()[0]}
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("ord"), F.crc32(text).alias("crc"), text.alias("text"))
     table = run_table(keyed)
@@ -263,8 +268,9 @@ def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     earlier = ranges.where("NOT open").drop("open").unionByName(windows)
     marked = keyed.join(gathered(earlier, "cut"), ["ord", "crc"], "left").select("row", "text", "cut")
 
-    fields = [f for f in docs.schema if f.name != "text"]
-    own = _parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary"))
+    fields = [f for f in docs.schema if f.name not in new]
+    own = _parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, " + KEPT[kept])
+    made = {"bytes": lambda b: b, "text": lambda b: b.decode("utf-8", errors="ignore"), "sha256": lambda b: hashlib.sha256(b).hexdigest()}[kept]
     schema = StructType([marked.schema["row"], *own])
     arrow = to_arrow_schema(own)
     row_type = to_arrow_schema(StructType([marked.schema["row"]]))
@@ -275,8 +281,7 @@ def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
             out: dict[str, list] = {f.name: [] for f in own}
             for low, high, found in zip(bounds[:-1], bounds[1:], batch.column("cut").to_pylist(), strict=True):
                 flags, spans = _removed(found, high - low)
-                kept = data[low:high][~flags].tobytes()
-                for n, v in (("n_bytes", high - low), ("n_removed", int(flags.sum())), ("n_spans", spans), ("kept_sha256", hashlib.sha256(kept).hexdigest()) if digest else ("kept", kept)):
+                for n, v in zip(own.names, (high - low, int(flags.sum()), spans, made(data[low:high][~flags].tobytes())), strict=True):
                     out[n].append(v)
             columns = [batch.column("row").cast(row_type.field(0).type), *(pa.array(out[f.name], f.type) for f in arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([row_type.field(0), *arrow]))
