@@ -135,8 +135,12 @@ def run_table(keyed: DataFrame) -> DataFrame:
             repeat[order] = _seen_before(anchor[order], whole[order])
             again = np.zeros(len(order), bool)  # the same place of the same document: a repeated row
             again[order] = _seen_before(anchor[order], whole[order], ord_[order], crc[order], low[order])
-            keep = ~again
-            yield {n: v[keep] for n, v in (("anchor", anchor), ("whole", whole), ("ord", ord_), ("crc", crc), ("low", low), ("high", high), ("settled", repeat))}
+            # settled runs that follow each other become one
+            joined = np.zeros(len(order), bool)
+            joined[1:] = repeat[1:] & repeat[:-1] & (first[1:] == last[:-1] + 1) & (ord_[1:] == ord_[:-1]) & (low[1:] > low[:-1])
+            high = high[np.append(np.flatnonzero(~joined)[1:] - 1, len(order) - 1)]
+            keep = ~again[~joined]
+            yield {n: v[~joined][keep] for n, v in (("anchor", anchor), ("whole", whole), ("ord", ord_), ("crc", crc), ("low", low))} | {"high": high[keep], "settled": repeat[~joined][keep]}
 
     return map_arrow(keyed.select("ord", "crc", "text"), run, f"anchor bigint, whole bigint, {_RANGE}, settled boolean")
 
@@ -181,7 +185,8 @@ def refine_runs(table: DataFrame, common: list[int]) -> DataFrame:
             carry = {c: rows[c][keep] for c in names} | {"done": done[keep].astype(np.int64)}
 
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.when(F.col("anchor").isin(common), F.col("whole")).otherwise(F.col("anchor")) if common else F.col("anchor")
+    # settled rows wait for nobody
+    key = F.when(F.col("settled"), F.xxhash64("ord", "low")).when(F.col("anchor").isin(common), F.col("whole")).otherwise(F.col("anchor"))
     dealt = table.withColumn("key", key).repartition(n, "key").sortWithinPartitions("anchor", "whole", "ord", "crc", "low").drop("key")
     return map_arrow(dealt, run, f"{_RANGE}, open boolean")
 
