@@ -39,6 +39,9 @@ BUCKETS = 64
 #: Distinct words that a task remembers; beyond it starts afresh.
 REMEMBERED = 500_000
 
+#: Positions from here on are kept apart.
+_LARGE = 250
+
 _CHUNKS = "chunk string, bucket int, doc_ids array<bigint>, bounds array<int>, codes binary, at binary, words binary, sizes binary"
 _IDS = "chunk string, at binary, ids binary, counts binary"
 
@@ -54,6 +57,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Positions in a list that begins with the most frequent: one byte each, and the larger ones apart."""
+    low = zstandard.compress(np.minimum(codes, _LARGE).astype(np.uint8).tobytes(), 9)
+    return len(low).to_bytes(4, "little") + low + _packed(codes[codes >= _LARGE])
+
+
+def _unpacked_codes(data: bytes) -> np.ndarray:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    codes = np.frombuffer(zstandard.decompress(data[4:cut]), np.uint8).astype(np.uint32)
+    codes[codes == _LARGE] = _unpacked(data[cut:])
+    return codes
+
+
 def chunked(docs: DataFrame, path: str) -> DataFrame:
     """Rows of two kinds: some texts of a chunk as positions, and a part of the chunk's words."""
 
@@ -61,19 +77,33 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
         special = encoder(path).special_text
         task, number = TaskContext.get().partitionId(), 0
         place: dict[str, int] = {}
-        held = 0
-
-        def words() -> Iterator[dict]:
+        held: list[tuple] = []
+        held_bytes = 0
+
+        def chunk() -> Iterator[dict]:
+            name = [f"{task}-{number}"]
+            counts = np.zeros(len(place), np.int64)
+            for _, _, codes in held:
+                counts += np.bincount(codes, minlength=len(place))
+            by_count = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(place), np.uint32)
+            rank[by_count] = np.arange(len(place))
+            for doc_ids, bounds, codes in held:
+                yield {
+                    "chunk": name, "bucket": [None], "doc_ids": [doc_ids], "bounds": [bounds],
+                    "codes": [_packed_codes(rank[codes])], "at": [None], "words": [None], "sizes": [None],
+                }
             listed = list(place)
-            bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in listed), np.int64, len(listed))
+            listed = [listed[i].encode() for i in by_count]
+            bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in listed), np.int64, len(listed))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
             for b in range(BUCKETS):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
-                    raw = [listed[i].encode() for i in at]
+                    raw = [listed[i] for i in at]
                     yield {
-                        "chunk": [f"{task}-{number}"], "bucket": [b], "doc_ids": [None], "bounds": [None], "codes": [None],
+                        "chunk": name, "bucket": [b], "doc_ids": [None], "bounds": [None], "codes": [None],
                         "at": [_packed(np.diff(at, prepend=0))], "words": [zstandard.compress(b"".join(raw), 9)],
                         "sizes": [_packed(np.fromiter(map(len, raw), np.int64, len(raw)))],
                     }
@@ -81,16 +111,14 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
         for batch in text_slices(batches):
             texts = batch.column("text")
             split = split_texts(texts.to_pylist(), special)
-            local = np.fromiter((place.setdefault(w, len(place)) for w in split.words.to_pylist()), np.int64, len(split.words))
-            yield {
-                "chunk": [f"{task}-{number}"], "bucket": [None], "doc_ids": [batch.column("doc_id").to_pylist()],
-                "bounds": [split.bounds], "codes": [_packed(local[split.codes])], "at": [None], "words": [None], "sizes": [None],
-            }
-            held += texts.nbytes
-            if held >= CHUNK_BYTES:
-                yield from words()
-                place, held, number = {}, 0, number + 1
-        yield from words()
+            local = np.fromiter((place.setdefault(w, len(place)) for w in split.words.to_pylist()), np.int32, len(split.words))
+            held.append((batch.column("doc_id").to_pylist(), split.bounds, local[split.codes]))
+            held_bytes += texts.nbytes
+            if held_bytes >= CHUNK_BYTES:
+                yield from chunk()
+                place, held, held_bytes, number = {}, [], 0, number + 1
+        if held:
+            yield from chunk()
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _CHUNKS)
 
@@ -174,7 +202,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
         table = Pieces(path) if digest else None
         out: dict[str, list] = {f.name: [] for f in arrow}
         for group in left.select(["doc_ids", "bounds", "codes"]).to_pylist():
-            codes = row[_unpacked(group["codes"])]
+            codes = row[_unpacked_codes(group["codes"])]
             bounds = group["bounds"]
             for doc_id, low, high in zip(group["doc_ids"], bounds[:-1], bounds[1:], strict=True):
                 found = ragged_take(flat, starts, codes[low:high])[0].astype("<u4")
