@@ -58,7 +58,7 @@ def _own_tokens(name: str, attributes: str) -> list[int]:
 def blocks(html: str | None) -> list[Block]:
     """The text blocks of a page in its order.
 
-    Blocks end where an element begins or ends that isn't inline. Badly nested and cut-off pages are read as far as they go; elements
+    Blocks end where an element begins or ends that is neither inline nor unread. Badly nested and cut-off pages are read as far as they go; elements
     in ``UNREAD``, comments and markup have no text.
     """
     if not html:
@@ -106,7 +106,7 @@ def blocks(html: str | None) -> list[Block]:
         if name == "br":
             read(" ") if not pieces else pieces.append(" ")
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in UNREAD:
             flush()
         if closing:
             for k in range(len(stack) - 1, 0, -1):

@@ -149,10 +149,14 @@ def measured(docs: DataFrame, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS
 
 
 def block_plan(sized: DataFrame, shards: int, blocks: int = BLOCKS) -> DataFrame:
-    """``block, shard, old_shard, first_slot``: one row for each block that has rows."""
-    rows = sized.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas()  # OLD_SHARDS * BLOCKS at most
+    """``block, shard, old_shard, first_slot``: one row for each block that has rows.
+
+    ``sized`` may say in ``shard`` where a block is now.
+    """
+    now = F.min("shard") if "shard" in sized.columns else F.expr(f"min(block div {blocks})")
+    rows = sized.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), now.alias("old")).toPandas()  # OLD_SHARDS * BLOCKS at most
     rows = rows.sort_values("block").reset_index(drop=True)
-    old = (rows["block"] // blocks).to_numpy(np.int64)
+    old = rows["old"].to_numpy(np.int64)
     rows["shard"] = place_blocks(old, rows["bytes"].to_numpy(np.int64), shards).astype(np.int32)
     rows["old_shard"] = old.astype(np.int32)
     rows["first_slot"] = rows.groupby("shard")["rows"].cumsum() - rows["rows"]
@@ -185,7 +189,7 @@ def rewrite(spark: SparkSession, path: str, shards: int = 16) -> list[int]:
     """Moves the blocks of a stored layout; rewrites affected shards only, and returns their numbers."""
     stored = spark.read.parquet(path)
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint") + 1
-    plan = block_plan(stored.select("block", size.alias("size")), shards)
+    plan = block_plan(stored.select("block", "shard", size.alias("size")), shards)
     moved = plan.where("shard <> old_shard").select("old_shard", "shard").distinct().collect()  # pairs of shards
     affected = sorted({x for row in moved for x in row})
     if not affected:
