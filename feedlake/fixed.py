@@ -100,8 +100,6 @@ UNKNOWN_TYPE = "application/octet-stream"
 SUMMARY_CHARS = 500
 SUMMARY_BLOCKS = 4
 SUMMARY_MIN_CHARS = 100
-BODY_DATE_BLOCKS = 5
-BODY_DATE_CHARS = 1000
 TAG_MIN_CHARS = 2
 TAG_MAX_CHARS = 30
 MAX_TAGS = 5
@@ -119,7 +117,12 @@ NO_DESCRIPTION = "No description"
 NO_DATE = "Unknown"
 NO_FEEDS = "<li>No feeds found</li>"
 
-# --- fixed values: html entity names that are decoded (amp stays last) ---------
+# --- fixed values: elements without an end tag ---------------------------------
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+)
+
+# --- fixed values: entity names that the check SQL decodes (amp stays last) -----
 ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),

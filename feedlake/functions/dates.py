@@ -9,16 +9,22 @@ from __future__ import annotations
 from feedlake.functions.sql import case, extract, let, lit, matches, replace, substitute
 from feedlake.functions.text import collapse, strip
 
-_ISO = (
-    r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?\s?"
-    r"(Z|z|[+-]\d{2}:?\d{2})?$"
-)
 _WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
 _MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_NAMED_US = rf"^(?i:({_MONTHS})[a-z]*\.?) (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})$"
-_NAMED_EU = (
-    rf"^(\d{{1,2}}) (?i:({_MONTHS})[a-z]*\.?),? (\d{{4}})"
-    r"(?: (\d{2}:\d{2}(?::\d{2})?)(?: (GMT|UTC|Z|[+-]\d{2}:?\d{2}))?)?$"
+_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?:\s?([AaPp])\.?[Mm]\.?)?"
+_ZONE = r"\(?(Z|z|[A-Z]{2,4}|[+-]\d{2}(?::?\d{2})?)\)?"
+_TAIL = rf"(?:(?:[Tt]|,? (?:at )?){_TIME})?(?:\s?{_ZONE})?$"
+_MONTH = rf"(?i:({_MONTHS})[a-z]*\.?)"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+# what a date may look like, and its year, month, day, time, half of the day and zone
+_SHAPES = (
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}", "$1|$2|$3|$4|$5|$6"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TAIL}", "$1|$2|$3|$4|$5|$6"),
+    (rf"^(1[3-9]|[23]\d)[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}", "$3|$2|$1|$4|$5|$6"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}", "$3|$1|$2|$4|$5|$6"),
+    (rf"^{_MONTH} {_DAY},? (\d{{4}}){_TAIL}", "$3|$1|$2|$4|$5|$6"),
+    (rf"^{_DAY}[ -]{_MONTH},?[ -](\d{{4}}){_TAIL}", "$3|$2|$1|$4|$5|$6"),
+    (rf"^{_MONTH} {_DAY} {_TIME}(?: {_ZONE})? (\d{{4}})$", "$6|$1|$2|$3|$4|$5"),
 )
 _IN_TEXT = (
     rf"\b(?i:({_MONTHS})(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?)"
@@ -33,53 +39,43 @@ def _ymd(year: str, month_name: str, day: str) -> str:
     return f"concat_ws('-', {year}, lpad({month}, 2, '0'), lpad({day}, 2, '0'))"
 
 
-def _offset(raw: str) -> str:
-    """``+hh:mm`` from any offset spelling; NULL if there is none."""
-    return let(
-        raw,
-        lambda z: case(
-            (f"{z} = ''", "NULL"),
-            (f"upper({z}) IN ('Z', 'GMT', 'UTC')", "'+00:00'"),
-            otherwise=substitute(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"),
-        ),
+def _offset(z: str) -> str:
+    """``+hh:mm`` from any offset spelling; NULL if there is none, or only a name that has no fixed meaning."""
+    return case(
+        (f"upper({z}) IN ('Z', 'GMT', 'UTC')", "'+00:00'"),
+        (matches(z, r"^[+-]\d{2}$"), f"concat({z}, ':00')"),
+        (matches(z, r"^[+-]\d{2}:?\d{2}$"), substitute(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")),
     )
 
 
-def _clock(raw: str) -> str:
-    return let(raw, lambda t: f"if({t} = '', '00:00:00', {t})")
+def _clock(time: str, half: str) -> str:
+    """Time of day on a clock of 24 hours."""
+    hour = f"CAST(substring_index({time}, ':', 1) AS INT)"
+    shift = case((f"upper({half}) = 'P' AND {hour} < 12", "12"), (f"upper({half}) = 'A' AND {hour} = 12", "-12"), otherwise="0")
+    rest = f"substring({time}, instr({time}, ':'))"
+    return f"if({time} = '', '00:00:00', concat(lpad(CAST({hour} + {shift} AS STRING), 2, '0'), {rest}))"
 
 
 def parse_date(raw: str) -> str:
     """``struct<local timestamp_ntz, zone string>``; NULL local if unreadable.
 
-    Reads ISO dates with optional time, fraction and offset, ``Month d, yyyy``,
-    ``d Month yyyy`` and mail-style dates.
+    Reads year-first and year-last numeric dates (month before day where both are possible), English month
+    names before or after the day, mail-style dates and those of the C library, each with optional time and zone.
     """
     return let(substitute(collapse(strip(raw)), _WEEKDAY), _parsed)
 
 
 def _parsed(text: str) -> str:
-    local = case(
-        (
-            matches(text, _ISO),
-            f"concat_ws(' ', {extract(text, _ISO)}, {_clock(extract(text, _ISO, 2))})",
-        ),
-        (
-            matches(text, _NAMED_US),
-            _ymd(extract(text, _NAMED_US, 3), extract(text, _NAMED_US, 1), extract(text, _NAMED_US, 2)),
-        ),
-        (
-            matches(text, _NAMED_EU),
-            "concat_ws(' ', "
-            + _ymd(extract(text, _NAMED_EU, 3), extract(text, _NAMED_EU, 2), extract(text, _NAMED_EU, 1))
-            + f", {_clock(extract(text, _NAMED_EU, 4))})",
-        ),
-    )
-    zone = case(
-        (matches(text, _ISO), _offset(extract(text, _ISO, 3))),
-        (matches(text, _NAMED_EU), _offset(extract(text, _NAMED_EU, 5))),
-    )
-    return f"named_struct('local', try_cast({local} AS TIMESTAMP_NTZ), 'zone', {zone})"
+    fields = case(*((matches(text, rx), substitute(text, rx, order)) for rx, order in _SHAPES))
+
+    def read(p: str) -> str:
+        numeric = f"concat_ws('-', {p}[0], lpad({p}[1], 2, '0'), lpad({p}[2], 2, '0'))"
+        day = f"if({matches(f'{p}[1]', '^[0-9]')}, {numeric}, {_ymd(f'{p}[0]', f'{p}[1]', f'{p}[2]')})"
+        local = f"try_cast(concat_ws(' ', {day}, {_clock(f'{p}[3]', f'{p}[4]')}) AS TIMESTAMP_NTZ)"
+        return f"named_struct('local', {local}, 'zone', {_offset(f'{p}[5]')})"
+
+    nothing = "named_struct('local', CAST(NULL AS TIMESTAMP_NTZ), 'zone', CAST(NULL AS STRING))"
+    return let(f"split({fields}, '[|]', -1)", lambda p: f"if({p} IS NULL, {nothing}, {read(p)})")
 
 
 def instant(local: str, zone: str) -> str:

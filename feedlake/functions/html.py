@@ -107,14 +107,25 @@ def first_heading(doc: str) -> str:
 
 def article_scope(doc: str) -> str:
     """Inner html of the first ``<article>``, else ``<main>``, else ``<body>``, else all."""
-    return case(
-        *[
-            (
-                matches(doc, rf"(?i)<{name}\b"),
-                extract(doc, rf"<(?i:{name})\b[^>]*+>((?:[^<]++|<(?!/(?i:{name})\s*>))*+)"),
+
+    def inner(name: str) -> str:
+        """Up to the end tag that balances; elements of the same name may lie inside."""
+        end, begin = rf"(?i)</{name}\s*>", rf"(?i)<{name}\b[^>]*+>"
+        start = "named_struct('depth', 1, 'taken', 0)"
+
+        def parts(pieces: str) -> str:
+            depth = f"(acc.depth + regexp_count(piece, {lit(begin)}) - 1)"
+            taken = (
+                f"aggregate({pieces}, {start}, (acc, piece) -> if(acc.depth = 0, acc,"
+                f" named_struct('depth', {depth}, 'taken', acc.taken + 1)), acc -> acc.taken)"
             )
-            for name in ("article", "main", "body")
-        ],
+            return f"array_join(slice({pieces}, 1, {taken}), '</{name}>')"
+
+        rest = extract(doc, rf"(?is)<{name}\b[^>]*+>(.*)")
+        return let(f"split({rest}, {lit(end)}, -1)", parts)
+
+    return case(
+        *[(matches(doc, rf"(?i)<{name}\b"), inner(name)) for name in ("article", "main", "body")],
         otherwise=doc,
     )
 
@@ -125,7 +136,7 @@ def text_blocks(fragment: str) -> str:
     Block tags become a mark first, so the text is cleaned once as a whole and not
     block by block.
     """
-    marked = substitute(fragment, "(?i)" + _BLOCK, _MARK)
+    marked = substitute(replace(fragment, _MARK, " "), "(?i)" + _BLOCK, _MARK)
     pieces = f"split({inner_text(marked)}, {lit(_MARK)})"
     return keep(each(pieces, lambda b: f"trim({b})"), lambda b: f"{b} <> ''")
 
@@ -186,7 +197,7 @@ def anchors(doc: str) -> str:
     so unclosed inner tags do no harm. Pages without article-like classes only need
     their anchor, article and main tags looked at.
     """
-    classes = "|".join(fixed.SCOPE_CLASSES)
+    classes, void = "|".join(fixed.SCOPE_CLASSES), "|".join(fixed.VOID_TAGS)
     class_rx = (
         rf"(?s)^<[^>]*[\s\"'](?i:class)\s*=\s*(?:\"(?:[^\"]*\s)?(?:{classes})(?:\s[^\"]*)?\""
         rf"|'(?:[^']*\s)?(?:{classes})(?:\s[^']*)?'|(?:{classes})[\s>])"
@@ -199,7 +210,8 @@ def anchors(doc: str) -> str:
     parsed = (
         f"transform({tags}, (tag, i) -> named_struct('pos', i,"
         f" 'name', lower({extract('tag', r'^</?([A-Za-z][A-Za-z0-9-]*)')}),"
-        " 'step', CASE WHEN startswith(tag, '</') THEN -1 WHEN endswith(tag, '/>') THEN 0 ELSE 1 END,"
+        f" 'step', CASE WHEN {matches('tag', rf'^(?i)</?(?:{void})\b')} OR endswith(tag, '/>') THEN 0"
+        " WHEN startswith(tag, '</') THEN -1 ELSE 1 END,"
         f" 'marked', {matches('tag', class_rx)},"
         f" 'href', if({matches('tag', r'^<[aA]\s')}, {unescape(attribute('tag', 'href'))}, NULL)))"
     )

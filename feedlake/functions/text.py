@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+from html.entities import html5
+
 from feedlake import fixed
-from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, lits, replace, substitute
+from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, replace, substitute
 
 
 # All Unicode white space, as a trim set.
@@ -26,21 +29,30 @@ def collapse(c: str) -> str:
 def _numeric_entities(c: str) -> str:
     """Decode ``&#8217;`` and ``&#x2019;`` forms."""
 
-    def usable(code: str) -> str:
-        number = f"CAST({code} AS INT)"
-        return f"({number} > 0 AND {number} NOT BETWEEN 55296 AND 57343)"
+    def usable(digits: str, base: int) -> str:
+        """A code point of Unicode, however many zeros stand before it."""
+        short = f"ltrim('0', {digits})"
+        number = f"CAST(conv({short}, {base}, 10) AS INT)"
+        return f"(length({short}) BETWEEN 1 AND 7 AND {number} <= 1114111 AND {number} NOT BETWEEN 55296 AND 57343)"
 
     def decoded(text: str, digits: str, hexa: str) -> str:
         char = f"decode(unhex(lpad({hexa}, 8, '0')), 'UTF-32')"
         return f"replace({text}, concat('&#', {digits}, ';'), {char})"
 
-    decimal = keep(f"array_distinct({extract_all(c, '&#([0-9]{1,6});', 1)})", usable)
-    step1 = fold(decimal, c, lambda acc, d: decoded(acc, d, f"conv({d}, 10, 16)"))
+    decimal = keep(f"array_distinct({extract_all(c, '&#([0-9]+);', 1)})", lambda d: usable(d, 10))
+    step1 = fold(decimal, c, lambda acc, d: decoded(acc, d, f"conv(ltrim('0', {d}), 10, 16)"))
     hexa = keep(
-        f"array_distinct({extract_all(c, '&#([xX][0-9A-Fa-f]{1,5});', 1)})",
-        lambda d: usable(f"conv(substring({d}, 2), 16, 10)"),
+        f"array_distinct({extract_all(c, '&#([xX][0-9A-Fa-f]+);', 1)})",
+        lambda d: usable(f"substring({d}, 2)", 16),
     )
-    return fold(hexa, step1, lambda acc, d: decoded(acc, d, f"substring({d}, 2)"))
+    return fold(hexa, step1, lambda acc, d: decoded(acc, d, f"ltrim('0', substring({d}, 2))"))
+
+
+@cache
+def _named_entities() -> str:
+    """All named html entities but ``&amp;``, as a map that is folded to a constant."""
+    names = {n: c for n, c in html5.items() if n.endswith(";") and n.lower() != "amp;"}
+    return f"str_to_map({lit(chr(1).join(f'&{n}{chr(2)}{c}' for n, c in names.items()))}, '\\u0001', '\\u0002')"
 
 
 def unescape(c: str) -> str:
@@ -48,15 +60,14 @@ def unescape(c: str) -> str:
 
     Only the names that occur in the text are replaced, ``&amp;`` after all others.
     """
-    others = {name: char for name, char in fixed.ENTITIES if name != "&amp;"}
-    chars = f"map({', '.join(f'{lit(name)}, {lit(char)}' for name, char in others.items())})"
+    chars = _named_entities()
 
     def numeric(t: str) -> str:
         return case((f"contains({t}, '&#')", _numeric_entities(t)), otherwise=t)
 
     def decode(t: str) -> str:
         found = keep(
-            f"array_distinct({extract_all(t, '&[A-Za-z]+;')})", lambda n: f"{n} IN ({lits(others)})"
+            f"array_distinct({extract_all(t, '&[A-Za-z][A-Za-z0-9]*;')})", lambda n: f"map_contains_key({chars}, {n})"
         )
         named = fold(found, t, lambda acc, n: f"replace({acc}, {n}, {chars}[{n}])")
         return case((f"contains({t}, '&')", replace(let(named, numeric), "&amp;", "&")), otherwise=t)

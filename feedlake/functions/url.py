@@ -26,7 +26,7 @@ _SEP = "\u0001"
 
 def url_parts(url: str) -> str:
     """``[scheme, authority, path, query, fragment]``, '' for what is missing."""
-    clean = substitute(url, r"^[\x00-\x20]+|[\t\r\n]")
+    clean = substitute(url, r"^[\x00-\x20]+|[\t\r\n\x01]")
     marked = substitute(clean, _SPLIT, _SEP.join(f"${i}" for i in range(1, 6)))
     return f"split({marked}, {lit(_SEP)}, -1)"
 

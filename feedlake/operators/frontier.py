@@ -25,7 +25,7 @@ BROADCAST_ROWS = 100_000
 def union_sources(*sources: DataFrame) -> DataFrame:
     """One frontier out of several link tables, order kept explicit in ``ord``."""
     merged = reduce(lambda a, b: a.unionByName(b), sources)
-    return merged.withColumn("ord", F.struct("source_rank", "source_ref", "pos"))
+    return merged.withColumn("ord", F.struct("source_rank", "ref_id", "source_ref", "part", "pos"))
 
 
 def with_ids(frontier: DataFrame) -> DataFrame:
@@ -101,7 +101,9 @@ def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) ->
     nothing. The pattern table is counted first: short lists are matched in the scan
     with no shuffle of the frontier, long ones by an equi-join on the exact keys.
     """
-    compiled = _compiled(effective_patterns(feeds, patterns))
+    # a feed that is in no feed table still has the global patterns
+    named = feeds.select("feed").unionByName(frontier.select("feed")).distinct()
+    compiled = _compiled(effective_patterns(named, patterns))
     counts = (
         compiled.groupBy("feed", "kind")
         .agg(F.count("key").alias("n_keys"), F.count(F.lit(1)).alias("n"))

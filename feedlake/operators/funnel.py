@@ -24,7 +24,8 @@ def ingest_funnel(flagged: DataFrame, stored: DataFrame, pages: DataFrame) -> Da
 
     ``flagged`` is a frontier with ``id``, ``valid``, ``allowed`` and ``blocked``. It is
     read once and shuffled once, combined on the map side to one row per (feed, id); the
-    rows that fail a check share one row per feed. No page body is touched.
+    rows that fail a check share one row per feed. A link to a page that the feed holds under
+    another address is ``same_page``. No page body is touched.
     """
     passed = "(valid AND allowed AND NOT blocked)"
     groups = (
@@ -39,12 +40,13 @@ def ingest_funnel(flagged: DataFrame, stored: DataFrame, pages: DataFrame) -> Da
     )
     held = stored.select("feed", "id").distinct().withColumn("held", F.lit(True))
     stage = (
-        "CASE WHEN id IS NULL THEN 'failed' WHEN held THEN 'stored'"
-        " WHEN final_id IS NULL THEN 'no_page' ELSE 'added' END AS stage"
+        "CASE WHEN id IS NULL THEN 'failed' WHEN held THEN 'stored' WHEN final_id IS NULL THEN 'no_page'"
+        " WHEN held_page THEN 'same_page' ELSE 'added' END AS stage"
     )
     per_page = (
         groups.join(held, ["feed", "id"], "left")
         .join(answers(pages).select("id", "final_id"), "id", "left")
+        .join(held.selectExpr("feed", "id AS final_id", "held AS held_page"), ["feed", "final_id"], "left")
         .selectExpr("*", stage)
         .selectExpr("*", "if(stage = 'added', final_id, NULL) AS page")
         .groupBy("feed", "stage", "page")
@@ -61,7 +63,7 @@ def ingest_funnel(flagged: DataFrame, stored: DataFrame, pages: DataFrame) -> Da
         "duplicate": "if(stage = 'failed', 0, n - ids)",
         "stored": "if(stage = 'stored', ids, 0)",
         "no_page": "if(stage = 'no_page', ids, 0)",
-        "same_page": "if(stage = 'added', ids - 1, 0)",
+        "same_page": "CASE stage WHEN 'added' THEN ids - 1 WHEN 'same_page' THEN ids ELSE 0 END",
         "added": "if(stage = 'added', 1, 0)",
     }
     return per_page.groupBy("feed").agg(

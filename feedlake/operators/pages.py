@@ -134,9 +134,8 @@ def timestamp_literal(moment: dt.datetime) -> str:
 
 
 def top_date(blocks: str, as_of: dt.datetime) -> str:
-    """Date named in the first blocks of a text."""
-    top = f"left(array_join(slice({blocks}, 1, {fixed.BODY_DATE_BLOCKS}), ' '), {fixed.BODY_DATE_CHARS})"
-    return dates.body_date(top, timestamp_literal(as_of))
+    """First date named in the blocks of a text."""
+    return dates.body_date(f"array_join({blocks}, ' ')", timestamp_literal(as_of))
 
 
 def article_fields(prepared: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -340,9 +339,7 @@ def unanswered(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 def wanted_pages(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """The bodies that are really needed, each once.
 
-    The ids are hashed and probed, so bodies are never sorted; with a corpus bucketed by
-    ``page_id`` they do not move either. Spark broadcasts the ids instead where their
-    size is known to be below its threshold.
+    Their size decides: few ids are broadcast and no body moves; with many, a corpus
+    bucketed by ``page_id`` stays where it is too.
     """
-    wanted = matched.select("page_id").distinct()
-    return pages.join(wanted.hint("shuffle_hash"), "page_id", "left_semi")
+    return pages.join(matched.select("page_id").distinct(), "page_id", "left_semi")

@@ -31,10 +31,10 @@ def merge_tags(own: str, new: str) -> str:
 
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Term frequencies: ``key``, ``term``, ``tf``. Whole texts are read."""
-    token = r"[\p{L}][\p{L}\p{N}-]{2,29}"
+    token = r"[\p{L}][\p{L}\p{N}-]{2,}"
     return (
         texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(token), 0)).alias("term"))
-        .filter(f"term IS NOT NULL AND term NOT IN ({lits(fixed.STOP_WORDS)})")
+        .filter(f"length(term) <= {fixed.TAG_MAX_CHARS} AND term NOT IN ({lits(fixed.STOP_WORDS)})")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

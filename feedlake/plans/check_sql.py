@@ -181,7 +181,7 @@ _DOCS = (
   CASE WHEN regexp_matches(date_raw, '^\d{{4}}-\d\d-\d\d$') THEN concat(date_raw, 'T00:00:00')
     WHEN regexp_matches(date_raw, '^\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ$') THEN concat(left(date_raw, 19), '+00:00') END AS date_iso FROM docs_2)""",
     rf"""docs_4 AS (SELECT *, nullif({_best('blocks')}, '') AS best_block, nullif({_best('paragraphs')}, '') AS best_paragraph,
-  left(array_to_string(list_slice(blocks, 1, 5), ' '), 1000) AS top FROM docs_3)""",
+  array_to_string(blocks, ' ') AS top FROM docs_3)""",
     r"""docs_5 AS (SELECT *, coalesce(nullif(regexp_extract(top, '\b(\d{4}-\d{2}-\d{2})\b', 1), ''),
   strftime(try_strptime(nullif(regexp_extract(top, '\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})\b', 1), ''), '%B %d, %Y'), '%Y-%m-%d'),
   CASE WHEN regexp_matches(top, '(?i)\bpublished yesterday\b') THEN '2025-12-28' WHEN regexp_matches(top, '(?i)\bpublished today\b') THEN '2025-12-29' END) AS body_date FROM docs_4)""",
@@ -266,8 +266,8 @@ _STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
 def _tfidf(source: str, key: str) -> tuple[str, ...]:
     return (
-        rf"""tokens AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}][\p{{L}}\p{{N}}-]{{2,29}}')) AS term FROM {source})""",
-        f"tf AS (SELECT {key}, term, count(*) AS tf FROM tokens WHERE term NOT IN ({_STOP}) GROUP BY ALL)",
+        rf"""tokens AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}][\p{{L}}\p{{N}}-]{{2,}}')) AS term FROM {source})""",
+        f"tf AS (SELECT {key}, term, count(*) AS tf FROM tokens WHERE length(term) <= {fixed.TAG_MAX_CHARS} AND term NOT IN ({_STOP}) GROUP BY ALL)",
         f"""scores AS (SELECT {key}, term, round(tf * (ln((1 + (SELECT count(*) FROM {source})) / (1 + count(*) OVER (PARTITION BY term))) + 1), 6) AS score FROM tf)""",
         f"""topics AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC, term) AS INTEGER) AS rank, term, score
   FROM scores QUALIFY rank <= {fixed.MAX_TAGS})""",
@@ -371,9 +371,9 @@ WHERE {_article_link('url', 'site')} QUALIFY pos < 100""",
     "source_union_ordered": _with(
         *_NOTES,
         *_CARD_LINKS,
-        body=f"""SELECT {FX.FEED_OF_URL} AS feed, 1 AS source_rank, 'config' AS source_kind, '' AS source_ref, page_id AS pos, url FROM pages
-UNION ALL SELECT lang, 4, 'notes', lpad(CAST(doc_id AS VARCHAR), 12, '0'), pos, url FROM note_links
-UNION ALL SELECT 'en', 6, 'board', lpad(CAST(board AS VARCHAR), 12, '0'), card * 1000 + pos, url FROM ({_board_links('true')})""",
+        body=f"""SELECT {FX.FEED_OF_URL} AS feed, 1 AS source_rank, 'config' AS source_kind, CAST(NULL AS BIGINT) AS ref_id, '' AS source_ref, 0 AS part, page_id AS pos, url FROM pages
+UNION ALL SELECT lang, 4, 'notes', doc_id, CAST(doc_id AS VARCHAR), 0, pos, url FROM note_links
+UNION ALL SELECT 'en', 6, 'board', CAST(board AS BIGINT), CAST(board AS VARCHAR), card, pos, url FROM ({_board_links('true')})""",
     ),
     "page_fetch_join": _with(
         *_VALID_IDS,
@@ -524,6 +524,6 @@ CHECK_SQL["source_union_first_seen"] = _with(
     _table("merged", CHECK_SQL["source_union_ordered"]),
     _canon("merged", "merged_ids"),
     _table("merged_valid", "SELECT * FROM merged_ids WHERE valid"),
-    _first("merged_valid", "merged_firsts", order="source_rank, source_ref, pos"),
-    body="SELECT feed, id, source_kind, source_ref, pos, url FROM merged_firsts",
+    _first("merged_valid", "merged_firsts", order="source_rank, ref_id, source_ref, part, pos"),
+    body="SELECT feed, id, source_kind, source_ref, part, pos, url FROM merged_firsts",
 )

@@ -27,10 +27,10 @@ def new_links(
     return FR.not_stored(FR.first_seen(kept), stored)
 
 
-def fetched_links(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links with their page; one per (feed, page), the earliest."""
-    matched = PG.match_pages(links, pages)
-    return FR.first_seen(matched, key="final_id")
+def fetched_links(links: DataFrame, pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links with their page; one per (feed, page), the earliest, if the feed does not hold the page yet."""
+    matched = FR.first_seen(PG.match_pages(links, pages), key="final_id")
+    return matched.join(stored.selectExpr("feed", "id AS final_id"), ["feed", "final_id"], "left_anti").select(*matched.columns)
 
 
 def items_of(links: DataFrame, pages: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -38,7 +38,7 @@ def items_of(links: DataFrame, pages: DataFrame, as_of: dt.datetime) -> DataFram
     bodies = PG.with_page_ids(PG.wanted_pages(links, pages))
     parsed = PG.page_items(bodies, as_of, ["page_id"])
     placed = links.select("feed", "ord", "page_id")
-    return parsed.join(placed.hint("shuffle_hash"), "page_id").select("feed", *ITEM_COLUMNS, "ord")
+    return parsed.join(placed, "page_id").select("feed", *ITEM_COLUMNS, "ord")
 
 
 def collect_items(
@@ -50,7 +50,7 @@ def collect_items(
     as_of: dt.datetime,
 ) -> DataFrame:
     """New items of all feeds; ``ord`` is the position among the new ones, from 0."""
-    links = fetched_links(new_links(frontier, feeds, patterns, stored), pages)
+    links = fetched_links(new_links(frontier, feeds, patterns, stored), pages, stored)
     placed = rank_within(links, "feed", [F.col("ord")], ["page_id"])
     dense = placed.select("feed", "page_id", (F.col("rank") - 1).alias("ord"))
     return items_of(dense, pages, as_of)

@@ -17,7 +17,7 @@ from feedlake.plans import fixtures as FX
 from feedlake.plans import ingest
 from feedlake.session import scratch_path
 from feedlake.sources.config import as_source
-from feedlake.sources.landed import page_corpus, spread
+from feedlake.sources.landed import page_corpus
 from feedlake.sources.stored import stored_headers, stored_items
 from feedlake.streaming import incremental as INC
 
@@ -74,13 +74,14 @@ def _all_sources(spark: SparkSession, sf: str) -> DataFrame:
     boards = LNK.board_links(LNK.open_cards(_cards(spark, sf))).select(
         F.lit("en").alias("feed"),
         F.col("board").alias("ref"),
-        (F.col("card") * 1000 + F.col("pos")).alias("pos"),
+        "card",
+        "pos",
         "url",
     )
     return FR.union_sources(
         as_source(static, "config", F.lit("")),
-        as_source(notes, "notes", F.lpad(F.col("ref").cast("string"), 12, "0")),
-        as_source(boards, "board", F.lpad(F.col("ref").cast("string"), 12, "0")),
+        as_source(notes, "notes", F.col("ref")),
+        as_source(boards, "board", F.col("ref"), F.col("card")),
     )
 
 
@@ -90,7 +91,7 @@ def source_union_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_union_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     frontier = FR.with_ids(_all_sources(spark, sf)).filter("valid").drop("canonical_url", "valid")
-    return FR.first_seen(frontier).select("feed", "id", "source_kind", "source_ref", "pos", "url")
+    return FR.first_seen(frontier).select("feed", "id", "source_kind", "source_ref", "part", "pos", "url")
 
 
 # --- link discovery ----------------------------------------------------------------
@@ -290,13 +291,13 @@ def tag_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_tags_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    texts = spread(FX.table(spark, sf, "documents").select("doc_id", "text"))
+    texts = FX.spread(FX.table(spark, sf, "documents").select("doc_id", "text"))
     return TAG.topic_terms(texts, "doc_id")
 
 
 def item_tags_merged(spark: SparkSession, sf: str) -> DataFrame:
     items = FX.items_x(spark, sf)
-    bodies = spread(FX.table(spark, sf, "pages")).selectExpr(
+    bodies = FX.spread(FX.table(spark, sf, "pages")).selectExpr(
         "page_id AS ord", f"{H.inner_text(H.article_scope(H.visible('html')))} AS text"
     )
     own = items.select("id", "ord").join(bodies, "ord")
@@ -470,7 +471,7 @@ def corpus_items(spark: SparkSession, sf: str) -> DataFrame:
             f"{FX.FEED_OF_URL} AS feed", f"{page_id_of('url')} AS id", "page_id AS ord", "page_id"
         )
     )
-    corpus = page_corpus(spread(pages))
+    corpus = page_corpus(FX.spread(pages))
     items = PG.page_items(PG.with_page_ids(PG.wanted_pages(links, corpus)), AS_OF, ["page_id"])
     return items.join(links.select("feed", "page_id"), "page_id").select(
         "feed", "id", "url", "title", "summary", "language", "date_iso"

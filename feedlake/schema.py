@@ -32,7 +32,7 @@ FEEDS = (
     "feed string, title string, home_page_url string, feed_url string, "
     "description string, language string, output_dir string"
 )
-SOURCES = "feed string, source_rank int, source_kind string, source_ref string, pos bigint, url string"
+SOURCES = "feed string, source_rank int, source_kind string, ref_id bigint, source_ref string, part bigint, pos bigint, url string"
 PATTERNS = "feed string, kind string, pattern string"
 
 _JSON_ITEM = {

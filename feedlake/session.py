@@ -32,8 +32,8 @@ def build_session(app: str = "feedlake", master: str | None = None, **conf) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as named by ``spark.checkpoint.dir``.
 
-    Only where neither the configuration nor the context names one (local tests)
-    is a fresh temporary folder taken.
+    Only where neither the configuration nor the context names one and all work is in this process (local tests)
+    is a fresh temporary folder taken. Elsewhere executors would not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     fresh = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh

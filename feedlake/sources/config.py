@@ -89,26 +89,34 @@ def static_sources(spark: SparkSession, configs: Iterable[Mapping], kind: str =
 
 
 def link_list(spark: SparkSession, path: str, feed: str, kind: str = "config") -> DataFrame:
-    """A landed text file with one link per line, in file order.
+    """Landed text files with one link per line, file by file and in the order of the lines.
 
-    The byte order of a text scan is its row number within the file split, so ``pos``
-    is increasing in file order but not dense.
+    A line's place is its split's place in the file and its number within the split, so ``pos`` increases
+    but is not dense.
     """
     lines = spark.read.text(path).select(
         F.lit(feed).alias("feed"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.trim("value").alias("url"),
     )
-    return as_source(lines.filter("url <> ''"), kind, F.lit(path))
+    return as_source(lines.filter("url <> ''"), kind, F.col("file"), F.col("block"))
 
 
-def as_source(links: DataFrame, kind: str, ref) -> DataFrame:
-    """Bring ``feed``, ``pos``, ``url`` into the common shape of link tables."""
+def as_source(links: DataFrame, kind: str, ref, part=None) -> DataFrame:
+    """Bring ``feed``, ``pos``, ``url`` into the common shape of link tables.
+
+    Links come in the order of ``ref`` (numbers by value, other names by text), ``part`` of it, and ``pos``.
+    """
+    number = ref.cast("string").try_cast("bigint")
     return links.select(
         F.col("feed").cast("string").alias("feed"),
         F.lit(SOURCE_RANKS[kind]).alias("source_rank"),
         F.lit(kind).alias("source_kind"),
+        number.alias("ref_id"),
         ref.cast("string").alias("source_ref"),
+        (F.lit(0) if part is None else part).cast("bigint").alias("part"),
         F.col("pos").cast("bigint").alias("pos"),
         "url",
     )

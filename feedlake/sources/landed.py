@@ -68,17 +68,6 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than there are cores.
-
-    Only small scans are affected (less than one split per core); a large scan already
-    has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
 # Defaults for the columns a page table may lack.
 _PAGE_DEFAULTS = {
     "final_url": lambda: F.col("url"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.functions.url import is_valid_url, page_id_of
+from feedlake.operators import frontier as FR
 from feedlake.operators import pages as PG
 from feedlake.schema import ITEM_COLUMNS, ITEM_FIELDS
 from feedlake.sources.landed import page_corpus
@@ -15,7 +17,7 @@ from feedlake.sources.landed import page_corpus
 ITEMS_SCHEMA = (
     "feed string, "
     + ", ".join(f"{name} {kind}" for name, kind in ITEM_FIELDS.items())
-    + ", ord bigint, run_id bigint"
+    + ", ord bigint, run_id string"
 )
 
 
@@ -23,37 +25,45 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEMS_SCHEMA).parquet(path)
 
 
+def stream_name(checkpoint: str) -> str:
+    """A name for the stream that keeps its progress in ``checkpoint``; others have other names."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def ingest_batch(
-    arrived: DataFrame, batch_id: int, path: str, as_of: dt.datetime, with_feed
+    arrived: DataFrame,
+    run_id: str,
+    path: str,
+    as_of: dt.datetime,
+    with_feed,
+    rules: tuple[DataFrame, DataFrame] | None = None,
 ) -> None:
-    """One micro-batch: new links of the arrived pages, parsed and appended.
+    """One micro-batch: new links of the arrived good pages, parsed and appended.
+
+    The same filters as in a batch run: answers of status 400 and more, invalid urls and links that the patterns of
+    ``rules`` (feeds, patterns) keep out are dropped, then the lowest ``page_id`` answers for each feed and final page.
 
     What counts as seen is the items table, not stream state, so state does not grow
     with the corpus. A repeated batch overwrites its own ``run_id`` folder, which makes
-    it idempotent: its own earlier output is not counted as seen.
+    it idempotent: its own earlier output is not counted as seen. ``run_id`` must name one batch of one
+    stream, or it replaces another's rows.
     """
     spark = arrived.sparkSession
-    pages = with_feed(page_corpus(arrived)).filter(is_valid_url("url"))
-    seen = read_items(spark, path).filter(F.col("run_id") != batch_id).select("feed", "id")
+    pages = with_feed(page_corpus(arrived)).filter(F.col("good") & F.expr(is_valid_url("url")))
+    if rules:
+        pages = FR.flag_patterns(pages.withColumn("ord", F.col("page_id")), *rules).filter("allowed AND NOT blocked")
+    seen = read_items(spark, path).filter(F.col("run_id") != run_id).select("feed", "id")
     keyed = pages.selectExpr("page_id", "feed", f"{page_id_of('final_url')} AS id")
     fresh = (
         keyed.join(seen, ["feed", "id"], "left_anti")
         .groupBy("feed", "id")
         .agg(F.min("page_id").alias("page_id"))
     )
-    bodies = PG.with_page_ids(
-        pages.join(fresh.select("page_id").distinct(), "page_id", "left_semi").dropDuplicates(
-            ["page_id"]
-        )
-    )
-    items = PG.page_items(bodies, as_of, ["feed", "page_id"])
+    bodies = PG.with_page_ids(pages.join(fresh.select("feed", "page_id"), ["feed", "page_id"], "left_semi"))
+    items = PG.page_items(bodies, as_of, ["feed", "page_id"]).join(fresh, ["feed", "id", "page_id"], "left_semi")
     (
-        items.select(
-            "feed",
-            *ITEM_COLUMNS,
-            F.col("page_id").alias("ord"),
-            F.lit(batch_id).cast("bigint").alias("run_id"),
-        )
+        items.dropDuplicates(["feed", "id"])
+        .select("feed", *ITEM_COLUMNS, F.col("page_id").alias("ord"), F.lit(run_id).alias("run_id"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
@@ -62,17 +72,23 @@ def ingest_batch(
 
 
 def run_available(
-    arrivals: DataFrame, path: str, checkpoint: str, as_of: dt.datetime, with_feed
+    arrivals: DataFrame,
+    path: str,
+    checkpoint: str,
+    as_of: dt.datetime,
+    with_feed,
+    rules: tuple[DataFrame, DataFrame] | None = None,
 ) -> None:
     """Process everything that has arrived, then stop.
 
-    ``arrivals`` is a streaming page table; ``with_feed`` adds the ``feed`` column.
+    ``arrivals`` is a streaming page table; ``with_feed`` adds the ``feed`` column. Several streams may write to one table.
     """
     spark = arrivals.sparkSession
+    name = stream_name(checkpoint)
     spark.createDataFrame([], ITEMS_SCHEMA).write.mode("ignore").partitionBy("run_id").parquet(path)
     query = (
         arrivals.writeStream.foreachBatch(
-            lambda batch, batch_id: ingest_batch(batch, batch_id, path, as_of, with_feed)
+            lambda batch, batch_id: ingest_batch(batch, f"{name}-{batch_id}", path, as_of, with_feed, rules)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

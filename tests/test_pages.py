@@ -235,3 +235,48 @@ def test_fetch_takes_one_good_page_per_id(spark):
     assert sorted((r.feed, r.page_id) for r in PG.match_pages(links, pages).collect()) == [("f", 2), ("g", 2)]
     assert [(r.feed, r.url) for r in PG.unanswered(links, pages).collect()] == [("f", "https://e.com/b")]
     assert PG.wanted_pages(PG.match_pages(links, pages), pages).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("raw", "local", "zone"),
+    [
+        ("January 15, 2025 10:30 AM", "2025-01-15 10:30:00", None),
+        ("2025/01/15", "2025-01-15 00:00:00", None),
+        ("01/15/2025", "2025-01-15 00:00:00", None),
+        ("Wed Jan 15 10:00:00 2025", "2025-01-15 10:00:00", None),
+        ("20250115", "2025-01-15 00:00:00", None),
+        ("2025-01-15 10:00:00 UTC", "2025-01-15 10:00:00", "+00:00"),
+        ("2025-01-15T10:00:00+01", "2025-01-15 10:00:00", "+01:00"),
+        ("15 Jan 2025 10:00 EST", "2025-01-15 10:00:00", None),
+        ("2025-1-5", "2025-01-05 00:00:00", None),
+        ("Jan 15 2025 10:00:00 GMT", "2025-01-15 10:00:00", "+00:00"),
+        ("1st March 2024, 12:05 a.m.", "2024-03-01 00:05:00", None),
+        ("2025-13-45", None, None),
+    ],
+)
+def test_date_shapes(value, raw, local, zone):
+    from feedlake.functions.dates import parse_date
+
+    found = value(parse_date("x"), x=raw)
+    assert (found.local and str(found.local), found.zone) == (local, zone)
+
+
+def test_entities_of_any_name_and_length(value):
+    from feedlake.functions.text import unescape
+
+    raw = "Caf&eacute; &ntilde; &#00000039; &#x000027; &frac12; &amp;eacute; &nope; &#0; &#99999999; &#xD800;"
+    assert value(unescape("x"), x=raw) == "Café ñ ' ' ½ &eacute; &nope; &#0; &#99999999; &#xD800;"
+
+
+def test_nested_scopes_are_balanced(value):
+    from feedlake.functions.html import article_scope
+
+    assert value(article_scope("x"), x="<body>A<article>A <article>comment</article> REST</article>B</body>") == "A <article>comment</article> REST"
+    assert value(article_scope("x"), x="<main>a<main>b</main>c") == "a<main>b</main>c"
+
+
+def test_void_elements_open_no_scope(value):
+    from feedlake.functions.html import anchors
+
+    links = value(anchors("x"), x='<img class="post"><a href="/about">a</a><div class="post"><a href="/x">b</a></div>')
+    assert [tuple(a) for a in links] == [("/about", False), ("/x", True)]

@@ -74,5 +74,56 @@ def test_incremental_equals_batch(spark, tmp_path):
     wanted = {(r.feed, r.id) for r in pages.selectExpr(f"{FX.FEED_OF_URL} AS feed", f"{page_id_of('url')} AS id").collect()}
     assert streamed == wanted and items.count() == len(wanted)
     # a batch that is run again replaces its own output
-    INC.ingest_batch(pages.filter("page_id % 3 = 0"), 0, table, AS_OF, _with_feed)
+    INC.ingest_batch(pages.filter("page_id % 3 = 0"), f"{INC.stream_name(progress)}-0", table, AS_OF, _with_feed)
     assert INC.read_items(spark, table).count() == len(wanted)
+
+
+def test_second_stream_keeps_the_first_ones_items(spark, tmp_path):
+    """Another progress folder starts at batch 0 again; bad answers and blocked links stay out; a page may be in two feeds."""
+    schema = "page_id bigint, url string, html string, status int"
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "items")
+    rows = [(1, "https://e.com/a", "<title>A</title>", 200), (2, "https://e.com/b", "<title>B</title>", 404), (3, "https://bad.com/c", "<title>C</title>", 200), (1, "https://e.com/a", "<title>A</title>", 200)]
+    feeds = spark.createDataFrame([("f",)], "feed string")
+    patterns = spark.createDataFrame([(None, "block", "*.bad.com")], "feed string, kind string, pattern string")
+
+    def two_feeds(pages):
+        return pages.withColumn("feed", F.explode(F.array(F.lit("f"), F.lit("g"))))
+
+    def run(progress):
+        arrivals = INC.stream_pages(spark, landing, schema)
+        INC.run_available(arrivals, table, str(tmp_path / progress), AS_OF, two_feeds, (feeds, patterns))
+        return sorted((r.feed, r.title) for r in INC.read_items(spark, table).collect())
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    assert run("one") == [("f", "A"), ("g", "A")]
+    spark.createDataFrame([(9, "https://e.com/z", "<title>Z</title>", 200)], schema).coalesce(1).write.mode("append").parquet(landing)
+    assert run("two") == [("f", "A"), ("f", "Z"), ("g", "A"), ("g", "Z")]
+
+
+def test_a_stored_final_page_is_not_added_again(spark):
+    pages = page_corpus(spark.createDataFrame([(1, "https://e.com/a", "https://e.com/z", "<title>Z</title>")], "page_id bigint, url string, final_url string, html string"))
+    frontier = spark.createDataFrame([("f", 0, "https://e.com/a")], "feed string, ord bigint, url string")
+    feeds = spark.createDataFrame([("f",)], "feed string")
+    patterns = spark.createDataFrame([], "feed string, kind string, pattern string")
+    stored = spark.range(1).selectExpr("'f' AS feed", f"{page_id_of(chr(39) + 'https://e.com/z' + chr(39))} AS id")
+    args = (frontier, feeds, patterns, stored, pages)
+    funnel = ingest.funnel_of(*args).first()
+    assert (funnel.added, funnel.same_page) == (0, 1)
+    assert ingest.collect_items(*args, AS_OF).count() == 0
+
+
+def test_few_wanted_pages_move_no_body(spark, tmp_path):
+    pages = page_corpus(FX.table(spark, SF, "pages"))
+    links = pages.filter("page_id < 2").selectExpr("'f' AS feed", "page_id AS ord", "page_id")
+    items = ingest.items_of(links, pages, AS_OF)
+    items.collect()
+    plan = items._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above, depths = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        while depths and depths[-1][0] >= depth:
+            depths.pop()
+        depths.append((depth, line))
+        if "FileScan" in line and "html" in line:
+            above += [x for _, x in depths if "Exchange" in x and "Broadcast" not in x]
+    assert "html" in plan and not above

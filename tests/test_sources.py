@@ -70,9 +70,3 @@ def test_page_corpus_defaults(spark):
     pages = spark.createDataFrame([(1, "https://e.com", "é")], "page_id int, url string, html string")
     row = S.page_corpus(pages).first()
     assert (row.final_url, row.content_length, row.status, row.good) == ("https://e.com", 2, 200, True)
-
-
-def test_spread_leaves_large_scans_alone(spark):
-    assert S.spread(spark.range(0, 100, 1, 2)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 50)
-    assert S.spread(many) is many
