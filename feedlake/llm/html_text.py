@@ -28,7 +28,7 @@ from feedlake.llm.shingles import word_hashes
 WORD_BINS, HIDDEN = 64, 16
 INPUTS = PATH_BINS + WORD_BINS + 4
 SAMPLE_ROWS, SAMPLE_BYTES = 200, 1 << 16
-PAGES, EPOCHS, BATCH, RATE = 1200, 10, 32, 0.01
+PAGES, EPOCHS, BATCH, RATE = 1500, 10, 32, 0.01
 _TOGETHER = 128
 #: Begins main blocks of made-up pages, until they are read.
 MARK = "\ue000"
@@ -209,7 +209,7 @@ class Layouts:
     def paragraphs(self, mark: str, least: int, most: int) -> str:
         out = ""
         for _ in range(self.rng.integers(least, most + 1)):
-            kind = self.rng.integers(10)
+            kind = self.rng.integers(16)
             text = f"{mark}{_escaped(self.text() if self.rng.random() < 0.8 else self.short(12))}"
             if kind == 0:
                 out += f"<p><b>{text}<br>"
@@ -219,6 +219,13 @@ class Layouts:
                 out += f"<h2>{mark}{_escaped(self.short())}</h2><p>{text}</p>"
             elif kind == 3:
                 out += f"<blockquote>{text}</blockquote>"
+            elif kind == 5:
+                cells = "".join(f"<td>{mark}{_escaped(self.short(4))}</td>" for _ in range(self.rng.integers(1, 4)))
+                out += f"<table><tr>{cells}</tr><tr><td>{text}</td></tr></table>"
+            elif kind == 6:
+                out += f"<figure><img src='x'><figcaption>{text}</figcaption></figure>"
+            elif kind == 7:
+                out += self.one((f"<div><p>{text}</p></div>", f"<section><h3>{mark}{_escaped(self.short())}</h3><p>{text}</p></section>", f"<pre>{text}</pre>", f"<ol><li>{text}</li></ol>"))
             elif kind == 4:
                 out += f"<p>{text} <a href='#'>{_escaped(self.short())}</a> {_escaped(self.short())}</p>"
             else:
@@ -244,9 +251,9 @@ class Layouts:
         inside += [self.form()] * (r() < 0.1)
         for extra in inside:
             body = body + extra + (self.paragraphs(mark, 1, 3) if r() < 0.5 else "")
-        comments = self.wrap(self.one(self.COMMENTS), "".join(f'<div class="comment"><p>{_escaped(self.text())}</p></div>' if r() < 0.5 else f"<li><p>{_escaped(self.text())}</p></li>" for _ in range(self.rng.integers(1, 5))))
+        comments = self.comments()
         talk = r()
-        if talk < 0.12:
+        if talk < 0.2:
             body += comments
         main = self.wrap(self.one(self.MAIN) if r() < 0.6 else "article", body)
         before, after = [], []
@@ -258,7 +265,7 @@ class Layouts:
             (0.3, before if r() < 0.4 else after, lambda: self.side(self.SIDE)),
             (0.2, after, lambda: self.side(self.ADVERT)),
             (0.2, before if r() < 0.5 else after, self.form),
-            (0.3 if talk >= 0.12 else 0, after, lambda: comments),
+            (0.3 if talk >= 0.2 else 0, after, lambda: comments),
             (0.15, after, lambda: self.side(self.NOTICE)),
             (0.85, after, lambda: self.wrap(self.one(self.FOOTER), self.one((f"&copy; {_escaped(self.short())} &middot; {_escaped(self.text())}", f"<p>{_escaped(self.text())}</p>", f"<ul>{self.links()}</ul>")))),
         ):
@@ -267,6 +274,19 @@ class Layouts:
         title = f"<title>{_escaped(self.short(12))}</title>" if r() < 0.9 else ""
         return f"<html><head>{title}</head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
 
+    def comments(self) -> str:
+        r = self.rng.random
+        said = [f"<b>{_escaped(self.short(2))}</b>" * (r() < 0.3) + f"<p>{_escaped(self.text() if r() < 0.7 else self.short(10))}</p>" for _ in range(self.rng.integers(1, 5))]
+        kind = self.rng.integers(3)
+        if kind == 0:
+            inner = "".join(f'<div class="comment">{c}</div>' for c in said)
+        elif kind == 1:
+            inner = f'<ol class="comment-list">{"".join(f"<li>{c}</li>" for c in said)}</ol>'
+        else:
+            inner = "".join(f"<li>{c}</li>" for c in said)
+        inner = f"<h3>{_escaped(self.short(3))}</h3>" * (r() < 0.4) + inner + (self.form() if r() < 0.25 else "")
+        return self.wrap(self.one(self.COMMENTS), inner)
+
     def form(self) -> str:
         return f"<form action='/x'><label>{_escaped(self.short())}</label><input><p>{_escaped(self.short(12))}</p><button>{_escaped(self.short())}</button></form>"
 
