@@ -92,13 +92,11 @@ def json_items(items: DataFrame) -> DataFrame:
 def _paged(items: DataFrame, order: list[Column], text: str, page_items: int) -> DataFrame:
     """Texts of each feed gathered per document page, in order.
 
-    ``order`` must be total within a feed. Groups hold at most ``page_items`` rows.
+    Groups hold at most ``page_items`` rows. The text travels with its row through the one sort, so a stored
+    row is rendered once, also where a feed holds an id twice.
     """
-    ranked = rank_within(
-        items.select("feed", "id", "ord", "date_published"), "feed", order, ["id"]
-    )
-    texts = items.select("feed", *ITEM_COLUMNS).selectExpr("feed", "id", f"{text} AS _text")
-    numbered = texts.join(ranked, ["feed", "id"])
+    texts = items.selectExpr("feed", "id", "ord", "date_published", f"{text} AS _text")
+    numbered = rank_within(texts, "feed", order, ["_text"])
     page = F.floor((F.col("rank") - 1) / page_items) + 1
     return (
         numbered.withColumn("page", page.cast("int"))
@@ -145,8 +143,25 @@ def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_IT
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder per feed, one line per document page."""
-    documents.select("feed", "document").write.mode("overwrite").partitionBy("feed").text(path)
+    """One file for each document, in the folder ``feed=<feed>/page=<page>``."""
+    pages = documents.select("feed", "page", "document").repartition("feed", "page")
+    pages.write.mode("overwrite").partitionBy("feed", "page").option("lineSep", "\n").text(path)
+
+
+def published_names(feeds: DataFrame, documents: DataFrame, kind: str) -> DataFrame:
+    """Where each written document belongs: ``feed``, ``page``, ``folder`` as written, ``name`` as published.
+
+    ``kind`` is ``json`` or ``xml``. Documents link to each other by these names: ``feed.json``, ``feed-2.json`` and so on, below the
+    feed's ``output_dir`` or else its name.
+    """
+    placed = documents.select("feed", "page").join(feeds.select("feed", "output_dir"), "feed", "left")
+    file = F.concat(F.lit("feed"), F.when(F.col("page") > 1, F.concat(F.lit("-"), "page")).otherwise(""), F.lit(f".{kind}"))
+    return placed.select(
+        "feed",
+        "page",
+        F.concat(F.lit("feed="), "feed", F.lit("/page="), "page").alias("folder"),
+        F.concat_ws("/", F.rtrim(F.coalesce("output_dir", "feed"), F.lit("/")), file).alias("name"),
+    )
 
 
 # --- RSS -----------------------------------------------------------------------------

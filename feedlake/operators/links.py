@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from feedlake import fixed
 from feedlake.functions import html as H
 from feedlake.functions import links as L
+from feedlake.functions.sql import lit
+from feedlake.functions.url import domain
 
 
 def exploded(df: DataFrame, keep: list[str], array: str, names: str = "pos, url") -> DataFrame:
@@ -75,13 +77,25 @@ def sitemap_links(sitemaps: DataFrame) -> DataFrame:
     return exploded(sitemaps, ["site", "candidate"], L.sitemap_locations("xml"))
 
 
-def first_sitemap(sitemaps: DataFrame) -> DataFrame:
-    """Per site the locations of its first candidate that has any.
+def landed_candidates(files: DataFrame) -> DataFrame:
+    """Landed sitemap files (``path``, ``xml``) as candidates of a host: ``site``, ``candidate``, ``xml``.
+
+    A file lies in a folder named like the host (with its port); its name says which candidate it is, others are left out.
+    """
+    names = ", ".join(lit(n) for n in fixed.SITEMAP_NAMES)
+    parts = files.selectExpr("path", "xml", r"lower(regexp_extract(path, '([^/]+)/[^/]+$', 1)) AS site", rf"array_position(array({names}), lower(regexp_extract(path, '([^/]+)$', 1))) - 1 AS candidate")
+    known = parts.filter("candidate >= 0 AND site <> ''")
+    return known.groupBy("site", "candidate").agg(F.min_by("xml", "path").alias("xml"))
+
+
+def first_sitemap(sitemaps: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per site the (first ``limit``) locations of its first candidate that has any.
 
     At most three candidates exist per site, so a group is never large.
     """
+    found = L.sitemap_locations("xml")
     return (
-        sitemaps.selectExpr("site", "candidate", f"{L.sitemap_locations('xml')} AS urls")
+        sitemaps.selectExpr("site", "candidate", f"{f'slice({found}, 1, {limit})' if limit else found} AS urls")
         .filter(F.size("urls") > 0)
         .groupBy("site")
         .agg(
@@ -99,22 +113,24 @@ def outlinks(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def site_links(
-    sites: DataFrame, sitemaps: DataFrame, keep: list[str], limit: int = fixed.MAX_SITE_LINKS
+    sites: DataFrame,
+    sitemaps: DataFrame,
+    keep: list[str],
+    limit: int = fixed.MAX_SITE_LINKS,
+    by_host: bool = False,
 ) -> DataFrame:
     """Up to ``limit`` article links per website, sitemap first.
 
     ``sites`` holds the website's page (``url``, ``html``), ``sitemaps`` its landed
-    sitemap candidates keyed by ``site``. The first ``limit`` sitemap locations are
+    sitemap candidates keyed by ``site``: its url or, ``by_host``, its host (see ``landed_candidates``). The first ``limit`` sitemap locations are
     taken; the page's own links are added only if those are fewer. The limit is a
     property of the scrape, and all lists are per website, so this is one join and
     otherwise row-local.
     """
-    first = first_sitemap(sitemaps).selectExpr(
-        "site", f"array_distinct(slice(urls, 1, {limit})) AS mapped"
-    )
+    first = first_sitemap(sitemaps, limit).selectExpr("site AS _key", "array_distinct(urls) AS mapped")
     pages = sites.selectExpr(*keep, "url AS site", f"{H.visible('html')} AS doc").selectExpr(
-        *keep, "site", f"{L.page_links('site', 'doc')} AS own"
+        *keep, "site", f"{domain('site') if by_host else 'site'} AS _key", f"{L.page_links('site', 'doc')} AS own"
     )
     merged = f"if(size(mapped) >= {limit}, mapped, array_distinct(concat(coalesce(mapped, array()), own)))"
-    both = pages.join(first, "site", "left").selectExpr(*keep, "site", f"{merged} AS merged")
+    both = pages.join(first, "_key", "left").selectExpr(*keep, "site", f"{merged} AS merged")
     return exploded(both, keep, f"slice({L.article_links('merged', 'site')}, 1, {limit})")

@@ -456,8 +456,10 @@ UNION ALL SELECT feed, id, title, ord FROM old o WHERE NOT EXISTS (SELECT 1 FROM
         body="SELECT feed, id, url, nullif(title, '') AS title, summary, date_iso, modified_iso, author, tags, media_size FROM items",
     ),
     "stored_feed_headers": _with(
+        *_ITEMS,
         _FEEDS,
-        body="SELECT feed, coalesce(title, 'Untitled Feed') AS title, home_page_url, feed_url, description, language FROM feeds",
+        body="""SELECT f.feed, coalesce(f.title, 'Untitled Feed') AS title, f.home_page_url, f.feed_url, f.description, f.language, count(i.url) AS items, max(i.url) AS last_url
+FROM feeds f LEFT JOIN items i ON i.feed = f.feed GROUP BY ALL""",
     ),
     "json_feed_pages": _with(
         *_ITEMS,

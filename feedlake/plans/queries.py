@@ -378,8 +378,10 @@ def stored_feed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_feed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers with what their documents hold."""
     documents = FD.json_documents(FX.feeds(spark), FX.items_x(spark, sf))
-    return stored_headers(documents)
+    held = stored_items(documents).groupBy("feed").agg(F.count("*").alias("items"), F.max("url").alias("last_url"))
+    return stored_headers(documents).join(held, "feed", "left").withColumn("items", F.coalesce("items", F.lit(0)))
 
 
 def json_feed_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -94,6 +94,10 @@ def test_documents_round_trip(items, spark, tmp_path):
     assert heads == {("f", 'T "x"}', "https://h"), ("empty", "Untitled Feed", None)}
     pages = sorted((r.feed, r.page, json.loads(r.document)) for r in docs.collect() if r.feed == "f")
     assert [p[2].get("next_url") for p in pages] == ["feed-2.json", "feed-3.json", None]
+    files = [str(f.relative_to(tmp_path / "json")) for f in (tmp_path / "json").rglob("part-*")]
+    named = {r.folder: r.name for r in FD.published_names(feeds.withColumn("output_dir", F.lit("out/")), docs, "json").collect()}
+    assert sorted(f.rsplit("/", 1)[0] for f in files) == sorted(named)  # one document a file
+    assert named["feed=f/page=1"] == "out/feed.json" and named["feed=f/page=3"] == "out/feed-3.json"
 
 
 def test_small_feed_is_one_plain_document(items, spark):
@@ -187,3 +191,9 @@ def test_catalogue_page(spark):
 def test_items_fixture_ids_are_unique_per_feed(spark):
     items = FX.items_x(spark, "/root/testdata/sf0.001")
     assert items.groupBy("feed", "id").count().filter("count > 1").count() == 0
+
+
+def test_repeated_stored_ids_are_rendered_once_each(spark, items):
+    rows = [dict(feed="f", id=i, title=t, ord=k) for k, (i, t) in enumerate((("a", "1"), ("a", "2"), ("b", "3")))]
+    docs = FD.json_documents(_feeds(spark, ("f", "T", None, None, None)), items(*rows)).collect()
+    assert [x["title"] for x in json.loads(docs[0].document)["items"]] == ["1", "2", "3"]

@@ -164,3 +164,24 @@ def test_large_pages_stay_linear(spark, value):
     body = "".join(f'<p>t &amp; u <a href="/x/{i}">l</a></p>' for i in range(20_000))
     assert len(_links(spark, "https://h.com/", f'<div class="post">{body}</div>')) == 20_000
     assert value(f"length({H.inner_text('x')})", x="a" + "< " * 200_000) == 400_000
+
+
+def test_landed_sitemaps_belong_to_hosts(spark):
+    def sitemap(*urls):
+        return "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+
+    files = spark.createDataFrame(
+        [
+            ("file:/in/e.com/sitemap_index.xml", sitemap("https://e.com/blog/late")),
+            ("file:/in/E.com/sitemap.xml", sitemap("https://e.com/blog/one", "https://e.com/blog/two")),
+            ("file:/in/f.com:8080/sitemap-index.xml", sitemap("https://f.com:8080/blog/x")),
+            ("file:/in/e.com/other.xml", sitemap("https://e.com/blog/no")),
+        ],
+        "path string, xml string",
+    )
+    sites = spark.createDataFrame([(1, "https://e.com/start/", "<p>"), (2, "http://e.com", "<p>"), (3, "https://f.com:8080/", "<p>")], "page_id int, url string, html string")
+    got = LNK.site_links(sites, LNK.landed_candidates(files), ["page_id"], by_host=True).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append(r.url)
+    assert by == {1: ["https://e.com/blog/one", "https://e.com/blog/two"], 2: ["https://e.com/blog/one", "https://e.com/blog/two"], 3: ["https://f.com:8080/blog/x"]}
