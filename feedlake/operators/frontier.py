@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions.sql import case, let, lit, matches
+from feedlake.functions.sql import case, let, lit, lits, matches
 from feedlake.functions.text import glob_regex, strip
 from feedlake.functions.url import canonical_url, domain, is_valid_url, pattern_host, url_id
 
@@ -20,6 +20,9 @@ from feedlake.functions.url import canonical_url, domain, is_valid_url, pattern_
 INLINE_PATTERNS = 256
 # A pattern table is only broadcast while it is known to hold no more rows than this.
 BROADCAST_ROWS = 100_000
+# Up to this many globs over all feeds become literal patterns, compiled once a task; more are
+# read from a column and compiled for each row.
+LITERAL_GLOBS = 2_000
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -94,6 +97,26 @@ def _one_regex(globs: str) -> str:
     return f"if(size({globs}) > 0, concat('(?s)^(?:', array_join(array_sort({globs}), '|'), {lit(')' + chr(92) + 'z')}), NULL)"
 
 
+def _glob_tests(compiled: DataFrame) -> dict[str, str] | None:
+    """For each kind the test of a link against its feed's globs, with literal patterns; None if there are too many."""
+    rows = compiled.filter("glob IS NOT NULL").select("feed", "kind", "glob").distinct()
+    found = rows.limit(LITERAL_GLOBS + 1).collect()
+    if len(found) > LITERAL_GLOBS:
+        return None
+    tests = {}
+    for kind in ("allow", "block"):
+        by_feed: dict[str, set[str]] = {}
+        for row in found:
+            if row["kind"] == kind and row["feed"] is not None:
+                by_feed.setdefault(row["feed"], set()).add(row["glob"])
+        alike: dict[tuple[str, ...], list[str]] = {}
+        for feed, globs in sorted(by_feed.items()):
+            alike.setdefault(tuple(sorted(globs)), []).append(feed)
+        branches = [(f"feed IN ({lits(feeds)})", _glob_hit(lit("(?s)^(?:" + "|".join(globs) + r")\z"))) for globs, feeds in alike.items()]
+        tests[kind] = case(*branches, otherwise="false") if branches else "false"
+    return tests
+
+
 def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:
     """Add ``allowed`` and ``blocked``.
 
@@ -113,9 +136,13 @@ def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) ->
     widest, total = counts["widest"] or 0, counts["total"] or 0
     if total == 0:
         return frontier.select("*", F.lit(True).alias("allowed"), F.lit(False).alias("blocked"))
-    if widest <= INLINE_PATTERNS:
-        return _flag_inline(frontier, compiled, small=total <= BROADCAST_ROWS)
-    return _flag_joined(frontier, compiled, small=total <= BROADCAST_ROWS)
+    tests = _glob_tests(compiled)
+    if tests:
+        compiled = compiled.withColumn("glob", F.lit(None).cast("string"))
+    else:
+        tests = {kind: _glob_hit(f"{kind}_rx") for kind in ("allow", "block")}
+    flag = _flag_inline if widest <= INLINE_PATTERNS else _flag_joined
+    return flag(frontier, compiled, total <= BROADCAST_ROWS, tests)
 
 
 def _rules(compiled: DataFrame) -> DataFrame:
@@ -132,15 +159,17 @@ def _rules(compiled: DataFrame) -> DataFrame:
     )
 
 
-def _with_flags(joined: DataFrame, columns: list[str], allow_hit: str, block_hit: str) -> DataFrame:
+def _with_flags(
+    joined: DataFrame, columns: list[str], allow_hit: str, block_hit: str, globs: dict[str, str]
+) -> DataFrame:
     return joined.selectExpr(
         *columns,
-        f"(coalesce(allow_n, 0) = 0 OR coalesce({allow_hit}, false) OR {_glob_hit('allow_rx')}) AS allowed",
-        f"(coalesce({block_hit}, false) OR {_glob_hit('block_rx')}) AS blocked",
+        f"(coalesce(allow_n, 0) = 0 OR coalesce({allow_hit}, false) OR {globs['allow']}) AS allowed",
+        f"(coalesce({block_hit}, false) OR {globs['block']}) AS blocked",
     )
 
 
-def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataFrame:
+def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool, globs: dict[str, str]) -> DataFrame:
     rules = _rules(compiled)
     hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host").selectExpr(
         "*", f"{_keys('_host', 'url')} AS _keys"
@@ -151,10 +180,11 @@ def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataF
         frontier.columns,
         "arrays_overlap(_keys, allow_keys)",
         "arrays_overlap(_keys, block_keys)",
+        globs,
     )
 
 
-def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataFrame:
+def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool, globs: dict[str, str]) -> DataFrame:
     hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host")
     keyed = compiled.filter("key IS NOT NULL").select("feed", "kind", "key").distinct()
     hits = (
@@ -171,7 +201,7 @@ def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool) -> DataF
     joined = hosts.join(hits, ["feed", "ord"], "left").join(
         F.broadcast(rules) if small else rules, "feed", "left"
     )
-    return _with_flags(joined, frontier.columns, "allow_hit", "block_hit")
+    return _with_flags(joined, frontier.columns, "allow_hit", "block_hit", globs)
 
 
 def allow_listed(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:

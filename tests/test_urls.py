@@ -182,3 +182,26 @@ def test_first_seen_does_not_depend_on_partitions(spark):
     one = sorted(tuple(r) for r in FR.first_seen(df.coalesce(1)).collect())
     many = sorted(tuple(r) for r in FR.first_seen(df.repartition(8)).collect())
     assert one == many and len(one) == 14
+
+
+def test_literal_and_column_globs_agree(spark, monkeypatch):
+    from feedlake.operators import frontier as FR
+
+    urls = ["https://a.com/x", "https://b.org:8080/y", "https://c.net/blog/1", "https://c.net/other", "http://d.io/q?z=[1]", "https://sub.a.com/"]
+    rows = [(f, i, u) for f in ("f", "g", "unlisted") for i, u in enumerate(urls)]
+    frontier = spark.createDataFrame(rows, "feed string, ord int, url string")
+    feeds = spark.createDataFrame([("f",), ("g",)], "feed string")
+    patterns = spark.createDataFrame(
+        [(None, "block", "*/other"), ("f", "allow", "https://[!a].*"), ("f", "allow", "?.com"), ("g", "block", "*.a.com"), ("g", "block", "*q?z=*"), ("g", "allow", "https://b.org:8080/*")],
+        "feed string, kind string, pattern string",
+    )
+
+    def flags():
+        return sorted(map(tuple, FR.flag_patterns(frontier, feeds, patterns).collect()))
+
+    literal = flags()
+    monkeypatch.setattr(FR, "LITERAL_GLOBS", 1)
+    assert flags() == literal
+    blocked = {(r[0], r[2]) for r in literal if r[4]}
+    assert ("unlisted", "https://c.net/other") in blocked and ("g", "https://sub.a.com/") in blocked
+    assert {r[2] for r in literal if r[0] == "g" and r[3]} == {"https://b.org:8080/y"}
