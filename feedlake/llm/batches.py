@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at once (one longer text is held alone).
 BATCH_BYTES = 4 << 20
@@ -77,3 +78,15 @@ def append_columns(df: DataFrame, function: Callable[[pa.RecordBatch], dict], sc
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(found[f.name], f.type) for f in added)], schema=arrow)
 
     return df.mapInArrow(run, whole)
+
+
+def thinned(rows: DataFrame, wanted: int) -> DataFrame:
+    """About four times ``wanted`` rows by a hash of their values, or all if there are fewer.
+
+    Before a sorted sample of ``wanted`` rows: else every task would send the driver so many.
+    """
+    total = rows.count()
+    if total <= 4 * wanted:
+        return rows
+    hashed = F.pmod(F.xxhash64(*(f"`{c}`" for c in rows.columns)), F.lit(1 << 40))
+    return rows.where(hashed < F.lit((1 << 40) * 4 * wanted // total))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.batches import append_columns, joined_bytes
+from feedlake.llm.batches import append_columns, joined_bytes, thinned
 from feedlake.llm.html_blocks import PATH_BINS, Block, blocks
 from feedlake.llm.shingles import word_hashes
 
@@ -311,7 +311,8 @@ def training_pages(texts: list[str], count: int = PAGES, seed: int = 23) -> list
 def fitted(pages: DataFrame) -> Labeller:
     """A labeller for pages like those of the bounded sample."""
     html = F.col("html").cast("string")
-    sample = pages.select(html.alias("html")).where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_ROWS)
+    able = pages.select("page_id", html.alias("html")).where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    sample = thinned(able, SAMPLE_ROWS).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_ROWS)
     texts = [b.text for row in sample.collect() for b in blocks(row["html"])]
     return Labeller().fit(training_pages(texts))
 
