@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.batches import append_columns, joined_bytes
+from feedlake.llm.batches import append_columns, joined_bytes, thinned
 from feedlake.llm.shingles import word_hashes
 
 CHUNK, STEP = 256, 192
@@ -160,7 +160,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str | None], list[int]]:
     """Texts and labels of a bounded sample of the labelled rows that aren't held out, in the order of a hash of their ids."""
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("id"), "quality")
-    known = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "quality").limit(TRAIN_ROWS)
+    known = thinned(known.where(~held_out("id")), TRAIN_ROWS).orderBy(F.xxhash64("id"), "quality").limit(TRAIN_ROWS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # TRAIN_ROWS rows
     order = [F.xxhash64("id"), F.col("id"), F.col("quality"), F.xxhash64("text")]
