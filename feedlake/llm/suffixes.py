@@ -216,25 +216,37 @@ def refine_windows(texts: DataFrame) -> DataFrame:
             bucket, ord_, crc, low = bucket[order], ord_[order], crc[order], low[order]
             keep = ~_seen_before(bucket, ord_, crc, low)
             bucket, ord_, crc, low = bucket[keep], ord_[keep], crc[keep], low[keep]
-            yield {"bucket": bucket, "ord": ord_, "crc": crc, "low": low, "settled": _seen_before(bucket)}
+            settled = _seen_before(bucket)
+            # settled windows that follow each other become one row, and wait for nobody
+            done = [x[settled] for x in (low, crc, ord_)]
+            low_, crc_, own_ = (x[np.lexsort(done)] for x in done)
+            cuts = np.flatnonzero(~(_seen_before(own_, crc_) & (np.diff(low_, prepend=-2) == 1)))
+            high_ = low_[np.append(cuts[1:], len(low_)) - 1] if len(cuts) else low_
+            low_, crc_, own_ = low_[cuts], crc_[cuts], own_[cuts]
+            fresh = ~settled
+            yield {
+                "bucket": np.append(bucket[fresh], (mixed(own_.astype(np.uint64) + low_.astype(np.uint64))).view(np.int64)),
+                "ord": np.append(ord_[fresh], own_), "crc": np.append(crc[fresh], crc_), "low": np.append(low[fresh], low_),
+                "high": np.append(low[fresh], high_), "settled": np.append(np.zeros(fresh.sum(), bool), np.ones(len(low_), bool)),
+            }
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        head = np.zeros((4, 0), np.int64)
+        head = np.zeros((5, 0), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.append(head, np.stack([batch.column(n).to_numpy() for n in ("bucket", "ord", "crc", "low")]), axis=1)
+            rows = np.append(head, np.stack([batch.column(n).to_numpy() for n in ("bucket", "ord", "crc", "low", "high")]), axis=1)
             settled = np.append(np.zeros(head.shape[1], bool), batch.column("settled").to_numpy(zero_copy_only=False))
-            starts = ~_seen_before(rows[0])
+            starts = ~_seen_before(rows[0], settled)
             first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
-            earlier = settled | (rows[1:] != rows[1:, first]).any(axis=0)
+            earlier = settled | (rows[1:4] != rows[1:4, first]).any(axis=0)
             earlier[: head.shape[1]] = False
-            yield {"ord": rows[1][earlier], "crc": rows[2][earlier], "low": rows[3][earlier], "high": rows[3][earlier]}
-            head = rows[:, first[-1:]]
+            yield {"ord": rows[1][earlier], "crc": rows[2][earlier], "low": rows[3][earlier], "high": rows[4][earlier]}
+            head = rows[:, first[-1:]] if not settled[-1] else head[:, :0]
 
-    named = map_arrow(texts, name, "bucket bigint, ord bigint, crc bigint, low bigint, settled boolean")
+    named = map_arrow(texts, name, "bucket bigint, ord bigint, crc bigint, low bigint, high bigint, settled boolean")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(named.repartition(n, "bucket").sortWithinPartitions("bucket", "ord", "crc", "low"), compare, _RANGE)
+    return map_arrow(named.repartition(n, "bucket").sortWithinPartitions("bucket", "settled", "ord", "crc", "low"), compare, _RANGE)
 
 
 def _removed(ranges: list[dict] | None, length: int) -> tuple[np.ndarray, int]:
