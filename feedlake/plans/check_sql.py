@@ -368,6 +368,9 @@ WHERE {_article_link('url', 'site')}""",
         body=f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY prio, i) - 1 AS INTEGER) AS pos, url FROM uniq
 WHERE {_article_link('url', 'site')} QUALIFY pos < 100""",
     ),
+    "static_list_links": "SELECT 'list' AS feed, 'config' AS source_kind, row_number() OVER (ORDER BY page_id) AS rank, url FROM pages",
+    "config_feeds": """SELECT lang AS feed, concat(count(*), ' texts') AS title, CAST(NULL AS VARCHAR) AS home_page_url, CAST(NULL AS VARCHAR) AS feed_url,
+  CAST(NULL AS VARCHAR) AS description, lang AS language, concat('out/', lang) AS output_dir FROM documents GROUP BY lang""",
     "source_union_ordered": _with(
         *_NOTES,
         *_CARD_LINKS,

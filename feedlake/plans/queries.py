@@ -13,10 +13,11 @@ from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
 from feedlake.operators import pages as PG
 from feedlake.operators import tags as TAG
+from feedlake.operators.ranking import rank_within
 from feedlake.plans import fixtures as FX
 from feedlake.plans import ingest
 from feedlake.session import scratch_path
-from feedlake.sources.config import as_source
+from feedlake.sources.config import as_source, feed_table, link_list
 from feedlake.sources.landed import page_corpus
 from feedlake.sources.stored import stored_headers, stored_items
 from feedlake.streaming import incremental as INC
@@ -64,6 +65,24 @@ def new_links_anti(spark: SparkSession, sf: str) -> DataFrame:
     return fresh.select("feed", "id", "url")
 
 
+def static_list_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The urls of the pages, landed as files of lines and read back in their order."""
+    landed = scratch_path(spark, "link-list")
+    FX.table(spark, sf, "pages").repartitionByRange(4, "page_id").sortWithinPartitions("page_id").select("url").write.text(landed)
+    links = link_list(spark, landed, "list")
+    ranked = rank_within(links, "feed", [F.col("source_ref"), F.col("part"), F.col("pos")], ["source_kind", "url"])
+    return ranked.select("feed", "source_kind", "rank", "url")
+
+
+def config_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """A configured feed for each language of the documents."""
+    languages = FX.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()  # a few rows
+    return feed_table(
+        spark,
+        [{"name": r["lang"], "feed": {"title": f"{r['n']} texts", "language": r["lang"]}, "output_dir": f"out/{r['lang']}"} for r in languages],
+    )
+
+
 def _all_sources(spark: SparkSession, sf: str) -> DataFrame:
     static = FX.table(spark, sf, "pages").select(
         F.expr(FX.FEED_OF_URL).alias("feed"), F.col("page_id").alias("pos"), "url"
@@ -507,6 +526,8 @@ CATALOGUE = {
         blocklist_anti,
         dedup_first_seen,
         new_links_anti,
+        static_list_links,
+        config_feeds,
         source_union_ordered,
         source_union_first_seen,
         markdown_links,
