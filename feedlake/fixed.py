@@ -115,7 +115,7 @@ SITE_TITLE = "Feed Index"
 SITE_DESCRIPTION = "A collection of RSS and JSON feeds"
 NO_DESCRIPTION = "No description"
 NO_DATE = "Unknown"
-NO_FEEDS = "<li>No feeds found</li>"
+NO_FEEDS = "<dd>No feeds found</dd>"
 
 # --- fixed values: elements without an end tag ---------------------------------
 VOID_TAGS = (

@@ -50,9 +50,8 @@ def catalogue_listing(catalogue: DataFrame) -> DataFrame:
     """
     title, text = escape_html("title"), escape_html("description")
     entry = (
-        f"""concat('<li class="feed-item"><h2><a href="', json_url, '">', {title}, '</a></h2><p>', {text},"""
-        """ '</p><p>', item_count, ' items · Last updated: ', last_updated, '</p><a href="', json_url,"""
-        """ '">JSON Feed</a> <a href="', rss_url, '">RSS</a></li>')"""
+        f"""concat('<dt><a href="', json_url, '">', {title}, '</a> <a href="', rss_url, '">rss</a></dt><dd>',"""
+        f""" {text}, ' (', item_count, ', ', last_updated, ')</dd>')"""
     )
     discovery = (
         f"""concat('<link rel="alternate" type="application/rss+xml" title="', {title},"""
@@ -98,8 +97,7 @@ def catalogue_lines(
         .unionByName(
             single(
                 2,
-                f"""concat('</head><body><h1>', {head}, '</h1><p class="subtitle">', {about},"""
-                """ '</p><ul class="feed-list">')""",
+                f"""concat('</head><body><h1>', {head}, '</h1>', {about}, '<dl>')""",
             )
         )
         .unionByName(rows(3, "entry"))
@@ -109,7 +107,7 @@ def catalogue_lines(
             )
         )
         .unionByName(
-            single(4, lit(f"</ul><footer>Generated on {as_of}</footer></body></html>"))
+            single(4, lit(f"</dl><p>As of {as_of}</p></body></html>"))
         )
         .orderBy("section", "path")
     )

@@ -500,8 +500,7 @@ FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY ALL""",
     "catalogue_listing": _with(
         *_CATALOGUE,
         body=f"""SELECT path, concat(path, '/feed.json') AS json_url, concat(path, '/feed.xml') AS rss_url,
-  concat('<li class="feed-item"><h2><a href="', path, '/feed.json">', {_escape('title')}, '</a></h2><p>', {_escape('description')}, '</p><p>', item_count,
-    ' items · Last updated: ', last_updated, '</p><a href="', path, '/feed.json">JSON Feed</a> <a href="', path, '/feed.xml">RSS</a></li>') AS entry,
+  concat('<dt><a href="', path, '/feed.json">', {_escape('title')}, '</a> <a href="', path, '/feed.xml">rss</a></dt><dd>', {_escape('description')}, ' (', item_count, ', ', last_updated, ')</dd>') AS entry,
   concat('<link rel="alternate" type="application/rss+xml" title="', {_escape('title')}, '" href="', path, '/feed.xml">') AS autodiscovery FROM listed""",
     ),
     "ingest_funnel": _with(

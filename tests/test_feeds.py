@@ -180,7 +180,7 @@ def test_catalogue_page(spark):
     rows = listing.collect()
     assert [r.path for r in rows] == ["b", "nested/a"]
     assert rows[0].autodiscovery == '<link rel="alternate" type="application/rss+xml" title="B &amp; &lt;b&gt;" href="b/feed.xml">'
-    assert "No description" in rows[1].entry and "say &quot;hi&quot;" in rows[0].entry and "0 items · Last updated: Unknown" in rows[0].entry
+    assert "No description" in rows[1].entry and "say &quot;hi&quot;" in rows[0].entry and "(0, Unknown)" in rows[0].entry
     page = "".join(r.line for r in CAT.catalogue_lines(listing, "2025-12-29 00:00", title="My <Site>").collect())
     assert page.index("b/feed.json") < page.index("nested/a/feed.json") and "<title>My &lt;Site&gt;</title>" in page
     empty = CAT.catalogue_lines(listing.limit(0), "now")
