@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,6 +81,16 @@ def append_columns(df: DataFrame, function: Callable[[pa.RecordBatch], dict], sc
     return df.mapInArrow(run, whole)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now.
+
+    It does so when the driver's garbage collector has found their plans unused, which may be long after; between
+    two large steps that would keep the files of both on the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def thinned(rows: DataFrame, wanted: int) -> DataFrame:
     """About four times ``wanted`` rows by a hash of their values, or all if there are fewer.
 

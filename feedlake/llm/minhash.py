@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.batches import map_arrow, text_slices
+from feedlake.llm.batches import map_arrow, release_shuffles, text_slices
 from feedlake.llm.components import components
 from feedlake.llm.shingles import mixed, shingle_sets
 from feedlake.session import materialise
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = able.groupBy("set_id").agg(F.min(F.struct("doc_id", "sketch", "n_bytes")).alias("least")).select("set_id", F.col("least.doc_id").alias("id"), "least.sketch", "least.n_bytes")
     classes = materialise(classes, "minhash-classes")
     clusters = components(region_edges(classes, percent)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    release_shuffles(docs.sparkSession)  # of the sorted orders
     members = classes.select("set_id", "id", "n_bytes").join(clusters, "id")
     tiles = members.groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / TILE_BYTES).cast("int").alias("tiles"))
     placed = materialise(members.join(tiles, "cluster").withColumn("slot", F.pmod(F.xxhash64("set_id"), F.greatest("tiles", F.lit(1))).cast("int")), "minhash-clusters")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from feedlake.llm.batches import joined_bytes, map_arrow, text_slices
+from feedlake.llm.batches import joined_bytes, map_arrow, release_shuffles, text_slices
 from feedlake.llm.shingles import mixed
 from feedlake.session import materialise
 
@@ -227,7 +227,7 @@ def refine_windows(texts: DataFrame) -> DataFrame:
             yield {
                 "bucket": np.append(bucket[fresh], (mixed(own_.astype(np.uint64) + low_.astype(np.uint64))).view(np.int64)),
                 "ord": np.append(ord_[fresh], own_), "crc": np.append(crc[fresh], crc_), "low": np.append(low[fresh], low_),
-                "high": np.append(low[fresh], high_), "settled": np.append(np.zeros(fresh.sum(), bool), np.ones(len(low_), bool)),
+                "more": np.append(np.zeros(fresh.sum(), np.int64), high_ - low_), "settled": np.append(np.zeros(fresh.sum(), bool), np.ones(len(low_), bool)),
             }
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -235,16 +235,16 @@ def refine_windows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.append(head, np.stack([batch.column(n).to_numpy() for n in ("bucket", "ord", "crc", "low", "high")]), axis=1)
+            rows = np.append(head, np.stack([batch.column(n).to_numpy() for n in ("bucket", "ord", "crc", "low", "more")]), axis=1)
             settled = np.append(np.zeros(head.shape[1], bool), batch.column("settled").to_numpy(zero_copy_only=False))
             starts = ~_seen_before(rows[0], settled)
             first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
             earlier = settled | (rows[1:4] != rows[1:4, first]).any(axis=0)
             earlier[: head.shape[1]] = False
-            yield {"ord": rows[1][earlier], "crc": rows[2][earlier], "low": rows[3][earlier], "high": rows[4][earlier]}
+            yield {"ord": rows[1][earlier], "crc": rows[2][earlier], "low": rows[3][earlier], "high": rows[3][earlier] + rows[4][earlier]}
             head = rows[:, first[-1:]] if not settled[-1] else head[:, :0]
 
-    named = map_arrow(texts, name, "bucket bigint, ord bigint, crc bigint, low bigint, high bigint, settled boolean")
+    named = map_arrow(texts, name, "bucket bigint, ord bigint, crc bigint, low bigint, more bigint, settled boolean")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return map_arrow(named.repartition(n, "bucket").sortWithinPartitions("bucket", "settled", "ord", "crc", "low"), compare, _RANGE)
 
@@ -274,8 +274,8 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("ord"), F.crc32(text).alias("crc"), text.alias("text"))
-    table = run_table(keyed)
-    ranges = materialise(refine_runs(table, _common_anchors(keyed)), "suffix-ranges")
+    ranges = materialise(refine_runs(run_table(keyed), _common_anchors(keyed)), "suffix-ranges")
+    release_shuffles(docs.sparkSession)  # of the runs, as large as what follows
 
     def gathered(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("ord", "crc").agg(F.collect_list(F.struct("low", "high")).alias(name))
