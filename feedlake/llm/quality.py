@@ -5,15 +5,18 @@ repeats the one before; learned filters slide over them, and their largest answe
 and the maximum of all chunks go into one probability. Forward and backward pass are numpy.
 
 Scale. The network is fitted on the driver, on a sample bounded by ``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes, so fitting
-costs the same on any corpus. Scoring is one pass over the texts without a shuffle; a task holds some chunks at a time.
+costs the same on any corpus. It is drawn from the labels that have a document here; only ids, sizes and hashes of texts are
+joined for that. Texts of more than ``TRAIN_TEXT`` bytes are left out of the fit, not of the scores. Scoring is one pass over the texts without a shuffle; a task holds some chunks at a time.
 
 Rows. Null texts are empty, and an empty text is one chunk of padding: it has a score too. Labels are read from rows with a
 ``quality`` of 0 or 1; of several rows for one document all count. Without any labelled row nothing can be told,
-and every score is 1, so that nothing is rejected.
+and every score is 1, so that nothing is rejected. Fewer than ``LEAST_ROWS`` rows of a label in the sample give a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +24,17 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.batches import append_columns, joined_bytes, thinned
 from feedlake.llm.shingles import word_hashes
+from feedlake.session import materialise
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE = 8, 4
 DIMENSIONS, FILTERS = 7, 24
 #: Bounds of the sample on which the network is fitted.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 4 << 20
+#: Longer texts, in bytes, are not learned from; they are scored like all others.
+TRAIN_TEXT = 256 << 10
+#: With fewer rows of a label than this in the sample, a warning is given.
+LEAST_ROWS = 50
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 1000, 16, 0.01
 ACCEPT = 0.7
 _PAD = 256
@@ -158,16 +166,33 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of a bounded sample of the labelled rows that aren't held out, in the order of a hash of their ids."""
-    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("id"), "quality")
-    known = thinned(known.where(~held_out("id")), TRAIN_ROWS).orderBy(F.xxhash64("id"), "quality").limit(TRAIN_ROWS)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # TRAIN_ROWS rows
-    order = [F.xxhash64("id"), F.col("id"), F.col("quality"), F.xxhash64("text")]
-    sizes = joined.select(F.octet_length("text").alias("n"), *order).orderBy(*order).limit(TRAIN_ROWS).select("n").collect()
-    rows = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), TRAIN_BYTES, side="right"))
-    taken = joined.orderBy(*order).limit(max(1, rows)).select("text", "quality").collect()
-    return [r["text"] for r in taken], [r["quality"] for r in taken]
+    """Texts and labels of a bounded sample of the labelled rows of ``docs`` that aren't held out, in the order of a hash.
+
+    What doesn't fit into the rest of the bytes is passed over, so a long text costs no other its place.
+    """
+    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("id"), "quality").where(~held_out("id"))
+    known = known.groupBy("id", "quality").agg(F.count("*").alias("labelled"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("hash")).where(F.col("n") <= TRAIN_TEXT)
+    sizes = sizes.groupBy("doc_id", "n", "hash").agg(F.count("*").alias("stored"))
+    # equal rows count as often as they are there, but none more often than the sample needs
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("labelled") * F.col("stored"), F.lit(4 * TRAIN_ROWS)).cast("int"))).alias("copy")
+    rows = materialise(sizes.join(known, F.col("doc_id") == F.col("id")).select("id", "quality", "n", "hash", copies), "quality-labelled")
+    drawn = thinned(rows, TRAIN_ROWS).select(F.xxhash64("id", "quality", "hash", "copy").alias("place"), "id", "quality", "n", "hash").collect()
+    taken, room = [], TRAIN_BYTES
+    for r in sorted(drawn):
+        if r["n"] <= room and len(taken) < TRAIN_ROWS:
+            taken.append(r)
+            room -= r["n"]
+    for value in (0, 1):
+        if (count := sum(r["quality"] == value for r in taken)) < LEAST_ROWS:
+            warnings.warn(f"the quality network learns from {count} rows of quality {value}, fewer than {LEAST_ROWS}", stacklevel=2)
+    if not taken:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame([*{(r["id"], r["hash"]) for r in taken}], rows.select("id", "hash").schema)
+    found = texts.join(F.broadcast(wanted), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")))  # TRAIN_ROWS rows
+    text = {(r["id"], r["hash"]): r["text"] for r in found.groupBy("id", "hash").agg(F.min("text").alias("text")).collect()}
+    return [text[r["id"], r["hash"]] for r in taken], [r["quality"] for r in taken]
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:

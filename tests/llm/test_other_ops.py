@@ -142,6 +142,30 @@ def test_quality_odd_rows(spark):
     assert quality.scored(docs.limit(0), None).count() == 0
 
 
+def test_quality_sample_passes_over_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 40)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 5000)
+    monkeypatch.setattr(quality, "TRAIN_TEXT", 3000)
+    texts = [(i, "x" * (2900 if i % 3 == 0 else 9000 if i % 3 == 1 else 20)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    # most labels are of documents that are not among these
+    labels = spark.createDataFrame([(i, i // 3 % 2) for i in range(5000)], "doc_id bigint, quality int")
+    with pytest.warns(UserWarning, match="fewer than"):
+        got, known = quality.training_sample(docs, labels)
+    assert len(got) == len(known) == 40 and set(known) == {0, 1}
+    assert sum(map(len, got)) <= 5000 and sum(len(t) == 2900 for t in got) <= 1
+    with pytest.warns(UserWarning, match="0 rows of quality 1"):
+        assert quality.training_sample(docs, labels.where("doc_id >= 300")) == ([], [])
+
+
+def test_quality_sample_counts_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "good"), (1, "good"), (3, "bad"), (None, "none")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, 0), (None, 1)], "doc_id bigint, quality int")
+    usual = [r["doc_id"] for r in docs.where(~quality.held_out()).distinct().collect()]
+    got = sorted(zip(*quality.training_sample(docs, labels), strict=True))
+    assert got == sorted([("good", 1)] * 4 * (1 in usual) + [("good", 0)] * 2 * (1 in usual) + [("bad", 0)] * (3 in usual))
+
+
 def test_neighbours(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     vectors, ids = np.asarray([r["embedding"] for r in rows], float), np.asarray([r["vec_id"] for r in rows])
