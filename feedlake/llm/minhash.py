@@ -2,7 +2,7 @@
 
 Method. The sketch of a text is 128 bytes, each from the smallest hash of its shingles under one
 function. Every tree of the forest is one sorted order of all sketches, each rotated so that the
-tree's own bytes come first. Texts whose rotated sketches share a prefix of at least ``LEAST_DEPTH``
+tree's own bytes come first. Texts whose rotated sketches share a prefix of at least ``least_depth``
 bytes are candidates; where more than ``REGION`` texts share it, the region's depth grows until it
 is small, so dense regions are compared among their longest common prefixes. Inside a region the sketches are
 compared as a whole, and what looks similar is joined to clusters. In a cluster the links are confirmed on full shingle sets.
@@ -13,8 +13,9 @@ one task, and a crowd of equal sketches is cut at another place in every tree. R
 star edges, never pairs. Only texts of clusters are read again; a large cluster is split
 into tiles of bounded bytes, and every two tiles meet.
 
-A link is missed if its two texts share no region in any tree, or if their sketches differ by more than ``SLACK`` from
-their likeness. At a likeness of 0.85 that is about 1 link in 2,000, and only counts where no other path joins the texts.
+A link is missed if its two texts share no region in any tree, or if fewer than ``least_agreeing`` bytes of their sketches agree. Both
+bounds depend on the wanted likeness, of 0.52 or more: at exactly that likeness each loses at most ``LOSS`` (1 in 100,000) of the links by the binomial
+distribution, and only where no other path joins the texts. Where a region is split by longer prefixes, more pairs share none.
 
 Rows. Null texts and texts without words have no shingles and link with nothing. Rows with the same ``doc_id`` are one
 document for links. A null ``doc_id`` takes no part: its component is null, and it is kept. Repeated rows stay; other columns are not looked at.
@@ -23,6 +24,7 @@ document for links. A null ``doc_id`` takes no part: its component is null, and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,11 @@ from feedlake.session import materialise
 
 TREES = 16
 TREE_BYTES = 8
-LEAST_DEPTH = 4
+MOST_DEPTH = 4
 #: Texts that are compared each with each; a region of more is split by longer prefixes.
 REGION = 256
-#: How far the sketches' likeness may lie under the wanted one.
-SLACK = 0.1
+#: The share of links at exactly the wanted likeness that either bound on sketches may lose.
+LOSS = 1e-5
 #: Bytes of text in a tile of a cluster.
 TILE_BYTES = 4 << 20
 #: Rows of an order in one partition.
@@ -53,6 +55,27 @@ _FACTOR = _rng.integers(1, 1 << 63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.
 _SHIFT = _rng.integers(1, 1 << 63, _SIZE, dtype=np.uint64)
 
 
+def _agreement(percent: int) -> float:
+    """The probability that a byte of two sketches agrees at this likeness, by the same smallest hash or by chance."""
+    return percent / 100 + (1 - percent / 100) / 256
+
+
+def least_agreeing(percent: int) -> int:
+    """So many bytes of their sketches agree in all but ``LOSS`` of the pairs of this likeness."""
+    p, below = _agreement(percent), 0.0
+    for k in range(_SIZE + 1):
+        below += math.comb(_SIZE, k) * p**k * (1 - p) ** (_SIZE - k)
+        if below > LOSS:
+            return k
+    return _SIZE
+
+
+def least_depth(percent: int) -> int:
+    """The longest prefix that all but ``LOSS`` of the pairs of this likeness share in some tree; at least one byte."""
+    p = _agreement(percent)
+    return next((d for d in range(MOST_DEPTH, 1, -1) if (1 - p**d) ** TREES <= LOSS), 1)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The sketch of a nonempty set of hashes."""
     least = np.full(_SIZE, np.iinfo(np.uint64).max, np.uint64)
@@ -110,7 +133,7 @@ def _regions(keys: np.ndarray, low: int, high: int, depth: int) -> Iterator[tupl
 
 def region_edges(classes: DataFrame, percent: int) -> DataFrame:
     """``u, v``: star edges among texts of a region with similar sketches; all of its similar texts are joined."""
-    least = (percent / 100 - SLACK) * _SIZE
+    least, depth = least_agreeing(percent), least_depth(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held = [b for b in batches if b.num_rows]
@@ -122,7 +145,7 @@ def region_edges(classes: DataFrame, percent: int) -> DataFrame:
         cuts = np.append(0, np.append(np.flatnonzero(np.diff(trees)) + 1, len(trees)))
         u, v = [], []
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            for a, b in _regions(keys, int(low), int(high), LEAST_DEPTH):
+            for a, b in _regions(keys, int(low), int(high), depth):
                 part = keys[a:b]
                 for first, rest in _stars((part[:, None, :] == part[None, :, :]).sum(axis=2) >= least):
                     u += ids[a + rest].tolist()
@@ -140,29 +163,34 @@ def region_edges(classes: DataFrame, percent: int) -> DataFrame:
 def linked_sets(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> np.ndarray:
     """The smallest index that each set is linked with, directly or not: 100 * intersection >= percent * union.
 
-    Only pairs with similar sketches and not yet joined are compared; with ``apart`` (a flag for each
+    The intersections of all pairs are counted over the sets that hold each hash; with ``apart`` (a flag for each
     set), only pairs of unlike flags.
     """
     n = len(sets)
     label = np.arange(n)
     if n < 2:
         return label
-    sketches = np.stack([sketch(s) for s in sets])
     size = np.asarray([len(s) for s in sets])
-    least = (percent / 100 - SLACK) * _SIZE
+    bounds = np.append(0, np.cumsum(size))
+    owner = np.repeat(label, size)
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    holders, ranked = owner[order], hashes[order]
+    begins = np.empty(len(order), np.int64)  # of each hash's holders, and the place of the set itself among them
+    places = np.empty(len(order), np.int64)
+    begins[order] = np.searchsorted(ranked, ranked)
+    places[order] = np.arange(len(order))
     for i in range(1, n):
-        score = (sketches[:i] == sketches[i]).sum(axis=1)
-        able = (score >= least) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
+        begin = begins[bounds[i] : bounds[i + 1]]
+        counts = places[bounds[i] : bounds[i + 1]] - begin  # sets before this one
+        at = np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+        common = np.bincount(holders[at], minlength=i)
+        able = (common > 0) & (100 * common >= percent * (size[:i] + size[i] - common))
         if apart is not None:
             able &= apart[:i] != apart[i]
-        near = np.flatnonzero(able)
-        for j in near[np.argsort(-score[near], kind="stable")]:
-            if label[i] == label[j]:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (size[i] + size[j] - common):
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
+        if able.any():
+            roots = np.append(np.unique(label[:i][able]), label[i])
+            label[np.isin(label, roots)] = roots.min()
     return label
 
 

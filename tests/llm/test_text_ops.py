@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -176,6 +177,37 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_at_the_wanted_likeness(percent):
+    """Links of exactly the wanted likeness whose sketches agree less than usual."""
+    rng = np.random.default_rng(percent)
+    own = 100 - percent
+    drawn = (rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(2000))
+    pairs = [(np.sort(x[own // 2 :]), np.sort(x[: 100 - own + own // 2])) for x in drawn]  # percent in common of 100 in all
+    agreed = [int((minhash.sketch(a) == minhash.sketch(b)).sum()) for a, b in pairs]
+    low = [p for p, k in zip(pairs, agreed, strict=True) if k < (percent - 10) * 1.28]
+    assert low and min(agreed) >= minhash.least_agreeing(percent)
+    for a, b in low:
+        assert len(np.intersect1d(a, b)) * 100 >= percent * len(np.union1d(a, b))
+        assert minhash.linked_sets([a, b], percent).tolist() == [0, 0]
+        assert minhash.linked_sets([a, b], percent, np.asarray([1, 1])).tolist() == [0, 1]
+    chance = percent / 100 + own / 100 / 256
+    assert (1 - chance ** minhash.least_depth(percent)) ** minhash.TREES <= 1e-5
+
+
+def test_linked_sets_against_all_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 40)).astype(np.uint64)) for _ in range(120)]
+    for apart in (None, rng.integers(0, 2, 120)):
+        root = np.arange(120)
+        for i in range(120):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if common and 100 * common >= 60 * (len(sets[i]) + len(sets[j]) - common) and (apart is None or apart[i] != apart[j]):
+                    root[root == max(root[i], root[j])] = min(root[i], root[j])
+        assert minhash.linked_sets(sets, 60, apart).tolist() == root.tolist()
+
+
 def test_fingerprints(spark, odd, small):
     rows = QUERIES["op10_fingerprints"](spark, SF).collect()
     order = sorted(small, key=lambda r: -r["doc_id"])
