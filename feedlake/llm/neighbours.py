@@ -3,13 +3,16 @@
 Method. Each tree turns a vector into a long string of symbols: after a random rotation of its own a symbol is the axis with the
 largest coordinate, and its sign. A tree is its strings, sorted. A query goes down to the longest prefix that it
 shares with any string of a tree; then all trees go up together, one bit of prefix at a time, until the ranges that share the prefix
-hold enough candidates. Those are compared by inner product in double precision.
+hold enough candidates. Those are compared by inner product in double precision. Candidates are near by angle; a vector at a wider angle than
+the k-th nearest of them is among the k best only if it is longer than their k-th best score over that angle's cosine. All vectors
+of such length are compared too.
 
 Scale. Equal vectors are one entry with its smallest ids, so a vector that is everywhere costs one comparison. Vectors are
 dealt by hash into blocks of ``BLOCK``, each with a forest of its own, and queries into chunks; a task holds one block and one chunk. Every
-query meets every block, as its contract says, but compares about a third of it.
+query meets every block, as its contract says, but compares about a third of it, and of vectors of unequal length the longest besides.
 
-Recall of the 20 nearest is 0.96 on vectors without any structure (uniform directions in 64 dimensions, the hardest case), see the tests.
+Recall of the 20 nearest is 0.96 on unit vectors without any structure (uniform directions in 64 dimensions) and not below 0.9 with
+lengths spread log-normally, see the tests.
 
 Rows. Vectors that are null, zero, or hold null or non-finite components, and null ids, take no part. Vectors of different length never meet.
 Rows that agree in id and vector count once. Ties go to the smaller id. An empty table has no rows.
@@ -29,6 +32,8 @@ TREES, SYMBOLS = 64, 3
 BLOCK, CHUNK = 8192, 4096
 #: Candidates (counted once for each tree) at which the ascent stops.
 CANDIDATES = 2560
+#: Lengths that differ by less than this share are equal.
+ROUNDING = 1e-6
 
 
 def rotations(dimensions: int) -> np.ndarray:
@@ -55,6 +60,9 @@ class Forest:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.norms = norms[:, 0]
+        self.longest = np.argsort(-self.norms, kind="stable")
+        self.falling = -self.norms[self.longest]
         self.turns = rotations(vectors.shape[1])
         strings, self.bits = hash_strings((vectors / norms).astype(np.float32), self.turns)
         self.order = np.argsort(strings, axis=1, kind="stable")
@@ -79,10 +87,24 @@ class Forest:
         for i in range(len(queries)):
             yield np.unique(np.concatenate([self.order[t, low[t, i] : high[t, i]] for t in range(TREES)]))
 
+    def longer(self, found: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+        """Positions of the vectors that could be among the k best at a wider angle than the k-th narrowest of ``found``."""
+        if len(found) < k:
+            return self.longest
+        cosine = np.partition(score / self.norms[found], len(found) - k)[len(found) - k]  # times the query's length
+        if cosine <= 0:
+            return self.longest
+        least = np.partition(score, len(found) - k)[len(found) - k] / cosine
+        return self.longest[: np.searchsorted(self.falling, -least * (1 + ROUNDING))]
+
     def nearest(self, queries: np.ndarray, k: int, ids: np.ndarray):
         """Positions and scores of the k best candidates of each query, best first, ties to the smaller id."""
         for query, found in zip(queries, self.candidates(queries, CANDIDATES), strict=True):
             score = self.vectors[found] @ query
+            longer = self.longer(found, score, k)
+            if len(longer):
+                found = np.union1d(found, longer)
+                score = self.vectors[found] @ query
             if len(found) > k:
                 best = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                 found, score = found[best], score[best]

@@ -197,6 +197,18 @@ def test_forest_recall_without_structure():
     assert hits / (60 * 21) >= 0.9 and looked < 0.5 * len(vectors)
 
 
+@pytest.mark.parametrize("spread", [0.3, 0.5, 1.0])
+def test_forest_recall_on_unequal_lengths(spread):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(neighbours.BLOCK, 64))
+    vectors *= np.exp(spread * rng.normal(size=(len(vectors), 1))) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    forest = neighbours.Forest(vectors)
+    hits = 0
+    for query, (found, _) in zip(vectors[:60], forest.nearest(vectors[:60], 21, np.arange(len(vectors))), strict=True):
+        hits += len(set(found.tolist()) & set(np.argsort(-(vectors @ query))[:21].tolist()))
+    assert hits / (60 * 21) >= 0.93
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     same = [(i, [1.0, 0.5]) for i in range(60)]
