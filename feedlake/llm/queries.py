@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, chat, fingerprints, html_text, minhash, neighbours, packing, quality, reshard, suffixes
+from feedlake.llm import bpe, chat, fingerprints, html_text, lexical, minhash, neighbours, packing, quality, reshard, simhash, suffixes, whitening
 from feedlake.llm.batches import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffixes, op4_html, op5_reshard, op6_chat, op7_quality, op8_neighbours, op9_packing, op10_fingerprints)}
-#: Chat formatting alone can be said in SQL; the others are tested against brute force, other libraries or held-out labels.
-SQL: dict[str, str] = {"op6_chat": chat.SQL}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), best=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_bpe, op2_minhash, op3_suffixes, op4_html, op5_reshard, op6_chat, op7_quality, op8_neighbours, op9_packing, op10_fingerprints,
+    op11_lexical, op12_whitening, op13_simhash,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+#: Chat formatting and lexical search can be said in SQL; the others are tested against brute force, other libraries or held-out labels.
+SQL: dict[str, str] = {"op6_chat": chat.SQL, "op11_lexical": lexical.SQL}
