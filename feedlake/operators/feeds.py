@@ -9,12 +9,14 @@ from feedlake import fixed
 from feedlake.functions import dates
 from feedlake.functions.sql import each, extract, first_nonempty, keep, lit, nonempty
 from feedlake.functions.text import escape_html, xml_clean
-from feedlake.operators.ranking import rank_within
+from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.schema import ITEM_COLUMNS
 
-# A feed document holds this many items; a larger feed continues on further pages,
-# linked with ``next_url``. No item is left out and no document outgrows a task.
+# A feed document ends after this many items, or with the item that reaches so many bytes of text;
+# a larger feed continues on further pages, linked with ``next_url``. No item is left out, and a document
+# holds at most PAGE_BYTES and one item more.
 PAGE_ITEMS = 1000
+PAGE_BYTES = 8 << 20
 
 
 # --- merge -------------------------------------------------------------------------
@@ -49,16 +51,19 @@ def dry_run(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _by_feed(items: DataFrame) -> DataFrame:
+    """Rows of a feed together, so that a small one is one file; adaptive execution splits a large one."""
+    return items.hint("rebalance", "feed")
+
+
 def append_items(stored: DataFrame, new: DataFrame, path: str) -> None:
-    """Append sink: only the delta is written."""
-    new_items_only(stored, new).write.mode("append").partitionBy("feed").parquet(path)
+    """Append sink: only the delta is written, few files a feed."""
+    _by_feed(new_items_only(stored, new)).write.mode("append").partitionBy("feed").parquet(path)
 
 
 def rebuild_items(new: DataFrame, path: str) -> None:
     """Rebuild sink: overwrites exactly the feeds that have new items."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "feed"
-    ).parquet(path)
+    _by_feed(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed").parquet(path)
 
 
 # --- JSON Feed ---------------------------------------------------------------------
@@ -89,21 +94,30 @@ def json_items(items: DataFrame) -> DataFrame:
     return items.selectExpr("feed", "id", "ord", f"{item_json()} AS item")
 
 
-def _paged(items: DataFrame, order: list[Column], text: str, page_items: int) -> DataFrame:
-    """Texts of each feed gathered per document page, in order.
+def page_key(rank: str, before: str, page_items: int, page_bytes: int) -> Column:
+    """Rises by one or more wherever a page ends; places without a gap between them share it."""
+    return F.floor((F.col(rank) - 1) / page_items) + F.floor(F.col(before) / page_bytes)
+
 
-    Groups hold at most ``page_items`` rows. The text travels with its row through the one sort, so a stored
+def _paged(items: DataFrame, order: list[Column], text: str, page_items: int, page_bytes: int) -> DataFrame:
+    """Texts of each feed gathered per document page, in order: ``feed``, ``page``, ``texts``.
+
+    A row's place among the items and bytes of its feed (a distributed prefix sum) says on which page it is: a new
+    one begins wherever a multiple of ``page_items`` or of ``page_bytes`` is passed. The places that pages begin at are
+    numbered afterwards, one row a page. The text travels with its row through the one sort, so a stored
     row is rendered once, also where a feed holds an id twice.
     """
-    texts = items.selectExpr("feed", "id", "ord", "date_published", f"{text} AS _text")
-    numbered = rank_within(texts, "feed", order, ["_text"])
-    page = F.floor((F.col("rank") - 1) / page_items) + 1
-    return (
-        numbered.withColumn("page", page.cast("int"))
-        .groupBy("feed", "page")
+    texts = items.selectExpr("feed", "id", "ord", "date_published", f"{text} AS _text").withColumn("_bytes", F.octet_length("_text"))
+    placed = measured_within(texts, "feed", order, ["_text"], "_bytes")
+    key = page_key("rank", "before", page_items, page_bytes)
+    gathered = (
+        placed.withColumn("_key", key)
+        .groupBy("feed", "_key")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_rows"))
-        .select("feed", "page", F.transform("_rows", lambda r: r["_text"]).alias("texts"))
+        .select("feed", "_key", F.transform("_rows", lambda r: r["_text"]).alias("texts"))
     )
+    numbers = rank_within(placed.select("feed", key.alias("_key")).distinct(), "feed", [F.col("_key")], ["_key"], "page")
+    return gathered.join(numbers, ["feed", "_key"]).select("feed", F.col("page").cast("int").alias("page"), "texts")
 
 
 def _document_pages(feeds: DataFrame, paged: DataFrame) -> DataFrame:
@@ -119,10 +133,9 @@ def _document_pages(feeds: DataFrame, paged: DataFrame) -> DataFrame:
     )
 
 
-def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """JSON Feed 1.1 documents: ``feed``, ``page``, ``document``; stored order."""
-    paged = _paged(items, [F.col("ord"), F.col("id")], item_json(), page_items)
-    more = "pages > 1"
+def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """JSON Feed 1.1 documents: ``feed``, ``page``, ``document``; stored order. ``_page`` is the number of the page."""
+    paged = _paged(items, [F.col("ord"), F.col("id")], item_json(), page_items, page_bytes)
     header = ", ".join(
         [
             f"{lit(fixed.JSON_FEED_VERSION)} AS version",
@@ -130,7 +143,7 @@ def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_IT
             f"{nonempty('home_page_url')} AS home_page_url",
             f"{nonempty('feed_url')} AS feed_url",
             "if(page < pages, concat('feed-', page + 1, '.json'), NULL) AS next_url",
-            f"if({more}, page, NULL) AS _page",
+            "page AS _page",
             f"{nonempty('description')} AS description",
             f"{nonempty('language')} AS language",
         ]
@@ -143,25 +156,31 @@ def json_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_IT
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One file for each document, in the folder ``feed=<feed>/page=<page>``."""
+    """One file for each document, in the folder ``feed=<feed>/page=<page>``; ``sinks.published`` puts them under their names."""
     pages = documents.select("feed", "page", "document").repartition("feed", "page")
     pages.write.mode("overwrite").partitionBy("feed", "page").option("lineSep", "\n").text(path)
 
 
-def published_names(feeds: DataFrame, documents: DataFrame, kind: str) -> DataFrame:
-    """Where each written document belongs: ``feed``, ``page``, ``folder`` as written, ``name`` as published.
+# --- published documents -----------------------------------------------------------
+
 
-    ``kind`` is ``json`` or ``xml``. Documents link to each other by these names: ``feed.json``, ``feed-2.json`` and so on, below the
-    feed's ``output_dir`` or else its name.
+def published_name(path: str, page: str, kind: str) -> str:
+    """Where a document belongs below the published folder: ``<path>/feed.json``, ``<path>/feed-2.json`` and so on.
+
+    ``path`` is the feed's ``output_dir`` or name. Characters that mean something to file systems are percent-encoded; empty
+    steps and steps to a folder above are left out.
     """
-    placed = documents.select("feed", "page").join(feeds.select("feed", "output_dir"), "feed", "left")
-    file = F.concat(F.lit("feed"), F.when(F.col("page") > 1, F.concat(F.lit("-"), "page")).otherwise(""), F.lit(f".{kind}"))
-    return placed.select(
-        "feed",
-        "page",
-        F.concat(F.lit("feed="), "feed", F.lit("/page="), "page").alias("folder"),
-        F.concat_ws("/", F.rtrim(F.coalesce("output_dir", "feed"), F.lit("/")), file).alias("name"),
-    )
+    kept = keep(f"split({path}, '/')", lambda s: f"{s} NOT IN ('', '.', '..')")
+    safe = each(kept, lambda s: f"replace(url_encode({s}), '+', '%20')")
+    file = f"concat('feed', if({page} > 1, concat('-', {page}), ''), '.{kind}')"
+    return f"array_join(concat({safe}, array({file})), '/')"
+
+
+def named_documents(feeds: DataFrame, documents: DataFrame, kind: str) -> DataFrame:
+    """``name``, ``feed``, ``page``, ``document``; ``kind`` is ``json`` or ``xml``. Documents link to each other by these names."""
+    placed = documents.select("feed", "page", "document").join(feeds.select("feed", "output_dir"), "feed", "left")
+    path = first_nonempty("output_dir", "feed")
+    return placed.selectExpr(f"{published_name(path, 'page', kind)} AS name", "feed", "page", "document")
 
 
 # --- RSS -----------------------------------------------------------------------------
@@ -238,9 +257,9 @@ def rss_item() -> str:
     return f"concat({', '.join(parts)})"
 
 
-def rss_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+def rss_documents(feeds: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """RSS 2.0 documents: ``feed``, ``page``, ``document``; newest first."""
-    paged = _paged(items, newest_first(), rss_item(), page_items)
+    paged = _paged(items, newest_first(), rss_item(), page_items, page_bytes)
     title = xml_clean(f"coalesce(title, {lit(fixed.UNTITLED_FEED)})")
     self_link = f"""concat('<atom:link href="', {escape_html(nonempty('feed_url'))}, '" rel="self"/>')"""
     next_link = """if(page < pages, concat('<atom:link href="feed-', page + 1, '.xml" rel="next"/>'), '')"""

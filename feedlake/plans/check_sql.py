@@ -468,9 +468,9 @@ FROM feeds f LEFT JOIN items i ON i.feed = f.feed GROUP BY ALL""",
         *_ITEMS,
         _FEEDS,
         "placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY feed ORDER BY ord, id) - 1) // 50 + 1 AS INTEGER) AS page FROM items)",
-        "counted AS (SELECT feed, page, count(*) AS items, arg_min(url, ord) AS first_url FROM placed GROUP BY ALL)",
+        "counted AS (SELECT feed, page, count(*) AS items, arg_min(url, ord) AS first_url, string_agg(id, ',' ORDER BY ord, id) AS ids FROM placed GROUP BY ALL)",
         body="""SELECT f.feed, coalesce(c.page, 1) AS page, CAST(coalesce(c.items, 0) AS INTEGER) AS items,
-  CASE WHEN c.page < max(c.page) OVER (PARTITION BY f.feed) THEN concat('feed-', c.page + 1, '.json') END AS next_url, c.first_url
+  CASE WHEN c.page < max(c.page) OVER (PARTITION BY f.feed) THEN concat('feed-', c.page + 1, '.json') END AS next_url, c.first_url, md5(coalesce(c.ids, '')) AS ids_md5
 FROM feeds f LEFT JOIN counted c ON c.feed = f.feed""",
     ),
     "rss_ranked_items": _with(*_ITEMS, body="SELECT feed, id, rank FROM rss"),
@@ -486,8 +486,22 @@ FROM feeds f LEFT JOIN counted c ON c.feed = f.feed""",
         _FEEDS,
         body=f"""SELECT f.feed, CAST(coalesce((i.rank - 1) // {PAGE_ITEMS}, 0) + 1 AS INTEGER) AS page, {_escape("coalesce(f.title, 'Untitled Feed')")} AS title, coalesce(f.home_page_url, 'https://example.com') AS link,
   {_escape("coalesce(f.description, f.title, 'Untitled Feed')")} AS description, CAST(count(i.id) AS INTEGER) AS items, CAST(count(i.media_url) AS INTEGER) AS enclosures,
-  CAST(2 * count(i.id) AS INTEGER) AS categories, CAST(count(i.date_iso) AS INTEGER) AS dates, coalesce(arg_min(i.id, i.rank), '') AS first_id
+  CAST(2 * count(i.id) AS INTEGER) AS categories, CAST(count(i.date_iso) AS INTEGER) AS dates, coalesce(arg_min(i.id, i.rank), '') AS first_id, md5(coalesce(string_agg(i.id, ',' ORDER BY i.rank), '')) AS ids_md5
 FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY ALL""",
+    ),
+    "byte_pages": """SELECT lang, doc_id, rank, before, (rank - 1) // 100 + before // 65536 AS page_key FROM (
+  SELECT lang, doc_id, row_number() OVER w AS rank, CAST(sum(size) OVER w - size AS BIGINT) AS before
+  FROM (SELECT lang, doc_id, coalesce(strlen(text), 0) AS size FROM documents) WINDOW w AS (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING))""",
+    "published_documents": _with(
+        *_ITEMS,
+        _FEEDS,
+        "held AS (SELECT * FROM ranked WHERE feed <> 'en' OR url LIKE 'http:%')",
+        """sorted AS (SELECT feed, id, 'json' AS kind, row_number() OVER (PARTITION BY feed ORDER BY ord, id) AS rank FROM held
+  UNION ALL SELECT feed, id, 'xml', row_number() OVER (PARTITION BY feed ORDER BY moment DESC NULLS LAST, ord, id) FROM held)""",
+        "paged AS (SELECT feed, kind, (rank - 1) // 50 + 1 AS page, count(*) AS items, string_agg(id, ',' ORDER BY rank) AS ids FROM sorted GROUP BY ALL)",
+        """wanted AS (SELECT feed, output_dir, unnest(['json', 'xml']) AS kind FROM feeds)""",
+        body="""SELECT concat(coalesce(output_dir, feed), '/feed', CASE WHEN page > 1 THEN concat('-', page) ELSE '' END, '.', kind) AS name, feed,
+  CAST(coalesce(items, 0) AS INTEGER) AS items, md5(coalesce(ids, '')) AS ids_md5 FROM wanted LEFT JOIN paged USING (feed, kind)""",
     ),
     "rss_enclosures": _with(
         *_ITEMS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, html as H
@@ -13,10 +13,11 @@ from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
 from feedlake.operators import pages as PG
 from feedlake.operators import tags as TAG
-from feedlake.operators.ranking import rank_within
+from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.plans import fixtures as FX
 from feedlake.plans import ingest
 from feedlake.session import scratch_path
+from feedlake.sinks.published import publish, published
 from feedlake.sources.config import as_source, feed_table, link_list
 from feedlake.sources.landed import page_corpus
 from feedlake.sources.stored import stored_headers, stored_items
@@ -357,6 +358,15 @@ def dry_run_delta(spark: SparkSession, sf: str) -> DataFrame:
     return FD.dry_run(*_split_items(spark, sf))
 
 
+def _document_ids() -> Column:
+    """Ids of the items of a document, in order."""
+    return F.regexp_extract_all("document", F.lit('(?:\\{"id":"|<guid isPermaLink="false">)([0-9a-f]{16})'), 1)
+
+
+def _ids_digest() -> Column:
+    return F.md5(F.array_join(_document_ids(), ",")).alias("ids_md5")
+
+
 def json_feed_items(spark: SparkSession, sf: str) -> DataFrame:
     paths = {
         "id": "id",
@@ -411,6 +421,7 @@ def json_feed_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.json_array_length(F.get_json_object("document", "$.items")).alias("items"),
         F.get_json_object("document", "$.next_url").alias("next_url"),
         F.get_json_object("document", "$.items[0].url").alias("first_url"),
+        _ids_digest(),
     )
 
 
@@ -436,9 +447,28 @@ def rss_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.regexp_count("document", F.lit("<category>")).alias("categories"),
         F.regexp_count("document", F.lit("<pubDate>")).alias("dates"),
         F.regexp_extract("document", '<guid isPermaLink="false">(.*?)</guid>', 1).alias("first_id"),
+        _ids_digest(),
     )
 
 
+def byte_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of each language in pages that end after 64 kB or 100 texts: places by a prefix sum over sorted ranges."""
+    docs = FX.table(spark, sf, "documents").select("lang", "doc_id", F.octet_length("text").alias("bytes"))
+    placed = measured_within(docs, "lang", [F.col("doc_id")], ["doc_id"], "bytes")
+    return placed.select("lang", "doc_id", "rank", "before", FD.page_key("rank", "before", 100, 1 << 16).alias("page_key"))
+
+
+def published_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What readers find after two runs: all feeds, then the English one again with fewer items, so fewer pages."""
+    root = scratch_path(spark, "published")
+    feeds, items = FX.feeds(spark), FX.items_x(spark, sf)
+    fewer = items.filter("feed = 'en' AND url LIKE 'http:%'")
+    for some, held in ((feeds, items), (feeds.filter("feed = 'en'"), fewer)):
+        json = FD.named_documents(some, FD.json_documents(some, held, page_items=50), "json")
+        publish(json.unionByName(FD.named_documents(some, FD.rss_documents(some, held, page_items=50), "xml")), root)
+    return published(spark, root).select("name", "feed", F.size(_document_ids()).alias("items"), _ids_digest())
+
+
 def rss_enclosures(spark: SparkSession, sf: str) -> DataFrame:
     return FD.enclosures(FX.items_x(spark, sf))
 
@@ -569,6 +599,8 @@ CATALOGUE = {
         rss_ranked_items,
         rss_item_texts,
         rss_documents,
+        byte_pages,
+        published_documents,
         rss_enclosures,
         xml_clean_items,
         feed_catalogue,

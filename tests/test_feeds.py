@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlake.operators import catalogue as CAT
 from feedlake.operators import feeds as FD
-from feedlake.operators.ranking import rank_within
+from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.plans import fixtures as FX
 from feedlake.schema import ITEM_FIELDS
 from feedlake.sources import stored as ST
@@ -94,10 +94,33 @@ def test_documents_round_trip(items, spark, tmp_path):
     assert heads == {("f", 'T "x"}', "https://h"), ("empty", "Untitled Feed", None)}
     pages = sorted((r.feed, r.page, json.loads(r.document)) for r in docs.collect() if r.feed == "f")
     assert [p[2].get("next_url") for p in pages] == ["feed-2.json", "feed-3.json", None]
-    files = [str(f.relative_to(tmp_path / "json")) for f in (tmp_path / "json").rglob("part-*")]
-    named = {r.folder: r.name for r in FD.published_names(feeds.withColumn("output_dir", F.lit("out/")), docs, "json").collect()}
-    assert sorted(f.rsplit("/", 1)[0] for f in files) == sorted(named)  # one document a file
-    assert named["feed=f/page=1"] == "out/feed.json" and named["feed=f/page=3"] == "out/feed-3.json"
+
+
+def test_pages_end_at_bytes(items, spark):
+    """Large items make many documents, none with more than the limit and one item; a feed that fits stays one."""
+    rows = [{"title": "x" * 2000, "ord": k, "id": f"i{k:03d}"} for k in range(60)] + [{"feed": "g", "id": "s", "title": "small"}, {"feed": "h", "id": "big", "title": "y" * 9000, "ord": 0}, {"feed": "h", "id": "z", "ord": 1}]
+    feeds = _feeds(spark, ("f", "F"), ("g", "G"), ("h", "H"), ("none", "N"))
+    docs = {(r.feed, r.page): json.loads(r.document) for r in FD.json_documents(feeds, items(*rows), page_items=25, page_bytes=5000).repartition(3).collect()}
+    pages = sorted(p for f, p in docs if f == "f")
+    assert pages == list(range(1, len(pages) + 1)) and 20 <= len(pages) <= 30
+    assert [i["id"] for p in pages for i in docs["f", p]["items"]] == [f"i{k:03d}" for k in range(60)]
+    assert [docs["f", p].get("next_url") for p in pages] == [f"feed-{p + 1}.json" for p in pages[:-1]] + [None]
+    assert max(len(docs["f", p]["items"]) for p in pages) <= 3
+    assert [(f, p, len(d["items"])) for (f, p), d in sorted(docs.items()) if f != "f"] == [("g", 1, 1), ("h", 1, 1), ("h", 2, 1), ("none", 1, 0)]
+    assert FD.json_documents(feeds, items(*rows), page_bytes=1 << 30).count() == 4
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_measured_within_equals_window(spark, partitions):
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('g', id % 40) END AS feed", "id", "if(id % 11 = 0, NULL, id % 13) AS size"
+    ).repartition(partitions)
+    over = Window.partitionBy("feed").orderBy("id")
+    size = F.coalesce("size", F.lit(0))
+    want = df.select("feed", "id", F.row_number().over(over).alias("rank"), (F.sum(size).over(over) - size).alias("before")).where("feed IS NOT NULL")
+    got = measured_within(df, "feed", [F.col("id")], ["id"], "size").select("feed", "id", "rank", "before")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert measured_within(df.limit(0), "feed", [F.col("id")], ["id"], "size").count() == 0
 
 
 def test_small_feed_is_one_plain_document(items, spark):
@@ -105,6 +128,7 @@ def test_small_feed_is_one_plain_document(items, spark):
     assert json.loads(docs[0].document) == {
         "version": "https://jsonfeed.org/version/1.1",
         "title": "T",
+        "_page": 1,
         "items": [{"id": "id0", "url": "https://e.com/0", "title": "a"}, {"id": "id1", "url": "https://e.com/1", "title": "b"}],
     }
 
