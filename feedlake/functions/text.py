@@ -6,7 +6,7 @@ from functools import cache
 from html.entities import html5
 
 from feedlake import fixed
-from feedlake.functions.sql import case, extract_all, fold, keep, let, lit, replace, substitute
+from feedlake.functions.sql import case, each, extract_all, fold, keep, let, lit, matches, replace, substitute
 
 
 # All Unicode white space, as a trim set.
@@ -87,17 +87,49 @@ def xml_clean(c: str) -> str:
     return substitute(c, fixed.XML_INVALID)
 
 
+#: A closed class of a glob, ``[ab]`` or ``[!a-z]``; the first character may be the bracket itself.
+GLOB_CLASS = r"(?s)\[!?\]?[^\]]*\]"
+
+
+def _quoted(char: str) -> str:
+    return f"if({matches(char, r'^[!-/:-@\[-`{-~\s]')}, concat('\\\\', {char}), {char})"
+
+
+def _glob_class(token: str) -> str:
+    """A class with every sign quoted; ranges that run backwards hold nothing."""
+    negative = f"startswith({token}, '[!')"
+    inner = f"substring({token}, if({negative}, 3, 2), length({token}) - if({negative}, 3, 2))"
+
+    def part(p: str) -> str:
+        first, last = f"left({p}, 1)", f"right({p}, 1)"
+        return case(
+            (f"length({p}) = 1", _quoted(p)),
+            (f"{first} <= {last}", f"concat({_quoted(first)}, '-', {_quoted(last)})"),
+            otherwise="''",
+        )
+
+    members = f"array_join({each(extract_all(inner, '(?s).-.|.'), part)}, '')"
+    return let(
+        members,
+        lambda m: case(
+            (f"{m} = '' AND {negative}", "'.'"),
+            (f"{m} = ''", "'(?!)'"),
+            otherwise=f"concat('[', if({negative}, '^', ''), {m}, ']')",
+        ),
+    )
+
+
 def glob_regex(pattern: str) -> str:
     """Shell-style pattern to a regular expression.
 
     ``*`` any run, ``?`` one character, ``[ab]`` and ``[!ab]`` classes; a bracket
-    that is never closed stands for itself.
+    that is never closed stands for itself. Every pattern gives a valid expression.
     """
-    rx = substitute(pattern, r"([\\.^$|+(){}&])", r"\\$1")
-    rx = substitute(rx, r"\[(?!!?\]?[^\]]*\])", r"\\[")
-    for old, new in (("[!", "[^"), ("*", ".*"), ("?", ".")):
-        rx = replace(rx, old, new)
-    return rx
+
+    def token(t: str) -> str:
+        return case((f"{t} = '*'", "'.*'"), (f"{t} = '?'", "'.'"), (f"length({t}) > 1", _glob_class(t)), otherwise=_quoted(t))
+
+    return f"array_join({each(extract_all(pattern, GLOB_CLASS + '|.'), token)}, '')"
 
 
 def cut_right(c: str, characters: str) -> str:

@@ -11,18 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions.sql import case, let, lit, lits, matches
-from feedlake.functions.text import glob_regex, strip
-from feedlake.functions.url import canonical_url, domain, is_valid_url, pattern_host, url_id
-
-# Up to this many patterns per feed are tested row by row inside the scan; more go
-# through an equi-join. Both ways give the same answer.
-INLINE_PATTERNS = 256
-# A pattern table is only broadcast while it is known to hold no more rows than this.
-BROADCAST_ROWS = 100_000
-# Up to this many globs over all feeds become literal patterns, compiled once a task; more are
-# read from a column and compiled for each row.
-LITERAL_GLOBS = 2_000
+from feedlake.functions.text import strip
+from feedlake.functions.url import canonical_url, domain, is_valid_url, url_id
+from feedlake.operators.patterns import flagged, prepare
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -63,145 +54,12 @@ def effective_patterns(feeds: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def _compiled(effective: DataFrame) -> DataFrame:
-    """Split patterns into exact keys (``d:`` domain suffix, ``=`` literal) and globs.
-
-    A pattern starting with ``*.`` is a domain suffix and nothing else.
-    """
-    key = case(
-        ("startswith(pattern, '*.')", "concat('d:', substring(pattern, 3))"),
-        (f"NOT {matches('pattern', r'[*?\[]')}", "concat('=', pattern)"),
-    )
-    return effective.selectExpr("*", f"{key} AS key").selectExpr(
-        "feed", "kind", "key", f"if(key IS NULL, {glob_regex('pattern')}, NULL) AS glob"
-    )
-
-
-def _keys(host: str, url: str) -> str:
-    """All exact keys a url answers to: its host's suffixes, its host, itself."""
-    suffixes = let(
-        f"split({host}, {lit(chr(92) + '.')}, -1)",
-        lambda labels: f"transform({labels}, (label, i) ->"
-        f" concat('d:', array_join(slice({labels}, i + 1, size({labels})), '.')))",
-    )
-    return f"array_distinct(concat({suffixes}, array(concat('=', {host}), concat('=', lower({url})))))"
-
-
-def _glob_hit(regex: str) -> str:
-    """NULL regex (no globs) never hits."""
-    return f"coalesce(_host RLIKE {regex} OR lower(url) RLIKE {regex}, false)"
-
-
-def _one_regex(globs: str) -> str:
-    """All globs of a feed as one anchored alternation; NULL if there are none."""
-    return f"if(size({globs}) > 0, concat('(?s)^(?:', array_join(array_sort({globs}), '|'), {lit(')' + chr(92) + 'z')}), NULL)"
-
-
-def _glob_tests(compiled: DataFrame) -> dict[str, str] | None:
-    """For each kind the test of a link against its feed's globs, with literal patterns; None if there are too many."""
-    rows = compiled.filter("glob IS NOT NULL").select("feed", "kind", "glob").distinct()
-    found = rows.limit(LITERAL_GLOBS + 1).collect()
-    if len(found) > LITERAL_GLOBS:
-        return None
-    tests = {}
-    for kind in ("allow", "block"):
-        by_feed: dict[str, set[str]] = {}
-        for row in found:
-            if row["kind"] == kind and row["feed"] is not None:
-                by_feed.setdefault(row["feed"], set()).add(row["glob"])
-        alike: dict[tuple[str, ...], list[str]] = {}
-        for feed, globs in sorted(by_feed.items()):
-            alike.setdefault(tuple(sorted(globs)), []).append(feed)
-        branches = [(f"feed IN ({lits(feeds)})", _glob_hit(lit("(?s)^(?:" + "|".join(globs) + r")\z"))) for globs, feeds in alike.items()]
-        tests[kind] = case(*branches, otherwise="false") if branches else "false"
-    return tests
-
-
 def flag_patterns(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Add ``allowed`` and ``blocked``.
+    """Add ``allowed`` and ``blocked``; patterns without a feed hold for every link, also of feeds that are not in ``feeds``.
 
-    A feed without allow patterns allows everything; one without block patterns blocks
-    nothing. The pattern table is counted first: short lists are matched in the scan
-    with no shuffle of the frontier, long ones by an equi-join on the exact keys.
+    The pattern table is counted now; ``patterns.prepare`` does so once for many frontiers.
     """
-    # a feed that is in no feed table still has the global patterns
-    named = feeds.select("feed").unionByName(frontier.select("feed")).distinct()
-    compiled = _compiled(effective_patterns(named, patterns))
-    counts = (
-        compiled.groupBy("feed", "kind")
-        .agg(F.count("key").alias("n_keys"), F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n_keys").alias("widest"), F.sum("n").alias("total"))
-        .first()
-    )
-    widest, total = counts["widest"] or 0, counts["total"] or 0
-    if total == 0:
-        return frontier.select("*", F.lit(True).alias("allowed"), F.lit(False).alias("blocked"))
-    tests = _glob_tests(compiled)
-    if tests:
-        compiled = compiled.withColumn("glob", F.lit(None).cast("string"))
-    else:
-        tests = {kind: _glob_hit(f"{kind}_rx") for kind in ("allow", "block")}
-    flag = _flag_inline if widest <= INLINE_PATTERNS else _flag_joined
-    return flag(frontier, compiled, total <= BROADCAST_ROWS, tests)
-
-
-def _rules(compiled: DataFrame) -> DataFrame:
-    """One row per feed: ``{kind}_n`` patterns, ``{kind}_keys`` and one ``{kind}_rx``."""
-    gathered = compiled.groupBy("feed").agg(
-        *[
-            F.expr(f"{how} FILTER (WHERE kind = '{kind}') AS {kind}_{name}")
-            for kind in ("allow", "block")
-            for how, name in (("count(*)", "n"), ("collect_set(key)", "keys"), ("collect_set(glob)", "globs"))
-        ]
-    )
-    return gathered.selectExpr(
-        "*", *[f"{_one_regex(f'{kind}_globs')} AS {kind}_rx" for kind in ("allow", "block")]
-    )
-
-
-def _with_flags(
-    joined: DataFrame, columns: list[str], allow_hit: str, block_hit: str, globs: dict[str, str]
-) -> DataFrame:
-    return joined.selectExpr(
-        *columns,
-        f"(coalesce(allow_n, 0) = 0 OR coalesce({allow_hit}, false) OR {globs['allow']}) AS allowed",
-        f"(coalesce({block_hit}, false) OR {globs['block']}) AS blocked",
-    )
-
-
-def _flag_inline(frontier: DataFrame, compiled: DataFrame, small: bool, globs: dict[str, str]) -> DataFrame:
-    rules = _rules(compiled)
-    hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host").selectExpr(
-        "*", f"{_keys('_host', 'url')} AS _keys"
-    )
-    joined = hosts.join(F.broadcast(rules) if small else rules, "feed", "left")
-    return _with_flags(
-        joined,
-        frontier.columns,
-        "arrays_overlap(_keys, allow_keys)",
-        "arrays_overlap(_keys, block_keys)",
-        globs,
-    )
-
-
-def _flag_joined(frontier: DataFrame, compiled: DataFrame, small: bool, globs: dict[str, str]) -> DataFrame:
-    hosts = frontier.selectExpr("*", f"{pattern_host('url')} AS _host")
-    keyed = compiled.filter("key IS NOT NULL").select("feed", "kind", "key").distinct()
-    hits = (
-        hosts.selectExpr("feed", "ord", f"explode_outer({_keys('_host', 'url')}) AS key")
-        .join(keyed, ["feed", "key"])
-        .groupBy("feed", "ord")
-        .agg(
-            F.expr("bool_or(kind = 'allow') AS allow_hit"),
-            F.expr("bool_or(kind = 'block') AS block_hit"),
-        )
-    )
-    # keys were joined above; only counts and globs are needed per feed
-    rules = _rules(compiled.withColumn("key", F.lit(None).cast("string")))
-    joined = hosts.join(hits, ["feed", "ord"], "left").join(
-        F.broadcast(rules) if small else rules, "feed", "left"
-    )
-    return _with_flags(joined, frontier.columns, "allow_hit", "block_hit", globs)
+    return flagged(frontier, prepare(patterns))
 
 
 def allow_listed(frontier: DataFrame, feeds: DataFrame, patterns: DataFrame) -> DataFrame:

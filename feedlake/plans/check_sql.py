@@ -308,9 +308,20 @@ _PLAIN_ITEMS = (
         if not c.lstrip().startswith(("px AS", "pxi_1 AS"))
     ],
 )
+_PLAIN_BODY = """SELECT feed, id, url, title, summary, language, coalesce(date_iso, body_iso, '2025-12-29T00:00:00') AS date_iso FROM docs"""
+_ARRIVED = _with(
+    _table("arrived", FX.ARRIVALS),
+    _table("plain", f"SELECT page_id, {FX.FEED_OF_URL} AS feed, url, html, batch FROM arrived WHERE status < 400"),
+    _PATTERNS,
+    *[
+        c.replace("FROM plain_ids WHERE valid", f"FROM plain_ids f WHERE valid AND {_ALLOWED} AND NOT {_BLOCKED}").replace("ORDER BY page_id) = 1", "ORDER BY batch, page_id, html) = 1")
+        for c in _PLAIN_ITEMS[1:]
+    ],
+    body=_PLAIN_BODY,
+)
 _PLAIN = _with(
     *_PLAIN_ITEMS,
-    body="""SELECT feed, id, url, title, summary, language, coalesce(date_iso, body_iso, '2025-12-29T00:00:00') AS date_iso FROM docs""",
+    body=_PLAIN_BODY,
 )
 
 CHECK_SQL = {
@@ -322,6 +333,12 @@ CHECK_SQL = {
     ),
     "allowlist_semi": _with(*_FRONTIER_IDS, _PATTERNS, body=f"SELECT feed, ord, url FROM ids f WHERE {_ALLOWED}"),
     "blocklist_anti": _with(*_FRONTIER_IDS, _PATTERNS, body=f"SELECT feed, ord, url FROM ids f WHERE NOT {_BLOCKED}"),
+    "glob_matches": _with(
+        *_FRONTIER_IDS,
+        _table("globs", FX.GLOBS),
+        body="""SELECT f.feed, f.ord, g.kind, count(*) AS globs FROM ids f JOIN (SELECT DISTINCT feed, kind, pattern FROM globs) g
+  ON (g.feed IS NULL OR g.feed = f.feed) AND (split_part(lower(f.aut), ':', 1) GLOB g.pattern OR lower(f.url) GLOB g.pattern) GROUP BY ALL""",
+    ),
     "dedup_first_seen": _with(*_VALID_IDS, body="SELECT feed, id, ord, url FROM firsts"),
     "new_links_anti": _with(
         *_VALID_IDS,
@@ -535,7 +552,7 @@ FROM placed p JOIN docs d ON d.page_id = p.page_id LEFT JOIN (VIDEO) v ON v.page
         ).replace("MEDIA", _MEDIA),
     ),
     "corpus_items": _PLAIN,
-    "incremental_equals_batch": _PLAIN,
+    "incremental_equals_batch": _ARRIVED,
 }
 
 CHECK_SQL["source_union_first_seen"] = _with(

@@ -102,6 +102,15 @@ SELECT url, 3, concat('<urlset><url><loc>', url, '/three</loc></url></urlset>')
 """
 
 
+# The pages as they arrive in four batches: some are lost at first (404) and come again at the end, others simply come again.
+ARRIVALS = """
+SELECT page_id, url, html, CASE WHEN page_id % 23 = 7 THEN 404 ELSE 200 END AS status, CAST(page_id % 4 AS INTEGER) AS batch FROM pages
+UNION ALL
+SELECT page_id, url, html, 200, 3 FROM pages WHERE page_id % 46 = 7
+UNION ALL
+SELECT page_id, url, concat(html, ' '), 200, CAST(page_id % 4 + 1 AS INTEGER) FROM pages WHERE page_id % 10 = 0 AND page_id % 4 < 3
+"""
+
 FRONTIER = f"""
 SELECT {FEED_OF_URL} AS feed, page_id * 4 AS ord, url FROM pages
 UNION ALL
@@ -124,6 +133,14 @@ PATTERN_ROWS = [
     ("fr", "block", "blog.*"),
 ]
 
+# A glob for every page, from its own url: the end, the beginning, or a piece of the middle with any one sign after it.
+GLOBS = f"""
+SELECT CASE WHEN page_id % 3 = 0 THEN NULL ELSE {FEED_OF_URL} END AS feed, CASE WHEN page_id % 2 = 0 THEN 'allow' ELSE 'block' END AS kind,
+  CASE WHEN page_id % 4 = 0 THEN concat('*', substring(lower(url), length(url) - 11, 12)) WHEN page_id % 4 = 1 THEN concat(substring(lower(url), 1, 30), '*')
+    ELSE concat('*', substring(lower(url), 20, 9), '?[!0]*') END AS pattern
+FROM pages
+"""
+
 FEED_ROWS = [
     ("en", "Feed <en>", "https://en.example.com", None, "English & more", "en", None),
     ("de", "Feed de", None, "https://de.example.com/feed.json", None, "de", "out/de"),

@@ -12,6 +12,7 @@ from feedlake.operators import feeds as FD
 from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
 from feedlake.operators import pages as PG
+from feedlake.operators import patterns as PT
 from feedlake.operators import tags as TAG
 from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.plans import fixtures as FX
@@ -52,6 +53,13 @@ def blocklist_anti(spark: SparkSession, sf: str) -> DataFrame:
     return FR.not_blocked(frontier, FX.feeds(spark), FX.patterns(spark)).select("feed", "ord", "url")
 
 
+def glob_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and how many of as many globs as there are pages match them, through the q-gram index."""
+    links = PT.with_texts(FX.derive(spark, sf, FX.FRONTIER))
+    hits = PT.glob_hits(links, PT.compiled(FX.derive(spark, sf, FX.GLOBS)), small=False)
+    return hits.groupBy("feed", "ord", "kind").agg(F.count("*").alias("globs"))
+
+
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
     frontier = FR.with_ids(FX.derive(spark, sf, FX.FRONTIER))
     return frontier.filter("valid").select("feed", "id", "ord", "url")
@@ -530,18 +538,20 @@ def corpus_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incremental_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages table as a stream of files; the table that results."""
-    path = scratch_path(spark, "items")
-    # the pattern in the path lets the table be one file or a folder of files
-    arrivals = INC.stream_pages(
-        spark, f"{sf}/pages.parque[t]", "page_id bigint, url string, html string"
-    )
+    """Pages that arrive in four batches, with lost and repeated ones, kept out or in by the patterns; the table that results."""
+    path, landed = scratch_path(spark, "items"), scratch_path(spark, "landed")
+    arrivals = FX.derive(spark, sf, FX.ARRIVALS)
+    files = 8
+    for batch in range(4):
+        arrivals.filter(F.col("batch") == batch).drop("batch").repartition(files).write.mode("append").parquet(landed)
     INC.run_available(
-        arrivals,
+        INC.stream_pages(spark, landed, "page_id bigint, url string, html string, status int", files_per_batch=files),
         path,
         scratch_path(spark, "progress"),
         AS_OF,
         lambda pages: pages.withColumn("feed", F.expr(FX.FEED_OF_URL)),
+        (FX.feeds(spark), FX.patterns(spark)),
+        key_digits=1,
     )
     return INC.read_items(spark, path).select("feed", "id", "url", "title", "summary", "language", "date_iso")
 
@@ -554,6 +564,7 @@ CATALOGUE = {
         links_per_domain,
         allowlist_semi,
         blocklist_anti,
+        glob_matches,
         dedup_first_seen,
         new_links_anti,
         static_list_links,

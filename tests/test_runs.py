@@ -9,6 +9,7 @@ from feedlake.plans import ingest
 from feedlake.plans import queries as Q
 from feedlake.sources.landed import page_corpus
 from feedlake.streaming import incremental as INC
+from feedlake.streaming import keys
 
 SF = "/root/testdata/sf0.001"
 AS_OF = dt.datetime(2025, 12, 29)
@@ -74,7 +75,7 @@ def test_incremental_equals_batch(spark, tmp_path):
     wanted = {(r.feed, r.id) for r in pages.selectExpr(f"{FX.FEED_OF_URL} AS feed", f"{page_id_of('url')} AS id").collect()}
     assert streamed == wanted and items.count() == len(wanted)
     # a batch that is run again replaces its own output
-    INC.ingest_batch(pages.filter("page_id % 3 = 0"), f"{INC.stream_name(progress)}-0", table, AS_OF, _with_feed)
+    INC.ingest_batch(pages.filter("page_id % 3 = 0"), f"{INC.stream_name(spark, progress)}-0", table, AS_OF, _with_feed)
     assert INC.read_items(spark, table).count() == len(wanted)
 
 
@@ -127,3 +128,63 @@ def test_few_wanted_pages_move_no_body(spark, tmp_path):
         if "FileScan" in line and "html" in line:
             above += [x for _, x in depths if "Exchange" in x and "Broadcast" not in x]
     assert "html" in plan and not above
+
+
+def test_a_batch_opens_only_its_prefixes(spark, tmp_path):
+    """Partitions are pruned by the batch's prefixes, and few ids are named to the files."""
+    path = str(tmp_path / "keys")
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 'f', 'g') AS feed", "substring(sha2(cast(id AS string), 256), 1, 16) AS id", "'a-0' AS run_id")
+    keys.create_keys(spark, rows, path)
+    wanted = rows.where("feed = 'f'").limit(3).cache()
+    found = keys.seen(wanted, path, "none")
+    assert sorted(map(tuple, found.collect())) == sorted((r.feed, r.id) for r in wanted.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "prefix" in plan.split("PartitionFilters:")[1].split("]")[0] and "In(id" in plan.replace(" ", "").split("PushedFilters:")[1]
+    assert len({f.split("prefix=")[1][:2] for f in keys.read_keys(spark, path).inputFiles()}) == 256
+    assert found.select(F.input_file_name().alias("file")).distinct().count() <= 3
+    many = keys.seen(rows.where("id LIKE '0%'").unionByName(rows.where("id LIKE '1%'")), path, "none")
+    assert {i[:1] for i in (r.id for r in many.collect())} == {"0", "1"}
+    assert keys.seen(wanted, path, "a-0").count() == 0 and keys.seen(rows.limit(0), path, "none").count() == 0
+
+
+def test_finished_runs_are_merged(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    rows = spark.range(60).selectExpr("'f' AS feed", "substring(sha2(cast(id AS string), 256), 1, 16) AS id", "cast(id % 6 AS int) AS k")
+    keys.create_keys(spark, rows.limit(0).withColumn("run_id", F.lit("x-0")), path)
+    for k in range(6):
+        keys.add_keys(rows.where(f"k = {k}"), f"{'s' if k < 4 else 't'}-{k}", path)
+    assert keys.merge_runs(spark, path, most=100) == 0
+    assert keys.merge_runs(spark, path, most=2) == 4
+    left = {r.run_id.split("-")[0]: r.n for r in keys.read_keys(spark, path).groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    assert left == {"merged": 40, "s": 10, "t": 10}
+    keys.add_keys(rows.where("k = 0"), "s-6", path)
+    assert keys.merge_runs(spark, path, most=2) == 2
+    assert keys.read_keys(spark, path).select("id").distinct().count() == 60
+
+
+def test_a_progress_folder_made_anew_is_another_stream(spark, tmp_path):
+    """The earlier stream's batch 0 stays, although the new one has the same folder and number."""
+    landing, table, progress = (str(tmp_path / n) for n in ("landing", "items", "progress"))
+    schema = "page_id bigint, url string, html string"
+
+    def land_and_run(i):
+        spark.createDataFrame([(i, f"https://www.e.com/en/{i}", f"<title>{i}</title>")], schema).coalesce(1).write.mode("append").parquet(landing)
+        INC.run_available(INC.stream_pages(spark, landing, schema), table, progress, AS_OF, _with_feed)
+
+    land_and_run(1)
+    one = INC.stream_name(spark, progress)
+    (tmp_path / "progress").rename(tmp_path / "earlier")
+    land_and_run(2)
+    assert INC.stream_name(spark, progress) != one
+    assert sorted(r.title for r in INC.read_items(spark, table).collect()) == ["1", "2"]
+
+
+def test_versions_of_a_page_in_one_batch(spark, tmp_path):
+    schema = "page_id bigint, url string, html string"
+    for order in (1, -1):
+        table = str(tmp_path / f"items{order}")
+        rows = [(1, "https://e.com/a", "<title>B</title>"), (1, "https://e.com/a", "<title>A</title>")][::order]
+        spark.createDataFrame([], INC.ITEMS_SCHEMA).write.partitionBy("run_id").parquet(table)
+        keys.create_keys(spark, INC.read_items(spark, table), INC.keys_path(table))
+        INC.ingest_batch(spark.createDataFrame(rows, schema), "r-0", table, AS_OF, lambda p: p.withColumn("feed", F.lit("f")))
+        assert [r.title for r in INC.read_items(spark, table).collect()] == ["A"]
