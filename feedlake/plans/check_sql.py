@@ -336,7 +336,7 @@ CHECK_SQL = {
     "glob_matches": _with(
         *_FRONTIER_IDS,
         _table("globs", FX.GLOBS),
-        body="""SELECT f.feed, f.ord, g.kind, count(*) AS globs FROM ids f JOIN (SELECT DISTINCT feed, kind, pattern FROM globs) g
+        body="""SELECT f.feed, f.ord, g.kind, count(*) AS globs FROM ids f JOIN (SELECT DISTINCT feed, kind, pattern FROM globs WHERE NOT starts_with(pattern, '*.')) g
   ON (g.feed IS NULL OR g.feed = f.feed) AND (split_part(lower(f.aut), ':', 1) GLOB g.pattern OR lower(f.url) GLOB g.pattern) GROUP BY ALL""",
     ),
     "dedup_first_seen": _with(*_VALID_IDS, body="SELECT feed, id, ord, url FROM firsts"),
