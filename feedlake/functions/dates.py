@@ -6,7 +6,7 @@ ordering, the wall clock for the catalogue, the text for the feed documents.
 
 from __future__ import annotations
 
-from feedlake.functions.sql import case, extract, let, lit, matches, replace, substitute
+from feedlake.functions.sql import case, extract, first_nonempty, let, lit, matches, replace, substitute
 from feedlake.functions.text import collapse, strip
 
 _WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
@@ -25,10 +25,11 @@ _SHAPES = (
     (rf"^{_MONTH} {_DAY},? (\d{{4}}){_TAIL}", "$3|$1|$2|$4|$5|$6"),
     (rf"^{_DAY}[ -]{_MONTH},?[ -](\d{{4}}){_TAIL}", "$3|$2|$1|$4|$5|$6"),
     (rf"^{_MONTH} {_DAY} {_TIME}(?: {_ZONE})? (\d{{4}})$", "$6|$1|$2|$3|$4|$5"),
-)
-_IN_TEXT = (
-    rf"\b(?i:({_MONTHS})(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?)"
-    r" (\d{1,2}),? (\d{4})\b"
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(\d{{2}})\s?{_ZONE}?$", "$1|$2|$3|$4:$5:$6||$7"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})\s?{_ZONE}?$", "$1|$2|$3|$4:$5||$6"),
+    (rf"^{_TIME},? {_DAY} {_MONTH},? (\d{{4}})(?: {_ZONE})?$", "$5|$4|$3|$1|$2|$6"),
+    (rf"^(1[3-9]|[23]\d)[-/.](\d{{1,2}})[-/.](\d{{2}}){_TAIL}", "20$3|$2|$1|$4|$5|$6"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{2}}){_TAIL}", "20$3|$1|$2|$4|$5|$6"),
 )
 
 
@@ -110,20 +111,35 @@ def date_columns(raw: str, instant_name: str, local_name: str, iso_name: str) ->
     ]
 
 
+_TEXT_DAY = (
+    r"(?:\b(\d{4}-\d{2}-\d{2})\b"
+    rf"|\b(?i:({_MONTHS})(?:uary|ruary|ch|il|e|y|ust|tember|ober|ember)?) (\d{{1,2}}),? (\d{{4}})\b"
+    r"|\b(?i:published (yesterday|today))\b)"
+)
+_SAID = r"\b(?i:published|posted|updated)(?i: on| at)?:? (?:(?i:mon|tues|wednes|thurs|fri|satur|sun)day,? )?"
+
+
 def body_date(text: str, as_of: str) -> str:
-    """Publication day named near the top of an article, as ``timestamp_ntz``.
+    """Publication day named in an article, as ``timestamp_ntz``.
 
-    ISO day, then ``Month d, yyyy``, then "Published yesterday/today" seen from ``as_of``.
+    The first day that is said to be the one it was published, posted or updated on, else the first day named anywhere: as an ISO
+    day, as "Month d, yyyy", or as "Published yesterday" or "today", seen from ``as_of``. What looks like a day but is none counts as no date.
     """
 
-    def found(t: str) -> str:
-        iso = extract(t, r"\b(\d{4}-\d{2}-\d{2})\b")
-        named = _ymd(extract(t, _IN_TEXT, 3), extract(t, _IN_TEXT, 1), extract(t, _IN_TEXT, 2))
-        relative = case(
-            (matches(t, r"(?i)\bpublished yesterday\b"), f"date_sub(CAST({as_of} AS DATE), 1)"),
-            (matches(t, r"(?i)\bpublished today\b"), f"CAST({as_of} AS DATE)"),
+    def day(found: str) -> str:
+        parts = [extract(found, "^" + _TEXT_DAY, k) for k in range(1, 6)]
+        iso, month, date, year, relative = parts
+        return case(
+            (f"{iso} <> ''", f"try_cast({iso} AS DATE)"),
+            (f"{year} <> ''", f"try_cast({_ymd(year, month, date)} AS DATE)"),
+            (f"lower({relative}) = 'yesterday'", f"date_sub(CAST({as_of} AS DATE), 1)"),
+            (f"{relative} <> ''", f"CAST({as_of} AS DATE)"),
         )
-        return f"coalesce(try_cast({iso} AS DATE), try_cast({named} AS DATE), {relative})"
+
+    def found(t: str) -> str:
+        # no text without a digit or a relative day has any date: most blocks are passed over by this alone
+        said = first_nonempty(extract(t, f"{_SAID}({_TEXT_DAY})", 1), extract(t, _TEXT_DAY, 0))
+        return f"if({matches(t, r'[0-9]|(?i)published ')}, {let(said, day)}, NULL)"
 
     return f"CAST({let(text, found)} AS TIMESTAMP_NTZ)"
 

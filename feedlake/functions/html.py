@@ -26,12 +26,14 @@ from feedlake.functions.sql import (
 )
 from feedlake.functions.text import collapse, strip, unescape
 
-_HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+# What follows the name of an element: without it ``<main-nav>`` would be taken for ``<main>``.
+_NAMED = r"(?=[\s/>])"
+_HIDDEN = rf"(?is)<(?:!--.*?-->|script{_NAMED}.*?</script\s*>|style{_NAMED}.*?</style\s*>)"
 _JSON_LD = (
-    r"(?is)<!--.*?-->|<script\b[^>]*?[\s\"']type\s*=\s*[\"']?application/ld\+json[\"']?"
-    r"[^>]*>(.*?)</script\s*>|<script\b.*?</script\s*>"
+    rf"(?is)<!--.*?-->|<script{_NAMED}[^>]*?[\s\"']type\s*=\s*[\"']?application/ld\+json[\"']?"
+    rf"[^>]*>(.*?)</script\s*>|<script{_NAMED}.*?</script\s*>"
 )
-_HEAD_TAGS = r"(?is)<(?:meta|link)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_HEAD_TAGS = rf"(?is)<(?:meta|link){_NAMED}(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|section)(?:\s[^>]*|/)?>"
 _MARK = "\u0002"
 # an unclosed paragraph ends at the next block or where the element around it ends
@@ -66,7 +68,7 @@ def tag_value(tags: str, element: str, attr: str, key: str, value: str = "conten
     quoted = key.replace(".", r"\.")
     found = extract(
         tags,
-        rf"(?s)<(?i:{element})\b[^>]*?[\s\"'](?i:{attr})\s*=\s*"
+        rf"(?s)<(?i:{element}){_NAMED}[^>]*?[\s\"'](?i:{attr})\s*=\s*"
         rf"(?:\"{quoted}\"|'{quoted}'|{quoted}(?=[\s/>]))[^>]*>",
         0,
     )
@@ -97,35 +99,44 @@ def clean(c: str) -> str:
 
 def title_tag(doc: str) -> str:
     """Raw text of ``<title>``; '' if missing."""
-    return extract(doc, r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+    return extract(doc, rf"(?is)<title{_NAMED}[^>]*>(.*?)</title\s*>")
 
 
 def first_heading(doc: str) -> str:
     """Raw text of the first ``<h1>`` without inner tags; '' if missing."""
-    return collapse(_without_tags(extract(doc, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>")))
+    return collapse(_without_tags(extract(doc, rf"(?is)<h1{_NAMED}[^>]*>(.*?)</h1\s*>")))
 
 
-def article_scope(doc: str) -> str:
-    """Inner html of the first ``<article>``, else ``<main>``, else ``<body>``, else all."""
+def element(doc: str, name: str) -> str:
+    """Inner html of the first element of exactly this name, up to the end tag that balances; '' if there is none.
 
-    def inner(name: str) -> str:
-        """Up to the end tag that balances; elements of the same name may lie inside."""
-        end, begin = rf"(?i)</{name}\s*>", rf"(?i)<{name}\b[^>]*+>"
-        start = "named_struct('depth', 1, 'taken', 0)"
+    The depth is counted over the begin and end tags of the name, so elements of the same name may lie inside. An element that is never
+    closed ends with the body.
+    """
+    begin, end = rf"<{name}{_NAMED}[^>]*+>", rf"</{name}{_NAMED}[^>]*+>"
+    start = "named_struct('depth', 1, 'taken', 0)"
+    rest = extract(doc, rf"(?is){begin}(.*)")
+
+    def parts(pieces: str) -> str:
+        depth = f"(acc.depth + regexp_count(piece, {lit('(?i)' + begin)}) - 1)"
+        walked = (
+            f"aggregate({pieces}, {start}, (acc, piece) -> if(acc.depth = 0, acc,"
+            f" named_struct('depth', {depth}, 'taken', acc.taken + 1)))"
+        )
+        # the last piece has no end tag, so what is taken up to it is open still
+        return let(
+            f"({walked}).taken",
+            lambda taken: f"if({taken} < size({pieces}), array_join(slice({pieces}, 1, {taken}), '</{name}>'),"
+            f" {substitute(f'array_join({pieces}, {lit(f"</{name}>")})', r'(?is)</(?:body|html)\s*>.*$')})",
+        )
 
-        def parts(pieces: str) -> str:
-            depth = f"(acc.depth + regexp_count(piece, {lit(begin)}) - 1)"
-            taken = (
-                f"aggregate({pieces}, {start}, (acc, piece) -> if(acc.depth = 0, acc,"
-                f" named_struct('depth', {depth}, 'taken', acc.taken + 1)), acc -> acc.taken)"
-            )
-            return f"array_join(slice({pieces}, 1, {taken}), '</{name}>')"
+    return let(f"split({rest}, {lit('(?i)' + end)}, -1)", parts)
 
-        rest = extract(doc, rf"(?is)<{name}\b[^>]*+>(.*)")
-        return let(f"split({rest}, {lit(end)}, -1)", parts)
 
+def article_scope(doc: str) -> str:
+    """Inner html of the first ``<article>``, else ``<main>``, else ``<body>``, else all."""
     return case(
-        *[(matches(doc, rf"(?i)<{name}\b"), inner(name)) for name in ("article", "main", "body")],
+        *[(matches(doc, rf"(?i)<{name}{_NAMED}"), element(doc, name)) for name in ("article", "main", "body")],
         otherwise=doc,
     )
 
@@ -164,7 +175,7 @@ def best_block(blocks: str) -> str:
 
 def language(doc: str, tags: str) -> str:
     """``<html lang>``, else ``og:locale``."""
-    lang = attribute(extract(doc, r"(?is)<html\b[^>]*>", 0), "lang")
+    lang = attribute(extract(doc, rf"(?is)<html{_NAMED}[^>]*>", 0), "lang")
     return unescape(first_nonempty(lang, meta_property(tags, "og:locale")))
 
 
@@ -186,7 +197,7 @@ def json_ld_date(scripts: str) -> str:
 
 def time_tag(doc: str) -> str:
     """Raw ``datetime`` of the first ``<time>`` that has one; '' if missing."""
-    return attribute(extract(doc, r"(?is)<time\b[^>]*?[\s\"']datetime\s*=[^>]*>", 0), "datetime")
+    return attribute(extract(doc, rf"(?is)<time{_NAMED}[^>]*?[\s\"']datetime\s*=[^>]*>", 0), "datetime")
 
 
 def anchors(doc: str) -> str:

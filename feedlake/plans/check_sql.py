@@ -160,12 +160,14 @@ _SUFFIX_TYPE = "CASE " + " ".join(
     f"WHEN ends_with(lower(url), '{s}') OR contains(lower(url), '{s}?') THEN '{m}'" for s, m in fixed.MEDIA_TYPES
 ) + " END"
 
+_TEXT_DAY = r"\b\d{4}-\d{2}-\d{2}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b|(?i:\bpublished (?:yesterday|today)\b)"
 _DOCS = (
     *_PX_IDS,
     f"""kinds AS (SELECT *, CASE WHEN regexp_matches(url, '(?i)^https?://(www\\.)?youtube\\.com/(watch\\?v=|shorts/)[\\w-]+|^https?://youtu\\.be/[\\w-]+') THEN 'video'
   WHEN {_SUFFIX_TYPE} IS NOT NULL THEN 'media' ELSE 'article' END AS kind FROM pxi)""",
     r"""docs_1 AS (SELECT *, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS doc FROM kinds)""",
-    rf"""docs_2 AS (SELECT *, regexp_extract(doc, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS scope,
+    rf"""docs_2 AS (SELECT *, CASE WHEN regexp_matches(doc, '(?i)</article[\s>]') THEN regexp_extract(doc, '(?is)<article(?:\s[^>]*)?>(.*)</article\s*>', 1)
+    ELSE regexp_replace(regexp_extract(doc, '(?is)<article(?:\s[^>]*)?>(.*)$', 1), '(?is)</(?:body|html)\s*>.*$', '') END AS scope,
   coalesce({_meta('property', 'og:title')}, {_meta('name', 'twitter:title')},
     nullif({_unescape("regexp_extract(doc, '(?is)<title>(.*?)</title>', 1)")}, ''),
     nullif({_unescape("regexp_replace(regexp_extract(doc, '(?is)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')")}, '')) AS raw_title,
@@ -182,9 +184,10 @@ _DOCS = (
     WHEN regexp_matches(date_raw, '^\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ$') THEN concat(left(date_raw, 19), '+00:00') END AS date_iso FROM docs_2)""",
     rf"""docs_4 AS (SELECT *, nullif({_best('blocks')}, '') AS best_block, nullif({_best('paragraphs')}, '') AS best_paragraph,
   array_to_string(blocks, ' ') AS top FROM docs_3)""",
-    r"""docs_5 AS (SELECT *, coalesce(nullif(regexp_extract(top, '\b(\d{4}-\d{2}-\d{2})\b', 1), ''),
-  strftime(try_strptime(nullif(regexp_extract(top, '\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})\b', 1), ''), '%B %d, %Y'), '%Y-%m-%d'),
-  CASE WHEN regexp_matches(top, '(?i)\bpublished yesterday\b') THEN '2025-12-28' WHEN regexp_matches(top, '(?i)\bpublished today\b') THEN '2025-12-29' END) AS body_date FROM docs_4)""",
+    rf"""docs_5a AS (SELECT *, coalesce(nullif(regexp_extract(top, '\b(?i:published|posted|updated)(?i: on| at)?:? ({_TEXT_DAY})', 1), ''),
+  nullif(regexp_extract(top, '({_TEXT_DAY})', 1), '')) AS day_text FROM docs_4)""",
+    r"""docs_5 AS (SELECT *, CASE WHEN lower(day_text) = 'published yesterday' THEN '2025-12-28' WHEN lower(day_text) = 'published today' THEN '2025-12-29'
+  WHEN regexp_matches(day_text, '^\d') THEN strftime(try_cast(day_text AS DATE), '%Y-%m-%d') ELSE strftime(try_strptime(day_text, '%B %d, %Y'), '%Y-%m-%d') END AS body_date FROM docs_5a)""",
     """docs AS (SELECT *, CASE WHEN title IS NULL THEN coalesce(description, best_paragraph) ELSE coalesce(best_block, description) END AS summary,
   CASE WHEN title IS NOT NULL THEN nullif(scope, '') END AS content_html,
   CASE WHEN title IS NOT NULL AND date_iso IS NULL THEN concat(body_date, 'T00:00:00') END AS body_iso FROM docs_4a)""",

@@ -35,7 +35,11 @@ SELECT page_id, {FEED_OF_URL} AS feed,
                  ELSE concat('https://youtube.com/shorts/v', page_id) END
        ELSE url END AS url,
   replace(replace(
-    CASE WHEN page_id % 19 = 0 THEN replace(replace(html, '<title>', '<!--'), '</title>', '-->') ELSE html END,
+    replace(replace(
+      CASE WHEN page_id % 19 = 0 THEN replace(replace(html, '<title>', '<!--'), '</title>', '-->') ELSE html END,
+      '<article', concat(CASE WHEN page_id % 8 = 3 THEN '<main-nav><p>No part of it</p></main-nav><article-list><p>Neither</p></article-list>' ELSE '' END, '<article')),
+      '</article>', CASE WHEN page_id % 16 = 5 THEN '<article class="in"><p>Inner one</p></article><p>After it</p></article >'
+                         WHEN page_id % 32 = 9 THEN '' ELSE '</article>' END),
     '<meta charset="utf-8">', concat('<meta charset="utf-8">',
       CASE WHEN page_id % 4 = 0 THEN concat('<meta property="og:title" content=" OG ', page_id, ' ">') ELSE '' END,
       CASE WHEN page_id % 4 = 1 THEN concat('<meta name="twitter:title" content="TW ', page_id, '">') ELSE '' END,

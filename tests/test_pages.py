@@ -133,6 +133,10 @@ def test_body_dates(values):
         "It was 2024-12-28 then": "2024-12-28",
         "Published Sep 3, 2023": "2023-09-03",
         "Published yesterday": "2025-12-28",
+        "Posted June 13, 2025. The treaty of 2019-05-01": "2025-06-13",
+        "Founded on March 2, 1998. Updated on: Friday, May 3, 2024": "2024-05-03",
+        "On 2019-05-01 it began, on May 2, 2020 it ended": "2019-05-01",
+        "posted at 2021-02-03 and published yesterday": "2021-02-03",
         "published today!": "2025-12-29",
         "Marching 15, 2024": None,
         "nothing": None,
@@ -245,6 +249,11 @@ def test_fetch_takes_one_good_page_per_id(spark):
         ("01/15/2025", "2025-01-15 00:00:00", None),
         ("Wed Jan 15 10:00:00 2025", "2025-01-15 10:00:00", None),
         ("20250115", "2025-01-15 00:00:00", None),
+        ("20250115T100000Z", "2025-01-15 10:00:00", "+00:00"),
+        ("20250115T1000+0200", "2025-01-15 10:00:00", "+02:00"),
+        ("10:00 15 Jan 2025", "2025-01-15 10:00:00", None),
+        ("15/01/25", "2025-01-15 00:00:00", None),
+        ("01/15/25 9:30 PM", "2025-01-15 21:30:00", None),
         ("2025-01-15 10:00:00 UTC", "2025-01-15 10:00:00", "+00:00"),
         ("2025-01-15T10:00:00+01", "2025-01-15 10:00:00", "+01:00"),
         ("15 Jan 2025 10:00 EST", "2025-01-15 10:00:00", None),
@@ -280,3 +289,25 @@ def test_void_elements_open_no_scope(value):
 
     links = value(anchors("x"), x='<img class="post"><a href="/about">a</a><div class="post"><a href="/x">b</a></div>')
     assert [tuple(a) for a in links] == [("/about", False), ("/x", True)]
+
+
+SCOPES = {
+    "<main-nav><p>menu</p></main-nav><main>real</main>": "real",
+    "<article-list><p>x</p></article-list><article id=1>a<article>b</article >c</article\n>d": "a<article>b</article>c",
+    "<body><article>open <p>text</body></html>": "open <p>text",
+    "<body><main-nav>menu</main-nav><p>text</p></body> tail": "<main-nav>menu</main-nav><p>text</p>",
+    "<ARTICLE\nclass='x'>A</ARTICLE>B": "A",
+    "<article/><p>x</p>": "<p>x</p>",
+    "<p>no scope</p>": "<p>no scope</p>",
+    "<main>one<main-part>two</main-part></main>three": "one<main-part>two</main-part>",
+}
+
+
+def test_scopes_are_of_exactly_their_name(values):
+    assert dict(zip(SCOPES, values(H.article_scope("x"), list(SCOPES)), strict=True)) == SCOPES
+
+
+def test_names_that_only_begin_alike(values):
+    doc = "<title-bar>no</title-bar><title>T</title><h1-x>no</h1-x><h1>H</h1><time-ago datetime='2020-01-01'></time-ago><time datetime='2021-01-01'>x</time><script-x>kept</script-x>"
+    got = [values(e, [doc])[0] for e in (H.title_tag("x"), H.first_heading("x"), H.time_tag("x"), H.visible("x"))]
+    assert got == ["T", "H", "2021-01-01", doc]
