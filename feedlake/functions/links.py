@@ -30,8 +30,17 @@ def text_links(text: str) -> str:
 
 
 def sitemap_locations(xml: str) -> str:
-    """Trimmed, non-empty ``loc`` of each ``url`` entry; index entries are not followed."""
-    entries = extract_all(xml, r"(?is)<url\b[^>]*>(.*?)</url\s*>", 1)
+    """Trimmed, non-empty ``loc`` of each ``url`` entry; index entries are not among them."""
+    return _locations(xml, "url")
+
+
+def sitemap_parts(xml: str) -> str:
+    """Trimmed, non-empty ``loc`` of each entry of a sitemap index."""
+    return _locations(xml, "sitemap")
+
+
+def _locations(xml: str, name: str) -> str:
+    entries = extract_all(xml, rf"(?is)<{name}(?=[\s/>])[^>]*>(.*?)</{name}\s*>", 1)
     locations = each(
         entries, lambda e: strip(unescape(extract(e, r"(?is)<loc\b[^>]*>(.*?)</loc\s*>")))
     )

@@ -386,6 +386,28 @@ WHERE {_article_link('url', 'site')}""",
   UNION ALL SELECT o.page_id, o.site, o.url, 1, o.i FROM page_own o LEFT JOIN map_counts c ON c.site = o.site WHERE coalesce(c.n, 0) < 100)""",
         "uniq AS (SELECT * FROM both_sides QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY prio, i) = 1)",
         body=f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY prio, i) - 1 AS INTEGER) AS pos, url FROM uniq
+WHERE {_article_link('url', 'site')} QUALIFY pos < 100""",
+    ),
+    "host_site_links": _with(
+        *_DOCS,
+        *_OUTLINKS,
+        _table("landed", FX.SITEMAP_FILES),
+        r"""files AS (SELECT concat(regexp_extract(path, '/landed/([a-z]+)/', 1), '://', regexp_extract(path, '/landed/[a-z]+/([^/]+)/', 1)) AS host,
+  regexp_extract(path, '/landed/[a-z]+/[^/]+/(.*)$', 1) AS name, list_transform(regexp_extract_all(xml, '<url><loc>([^<]*)</loc></url>', 1), lambda u: trim(u)) AS urls,
+  regexp_extract_all(xml, '<sitemap><loc>([^<]*)</loc></sitemap>', 1) AS parts FROM landed)""",
+        """tops AS (SELECT *, list_position(['sitemap.xml', 'sitemap_index.xml', 'sitemap-index.xml'], name) AS candidate FROM files)""",
+        """entries AS (SELECT host, candidate, 0 AS part, generate_subscripts(urls, 1) AS i, unnest(urls) AS url FROM tops WHERE candidate IS NOT NULL
+  UNION ALL SELECT t.host, t.candidate, t.part, generate_subscripts(f.urls, 1), unnest(f.urls)
+  FROM (SELECT host, candidate, generate_subscripts(parts, 1) AS part, unnest(parts) AS loc FROM tops WHERE candidate IS NOT NULL) t JOIN files f ON concat(f.host, '/', f.name) = t.loc)""",
+        """best AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY part, i) AS n FROM entries e
+  WHERE candidate = (SELECT min(candidate) FROM entries b WHERE b.host = e.host) QUALIFY n <= 100)""",
+        "map_firsts AS (SELECT host, url, min(n) AS i FROM best GROUP BY ALL)",
+        "map_counts AS (SELECT host, count(*) AS n FROM map_firsts GROUP BY ALL)",
+        "starts AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host FROM docs)",
+        """both_sides AS (SELECT d.page_id, d.url AS site, m.url, 0 AS prio, m.i FROM starts d JOIN map_firsts m ON m.host = d.host
+  UNION ALL SELECT o.page_id, o.site, o.url, 1, o.i FROM page_own o JOIN starts d ON d.page_id = o.page_id LEFT JOIN map_counts c ON c.host = d.host WHERE coalesce(c.n, 0) < 100)""",
+        "uniq AS (SELECT * FROM both_sides QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY prio, i) = 1)",
+        body=f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY prio, i) - 1 AS INTEGER) AS pos, url FROM uniq
 WHERE {_article_link('url', 'site')} QUALIFY pos < 100""",
     ),
     "static_list_links": "SELECT 'list' AS feed, 'config' AS source_kind, row_number() OVER (ORDER BY page_id) AS rank, url FROM pages",

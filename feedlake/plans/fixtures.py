@@ -106,6 +106,23 @@ SELECT url, 3, concat('<urlset><url><loc>', url, '/three</loc></url></urlset>')
 """
 
 
+_HOST = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_PLACE = "concat('/landed/', replace(host, '://', '/'), '/"
+
+# Landed sitemap files of every host: a plain one that is often empty, an index of ten parts, and a third candidate.
+SITEMAP_FILES = f"""
+SELECT {_PLACE}sitemap.xml') AS path, CASE WHEN length(host) % 3 = 0 THEN concat('<urlset><url><loc>', host, '/direct/one</loc></url></urlset>') ELSE '<urlset></urlset>' END AS xml
+FROM (SELECT DISTINCT {_HOST} AS host FROM pages) h
+UNION ALL
+SELECT {_PLACE}sitemap_index.xml'), concat('<sitemapindex>', {", ".join(f"'<sitemap><loc>', host, '/maps/{k}.xml</loc></sitemap>'" for k in (3, 1, 4, 0, 5, 9, 2, 6, 8, 7))}, '</sitemapindex>')
+FROM (SELECT DISTINCT {_HOST} AS host FROM pages) h WHERE length(host) % 2 = 0
+UNION ALL
+SELECT {_PLACE}maps/', k, '.xml'), concat('<urlset><url><loc>', low, '</loc></url><url><loc> ', high, '/more </loc></url></urlset>')
+FROM (SELECT host, k, min(url) AS low, max(url) AS high FROM (SELECT {_HOST} AS host, page_id % 10 AS k, url FROM pages) p GROUP BY host, k) m
+UNION ALL
+SELECT {_PLACE}sitemap-index.xml'), concat('<urlset><url><loc>', host, '/third</loc></url></urlset>') FROM (SELECT DISTINCT {_HOST} AS host FROM pages) h
+"""
+
 # The pages as they arrive in four batches: some are lost at first (404) and come again at the end, others simply come again.
 ARRIVALS = """
 SELECT page_id, url, html, CASE WHEN page_id % 23 = 7 THEN 404 ELSE 200 END AS status, CAST(page_id % 4 AS INTEGER) AS batch FROM pages

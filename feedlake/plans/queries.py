@@ -13,6 +13,7 @@ from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
 from feedlake.operators import pages as PG
 from feedlake.operators import patterns as PT
+from feedlake.operators import sitemaps as SM
 from feedlake.operators import tags as TAG
 from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.plans import fixtures as FX
@@ -173,6 +174,12 @@ def site_links_top100(spark: SparkSession, sf: str) -> DataFrame:
     return LNK.site_links(sites, sitemaps, ["page_id"])
 
 
+def host_site_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Article links of every page from the landed sitemap files of its host, parts of index files included, topped up with its own."""
+    sites = FX.derive(spark, sf, FX.PAGES_X, heavy=True)
+    return SM.host_links(sites, FX.derive(spark, sf, FX.SITEMAP_FILES), ["page_id"])
+
+
 # --- pages -------------------------------------------------------------------------
 
 
@@ -579,6 +586,7 @@ CATALOGUE = {
         sitemap_first_candidate,
         page_outlinks,
         site_links_top100,
+        host_site_links,
         page_fetch_join,
         fetch_failures,
         page_kind_counts,
