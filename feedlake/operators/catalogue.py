@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake import fixed
 from feedlake.functions.dates import parse_date
 from feedlake.functions.sql import first_nonempty, let, lit, matches, nonempty
 from feedlake.functions.text import escape_html
+from feedlake.operators.ranking import rank_within
 
 
 def _wall_clock(date_text: str) -> str:
@@ -23,14 +24,21 @@ def feed_catalogue(feeds: DataFrame, items: DataFrame) -> DataFrame:
     ``items`` needs ``feed``, ``date_iso`` and ``modified_iso`` only. Counting and
     maximum combine on the map side; feeds without items are kept.
     """
+    return catalogue_of(feeds, feed_totals(items))
+
+
+def feed_totals(items: DataFrame) -> DataFrame:
+    """``feed``, ``items`` and ``last``, the last update as wall-clock time. Totals of parts of the items add up to those of all."""
     dated = items.selectExpr(
         "feed", f"{_wall_clock(first_nonempty('date_iso', 'modified_iso'))} AS _at"
     )
-    totals = dated.groupBy("feed").agg(
-        F.count(F.lit(1)).alias("item_count"), F.max("_at").alias("_last")
-    )
+    return dated.groupBy("feed").agg(F.count(F.lit(1)).alias("items"), F.max("_at").alias("last"))
+
+
+def catalogue_of(feeds: DataFrame, totals: DataFrame) -> DataFrame:
+    """The catalogue from totals per feed (``feed``, ``items``, ``last``), wherever they come from."""
     return (
-        feeds.join(totals, "feed", "left")
+        feeds.join(totals.selectExpr("feed", "items AS item_count", "last AS _last"), "feed", "left")
         .selectExpr("*", f"{first_nonempty('output_dir', 'feed')} AS path")
         .selectExpr(
             "feed",
@@ -66,6 +74,23 @@ def catalogue_listing(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def write_page(lines: DataFrame, path: str) -> None:
+    """The lines of ``catalogue_lines`` as text files whose name order is the page's order; one after the other they are the page.
+
+    The sort that orders the lines is range-partitioned, and a task writes its range into a file of its own.
+    """
+    lines.select("line").write.mode("error").text(path)
+
+
+def read_page(spark: SparkSession, path: str) -> DataFrame:
+    """``pos`` (from 1) and ``line`` of a written page."""
+    lines = spark.read.text(path).select(
+        F.lit("page").alias("page"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")
+    )
+    # rows of a file rise in the order they are read, whichever tasks read them
+    return rank_within(lines, "page", [F.col("file"), F.col("row")], ["line"], "pos").select("pos", "line")
+
+
 def catalogue_lines(
     listing: DataFrame,
     as_of: str,

@@ -53,6 +53,11 @@ def topic_terms(texts: DataFrame, key: str, text: str = "text", top: int = fixed
     # counting over ``tf`` (always positive) keeps this branch identical to the other use
     # of the term table, so its shuffle is done once and reused
     df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+    return ranked_terms(tf, df, n_texts, key, top)
+
+
+def ranked_terms(tf: DataFrame, df: DataFrame, n_texts: int, key: str, top: int = fixed.MAX_TAGS) -> DataFrame:
+    """The ``top`` terms of each text, from term counts and document counts (``term``, ``df``): ``key``, ``rank``, ``term``, ``score``."""
     idf = df.select("term", (F.log((1 + n_texts) / (1 + F.col("df"))) + 1).alias("idf"))
     scored = tf.join(idf, "term").select(
         key, "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")

@@ -465,6 +465,7 @@ UNION ALL SELECT page_id, 'media', id, url, title, NULL, NULL, NULL, NULL, '', N
         "tag_top AS (SELECT * FROM tag_firsts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 5)",
         body="""SELECT d.doc_id, coalesce(string_agg(t.tag, '|' ORDER BY t.i), '') AS tags FROM documents d LEFT JOIN tag_top t ON t.doc_id = d.doc_id GROUP BY ALL""",
     ),
+    "running_topics": _with(*_tfidf("documents", "doc_id"), body="SELECT doc_id, rank, term, score FROM topics"),
     "topic_tags_tfidf": _with(*_tfidf("documents", "doc_id"), body="SELECT doc_id, rank, term, score FROM topics"),
     "item_tags_merged": _with(
         *_ITEMS,
@@ -553,6 +554,16 @@ FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY ALL""",
         *_ITEMS, body=f"SELECT feed, id, {_clean('title')} AS title, {_clean('summary')} AS summary, {_clean('content_html')} AS content_html FROM items"
     ),
     "feed_catalogue": _with(*_CATALOGUE, body="SELECT feed, path, title, description, item_count, last_updated FROM listed"),
+    "running_catalogue": _with(*_CATALOGUE, body="SELECT feed, path, title, description, item_count, last_updated FROM listed"),
+    "catalogue_page": _with(
+        *_CATALOGUE,
+        f"""lines AS (SELECT 0 AS section, '' AS path, '<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>{fixed.SITE_TITLE}</title>' AS line
+  UNION ALL SELECT 1, path, concat('<link rel="alternate" type="application/rss+xml" title="', {_escape('title')}, '" href="', path, '/feed.xml">') FROM listed
+  UNION ALL SELECT 2, '', '</head><body><h1>{fixed.SITE_TITLE}</h1>{fixed.SITE_DESCRIPTION}<dl>'
+  UNION ALL SELECT 3, path, concat('<dt><a href="', path, '/feed.json">', {_escape('title')}, '</a> <a href="', path, '/feed.xml">rss</a></dt><dd>', {_escape('description')}, ' (', item_count, ', ', last_updated, ')</dd>') FROM listed
+  UNION ALL SELECT 4, '', '</dl><p>As of 2025-12-29</p></body></html>')""",
+        body="SELECT row_number() OVER (ORDER BY section, path) AS pos, line FROM lines",
+    ),
     "catalogue_listing": _with(
         *_CATALOGUE,
         body=f"""SELECT path, concat(path, '/feed.json') AS json_url, concat(path, '/feed.xml') AS rss_url,
@@ -565,6 +576,18 @@ FROM feeds f LEFT JOIN rss i ON i.feed = f.feed GROUP BY ALL""",
         + ", ".join(f"count(*) FILTER (WHERE stage = '{s}') AS {s}" for s in _STAGES)
         + " FROM judged GROUP BY ALL",
     ),
+    "running_funnel": _with(
+        *_RUN,
+        """halves AS (SELECT *, ord % 2 AS run, row_number() OVER (PARTITION BY feed, id, early, ord % 2 ORDER BY ord) AS nth FROM staged)""",
+        """seen_in AS (SELECT h.*, a.page_id, EXISTS (SELECT 1 FROM stored s WHERE s.feed = h.feed AND s.id = h.id) AS held FROM halves h LEFT JOIN answers a ON a.id = h.id)""",
+        """first_run AS (SELECT DISTINCT feed, id FROM seen_in WHERE run = 0 AND early IS NULL AND NOT held AND page_id IS NOT NULL)""",
+        """told AS (SELECT s.feed, s.id, CASE WHEN early IS NOT NULL THEN early WHEN nth > 1 THEN 'duplicate' WHEN held OR (run = 1 AND f.id IS NOT NULL) THEN 'stored'
+  WHEN page_id IS NULL THEN 'no_page' ELSE 'added' END AS stage FROM seen_in s LEFT JOIN first_run f ON f.feed = s.feed AND f.id = s.id)""",
+        "kept AS (SELECT feed, count(DISTINCT id) AS n FROM stored GROUP BY feed)",
+        body="SELECT feed, count(*) AS collected, "
+        + ", ".join(f"count(*) FILTER (WHERE stage = '{s}') AS {s}" for s in _STAGES)
+        + ", count(*) FILTER (WHERE stage = 'added') AS parsed, count(*) FILTER (WHERE stage = 'added') + coalesce((SELECT n FROM kept k WHERE k.feed = told.feed), 0) AS total FROM told GROUP BY feed",
+    ),
     "multi_feed_run": _with(
         *_RUN,
         "placed AS (SELECT feed, page_id, row_number() OVER (PARTITION BY feed ORDER BY ord) - 1 AS ord FROM judged WHERE stage = 'added')",

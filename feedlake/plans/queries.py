@@ -13,12 +13,14 @@ from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
 from feedlake.operators import pages as PG
 from feedlake.operators import patterns as PT
+from feedlake.operators import running as RUN
 from feedlake.operators import sitemaps as SM
 from feedlake.operators import tags as TAG
+from feedlake.operators.funnel import STAGES
 from feedlake.operators.ranking import measured_within, rank_within
 from feedlake.plans import fixtures as FX
 from feedlake.plans import ingest
-from feedlake.session import scratch_path
+from feedlake.session import materialise, scratch_path
 from feedlake.sinks.published import publish, published
 from feedlake.sources.config import as_source, feed_table, link_list
 from feedlake.sources.landed import page_corpus
@@ -340,6 +342,16 @@ def item_tags_merged(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.select("feed", "id", F.array_join("tags", "|").alias("tags"))
 
 
+def running_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic terms after three runs, one of them repeated and two merged: as if all texts were counted at once."""
+    path = scratch_path(spark, "terms")
+    docs = FX.spread(FX.table(spark, sf, "documents")).selectExpr("doc_id AS id", "text", "doc_id % 3 AS run")
+    for run in (0, 1, 1, 2):
+        RUN.add_texts(docs.filter(F.col("run") == run), f"r-{run}", path, "bigint")
+    RUN.merge_document_counts(spark, path, ["r-0", "r-1"])
+    return RUN.topics(spark, path, "bigint").withColumnRenamed("id", "doc_id")
+
+
 def tag_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return TAG.tag_rollup(FX.items_x(spark, sf))
 
@@ -500,10 +512,27 @@ def feed_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return CAT.feed_catalogue(FX.feeds(spark), FX.items_x(spark, sf))
 
 
+def running_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue from totals that three runs have added up; the first two are merged, and one was repeated."""
+    path = scratch_path(spark, "totals")
+    items = FX.items_x(spark, sf)
+    for run in (0, 1, 1, 2):
+        RUN.put(RUN.stored_part(items.filter(F.col("ord") % 3 == run)), f"r-{run}", path)
+    RUN.merge(spark, path, RUN.FEED_PART, ["r-0", "r-1"], RUN.add_feed_parts)
+    return CAT.catalogue_of(FX.feeds(spark), RUN.feed_run_totals(spark, path))
+
+
 def catalogue_listing(spark: SparkSession, sf: str) -> DataFrame:
     return CAT.catalogue_listing(feed_catalogue(spark, sf))
 
 
+def catalogue_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue page as it was written, line by line."""
+    path = scratch_path(spark, "page")
+    CAT.write_page(CAT.catalogue_lines(catalogue_listing(spark, sf), "2025-12-29"), path)
+    return CAT.read_page(spark, path)
+
+
 # --- whole runs --------------------------------------------------------------------
 
 
@@ -517,6 +546,28 @@ def ingest_funnel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _two_runs(spark: SparkSession, sf: str) -> str:
+    """Two runs over halves of the links, each adding its part to the totals; the folder of the parts."""
+    path = scratch_path(spark, "totals")
+    pages, held = FX.pages_x(spark, sf, heavy=True), FX.stored(spark, sf)
+    before = FX.items_x(spark, sf).join(held.select("feed", "id").distinct(), ["feed", "id"], "left_semi")
+    RUN.put(RUN.stored_part(before), "stored", path)
+    known = before.select("feed", "id")
+    for run in (0, 1):
+        links = FX.derive(spark, sf, FX.FRONTIER).filter(F.col("ord") % 2 == run)
+        args = (links, FX.feeds(spark), FX.patterns(spark), known, pages)
+        new = materialise(ingest.collect_items(*args, AS_OF), "new-items")
+        RUN.put(RUN.run_part(ingest.funnel_of(*args), new.withColumn("modified_iso", F.lit(None).cast("string"))), f"run-{run}", path)
+        known = known.unionByName(new.select("feed", "id"))
+    return path
+
+
+def running_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel over two runs, with what was parsed and what the feeds hold, added up from the parts of the runs."""
+    totals = RUN.feed_run_totals(spark, _two_runs(spark, sf))
+    return totals.select("feed", "collected", *STAGES, "parsed", "total")
+
+
 def multi_feed_run(spark: SparkSession, sf: str) -> DataFrame:
     items = ingest.collect_items(
         FX.derive(spark, sf, FX.FRONTIER),
@@ -606,6 +657,7 @@ CATALOGUE = {
         page_items,
         tag_clean,
         topic_tags_tfidf,
+        running_topics,
         item_tags_merged,
         tag_rollup,
         merge_append,
@@ -624,7 +676,10 @@ CATALOGUE = {
         xml_clean_items,
         feed_catalogue,
         catalogue_listing,
+        running_catalogue,
+        catalogue_page,
         ingest_funnel,
+        running_funnel,
         multi_feed_run,
         corpus_items,
         incremental_equals_batch,

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.session import exists
+
 KEYS = "feed string, id string, prefix string, run_id string"
 #: Hexadecimal digits of a prefix. A table keeps the number it was made with: 2 give 256 parts, 3 suit some 10^10 keys.
 DIGITS = 2
@@ -55,8 +57,7 @@ def add_keys(keys: DataFrame, run_id: str, path: str, digits: int = DIGITS) -> N
 
 def create_keys(spark: SparkSession, items: DataFrame, path: str, digits: int = DIGITS) -> None:
     """Make the table where there is none, from the items stored so far (``feed``, ``id``, ``run_id``)."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, f"{path}/_SUCCESS"):
         _written(with_prefix(items.select("feed", "id", "run_id"), digits), digits).parquet(path)
 
 
