@@ -119,6 +119,11 @@ _TEXT_DAY = (
 _SAID = r"\b(?i:published|posted|updated)(?i: on| at)?:? (?:(?i:mon|tues|wednes|thurs|fri|satur|sun)day,? )?"
 
 
+def date_shape(raw: str) -> str:
+    """What a date text looks like: ``9`` for a digit, ``a`` for a word, at most 60 characters; '' for none."""
+    return f"left({substitute(substitute(f'coalesce({collapse(strip(raw))}, {lit("")})', r'\p{Nd}', '9'), r'\p{L}+', 'a')}, 60)"
+
+
 def body_date(text: str, as_of: str) -> str:
     """Publication day named in an article, as ``timestamp_ntz``.
 

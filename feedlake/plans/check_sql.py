@@ -327,7 +327,22 @@ _PLAIN = _with(
     body=_PLAIN_BODY,
 )
 
+_DATE_TEXTS = (
+    _table("texts", FX.DATE_TEXTS),
+    """understood AS (SELECT t.*, concat('2025-03-', CASE WHEN page_id % 18 IN (4, 5, 11) THEN concat('', 13 + page_id % 15) ELSE lpad(concat('', 1 + page_id % 28), 2, '0') END,
+  CASE page_id % 18 WHEN 0 THEN 'T10:00:00+00:00' WHEN 2 THEN 'T08:30:00' WHEN 3 THEN 'T10:00:00+00:00' WHEN 5 THEN 'T21:05:00' WHEN 7 THEN 'T10:00:00+02:00' WHEN 8 THEN 'T10:00:00+00:00'
+    WHEN 9 THEN 'T10:00:00+00:00' WHEN 10 THEN 'T10:00:00' WHEN 12 THEN 'T10:00:00.250000-05:00' WHEN 13 THEN 'T07:15:00' ELSE 'T00:00:00' END) AS iso FROM texts t)""",
+    """judged_dates AS (SELECT page_id, date_raw, CASE WHEN page_id % 18 < 15 THEN iso END AS date_iso,
+  CASE WHEN page_id % 18 < 15 THEN 'read' WHEN page_id % 18 < 17 THEN 'unread' ELSE 'none' END AS outcome FROM understood)""",
+)
+
 CHECK_SQL = {
+    "dates_read": _with(*_DATE_TEXTS, body="SELECT page_id, date_raw, date_iso, outcome FROM judged_dates"),
+    "date_shape_report": _with(
+        *_DATE_TEXTS,
+        r"shaped AS (SELECT outcome, left(regexp_replace(regexp_replace(date_raw, '[0-9]', '9', 'g'), '[A-Za-z]+', 'a', 'g'), 60) AS shape FROM judged_dates)",
+        body="SELECT DISTINCT outcome, count(*) OVER (PARTITION BY outcome) AS n, shape, count(*) OVER (PARTITION BY outcome, shape) AS texts FROM shaped",
+    ),
     "url_canonical_ids": _with(_canon("pages", "c"), body="SELECT page_id, url, canonical_url, id, valid FROM c"),
     "valid_links": _with(_FRONTIER, body=f"SELECT feed, ord, url FROM frontier WHERE regexp_matches(url, '{_VALID_RX}')"),
     "links_per_domain": _with(

@@ -61,6 +61,19 @@ SELECT page_id, {FEED_OF_URL} AS feed,
 FROM pages
 """
 
+_LATE = "(13 + page_id % 15)"  # a day that can't be a month
+
+# Dates as pages write them, in fifteen shapes, and two texts that are none.
+DATE_TEXTS = f"""
+SELECT page_id, CASE page_id % 18 WHEN 0 THEN concat('2025-03-', {_DAY}, 'T10:00:00Z') WHEN 1 THEN concat('2025-03-', {_DAY}) WHEN 2 THEN concat('2025/03/', {_DAY}, ' 08:30')
+  WHEN 3 THEN concat('202503', {_DAY}, 'T100000Z') WHEN 4 THEN concat({_LATE}, '.03.2025') WHEN 5 THEN concat('03/', {_LATE}, '/2025 9:05 PM')
+  WHEN 6 THEN concat('March ', 1 + page_id % 28, ', 2025') WHEN 7 THEN concat({_DAY}, ' Mar 2025 10:00:00 +0200') WHEN 8 THEN concat('Sat, ', {_DAY}, ' Mar 2025 10:00:00 GMT')
+  WHEN 9 THEN concat('Mar ', {_DAY}, ' 10:00:00 UTC 2025') WHEN 10 THEN concat('10:00 ', {_DAY}, ' Mar 2025') WHEN 11 THEN concat({_LATE}, '/03/25')
+  WHEN 12 THEN concat('2025-03-', {_DAY}, 'T10:00:00.250-05:00') WHEN 13 THEN concat('March ', 1 + page_id % 28, 'th, 2025 at 7:15 am') WHEN 14 THEN concat('202503', {_DAY})
+  WHEN 15 THEN 'soon' WHEN 16 THEN concat('week ', page_id % 50, ' of 2025') ELSE '' END AS date_raw
+FROM pages
+"""
+
 NOTES = """
 SELECT d.doc_id, d.lang, concat(d.text, chr(10),
   'see [one](', coalesce(p.url, concat('https://docs.example.com/en/', d.doc_id)), ') and ![img](https://img.example.com/', d.doc_id, '.png)', chr(10),

@@ -11,6 +11,7 @@ from feedlake.operators import catalogue as CAT
 from feedlake.operators import feeds as FD
 from feedlake.operators import frontier as FR
 from feedlake.operators import links as LNK
+from feedlake.operators import misses as MISS
 from feedlake.operators import pages as PG
 from feedlake.operators import patterns as PT
 from feedlake.operators import running as RUN
@@ -276,6 +277,20 @@ def article_dates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dates_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Date texts of many shapes as they are understood."""
+    return MISS.read_dates(FX.derive(spark, sf, FX.DATE_TEXTS)).select("page_id", "date_raw", "date_iso", "outcome")
+
+
+def date_shape_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest shapes of date texts by outcome, from the sketches of three runs."""
+    path = scratch_path(spark, "shapes")
+    texts = MISS.read_dates(FX.derive(spark, sf, FX.DATE_TEXTS))
+    for run in range(3):
+        RUN.put(MISS.shape_part(texts.filter(F.col("page_id") % 3 == run)), f"r-{run}", path)
+    return MISS.shape_report(RUN.parts(spark, path, MISS.PART), top=50)
+
+
 def body_dates(spark: SparkSession, sf: str) -> DataFrame:
     return _blocks(spark, sf).selectExpr(
         "page_id", f"date_format({PG.top_date('blocks', AS_OF)}, 'yyyy-MM-dd') AS body_date"
@@ -647,6 +662,8 @@ CATALOGUE = {
         article_authors,
         pages_per_language,
         article_dates,
+        dates_read,
+        date_shape_report,
         body_dates,
         text_blocks,
         article_bodies,
