@@ -10,8 +10,9 @@ found by a partial aggregation and joined to its parts.
 
 Rows. A null text is an empty turn, a null or empty speaker is called ``unknown``, a null turn number is 0. Turns with one number come in the order of speaker and
 text, and repeated rows are rendered as often as they come. Null conversation ids are one conversation. A conversation
-of system turns alone has no participant, hence no row. ``<|`` in a text is written ``< |``, so it can't
-end a turn. Other columns are not looked at.
+of system turns alone has no participant, hence no row. ``<|`` in a text or name is written ``< |``, and a line feed in a name a blank, so neither
+can end a turn or open another's. Turn numbers may be any 64-bit numbers. Every participant sees every turn, so the result grows as participants times turns of
+a conversation, by the method. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     said = F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select(F.col(conversation).alias("conv_id"), number.alias("turn"), name.alias("speaker"), said.alias("body"))
     people = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    part = F.floor(F.col("turn") / PART_TURNS).cast("int")
+    # whole numbers only: a quotient of doubles would round large ones
+    part = F.expr(f"(turn - pmod(turn, {PART_TURNS})) div {PART_TURNS}")
     parts = rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
 
     def rendered(t: F.Column) -> F.Column:
-        role = F.when(t["speaker"] == F.col("perspective"), F.lit("assistant")).when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), t["speaker"]))
+        role = F.when(t["speaker"] == F.col("perspective"), F.lit("assistant")).when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.replace(F.replace(t["speaker"], F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" "))))
         head = F.concat(F.lit(START), role, F.lit("\n"))
         whole = F.concat(head, t["body"], F.lit(END + "\n"))
         return F.struct(whole.alias("whole"), F.length(head).cast("bigint").alias("head"), (t["speaker"] == F.col("perspective")).alias("own"))
@@ -69,8 +71,8 @@ WITH turns AS (
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> '{SYSTEM}'
 ), headed AS (
-  SELECT t.conv_id, p.perspective, CAST(floor(t.turn / {PART_TURNS}.0) AS INTEGER) AS part, t.turn, t.speaker, t.body,
-    concat('{START}', CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE concat('user name=', t.speaker) END, chr(10)) AS head
+  SELECT t.conv_id, p.perspective, CAST((t.turn - ((t.turn % {PART_TURNS}) + {PART_TURNS}) % {PART_TURNS}) // {PART_TURNS} AS BIGINT) AS part, t.turn, t.speaker, t.body,
+    concat('{START}', CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE concat('user name=', replace(replace(t.speaker, '<|', '< |'), chr(10), ' ')) END, chr(10)) AS head
   FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, concat(head, body, '{END}', chr(10)) AS whole,

@@ -7,9 +7,12 @@ import zlib
 from html import unescape
 
 # Element names of HTML with their roles.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark nobr noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("button canvas iframe math noscript object script select style svg template textarea".split())
+UNREAD = frozenset("button iframe script select style svg template textarea".split())
 RAW = frozenset(("script", "style"))
 # an element of this name ends open ones of these names
 ENDS = {
@@ -38,21 +41,27 @@ def bin_of(token: str) -> int:
 
 
 class Block:
-    """A text without markup: its white space is single blanks, its references are decoded."""
+    """A text without markup: its white space is single blanks, its references are decoded.
+
+    ``path`` has a bit for each bin of the elements it lies in, ``linked`` counts the characters inside links.
+    """
 
-    __slots__ = ("text", "path", "names", "linked")
+    __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple[int, ...], names: tuple[str, ...], linked: int):
-        self.text, self.path, self.names, self.linked = text, path, names, linked
+    def __init__(self, text: str, path: int, linked: int):
+        self.text, self.path, self.linked = text, path, linked
 
 
-def _own_tokens(name: str, attributes: str) -> list[int]:
+def _own_bits(name: str, attributes: str) -> int:
     tokens = [name]
     if attributes:
         for m in _NAMES.finditer(attributes):
             value = m[5] or m[2] or m[3] or m[4] or ""
             tokens += ["." + w.lower() for w in _WORD.findall(value)]
-    return [bin_of(t) for t in tokens]
+    bits = 0
+    for t in tokens:
+        bits |= 1 << bin_of(t)
+    return bits
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -64,8 +73,8 @@ def blocks(html: str | None) -> list[Block]:
     if not html:
         return []
     out: list[Block] = []
-    # open elements: name, path bins down to it, names of blocks down to it, whether its text is read, whether it is a link
-    stack: list[tuple[str, tuple[int, ...], tuple[str, ...], bool, bool]] = [("", (), (), True, False)]
+    # open elements: name, bins of the path down to it, whether its text is read, whether it is a link; of one size, however deep
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]
     pieces: list[str] = []
     where, linked = stack[0], 0
 
@@ -74,19 +83,19 @@ def blocks(html: str | None) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, where[1], where[2], linked))
+                out.append(Block(text, where[1], linked))
             pieces, linked = [], 0
 
     def read(text: str) -> None:
         nonlocal where, linked
-        if text and stack[-1][3]:
+        if text and stack[-1][2]:
             if not pieces:
                 if text.isspace():
                     return
                 where = stack[-1]
             decoded = unescape(text) if "&" in text else text
             pieces.append(decoded)
-            if stack[-1][4]:
+            if stack[-1][3]:
                 linked += len(decoded)
 
     at, size = 0, len(html)
@@ -132,7 +141,6 @@ def blocks(html: str | None) -> list[Block]:
             at = end.start() if end else size
             continue
         above = stack[-1]
-        names = above[2] if name in INLINE else (*above[2], name)
-        stack.append((name, (*above[1], *_own_tokens(name, attributes)), names, above[3] and name not in UNREAD, above[4] or name == "a"))
+        stack.append((name, above[1] | _own_bits(name, attributes), above[2] and name not in UNREAD, above[3] or name == "a"))
     flush()
     return out

@@ -29,7 +29,8 @@ WORD_BINS, HIDDEN = 64, 16
 INPUTS = PATH_BINS + WORD_BINS + 4
 SAMPLE_ROWS, SAMPLE_BYTES = 200, 1 << 16
 PAGES, EPOCHS, BATCH, RATE = 1500, 10, 32, 0.01
-_TOGETHER = 128
+#: Blocks labelled at once, padding included; a longer page is labelled alone.
+TOGETHER = 16384
 #: Begins main blocks of made-up pages, until they are read.
 MARK = "\ue000"
 
@@ -39,8 +40,8 @@ def inputs(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), INPUTS), np.float32)
     if not found:
         return x
-    for i, b in enumerate(found):
-        x[i, list(b.path)] = 1
+    packed = np.frombuffer(b"".join(b.path.to_bytes(PATH_BINS // 8, "little") for b in found), np.uint8)
+    x[:, :PATH_BINS] = np.unpackbits(packed.reshape(len(found), -1), axis=1, bitorder="little")
     data, bounds = joined_bytes(pa.array([b.text for b in found], pa.string()))
     hashes, _, _, first = word_hashes(data, bounds)
     owner = np.repeat(np.arange(len(found)), np.diff(first))
@@ -155,8 +156,12 @@ class Labeller:
         """For each page the flags of its main blocks."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for low in range(0, len(order), _TOGETHER):
-            own = order[low : low + _TOGETHER]
+        low = 0
+        while low < len(order):
+            high = low + 1  # shortest first, so the last of a group is the longest
+            while high < len(order) and (high + 1 - low) * len(pages[order[high]]) <= TOGETHER:
+                high += 1
+            own, low = order[low:high], high
             flat = inputs([b for i in own for b in pages[i]])
             lengths = np.asarray([len(pages[i]) for i in own])
             cuts = np.cumsum(lengths)[:-1]
