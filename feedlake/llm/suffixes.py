@@ -16,8 +16,9 @@ with many different surroundings (the end of such a passage) is found on a sampl
 the sample decides the dealing only. Texts are shuffled once, for the windows and the result together.
 
 Rows. Null text counts as empty. Rows that agree in ``doc_id`` and text are one document, and each is returned with its result;
-different texts under one ``doc_id`` come in the order of their checksum. A null ``doc_id`` comes after all others.
-Other columns are passed on.
+different texts under one ``doc_id``, or under none, are told apart and ordered by a hash of 64 bits (two of n such texts share one with a
+probability of about n * n / 2**65). A null ``doc_id`` comes after all others. Other columns are passed on. Strings are compared by 64-bit hashes
+of their anchor and of their whole, so two different ones are taken for one with a probability of about 2**-64 a pair within a bucket.
 """
 
 from __future__ import annotations
@@ -271,9 +272,9 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
     n_spans`` and what ``kept`` names in ``KEPT``.
     """
     new = {"text", "n_bytes", "n_removed", "n_spans", KEPT[kept].split()[0]}
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("ord"), F.crc32(text).alias("crc"), text.alias("text"))
+    keyed = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(text).alias("crc"), text.alias("text"))
     ranges = materialise(refine_runs(run_table(keyed), _common_anchors(keyed)), "suffix-ranges")
     release_shuffles(docs.sparkSession)  # of the runs, as large as what follows
 
@@ -285,7 +286,7 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
     earlier = ranges.where("NOT open").drop("open").unionByName(windows)
     marked = keyed.join(gathered(earlier, "cut"), ["ord", "crc"], "left").select("row", "text", "cut")
 
-    fields = [f for f in docs.schema if f.name not in new]
+    fields = [f for f in docs.schema if f.name.lower() not in new]
     own = _parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, " + KEPT[kept])
     made = {"bytes": lambda b: b, "text": lambda b: b.decode("utf-8", errors="ignore"), "sha256": lambda b: hashlib.sha256(b).hexdigest()}[kept]
     schema = StructType([marked.schema["row"], *own])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -235,3 +236,30 @@ def test_likeness():
     assert fingerprints.likeness("", "") == 1.0
     one = fingerprints.fingerprint(fingerprints.mixed(__import__("numpy").arange(1000, dtype="uint64")))
     assert fingerprints.likeness(one, one) == 1.0 and fingerprints.likeness(one, "") == 0.0
+
+
+def test_suffixes_of_texts_without_an_id(spark):
+    """Different texts without ``doc_id`` stay apart, also where their 32-bit checksums agree."""
+    rng = random.Random(8)
+    seen, pair = {}, None
+    while pair is None:
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randint(110, 260)))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        pair = (other, text) if other != text else None
+    passage = "A passage of more than a hundred bytes that stands in a text with an id and in both of the texts without one, word by word. "
+    rows = [(1, passage), (None, pair[0]), (None, pair[1]), (None, passage + pair[0]), (None, pair[1] + passage), (None, pair[1])]
+    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and sum(r["n_bytes"] for r in got) == sum(len(t) for _, t in rows)
+    left = b"|".join(sorted(bytes(r["kept"]) for r in got))
+    assert left.count(pair[0].encode()) == 1 and passage.encode() in left and sum(r["n_removed"] for r in got) > 2 * len(passage)
+
+
+def test_suffixes_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "x" * 120, 5, "k"), (2, "x" * 120, 6, "l")], "doc_id bigint, text string, N_Bytes int, KEPT string")
+    got = {r["doc_id"]: r for r in suffixes.deduplicate(docs).collect()}
+    assert got[1]["n_bytes"] == 120 and got[2]["n_removed"] == 120 and bytes(got[2]["kept"]) == b""
+    import corpus_pipeline
+
+    out = corpus_pipeline.unrepeated(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "x", 5, "k"), (2, "", 6, "l")]
