@@ -36,10 +36,13 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document may become empty; it stays.
     """
-    cut = suffixes.deduplicate(docs, kept="text")
-    length = F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": F.col("kept").alias("text")} | ({"n_chars": length.alias("n_chars")} if length is not None else {})
-    return cut.select([new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    # as one column, whatever the names are; the operator adds its own beside it
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    cut = suffixes.deduplicate(docs.select(others, "doc_id", "text"), kept="text")
+    new = {"text": F.col("kept").alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cut.select([new.get(c, F.col("others").getField(c).alias(c)) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
