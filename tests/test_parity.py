@@ -13,7 +13,7 @@ QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 @pytest.fixture(scope="module")
 def database():
     con = duckdb.connect()
-    for name in ("pages", "documents", "conversations"):
+    for name in ("pages", "documents", "conversations", "benchmark", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
