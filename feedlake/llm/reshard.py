@@ -1,17 +1,19 @@
 """Resharding by minimum-cost flow.
 
-Method. Rows belong to blocks (a hash of the row), blocks to old shards. From the bytes of the old
-shards and the capacities of the new ones a minimum-cost flow (staying is free, moving costs its
+Method. Rows belong to old shards (a hash of id and text) and within them to blocks (a hash of id, text and place in the
+input). From the bytes of the old shards and the capacities of the new ones a minimum-cost flow (staying is free, moving costs its
 bytes) says how many bytes go from which shard to which. Whole blocks are then chosen to carry
 that flow, and last differences are evened out by moving or swapping single blocks. Only
 shards that lose or gain a block are rewritten.
 
 Scale. Only (block, bytes, rows) reaches the driver: ``OLD_SHARDS * BLOCKS`` numbers at most,
 whatever the corpus. Texts are scanned once, for their size and checksum, and not shuffled. A slot
-is the block's first slot plus the row's number in its block, so no shard is sorted as a whole.
+is the block's first slot plus the row's number in its block, so no shard is sorted as a whole. Blocks grow with
+the corpus: of 100 TB each holds some 4 GB, and a task numbers the ids and sizes of one block.
 
-Rows. Null text has no bytes, so size 1. Rows that agree in id and text share a block; slots among them are dealt
-in no fixed order, since nothing tells them apart. Null ids are rows like others. Equal texts are not kept together: a group of copies may
+Rows. Null text has no bytes, so size 1. Rows that agree in id and text lie in one old shard, but in as many of its blocks as
+there are, so that any number of them can be parted; which of them goes where follows their place in the input, since nothing
+else tells them apart. Null ids are rows like others. Equal texts are not kept together: a group of copies may
 be larger than a shard.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.session import materialise
@@ -136,15 +138,25 @@ def _evened(placed: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
     return placed
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _block(old_shards: int, blocks: int) -> Column:
+    """The block of a row; it is in old shard ``block div blocks``. Equal rows are told apart by their place in the input."""
+    row = (F.col("doc_id").cast("bigint"), F.crc32(_text().cast("binary")))
+    old = F.pmod(F.xxhash64(*row), F.lit(old_shards))
+    within = F.pmod(F.xxhash64(F.lit("block"), *row, F.monotonically_increasing_id()), F.lit(blocks))
+    return (old * blocks + within).cast("int")
+
+
 def measured(docs: DataFrame, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, size, text_crc32, block`` of every row; a block is in old shard ``block div blocks``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
+    """``doc_id, size, text_crc32, block`` of every row."""
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        (F.octet_length(text).cast("bigint") + 1).alias("size"),
-        crc.cast("bigint").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), crc), F.lit(old_shards * blocks)).cast("int").alias("block"),
+        (F.octet_length(_text()).cast("bigint") + 1).alias("size"),
+        F.crc32(_text().cast("binary")).cast("bigint").alias("text_crc32"),
+        _block(old_shards, blocks).alias("block"),
     )
 
 
@@ -179,16 +191,14 @@ def reshard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def write_layout(docs: DataFrame, path: str) -> None:
     """The old layout: the rows of ``docs``, a folder for each old shard."""
-    block = measured(docs).select("block").schema["block"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.crc32(text.cast("binary"))), F.lit(OLD_SHARDS * BLOCKS)).cast(block.dataType)
-    docs.withColumn("block", hashed).withColumn("shard", F.expr(f"block div {BLOCKS}").cast("int")).write.partitionBy("shard").parquet(path)
+    placed = docs.withColumn("block", _block(OLD_SHARDS, BLOCKS)).withColumn("shard", F.expr(f"block div {BLOCKS}").cast("int"))
+    placed.write.partitionBy("shard").parquet(path)
 
 
 def rewrite(spark: SparkSession, path: str, shards: int = 16) -> list[int]:
     """Moves the blocks of a stored layout; rewrites affected shards only, and returns their numbers."""
     stored = spark.read.parquet(path)
-    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint") + 1
+    size = F.octet_length(_text()).cast("bigint") + 1
     plan = block_plan(stored.select("block", "shard", size.alias("size")), shards)
     moved = plan.where("shard <> old_shard").select("old_shard", "shard").distinct().collect()  # pairs of shards
     affected = sorted({x for row in moved for x in row})

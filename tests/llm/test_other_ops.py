@@ -1,6 +1,7 @@
 """Pages, chats, quality, neighbours, resharding and the pipeline."""
 
 import html
+import itertools
 import os
 import re
 import tempfile
@@ -275,6 +276,36 @@ def test_flow():
         reshard.minimum_cost_flow([5], [4])
 
 
+def test_flow_moves_least():
+    """Against every way to deal small shards."""
+
+    def ways(sizes, free):
+        if not sizes:
+            yield []
+            return
+        for parts in itertools.product(*(range(min(sizes[0], f) + 1) for f in free)):
+            if sum(parts) == sizes[0]:
+                for rest in ways(sizes[1:], [f - p for f, p in zip(free, parts, strict=True)]):
+                    yield [parts, *rest]
+
+    for sizes, free in [([3, 1], [2, 2]), ([4, 0, 2], [2, 2, 2]), ([1, 5], [2, 2, 2]), ([2, 2, 2], [3, 3]), ([0, 3, 1], [1, 1, 1, 1]), ([3, 3], [6, 1])]:
+        moved = [sum(f for i, row in enumerate(way) for j, f in enumerate(row) if i != j) for way in (reshard.minimum_cost_flow(sizes, free), *ways(sizes, free))]
+        assert moved[0] == min(moved[1:])
+
+
+def test_reshard_equal_rows(spark):
+    """A third of all rows are one row; the law holds nonetheless."""
+    rows = [(7, "same row " * 12)] * 1000 + [(i, "x" * (60 + i % 97)) for i in range(2000)]
+    got = reshard.reshard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    sums = np.bincount([r["shard"] for r in got], [r["size"] for r in got], 16)
+    assert len(got) == 3000 and sums.max() - sums.min() < 0.02 * sums.mean()
+    for shard in range(16):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == [*range(len(slots))]
+    blocks = reshard.measured(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("block").count().collect()
+    assert max(r["count"] for r in blocks) < 10
+
+
 def test_reshard(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op5_reshard"](spark, SF).collect()
