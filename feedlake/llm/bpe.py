@@ -9,7 +9,8 @@ never of the corpus) and joins the pieces.
 
 Scale. Texts are read once; what is shuffled are packed positions (about a third of the text's
 bytes) and each chunk's distinct words, once there and once back. A word that is in every text is
-one entry a chunk. Chunks are bounded in bytes, so nothing depends on how words are spread.
+one entry a chunk. Chunks are bounded in bytes, so nothing depends on how words are spread. The parts into which words are
+dealt, hence the tasks that encode, follow the session's shuffle partitions.
 
 Rows. Null text counts as empty: no ids, and the decoded text is empty. Rows are kept one to one, with
 their ``doc_id`` (null and repeated ones too); other columns are not looked at.
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.batches import map_arrow, text_slices
@@ -34,9 +35,9 @@ from feedlake.session import materialise
 
 #: Bytes of text whose distinct words are gathered before they are sent.
 CHUNK_BYTES = 48 << 20
-#: Parts into which the words of a chunk are dealt by hash.
+#: Parts into which the words of a chunk are dealt by hash, at least; more where the session shuffles into over four times as many.
 BUCKETS = 64
-#: Distinct words that a task remembers; beyond it starts afresh.
+#: Distinct words that a task remembers; beyond it starts afresh, and encodes a word that comes again anew.
 REMEMBERED = 500_000
 
 #: Positions from here on are kept apart.
@@ -70,7 +71,12 @@ def _unpacked_codes(data: bytes) -> np.ndarray:
     return codes
 
 
-def chunked(docs: DataFrame, path: str) -> DataFrame:
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets follow the width of the session's shuffles, which follows the cluster: a fourth of it, so that a chunk's parts stay few."""
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def chunked(docs: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows of two kinds: some texts of a chunk as positions, and a part of the chunk's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -95,10 +101,10 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
                 }
             listed = list(place)
             listed = [listed[i].encode() for i in by_count]
-            bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in listed), np.int64, len(listed))
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int64, len(listed))
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
                     raw = [listed[i] for i in at]
@@ -176,8 +182,9 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` over the decoded text.
     """
     spark = docs.sparkSession
-    chunks = materialise(chunked(docs, path), "bpe-chunks")
-    partitions = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(spark)
+    chunks = materialise(chunked(docs, path, buckets), "bpe-chunks")
+    partitions = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = encoded_words(chunks, path, partitions)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
