@@ -76,5 +76,6 @@ _ALL = (
     op11_lexical, op12_whitening, op13_simhash,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-#: Chat formatting and lexical search can be said in SQL; the others are tested against brute force, other libraries or held-out labels.
-SQL: dict[str, str] = {"op6_chat": chat.SQL, "op11_lexical": lexical.SQL}
+#: What SQL can say of these; the others hold tokens, hash functions or trained networks that it lacks, or nearest vectors that may be missed, and are
+#: tested against brute force, other libraries or held-out labels.
+SQL: dict[str, str] = {"op2_minhash": minhash.SQL, "op3_suffixes": suffixes.SQL, "op6_chat": chat.SQL, "op11_lexical": lexical.SQL}

@@ -306,3 +306,31 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
 
     cutted = marked.mapInArrow(cut, schema)
     return cutted.select(*(F.col("row").getField(f.name).alias(f.name) for f in fields), *own.names)
+
+
+#: The same over the table ``documents``: every string of 100 bytes, as hexadecimal digits, against its earliest place.
+SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), places AS (
+  SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM docs
+), strings AS (
+  SELECT substr(h, 2 * i + 1, 200) AS s, list({'doc_id': doc_id, 'i': i}) AS found FROM places GROUP BY 1 HAVING count(*) > 1
+), repeated AS (
+  SELECT place.doc_id, place.i FROM (SELECT unnest(found) AS place, list_min(found) AS earliest FROM strings) WHERE place <> earliest
+), begun AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS opens FROM repeated
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begun
+), spans AS (
+  SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS since FROM spans
+), cut AS (
+  SELECT d.doc_id, CAST(sum(g.high - g.low) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    concat(string_agg(substr(h, 2 * since + 1, 2 * (low - since)), '' ORDER BY low), substr(any_value(h), 2 * max(high) + 1)) AS rest
+  FROM docs d JOIN gaps g USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import duckdb
 import pytest
 from tokenizers import Tokenizer
 
 from feedlake.llm import bpe, fingerprints, minhash, packing, suffixes, words
-from feedlake.llm.queries import QUERIES, TOKENIZER
+from feedlake.llm.queries import QUERIES, SQL, TOKENIZER
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -263,3 +264,25 @@ def test_suffixes_beside_clashing_names(spark):
     out = corpus_pipeline.unrepeated(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, "x", 5, "k"), (2, "", 6, "l")]
+
+
+@pytest.mark.parametrize("name", ["op2_minhash", "op3_suffixes"])
+def test_documents_against_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(SQL[name])
+    got = QUERIES[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and got
+
+
+def test_sql_of_odd_documents(spark):
+    """Null, empty and short texts, letters beyond A-Z, overlapping and touching repeats: the SQL says the same."""
+    long = "".join(chr(97 + i * i % 23) + str(i) for i in range(80))
+    rows = [(1, None), (2, ""), (3, "Ä one TWO"), (4, "ä one two"), (5, "Ä ONE two"), (6, long), (7, "x" + long + long[:150]), (8, "z" * 250), (9, "é" * 70), (10, "é" * 70 + "!"), (11, " ".join(map(str, range(99)))), (12, " ".join(map(str, range(101))))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    for name, got in (("op2_minhash", minhash.near_duplicates(df, percent=85)), ("op3_suffixes", suffixes.deduplicate(df, kept="sha256"))):
+        want = con.sql(SQL[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
