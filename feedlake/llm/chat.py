@@ -5,8 +5,9 @@ users with their names; system turns stay what they are. The assistant's spans,
 as offsets into the rendered text. Only DataFrame functions are used.
 
 Scale. Turns are grouped by conversation and ``PART_TURNS`` turn numbers: a dialogue of any length comes as parts that follow
-each other, so the conversation that holds a third of all turns is many groups. The participants of a conversation are
-found by a partial aggregation and joined to its parts.
+each other, so the conversation that holds a third of all turns is many groups. Where turn numbers are null or repeat, a part is cut into
+pieces of ``PART_TURNS`` rows, so no array holds more. Its rows are numbered by a sort that spills: turns without numbers of one conversation take one task's time, but not its
+memory. The participants of a conversation are found by a partial aggregation and joined to its pieces.
 
 Rows. A null text is an empty turn, a null or empty speaker is called ``unknown``, a null turn number is 0. Turns with one number come in the order of speaker and
 text, and repeated rows are rendered as often as they come. Null conversation ids are one conversation. A conversation
@@ -17,7 +18,7 @@ a conversation, by the method. Other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 256
@@ -27,9 +28,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id, perspective, part, n_turns, text, masks`` for every participant of every conversation.
+    """``conv_id, perspective, part, piece, n_turns, text, masks`` for every participant of every conversation.
 
-    ``masks`` lists the assistant's spans as ``begin:end`` in characters of the part's text, separated by commas: text and end mark of its turns.
+    ``masks`` lists the assistant's spans as ``begin:end`` in characters of the piece's text, separated by commas: text and end mark of its turns.
     """
     number = F.coalesce(F.col(turn).cast("bigint"), F.lit(0))
     name = F.coalesce(F.nullif(F.col(speaker).cast("string"), F.lit("")), F.lit(UNKNOWN))
@@ -38,7 +39,10 @@ def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     people = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     # whole numbers only: a quotient of doubles would round large ones
     part = F.expr(f"(turn - pmod(turn, {PART_TURNS})) div {PART_TURNS}")
-    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
+    # the window has dealt the rows by conversation and part, so the grouping needs no further shuffle
+    in_part = Window.partitionBy("conv_id", "part").orderBy("turn", "speaker", "body")
+    piece = F.floor((F.row_number().over(in_part) - 1) / PART_TURNS).cast("int")
+    parts = rows.withColumn("part", part).withColumn("piece", piece).groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
 
     def rendered(t: F.Column) -> F.Column:
         role = F.when(t["speaker"] == F.col("perspective"), F.lit("assistant")).when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.replace(F.replace(t["speaker"], F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" "))))
@@ -57,6 +61,7 @@ def perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
         "conv_id",
         "perspective",
         "part",
+        "piece",
         F.size("segments").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("segments", lambda s: s["whole"]), "").alias("text"),
         F.array_join(F.aggregate("segments", start, step)["spans"], ",").alias("masks"),
@@ -68,18 +73,22 @@ SQL = f"""
 WITH turns AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(nullif(role, ''), '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
   FROM conversations
+), parts AS (
+  SELECT *, CAST((turn - ((turn % {PART_TURNS}) + {PART_TURNS}) % {PART_TURNS}) // {PART_TURNS} AS BIGINT) AS part FROM turns
+), pieces AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, speaker, body) - 1) // {PART_TURNS} AS INT) AS piece FROM parts
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> '{SYSTEM}'
 ), headed AS (
-  SELECT t.conv_id, p.perspective, CAST((t.turn - ((t.turn % {PART_TURNS}) + {PART_TURNS}) % {PART_TURNS}) // {PART_TURNS} AS BIGINT) AS part, t.turn, t.speaker, t.body,
+  SELECT t.conv_id, p.perspective, t.part, t.piece, t.turn, t.speaker, t.body,
     concat('{START}', CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE concat('user name=', replace(replace(t.speaker, '<|', '< |'), chr(10), ' ')) END, chr(10)) AS head
-  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM pieces t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, concat(head, body, '{END}', chr(10)) AS whole,
-    sum(length(concat(head, body, '{END}', chr(10)))) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+    sum(length(concat(head, body, '{END}', chr(10)))) OVER (PARTITION BY conv_id, perspective, part, piece ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
   FROM headed
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(whole, '' ORDER BY turn, speaker, body, stop) AS text,
+SELECT conv_id, perspective, part, piece, count(*) AS n_turns, string_agg(whole, '' ORDER BY turn, speaker, body, stop) AS text,
   coalesce(string_agg(CASE WHEN speaker = perspective THEN concat(CAST(stop - length(whole) + length(head) AS BIGINT), ':', CAST(stop - 1 AS BIGINT)) END, ',' ORDER BY turn, speaker, body, stop), '') AS masks
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective, part, piece
 """

@@ -156,6 +156,22 @@ def test_chat_turn_numbers_and_names(spark):
     assert sorted(map(tuple, chat.perspectives(df).collect())) == sorted(con.sql(chat.SQL).fetchall())
 
 
+def test_chat_without_turn_numbers(spark):
+    """Null and repeated turn numbers: no array of more than ``PART_TURNS`` turns, no turn lost."""
+    rows = [(1, None, "ann" if i % 3 else "bob", f"n{i}") for i in range(700)] + [(1, 5, "ann", "same")] * 300 + [(2, 0, "bob", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat.perspectives(df).collect()
+    assert {(r["conv_id"], r["perspective"], r["part"], r["piece"]): r["n_turns"] for r in got} == {
+        (1, who, 0, k): n for who in ("ann", "bob") for k, n in enumerate((256, 256, 256, 232))
+    } | {(2, "bob", 0, 0): 1}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.sql(chat.SQL).fetchall())
+    plan = chat.perspectives(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("hashpartitioning\\(conv_id[^,]*, part", plan)) == 1
+
+
 def test_chat_is_native(spark):
     plan = QUERIES["op6_chat"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
