@@ -1,19 +1,25 @@
 """Repeated byte strings by bucket-pointer refinement of suffixes.
 
-Method. A suffix starts in the bucket of its first ``GRAM`` bytes. A bucket of two and more is refined by the bucket
-identifiers at later offsets: (b(i), b(i+32)) are the buckets of 64 bytes, and the pairs of those, already
-refined, at i and i+36 the ones of 100; identifiers of one depth are used again for the next. An identifier is a 64-bit hash of the bytes
-it stands for, so every task names a bucket alike and sorting brings it together. Suffixes whose
-bucket stays alone are not refined.
+Method. A suffix starts in the bucket of its first ``GRAM`` bytes, and buckets are refined in rounds by sorting on the bucket
+identifiers of later offsets. An identifier of one depth is made of two of the depth before, (b(i), b(i + 32)) for 64 bytes and pairs of
+those for more, so every round uses the identifiers of the last again. An identifier is a 64-bit hash of the bytes
+it stands for: every task names a bucket alike and sorting brings it together. Suffixes whose bucket stays alone leave after each round.
 
 Of the suffixes in a stretch only one need carry the stretch: for each window of ``SIZE`` bytes the leftmost ``GRAM`` with the
-least hash is its anchor, which depends on these bytes alone, so equal windows have equal anchors. About one suffix in 35 is
-an anchor. Windows that share an anchor form a run; runs of one bucket are sorted by the refined buckets of both ends, i.e. by all their bytes.
-Equal runs are settled at once, and where a bucket has different runs, their windows are refined one by one. No window is skipped.
+least hash is its anchor, which depends on these bytes alone, so equal windows have equal anchors. Windows that share an anchor form a run; about one suffix in 35 is
+an anchor. The rounds are
+
+1. buckets of 32 bytes: runs by their anchors;
+2. buckets of 83 bytes and more: the windows of a run that hold the anchor within the same ``PART`` offsets share all the bytes from the first
+   of these offsets to the end of the last window, so a part of a run that is alone with these has no window that occurs twice;
+3. buckets of ``SIZE`` bytes: single windows.
+
+In a bucket whose members agree in all their bytes all but the earliest are settled and go no further; where a bucket has different ones, each goes into the
+next round. No window is skipped.
 
 Scale. Runs are cut down in each task to the first of each kind, so a passage that is everywhere arrives once a task. A bucket
-with many different surroundings (the end of such a passage) is found on a sample of texts and dealt by the whole run;
-the sample decides the dealing only. Texts are shuffled once, for the windows and the result together.
+with many different surroundings (the end of such a passage) is found on a sample of texts, dealt by the whole run and goes to the third round at once;
+the sample decides the dealing only. Texts are shuffled once, for the second and third round and the result together; the rounds read lists of offsets as flat arrays.
 
 Rows. Null text counts as empty. Rows that agree in ``doc_id`` and text are one document, and each is returned with its result;
 different texts under one ``doc_id``, or under none, are told apart and ordered by a hash of 64 bits (two of n such texts share one with a
@@ -39,6 +45,8 @@ from feedlake.session import materialise
 
 SIZE = 100
 GRAM = 32
+#: Offsets of an anchor that the windows of one part of a run have.
+PART = 18
 #: Windows computed in one step.
 STEP = 1 << 19
 #: Share of the texts in which common anchors are looked for, and the most that are kept.
@@ -60,17 +68,46 @@ def gram_buckets(data: np.ndarray) -> np.ndarray:
     return bucket
 
 
-def window_buckets(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The bucket of the ``SIZE`` bytes from each position ``at`` on: pairs of pairs of shorter buckets."""
+def _twice(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bucket of twice ``GRAM`` bytes from each position ``at`` on."""
+    return mixed(grams[at] * _FACTOR[8] + grams[at + GRAM])
 
-    def twice(i: np.ndarray) -> np.ndarray:
-        return mixed(grams[i] * _FACTOR[8] + grams[i + GRAM])
 
-    return mixed(twice(at) * _FACTOR[9] + twice(at + SIZE - 2 * GRAM))
+def window_buckets(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bucket of the ``SIZE`` bytes from each position ``at`` on: pairs of pairs of shorter buckets."""
+    return mixed(_twice(grams, at) * _FACTOR[9] + _twice(grams, at + SIZE - 2 * GRAM))
+
+
+def _whole(grams: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bucket of all bytes from the window ``first`` to the end of the window ``last``, with the place of the anchor in it."""
+    shape = ((last - first) * 128 + (at - first)).astype(np.uint64)
+    return mixed(window_buckets(grams, first) * _FACTOR[10] + window_buckets(grams, last) * _FACTOR[11] + shape).view(np.int64)
+
+
+def parts(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts of runs (positions in ``data``): ``first, last`` window and anchor, bucket of the bytes that all windows of such a part share, bucket of all its bytes."""
+    pieces = []
+    for low in range(0, SIZE - GRAM + 1, PART):
+        high = min(low + PART - 1, SIZE - GRAM)  # offsets of the anchor
+        here = (at - first >= low) & (at - last <= high)
+        a = at[here]
+        pieces.append((np.maximum(first[here], a - high), np.minimum(last[here], a - low), a, a - low, a - high + SIZE - 2 * GRAM))
+    first, last, at, head, tail = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.argsort(first, kind="stable")
+    first, last, at, head, tail = (x[order] for x in (first, last, at, head, tail))
+    for low in range(0, len(data), STEP):
+        here = slice(*np.searchsorted(first, (low, low + STEP)))
+        if here.start == here.stop:
+            continue
+        begin = int(first[here.start])
+        grams = gram_buckets(data[begin : low + STEP + SIZE + PART])
+        f, e, a, h, t = (x[here] - begin for x in (first, last, at, head, tail))
+        shared = mixed(_twice(grams, h) * _FACTOR[9] + _twice(grams, t) + (a - h).astype(np.uint64))
+        yield first[here], last[here], at[here], shared.view(np.int64), _whole(grams, f, e, a)
 
 
 def runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor: ``first, last`` window (positions in ``data``), bucket of the anchor, bucket of the run."""
+    """Runs of windows with one anchor: ``first, last`` window and the anchor (positions in ``data``), bucket of the anchor, bucket of the run."""
     usable = np.zeros(len(data), bool)
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         usable[low : max(low, high - SIZE + 1)] = True
@@ -96,9 +133,7 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...
         end[:-1] &= new[1:] | ~valid[1:]
         last = np.flatnonzero(end)
         at = anchor[first]
-        shape = ((last - first) * 128 + (at - first)).astype(np.uint64)
-        whole = mixed(window_buckets(grams, first) * _FACTOR[10] + window_buckets(grams, last) * _FACTOR[11] + shape)
-        yield first + low, last + low, grams[at].view(np.int64), whole.view(np.int64)
+        yield first + low, last + low, at + low, grams[at].view(np.int64), _whole(grams, first, last, at)
 
 
 def _ranges(batch: pa.RecordBatch, texts: tuple[np.ndarray, np.ndarray], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -120,44 +155,75 @@ def _seen_before(*sorted_keys: np.ndarray) -> np.ndarray:
     return same
 
 
+_TABLE = f"bucket bigint, whole bigint, {_RANGE}, at bigint, settled boolean"
+
+
+def _table(batch: pa.RecordBatch, texts: tuple[np.ndarray, np.ndarray], found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[dict]:
+    """Rows of ``_TABLE`` for stretches of windows in the order of their places, ``settled`` if the batch has an equal one that comes earlier."""
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+    if not columns or not len(columns[0]):
+        return
+    first, last, at, bucket, whole = columns
+    ord_, crc, low, high = _ranges(batch, texts, first, last)
+    order = np.lexsort((low, crc, ord_, whole, bucket))
+    repeat = np.zeros(len(order), bool)
+    repeat[order] = _seen_before(bucket[order], whole[order])
+    again = np.zeros(len(order), bool)  # the same place of the same document: a repeated row
+    again[order] = _seen_before(bucket[order], whole[order], ord_[order], crc[order], low[order])
+    # settled stretches that follow each other become one
+    joined = np.zeros(len(order), bool)
+    joined[1:] = repeat[1:] & repeat[:-1] & (first[1:] == last[:-1] + 1) & (ord_[1:] == ord_[:-1]) & (low[1:] > low[:-1])
+    high = high[np.append(np.flatnonzero(~joined)[1:] - 1, len(order) - 1)]
+    keep = ~again[~joined]
+    named = (("bucket", bucket), ("whole", whole), ("ord", ord_), ("crc", crc), ("low", low), ("at", at - first))
+    yield {n: v[~joined][keep] for n, v in named} | {"high": high[keep], "settled": repeat[~joined][keep]}
+
+
 def run_table(keyed: DataFrame) -> DataFrame:
-    """The runs of all texts, ``settled`` if the same task has an equal one that comes earlier."""
+    """The runs of all texts in the buckets of their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in text_slices(batches):
             texts = joined_bytes(batch.column("text"))
-            found = [np.concatenate(x) for x in zip(*runs(*texts), strict=True)]
-            if not found:
-                continue
-            first, last, anchor, whole = found
-            ord_, crc, low, high = _ranges(batch, texts, first, last)
-            order = np.lexsort((low, crc, ord_, whole, anchor))
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = _seen_before(anchor[order], whole[order])
-            again = np.zeros(len(order), bool)  # the same place of the same document: a repeated row
-            again[order] = _seen_before(anchor[order], whole[order], ord_[order], crc[order], low[order])
-            # settled runs that follow each other become one
-            joined = np.zeros(len(order), bool)
-            joined[1:] = repeat[1:] & repeat[:-1] & (first[1:] == last[:-1] + 1) & (ord_[1:] == ord_[:-1]) & (low[1:] > low[:-1])
-            high = high[np.append(np.flatnonzero(~joined)[1:] - 1, len(order) - 1)]
-            keep = ~again[~joined]
-            yield {n: v[~joined][keep] for n, v in (("anchor", anchor), ("whole", whole), ("ord", ord_), ("crc", crc), ("low", low))} | {"high": high[keep], "settled": repeat[~joined][keep]}
-
-    return map_arrow(keyed.select("ord", "crc", "text"), run, f"anchor bigint, whole bigint, {_RANGE}, settled boolean")
+            yield from _table(batch, texts, runs(*texts))
+
+    return map_arrow(keyed.select("ord", "crc", "text"), run, _TABLE)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """The row and the fields of all elements of a list of structs."""
+    counts = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), counts), *(f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+
+
+def part_table(texts: DataFrame) -> DataFrame:
+    """The parts of the runs ``open`` of the texts in the buckets of the bytes that their windows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in text_slices(batches):
+            data, bounds = joined_bytes(batch.column("text"))
+            owner, low, high, at = _listed(batch.column("open"))
+            begin = bounds[owner]
+            yield from _table(batch, (data, bounds), parts(data, begin + low, begin + high, begin + low + at))
+
+    return map_arrow(texts, run, _TABLE)
 
 
 def _common_anchors(keyed: DataFrame) -> list[int]:
     """Anchors with many different surroundings in a sample of the texts, ``COMMON`` at most."""
-    sample = run_table(keyed.sample(SAMPLE, seed=1)).where("NOT settled").groupBy("anchor").agg(F.count("*").alias("n"))
-    return [r["anchor"] for r in sample.where("n >= 8").orderBy(F.desc("n"), "anchor").limit(COMMON).collect()]
+    sample = run_table(keyed.sample(SAMPLE, seed=1)).where("NOT settled").groupBy("bucket").agg(F.count("*").alias("n"))
+    return [r["bucket"] for r in sample.where("n >= 8").orderBy(F.desc("n"), "bucket").limit(COMMON).collect()]
+
 
+def refine(table: DataFrame, common: list[int]) -> DataFrame:
+    """Of stretches of windows those that occur earlier (``open`` false), and those of buckets with different ones (``open`` true).
 
-def refine_runs(table: DataFrame, common: list[int]) -> DataFrame:
-    """Windows that occur earlier (``open`` false), and those of buckets with different runs (``open`` true)."""
+    What is alone in its bucket is left out, unless the bucket is ``common``: then it is ``hot``, and open.
+    """
     known = np.sort(np.asarray(common, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = ("anchor", "whole", "ord", "crc", "low", "high")
+        names = ("bucket", "whole", "ord", "crc", "low", "high", "at")
         carry = {n: np.zeros(0, np.int64) for n in (*names, "done")}
         for batch in batches:
             if not batch.num_rows:
@@ -168,11 +234,12 @@ def refine_runs(table: DataFrame, common: list[int]) -> DataFrame:
             settled = np.append(np.zeros(old, bool), settled)
             done = np.append(carry["done"], np.zeros(batch.num_rows, np.int64)).astype(bool)
             n = len(settled)
-            starts_bucket = ~_seen_before(rows["anchor"])
-            starts_run = ~_seen_before(rows["anchor"], rows["whole"])
+            starts_bucket = ~_seen_before(rows["bucket"])
+            starts_run = ~_seen_before(rows["bucket"], rows["whole"])
             bucket = np.cumsum(starts_bucket) - 1
             many = np.bincount(bucket, starts_run) > 1
-            many |= np.isin(rows["anchor"][starts_bucket], known)
+            hot = np.isin(rows["bucket"][starts_bucket], known)
+            many |= hot
             head = np.flatnonzero(starts_run)[np.cumsum(starts_run) - 1]
             same_place = (rows["ord"] == rows["ord"][head]) & (rows["crc"] == rows["crc"][head]) & (rows["low"] == rows["low"][head])
             earlier = settled | ~starts_run & ~same_place
@@ -180,16 +247,16 @@ def refine_runs(table: DataFrame, common: list[int]) -> DataFrame:
             done |= open_
             earlier[:old] = False
             out = earlier | open_
-            yield {c: rows[c][out] for c in ("ord", "crc", "low", "high")} | {"open": open_[out]}
+            yield {c: rows[c][out] for c in ("ord", "crc", "low", "high", "at")} | {"open": open_[out], "hot": hot[bucket][out]}
             last_bucket = int(np.flatnonzero(starts_bucket)[-1])
             keep = np.unique([last_bucket, int(head[n - 1])])
             carry = {c: rows[c][keep] for c in names} | {"done": done[keep].astype(np.int64)}
 
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # settled rows wait for nobody
-    key = F.when(F.col("settled"), F.xxhash64("ord", "low")).when(F.col("anchor").isin(common), F.col("whole")).otherwise(F.col("anchor"))
-    dealt = table.withColumn("key", key).repartition(n, "key").sortWithinPartitions("anchor", "whole", "ord", "crc", "low").drop("key")
-    return map_arrow(dealt, run, f"{_RANGE}, open boolean")
+    key = F.when(F.col("settled"), F.xxhash64("ord", "low")).when(F.col("bucket").isin(common), F.col("whole")).otherwise(F.col("bucket"))
+    dealt = table.withColumn("key", key).repartition(n, "key").sortWithinPartitions("bucket", "whole", "ord", "crc", "low").drop("key")
+    return map_arrow(dealt, run, f"{_RANGE}, at bigint, open boolean, hot boolean")
 
 
 def refine_windows(texts: DataFrame) -> DataFrame:
@@ -199,10 +266,9 @@ def refine_windows(texts: DataFrame) -> DataFrame:
         for batch in text_slices(batches):
             texts_ = joined_bytes(batch.column("text"))
             data, bounds = texts_
-            at = [np.zeros(0, np.int64)]
-            for begin, ranges in zip(bounds[:-1], batch.column("open").to_pylist(), strict=True):
-                at += [np.arange(begin + r["low"], begin + r["high"] + 1) for r in ranges or []]
-            at = np.unique(np.concatenate(at))
+            owner, low, high, _ = _listed(batch.column("open"))
+            count = high - low + 1
+            at = np.unique(np.repeat(bounds[owner] + low - np.cumsum(count) + count, count) + np.arange(count.sum()))
             if not len(at):
                 continue
             bucket = np.empty(len(at), np.int64)
@@ -250,14 +316,13 @@ def refine_windows(texts: DataFrame) -> DataFrame:
     return map_arrow(named.repartition(n, "bucket").sortWithinPartitions("bucket", "settled", "ord", "crc", "low"), compare, _RANGE)
 
 
-def _removed(ranges: list[dict] | None, length: int) -> tuple[np.ndarray, int]:
-    """Flags of the bytes that the windows of all ranges cover, and the number of their runs."""
-    cover = np.zeros(length + 1, np.int32)
-    for r in ranges or []:
-        cover[r["low"]] += 1
-        cover[r["high"] + SIZE] -= 1
-    flags = np.cumsum(cover)[:-1] > 0
-    return flags, int(flags[:1].sum() + (flags[1:] & ~flags[:-1]).sum())
+def _removed(data: np.ndarray, bounds: np.ndarray, cut: pa.Array) -> np.ndarray:
+    """Flags of the bytes that the windows of all ranges cover."""
+    owner, low, high, _ = _listed(cut)
+    cover = np.zeros(len(data) + 1, np.int32)
+    np.add.at(cover, bounds[owner] + low, 1)
+    np.add.at(cover, bounds[owner] + high + SIZE, -1)
+    return np.cumsum(cover, dtype=np.int32)[:-1] > 0
 
 
 #: What becomes of the bytes that are left: themselves, a text without the parts of cut characters, or their SHA-256.
@@ -275,16 +340,19 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(text).alias("crc"), text.alias("text"))
-    ranges = materialise(refine_runs(run_table(keyed), _common_anchors(keyed)), "suffix-ranges")
+    ranges = materialise(refine(run_table(keyed), _common_anchors(keyed)), "suffix-ranges")
     release_shuffles(docs.sparkSession)  # of the runs, as large as what follows
 
-    def gathered(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("ord", "crc").agg(F.collect_list(F.struct("low", "high")).alias(name))
+    def with_ranges(rows: DataFrame, name: str) -> DataFrame:
+        # all of ``keyed`` each time, so that the joins share one shuffle of the texts
+        lists = rows.groupBy("ord", "crc").agg(F.collect_list(F.struct("low", "high", "at")).alias(name))
+        return keyed.join(lists, ["ord", "crc"], "left")
 
-    still_open = keyed.join(gathered(ranges.where("open"), "open"), ["ord", "crc"], "left")
-    windows = refine_windows(still_open)  # with "row", so that both joins share one shuffle of the texts
-    earlier = ranges.where("NOT open").drop("open").unionByName(windows)
-    marked = keyed.join(gathered(earlier, "cut"), ["ord", "crc"], "left").select("row", "text", "cut")
+    second = refine(part_table(with_ranges(ranges.where("open AND NOT hot"), "open")), [])
+    both = ranges.where("hot OR NOT open").unionByName(second)
+    windows = refine_windows(with_ranges(both.where("open"), "open")).withColumn("at", F.lit(0).cast("bigint"))
+    earlier = both.where("NOT open").drop("open", "hot").unionByName(windows)
+    marked = with_ranges(earlier, "cut").select("row", "text", "cut")
 
     fields = [f for f in docs.schema if f.name.lower() not in new]
     own = _parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, " + KEPT[kept])
@@ -297,8 +365,10 @@ def deduplicate(docs: DataFrame, kept: str = "bytes") -> DataFrame:
         for batch in text_slices(batches):
             data, bounds = joined_bytes(batch.column("text"))
             out: dict[str, list] = {f.name: [] for f in own}
-            for low, high, found in zip(bounds[:-1], bounds[1:], batch.column("cut").to_pylist(), strict=True):
-                flags, spans = _removed(found, high - low)
+            removed = _removed(data, bounds, batch.column("cut"))
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                flags = removed[low:high]
+                spans = int(flags[:1].sum() + (flags[1:] & ~flags[:-1]).sum())
                 for n, v in zip(own.names, (high - low, int(flags.sum()), spans, made(data[low:high][~flags].tobytes())), strict=True):
                     out[n].append(v)
             columns = [batch.column("row").cast(row_type.field(0).type), *(pa.array(out[f.name], f.type) for f in arrow)]
