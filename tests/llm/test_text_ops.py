@@ -138,6 +138,26 @@ def test_suffixes_odd_rows(spark, odd):
     assert suffixes.deduplicate(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_suffixes_of_one_passage_in_many_surroundings(spark, monkeypatch, hot):
+    """Pieces of 40 to 260 bytes of the same passages, cut anywhere: most buckets of 32 bytes hold different runs."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choices("abcdefgh", k=400)) for _ in range(3)]
+
+    def piece():
+        low, text = rng.randrange(300), rng.choice(passages)
+        return text[low : low + rng.randrange(40, 260)] if rng.random() < 0.6 else "".join(rng.choices("abcdefghij", k=rng.randrange(1, 120)))
+
+    docs = [(i, "".join(piece() for _ in range(rng.randrange(1, 9)))) for i in range(120)]
+    want = brute.repeated_bytes(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    if hot:  # every second anchor goes from the first round to the last
+        monkeypatch.setattr(suffixes, "_common_anchors", lambda keyed: sorted({r["bucket"] for r in suffixes.run_table(keyed).collect()})[::2])
+    for row in suffixes.deduplicate(df).collect():
+        data = docs[row["doc_id"]][1].encode()
+        assert bytes(row["kept"]) == bytes(b for b, c in zip(data, want[row["doc_id"]], strict=True) if not c), row["doc_id"]
+
+
 def test_suffixes_periodic(spark):
     rng = random.Random(8)
     base = "".join(rng.choices("abcdefgh ", k=700))
