@@ -1,7 +1,7 @@
 """Quality of a text, by a convolutional network over its bytes.
 
-Method. A text is cut into overlapping chunks that cover all of it. Each byte is a learned vector and a flag that its word
-repeats the one before; learned filters slide over them, and their largest answer in a chunk stands for it. The mean
+Method. A text is cut into overlapping chunks that cover all of it. Each byte is a learned vector;
+learned filters slide over them, and their largest answer in a chunk stands for it. The mean
 and the maximum of all chunks go into one probability. Forward and backward pass are numpy.
 
 Scale. The network is fitted on the driver, on a sample bounded by ``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` bytes, so fitting
@@ -23,19 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.batches import append_columns, joined_bytes, thinned
-from feedlake.llm.shingles import word_hashes
 from feedlake.session import materialise
 
 CHUNK, STEP = 256, 192
-WIDTH, STRIDE = 8, 4
-DIMENSIONS, FILTERS = 7, 24
+WIDTH, STRIDE = 16, 4
+DIMENSIONS, FILTERS = 8, 32
 #: Bounds of the sample on which the network is fitted.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 4 << 20
 #: Longer texts, in bytes, are not learned from; they are scored like all others.
 TRAIN_TEXT = 256 << 10
 #: With fewer rows of a label than this in the sample, a warning is given.
 LEAST_ROWS = 50
-EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 1000, 16, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 2000, 16, 0.01
 ACCEPT = 0.7
 _PAD = 256
 #: Chunks in one matrix product.
@@ -43,19 +42,11 @@ _BLOCK = 512
 
 
 class Chunks:
-    """The chunks of several texts: byte codes, repeat flags, and the text of each."""
+    """The chunks of several texts: byte codes, and the text of each."""
 
     def __init__(self, column: pa.Array):
         data, bounds = joined_bytes(column)
-        flags = np.zeros(len(data) + 1, np.int32)
-        hashes, starts, ends, first = word_hashes(data, bounds)
-        same = np.zeros(len(hashes), bool)
-        same[1:] = hashes[1:] == hashes[:-1]
-        same[first[:-1][first[:-1] < len(hashes)]] = False
-        np.add.at(flags, starts[same], 1)
-        np.add.at(flags, ends[same], -1)
         self.data = np.append(data, np.zeros(1, np.uint8))
-        self.flags = np.cumsum(flags)
         sizes = np.diff(bounds)
         counts = np.maximum(1, -(-(sizes - (CHUNK - STEP)) // STEP))
         self.owner = np.repeat(np.arange(len(sizes)), counts)
@@ -65,13 +56,13 @@ class Chunks:
         self.texts = len(sizes)
         self.first = np.cumsum(counts) - counts
 
-    def codes(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, low: int, high: int) -> np.ndarray:
         at = self.begin[low:high, None] + np.arange(CHUNK)
         beyond = at >= self.end[low:high, None]
         at[beyond] = len(self.data) - 1
         codes = self.data[at].astype(np.int32)
         codes[beyond] = _PAD
-        return codes, np.where(beyond, 0, self.flags[at]).astype(np.float32)
+        return codes
 
 
 class Network:
@@ -81,32 +72,31 @@ class Network:
         rng = np.random.default_rng(seed)
         self.bytes = rng.normal(0, 0.5, (_PAD + 1, DIMENSIONS)).astype(np.float32)
         self.bytes[_PAD] = 0
-        self.filters = rng.normal(0, (2 / (WIDTH * (DIMENSIONS + 1))) ** 0.5, (WIDTH * (DIMENSIONS + 1), FILTERS)).astype(np.float32)
+        self.filters = rng.normal(0, (2 / (WIDTH * DIMENSIONS)) ** 0.5, (WIDTH * DIMENSIONS, FILTERS)).astype(np.float32)
         self.shift = np.zeros(FILTERS, np.float32)
         self.weights = np.zeros(2 * FILTERS, np.float32)
         self.bias = np.zeros(1, np.float32)
 
-    def windows(self, codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    def windows(self, codes: np.ndarray) -> np.ndarray:
         """(chunk, place, values of the window)."""
-        x = np.concatenate([self.bytes[codes], flags[:, :, None]], axis=2)
-        view = np.lib.stride_tricks.sliding_window_view(x.reshape(len(x), -1), WIDTH * (DIMENSIONS + 1), axis=1)
-        return view[:, :: STRIDE * (DIMENSIONS + 1)]
+        view = np.lib.stride_tricks.sliding_window_view(self.bytes[codes].reshape(len(codes), -1), WIDTH * DIMENSIONS, axis=1)
+        return view[:, :: STRIDE * DIMENSIONS]
 
-    def pooled(self, codes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The largest answer of each filter in each chunk, and its place."""
-        w = self.windows(codes, flags)
+        w = self.windows(codes)
         answers = np.maximum(w.reshape(-1, w.shape[2]) @ self.filters + self.shift, 0).reshape(len(codes), -1, FILTERS)
         at = answers.argmax(axis=1)
         return np.take_along_axis(answers, at[:, None], axis=1)[:, 0], at
 
     def features(self, chunks: Chunks) -> np.ndarray:
         """Mean and maximum over the chunks of each text."""
-        best = np.concatenate([self._largest(*chunks.codes(low, min(low + _BLOCK, len(chunks.owner)))) for low in range(0, len(chunks.owner), _BLOCK)] or [np.zeros((0, FILTERS), np.float32)])
+        best = np.concatenate([self._largest(chunks.codes(low, min(low + _BLOCK, len(chunks.owner)))) for low in range(0, len(chunks.owner), _BLOCK)] or [np.zeros((0, FILTERS), np.float32)])
         counts = np.diff(np.append(chunks.first, len(chunks.owner)))[:, None]
         return np.concatenate([np.add.reduceat(best, chunks.first, axis=0) / counts, np.maximum.reduceat(best, chunks.first, axis=0)], axis=1)
 
-    def _largest(self, codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        w = self.windows(codes, flags)
+    def _largest(self, codes: np.ndarray) -> np.ndarray:
+        w = self.windows(codes)
         answers = (w.reshape(-1, w.shape[2]) @ self.filters).reshape(len(codes), -1, FILTERS)
         return np.maximum(answers.max(axis=1) + self.shift, 0)
 
@@ -121,15 +111,15 @@ class Network:
         rng = np.random.default_rng(5)
         names = ("bytes", "filters", "shift", "weights", "bias")
         moment = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in names}
-        labels_, rounds, span = np.asarray(labels, np.float32), 0, DIMENSIONS + 1
+        labels_, rounds = np.asarray(labels, np.float32), 0
         epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(texts) // BATCH)))
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for low in range(0, len(order), BATCH):
                 pick = order[low : low + BATCH]
                 chunks = Chunks(pa.array([texts[i] for i in pick], pa.string()))
-                codes, flags = chunks.codes(0, len(chunks.owner))
-                best, at = self.pooled(codes, flags)
+                codes = chunks.codes(0, len(chunks.owner))
+                best, at = self.pooled(codes)
                 counts = np.diff(np.append(chunks.first, len(best)))[:, None]
                 mean = np.add.reduceat(best, chunks.first, axis=0) / counts
                 most = np.maximum.reduceat(best, chunks.first, axis=0)
@@ -142,11 +132,11 @@ class Network:
                 down += np.where(best == most[chunks.owner], to[:, FILTERS:][chunks.owner], 0)
                 down *= best > 0
                 grad["shift"] = down.sum(axis=0)
-                w = self.windows(codes, flags)
+                w = self.windows(codes)
                 grad["filters"] = np.stack([down[:, f] @ w[np.arange(len(at)), at[:, f]] for f in range(FILTERS)], axis=1)
                 place = at[:, :, None] * STRIDE + np.arange(WIDTH)  # (chunk, filter, byte of the window)
                 hit = np.take_along_axis(codes[:, None, :], place, axis=2).ravel()
-                own = self.filters.reshape(WIDTH, span, FILTERS)
+                own = self.filters.reshape(WIDTH, DIMENSIONS, FILTERS)
                 to_bytes = np.stack([np.bincount(hit, (down[:, :, None] * own[:, d, :].T).ravel(), _PAD + 1) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
                 to_bytes[_PAD] = 0
                 grad["bytes"] = to_bytes
