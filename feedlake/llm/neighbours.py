@@ -1,7 +1,7 @@
 """Approximate nearest neighbours in a forest of sorted hash strings.
 
-Method. Each tree turns a vector into a long string of symbols: after a random rotation of its own a symbol is the axis with the
-largest coordinate, and its sign. A tree is its strings, sorted. A query goes down to the longest prefix that it
+Method. Each tree turns the direction of a vector, less the mean direction of its block, into a long string of symbols: after a random rotation of its own a
+symbol is the axis with the largest coordinate, and its sign (35 bits in 64 dimensions). A tree is its strings, sorted. A query goes down to the longest prefix that it
 shares with any string of a tree; then all trees go up together, one bit of prefix at a time, until the ranges that share the prefix
 hold enough candidates. Those are compared by inner product in double precision. Candidates are near by angle; a vector at a wider angle than
 the k-th nearest of them is among the k best only if it is longer than their k-th best score over that angle's cosine. All vectors
@@ -11,11 +11,11 @@ Scale. Equal vectors are one entry with its smallest ids, so a vector that is ev
 dealt by hash into blocks of ``BLOCK``, each with a forest of its own, and queries into chunks; a task holds one block and one chunk. Every
 query meets every block, as its contract says, but compares about a third of it, and of vectors of unequal length the longest besides.
 
-Recall of the 20 nearest is 0.96 on unit vectors without any structure (uniform directions in 64 dimensions) and not below 0.9 with
-lengths spread log-normally, see the tests.
+Recall of the 20 nearest is 0.97 on unit vectors without any structure (uniform directions in 64 dimensions), 0.93 and 0.95 where all share a
+large or small common offset, and 1.0 with lengths spread log-normally, where a third to two fifths of a block are compared; 1.0 on clusters, where it is under a quarter. See the tests.
 
 Rows. Vectors that are null, zero, or hold null or non-finite components, and null ids, take no part. Vectors of different length never meet.
-Rows that agree in id and vector count once. Ties go to the smaller id. An empty table has no rows.
+Rows that agree in id and vector count once. Ties go to the smaller id. An inner product beyond the doubles is infinite. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, SYMBOLS = 64, 3
+TREES, SYMBOLS = 64, 5
 #: Vectors in a block, queries in a chunk.
 BLOCK, CHUNK = 8192, 4096
 #: Candidates (counted once for each tree) at which the ascent stops.
@@ -42,6 +42,12 @@ def rotations(dimensions: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.normal(size=(dimensions, dimensions)))[0] for _ in range(TREES * SYMBOLS)]).astype(np.float32)
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1, however small or large their components are."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def hash_strings(vectors: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, int]:
     """(tree, vector) strings as integers, most significant symbol first, and their length in bits."""
     width = max(1, math.ceil(math.log2(2 * vectors.shape[1])))
@@ -59,19 +65,22 @@ class Forest:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.norms = norms[:, 0]
+        self.norms = np.linalg.norm(vectors, axis=1)
         self.longest = np.argsort(-self.norms, kind="stable")
         self.falling = -self.norms[self.longest]
         self.turns = rotations(vectors.shape[1])
-        strings, self.bits = hash_strings((vectors / norms).astype(np.float32), self.turns)
+        self.centre = directions(vectors).mean(axis=0)
+        strings, self.bits = hash_strings(self.centred(vectors), self.turns)
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.strings = np.take_along_axis(strings, self.order, axis=1)
 
+    def centred(self, vectors: np.ndarray) -> np.ndarray:
+        """Directions from the mean direction of the block: what all its vectors share says nothing about which are near."""
+        return (directions(vectors) - self.centre).astype(np.float32)
+
     def candidates(self, queries: np.ndarray, enough: int):
         """For each query the positions of the vectors that share the longest prefixes with it."""
-        norms = np.linalg.norm(queries, axis=1, keepdims=True)
-        own, _ = hash_strings((queries / norms).astype(np.float32), self.turns)
+        own, _ = hash_strings(self.centred(queries), self.turns)
         low = np.zeros((TREES, len(queries)), np.int64)
         high = np.zeros((TREES, len(queries)), np.int64)
         active = np.arange(len(queries))

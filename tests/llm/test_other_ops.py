@@ -267,6 +267,27 @@ def test_forest_recall_on_unequal_lengths(spread):
     assert hits / (60 * 21) >= 0.93
 
 
+@pytest.mark.parametrize("offset", [0.3, 1.0, 3.0])
+def test_forest_recall_beside_a_common_offset(offset):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(neighbours.BLOCK, 64)) + offset
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    forest = neighbours.Forest(vectors)
+    hits = 0
+    for query, (found, _) in zip(vectors[:60], forest.nearest(vectors[:60], 21, np.arange(len(vectors))), strict=True):
+        hits += len(set(found.tolist()) & set(np.argsort(-(vectors @ query))[:21].tolist()))
+    looked = np.mean([len(c) for c in forest.candidates(vectors[:60], neighbours.CANDIDATES)])
+    assert hits / (60 * 21) >= 0.9 and looked < 0.4 * len(vectors)
+
+
+def test_neighbours_of_extreme_lengths(spark):
+    rows = [(i, [float(i + 1) * 1e-200, 1e-200]) for i in range(30)] + [(100, [1e200, 0.0]), (101, [1e150, 1e150])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r for r in neighbours.nearest(df, df.where("vec_id IN (20, 100)")).collect()}
+    assert [got[20, k]["vec_id"] for k in range(1, 4)] == [100, 101, 0] and [got[100, k]["vec_id"] for k in range(1, 4)] == [101, 29, 28]
+    assert got[100, 1]["score"] == float("inf") and len(got) == 40
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     same = [(i, [1.0, 0.5]) for i in range(60)]
