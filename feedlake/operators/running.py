@@ -94,17 +94,24 @@ def add_texts(texts: DataFrame, run_id: str, path: str, kind: str = "string") ->
     """Count the terms of the texts (``id`` of type ``kind``, ``text``) of a run.
 
     Only these texts are read. The counts of documents get rows for the terms that occur in them, all others stay as they are. A text whose
-    id an earlier run has counted is passed over.
+    id an earlier run has counted is passed over. Only ids are compared with those of earlier runs; texts stay where they are, unless very many come again.
     """
     spark = texts.sparkSession
     known = parts(spark, f"{path}/texts", f"id {kind}").where(F.col("run_id") != run_id).select("id")
-    fresh = texts.select("id", "text").join(known, "id", "left_anti")
-    counted = materialise(TAG.term_counts(fresh, "id"), "terms")
-    put(counted, run_id, f"{path}/tf")
+    came = materialise(texts.select("id").join(known, "id", "left_semi").distinct(), "known")
+    fresh = texts.select("id", "text")
+    fresh = fresh if came.isEmpty() else fresh.join(came, "id", "left_anti")
+    put(TAG.text_terms(fresh, "id"), run_id, f"{path}/tf")
+    counted = TAG.added_up(_terms(spark, path, kind).where(F.col("run_id") == run_id).drop("run_id"), fresh.select("id"), ["id"])
     put(counted.groupBy("term").agg(F.count("*").alias("df")), run_id, f"{path}/df")
     put(fresh.select("id"), run_id, f"{path}/texts")
 
 
+def _terms(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The terms of all texts by run; an id that comes several times in a run has its terms as often."""
+    return parts(spark, f"{path}/tf", f"id {kind}, term string, tf bigint")
+
+
 def add_document_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -116,8 +123,9 @@ def merge_document_counts(spark: SparkSession, path: str, runs: list[str]) -> st
 
 def topics(spark: SparkSession, path: str, kind: str = "string", run_id: str | None = None, top: int = fixed.MAX_TAGS) -> DataFrame:
     """The terms of all texts counted so far, or of those of one run, as one count over all texts would rank them: ``id``, ``rank``, ``term``, ``score``."""
-    tf = parts(spark, f"{path}/tf", f"id {kind}, term string, tf bigint")
-    tf = tf.where(F.col("run_id") == run_id) if run_id else tf
-    n_texts = parts(spark, f"{path}/texts", f"id {kind}").count()
+    tf, texts = _terms(spark, path, kind), parts(spark, f"{path}/texts", f"id {kind}")
+    n_texts = texts.count()
+    if run_id:
+        tf, texts = (rows.where(F.col("run_id") == run_id) for rows in (tf, texts))
     df = add_document_counts(parts(spark, f"{path}/df", "term string, df bigint"))
-    return TAG.ranked_terms(tf.drop("run_id"), df, n_texts, "id", top)
+    return TAG.ranked_terms(TAG.added_up(tf, texts, ["id", "run_id"]).drop("run_id"), df, n_texts, "id", top)

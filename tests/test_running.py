@@ -1,5 +1,7 @@
 """Totals by run: repeated runs, merges that die half-way, texts that come again."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,49 @@ def test_topics_by_run(spark, tmp_path):
     assert {r.id for r in RUN.topics(spark, path, run_id="r-3").collect()} == {"new"}
 
 
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A text's words are counted and written where it is read: no text and no word count is shuffled, also where earlier ids are too many to be sent around."""
+    path, plans = str(tmp_path / "terms"), []
+    spark.range(60).selectExpr("CAST(id AS string) AS id", "concat('common word', id % 7, ' lake') AS text").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    RUN.add_texts(texts.where("CAST(id AS int) < 40"), "r-0", path)
+    for name in ("put", "materialise"):
+
+        def watched(rows, *args, write=getattr(RUN, name)):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return write(rows, *args)
+
+        monkeypatch.setattr(RUN, name, watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        RUN.add_texts(texts.where("CAST(id AS int) >= 40"), "r-1", path)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counting = [p for p in plans if "regexp_extract_all" in p]
+    assert counting and not any("Exchange" in p or "Aggregate" in p for p in counting)
+    assert sorted(map(tuple, RUN.topics(spark, path).collect())) == sorted(map(tuple, TAG.topic_terms(texts, "id").collect()))
+
+
+def test_topics_of_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    """Texts of one id in one run are one text of terms, in df too; null ids are one id of their run."""
+    monkeypatch.setattr(TAG, "_COMMON_TERMS", 2, raising=False)
+    path = str(tmp_path / "terms")
+    first = [("a", "lake lake river"), ("a", "lake stone"), ("b", "river sand"), (None, "stone stone"), (None, "stone sand"), ("c", None)]
+    then = [("a", "passed over"), ("d", "lake sand sand sand"), (None, "stone")]
+    for k, rows in enumerate((first, then)):
+        RUN.add_texts(spark.createDataFrame(rows, "id string, text string"), f"r-{k}", path)
+    df = {"lake": 2, "river": 2, "stone": 3, "sand": 3}
+    assert _sums(spark, f"{path}/df") == df
+    counts = [("a", "lake", 3), ("a", "river", 1), ("a", "stone", 1), ("b", "river", 1), ("b", "sand", 1), ("d", "lake", 1), ("d", "sand", 3)]
+    want = {(k, t): round(n * (math.log((1 + 8) / (1 + df[t])) + 1), 6) for k, t, n in counts}
+    got = RUN.topics(spark, path).collect()
+    assert {(r.id, r.term): r.score for r in got if r.id} == want
+    # the null ids of both runs share their ranks, with the terms of each run
+    stone, sand = (math.log(9 / 4) + 1,) * 2
+    assert sorted((r.term, r.score) for r in got if not r.id) == sorted([("stone", round(3 * stone, 6)), ("sand", round(sand, 6)), ("stone", round(stone, 6))])
+
+
 def test_catalogue_after_every_run(spark, tmp_path):
     path = str(tmp_path / "feeds")
     feeds = spark.createDataFrame([("f", "F"), ("g", "G")], "feed string, title string").selectExpr("*", *[f"CAST(NULL AS string) AS {c}" for c in ("home_page_url", "feed_url", "description", "language", "output_dir")])
